@@ -164,11 +164,15 @@ def assign_roles(rows: DataFrame, folds: int, group: str = "asset_id") -> DataFr
     return out.withColumn("role", role)
 
 
-def fold_bounds(components: DataFrame, folds: int, ext: Extent, lo: float = 1.0, hi: float = 99.0, group: str = "asset_id") -> DataFrame:
-    """Percentile bounds of E and C over the pooled training assets of each fold."""
-    train = assign_roles(components.select(group, "E", "C"), folds, group).where("role = 'train'")
+def train_bounds(train: DataFrame, ext: Extent, lo: float = 1.0, hi: float = 99.0) -> DataFrame:
+    """Percentile bounds of E and C over the pooled training rows of each fold."""
     wanted = {"E_lo": ("E", lo / 100), "E_hi": ("E", hi / 100), "C_lo": ("C", lo / 100), "C_hi": ("C", hi / 100)}
-    return quantiles(train, ["fold_id"], wanted, ext.pooled)
+    return quantiles(train.select("fold_id", "E", "C"), ["fold_id"], wanted, ext.pooled)
+
+
+def training_rows(components: DataFrame, folds: int, group: str = "asset_id") -> DataFrame:
+    cols = dict.fromkeys(["asset_id", group, "pos", "n", "E", "C"])
+    return assign_roles(components.select(*cols), folds, group).where("role = 'train'")
 
 
 def _small(params: DataFrame) -> DataFrame:
@@ -296,14 +300,17 @@ def pick_weight(sweep: DataFrame) -> DataFrame:
     ).withColumn("b", F.round(F.lit(1.0) - F.col("a"), 6))
 
 
-def fit_index(components: DataFrame, folds: int, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0) -> DataFrame:
-    """Frozen parameters per fold: percentile bounds and the selected weight."""
-    bounds = fold_bounds(components, folds, ext, lo, hi)
-    rows = assign_roles(components.select("asset_id", "pos", "n", "E", "C"), folds).where("role = 'train'")
-    scores = fitness_per_asset(scale_by_fold(rows, bounds), ext)
+def fit_on(train: DataFrame, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0) -> DataFrame:
+    """Frozen parameters per fold from training rows: percentile bounds and the selected weight."""
+    bounds = train_bounds(train, ext, lo, hi)
+    scores = fitness_per_asset(scale_by_fold(train, bounds), ext)
     return pick_weight(weight_sweep(scores, objective)).join(bounds, "fold_id")
 
 
+def fit_index(components: DataFrame, folds: int, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0) -> DataFrame:
+    return fit_on(training_rows(components, folds), ext, objective, lo, hi)
+
+
 def apply_index(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Frozen index on any role's rows (needs fold_id)."""
     out = scale_by_fold(rows, params)

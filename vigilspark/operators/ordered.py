@@ -15,6 +15,7 @@ import os
 import tempfile
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Mark a snapshot-level result that several branches read; lineage stays, so a lost block is recomputed."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Take the checkpoint folder the cluster names; make one only for a local session."""
     sc = spark.sparkContext
@@ -194,8 +200,11 @@ def average_rank(df: DataFrame, keys, value: str, name: str, ext: Extent) -> Dat
     return df.join(ranks, [*keys, value])
 
 
-def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Extent) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: ``{new: (column, p)}``; NULLs are ignored."""
+def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Extent, also=()) -> DataFrame:
+    """Exact linearly interpolated quantiles per group: ``{new: (column, p)}``; NULLs are ignored.
+
+    ``also`` lists further aggregates (named columns) to compute in the same pass.
+    """
     keys = list(keys)
     by_col: dict[str, list[tuple[str, float]]] = {}
     for new, (c, p) in wanted.items():
@@ -210,8 +219,9 @@ def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Ex
             for i, items in enumerate(by_col.values())
             for j, (new, _) in enumerate(items)
         ]
-        return df.groupBy(*keys).agg(*aggs).select(*keys, *picked)
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+        out = df.groupBy(*keys).agg(*aggs, *also)
+        return out.select(*keys, *picked, *out.columns[len(keys) + len(aggs) :])
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *also).drop("_rows")
     for c, items in by_col.items():
         ladder = _ladder(df.select(*keys, F.col(c).cast("double").alias("_v")), keys, "_v")
         totals = ladder.groupBy(*keys).agg(F.sum("_cnt").alias("_total"))

@@ -53,20 +53,30 @@ def partial_spearman(rows: DataFrame, keys, x: str, y: str, z: str, ext: Extent,
     return out.select(*keys, ((F.col("_xy") - F.col("_xz") * F.col("_yz")) / bottom).alias(name), F.col("_xy").alias("raw"))
 
 
-def shape_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
-    """Per series: monotonicity (absolute and signed), trendability, smoothness, ends and tie counts."""
+def asset_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
+    """Every per-series criterion in one pass.
+
+    Monotonicity (absolute and signed), trendability, rank correlation with life, smoothness, first
+    and last value, and counts of rising, falling and flat steps.
+    """
     keys = list(keys)
-    out = neighbours(rows, keys, {"_b1": (value, 1), "_b2": (value, 2)}, ext)
+    out = average_rank(rows, keys, value, "_rank", ext)
+    out = neighbours(out, keys, {"_b1": (value, 1), "_b2": (value, 2)}, ext)
     v = F.col(value)
     step = F.round(v - F.col("_b1"), 9)
     bend = v - 2 * F.col("_b1") + F.col("_b2")
+
+    def tally(condition):
+        return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
+
     agg = out.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.signum(step)), F.lit(0.0)).alias("_net"),
-        F.coalesce(F.sum((step > 0).cast("bigint")), F.lit(0)).alias("n_pos"),
-        F.coalesce(F.sum((step < 0).cast("bigint")), F.lit(0)).alias("n_neg"),
-        F.coalesce(F.sum((step == 0).cast("bigint")), F.lit(0)).alias("n_tie"),
+        tally(step > 0).alias("n_pos"),
+        tally(step < 0).alias("n_neg"),
+        tally(step == 0).alias("n_tie"),
         F.corr(value, "pos").alias("_corr"),
+        F.corr("_rank", "pos").alias("_rho"),
         F.stddev_pop(value).alias("_sd"),
         F.avg(bend * bend).alias("_bend"),
         F.min_by(value, "pos").alias("first_value"),
@@ -80,6 +90,7 @@ def shape_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
         guarded(F.col("n") > 1, F.abs("_net") / steps).alias("monotonicity"),
         guarded(F.col("n") > 1, F.col("_net") / steps).alias("signed_monotonicity"),
         guarded(moving, F.abs("_corr")).alias("trendability"),
+        guarded(moving, F.col("_rho")).alias("rho"),
         guarded(F.col("n") >= 3, F.lit(1.0) / (F.col("_bend") + 1e-12)).alias("smoothness"),
         "n_pos",
         "n_neg",
@@ -89,16 +100,15 @@ def shape_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
     )
 
 
-def prognosability(criteria: DataFrame, keys) -> DataFrame:
-    """How tightly the final values cluster, relative to the mean travelled range."""
-    span = F.avg(F.abs(F.col("first_value") - F.col("last_value"))) + 1e-12
-    return criteria.groupBy(*keys).agg(F.exp(-F.stddev_pop("last_value") / span).alias("prognosability"))
+def prognosability_of(first: str = "first_value", last: str = "last_value"):
+    """Aggregate: how tightly the final values cluster, relative to the mean travelled range."""
+    span = F.avg(F.abs(F.col(first) - F.col(last))) + 1e-12
+    return F.exp(-F.stddev_pop(last) / span)
 
 
 def quality_table(criteria: DataFrame, keys, assets: Extent) -> DataFrame:
-    """Summary per indicator from per-asset criteria (with ``rho``); ``assets`` sizes that table."""
-    keys = list(keys)
-    med = quantiles(
+    """Summary per indicator from per-asset criteria; ``assets`` sizes that table."""
+    return quantiles(
         criteria,
         keys,
         {
@@ -106,15 +116,13 @@ def quality_table(criteria: DataFrame, keys, assets: Extent) -> DataFrame:
             "trendability_median": ("trendability", 0.5),
             "rho_median": ("rho", 0.5),
         },
-        assets.pooled,
+        assets,
+        also=[
+            F.min("trendability").alias("trendability_min"),
+            prognosability_of().alias("prognosability"),
+            F.count(F.lit(1)).alias("n_assets"),
+        ],
     )
-    rest = criteria.groupBy(*keys).agg(F.min("trendability").alias("trendability_min"), F.count(F.lit(1)).alias("n_assets"))
-    return med.join(rest, keys).join(prognosability(criteria, keys), keys)
-
-
-def asset_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
-    """Shape criteria and rank correlation with life of each series."""
-    return shape_criteria(rows, keys, value, ext).join(spearman_vs_life(rows, keys, value, ext), list(keys))
 
 
 def sign_flips(rows: DataFrame, keys, before: str, after: str, ext: Extent) -> DataFrame:
@@ -123,10 +131,17 @@ def sign_flips(rows: DataFrame, keys, before: str, after: str, ext: Extent) -> D
     out = neighbours(rows, keys, {"_p": (before, 1), "_q": (after, 1)}, ext)
     s0 = F.signum(F.round(F.col(before) - F.col("_p"), 9))
     s1 = F.signum(F.round(F.col(after) - F.col("_q"), 9))
+
+    def tally(condition):
+        return F.coalesce(F.sum(condition.cast("bigint")), F.lit(0))
+
     return out.groupBy(*keys).agg(
         (F.count(F.lit(1)) - 1).alias("n_steps"),
-        F.sum(F.when((s0 > 0) & (s1 < 0), 1).otherwise(0)).cast("bigint").alias("rise_to_fall"),
-        F.sum(F.when((s0 < 0) & (s1 > 0), 1).otherwise(0)).cast("bigint").alias("fall_to_rise"),
+        tally(s0 != s1).alias("flips"),
+        tally((s0 != s1) & (s1 < 0)).alias("rise_to_fall"),
+        tally((s0 != s1) & (s1 > 0)).alias("fall_to_rise"),
+        tally(s0 == 0).alias("ties_before"),
+        tally(s1 == 0).alias("ties_after"),
         F.coalesce(F.sum(s0), F.lit(0.0)).alias("net_before"),
         F.coalesce(F.sum(s1), F.lit(0.0)).alias("net_after"),
     )

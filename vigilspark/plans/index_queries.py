@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
 from ..operators import health, quality
-from ..operators.ordered import Extent
 from ..sources.tables import KEY, event_series
 from .pipelines import FEATURES, event_components, event_index, long_indicators
 from .registry import query
@@ -38,7 +37,7 @@ def indicator_quality(spark, folder):
         held, ["asset_id", "pos", "n"], {"abnormality": "E_norm", "index": "index", "value_x": "x", "value_y": "y"}
     )
     crit = quality.asset_criteria(rows, ["indicator", "asset_id"], "value", ext)
-    table = quality.quality_table(crit, ["indicator"], Extent(ext.rows, ext.rows))
+    table = quality.quality_table(crit, ["indicator"], ext.pooled)
     return table.select(
         "indicator",
         *rounded(["monotonicity_median", "trendability_median", "trendability_min", "rho_median", "prognosability"]),
@@ -132,14 +131,14 @@ def raw_components(spark, folder):
 @query("fold_bounds", sql("SELECT fold_id, round(e_lo, 6) AS e_lo, round(e_hi, 6) AS e_hi, round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM bounds"))
 def fold_bounds(spark, folder):
     comp, ext = event_components(spark, folder)
-    b = health.fold_bounds(comp, FOLDS, ext)
+    b = health.train_bounds(health.training_rows(comp, FOLDS), ext)
     return b.select("fold_id", *[F.round(c, 6).alias(c.lower()) for c in ("E_lo", "E_hi", "C_lo", "C_hi")])
 
 
 def _scores(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS).where("role = 'train'")
-    return health.fitness_per_asset(health.scale_by_fold(rows, health.fold_bounds(comp, FOLDS, ext)), ext)
+    rows = health.training_rows(comp, FOLDS)
+    return health.fitness_per_asset(health.scale_by_fold(rows, health.train_bounds(rows, ext)), ext)
 
 
 @query("weight_fit", sql("SELECT fold_id, a, b, round(fitness, 6) AS fitness, n_train FROM picked"))
@@ -172,5 +171,5 @@ def index_apply(spark, folder):
 def index_saturation(spark, folder):
     comp, ext = event_components(spark, folder)
     rows = health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS).where("role = 'test'")
-    scaled = health.scale_by_fold(rows, health.fold_bounds(comp, FOLDS, ext))
+    scaled = health.scale_by_fold(rows, health.train_bounds(health.training_rows(comp, FOLDS), ext))
     return health.saturation(scaled, ["fold_id", "asset_id"]).select("fold_id", "asset_id", *rounded(["sat_frac"]))

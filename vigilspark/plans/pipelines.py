@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import health
-from ..operators.ordered import Extent
+from ..operators.ordered import Extent, keep
 from ..sources.tables import KEY, event_series
 from .sqlkit import FOLDS
 
@@ -15,13 +15,13 @@ FEATURES = ["x", "y"]
 
 def event_components(spark, folder, estimator: str = "diagonal", **options) -> tuple[DataFrame, Extent]:
     series, ext = event_series(spark, folder)
-    return health.raw_components(series, KEY, FEATURES, ext, estimator=estimator, **options), ext
+    return keep(health.raw_components(series, KEY, FEATURES, ext, estimator=estimator, **options)), ext
 
 
 def event_index(spark, folder, role: str | None = "test", objective: str = "mono+corr"):
     """Frozen index of every asset on its held-out fold (or all roles), with its parameters."""
     comp, ext = event_components(spark, folder)
-    params = health.fit_index(comp, FOLDS, ext, objective)
+    params = keep(health.fit_index(comp, FOLDS, ext, objective))
     cols = ["dataset", "asset_id", "pos", "n", "n_base", "x", "y", "E", "C"]
     rows = health.assign_roles(comp.select(*cols), FOLDS)
     if role:
