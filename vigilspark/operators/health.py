@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import EPS, clip, guarded, rescale
-from .ordered import SAFE_GROUP, Extent, average_rank, neighbours, quantiles, spread
+from ..functions.scalars import EPS, clip, rescale
+from .ordered import Extent, keep, neighbours, quantiles
+from .weights import score_weights
 
 GRID_STEPS = 101
 
@@ -192,98 +193,11 @@ def scale_by_fold(rows: DataFrame, params: DataFrame) -> DataFrame:
     return out.withColumns({"E_norm": clip(F.col("E_lin"), 0, 1), "C_norm": clip(F.col("C_lin"), 0, 1)})
 
 
-def blend(a: Column, e: Column, c: Column) -> Column:
-    return F.round(a * e + (F.lit(1.0) - a) * c, 9)
-
-
 def fitness_per_asset(train: DataFrame, ext: Extent, steps: int = GRID_STEPS) -> DataFrame:
-    """Monotonicity and signed Spearman against life for every (fold, asset, weight).
-
-    Short series are scored one Arrow group per (fold, asset). Longer ones than a task should hold
-    are scored with distributed ranks; both give the same numbers.
-    """
-    cols = train.select("fold_id", "asset_id", "pos", "n", "E_norm", "C_norm")
-    if ext.longest <= SAFE_GROUP:
-        return _fitness_grouped(cols, steps)
-    return _fitness_exploded(cols, steps, ext)
-
-
-def _mean_ranks(v: np.ndarray) -> np.ndarray:
-    """0-based ranks along the last axis, ties sharing their mean."""
-    order = np.argsort(v, axis=1, kind="stable")
-    s = np.take_along_axis(v, order, axis=1)
-    n = v.shape[1]
-    at = np.broadcast_to(np.arange(n), v.shape)
-    new_run = np.ones(v.shape, dtype=bool)
-    new_run[:, 1:] = s[:, 1:] != s[:, :-1]
-    last_run = np.ones(v.shape, dtype=bool)
-    last_run[:, :-1] = new_run[:, 1:]
-    first = np.maximum.accumulate(np.where(new_run, at, 0), axis=1)
-    last = np.minimum.accumulate(np.where(last_run, at, n)[:, ::-1], axis=1)[:, ::-1]
-    ranks = np.empty(v.shape)
-    np.put_along_axis(ranks, order, (first + last) / 2.0, axis=1)
-    return ranks
-
-
-def _score_weights(e: np.ndarray, c: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Monotonicity and Spearman against time for every weight, a few weights at a time."""
-    n = len(e)
-    mono, rho = np.zeros(len(grid)), np.zeros(len(grid))
-    t = np.arange(n) - (n - 1) / 2.0
-    block = max(1, 1_000_000 // max(n, 1))
-    for k in range(0, len(grid), block):
-        a = grid[k : k + block, None]
-        v = np.round(a * e + (1.0 - a) * c, 9)
-        if n > 1:
-            mono[k : k + block] = np.abs(np.sign(np.diff(v, axis=1)).sum(axis=1)) / (n - 1)
-        if n >= 3:
-            r = _mean_ranks(v) - (n - 1) / 2.0
-            size = np.sqrt((r * r).sum(axis=1) * (t * t).sum())
-            moving = (v.std(axis=1) >= 1e-12) & (size > 0)
-            rho[k : k + block] = np.where(moving, (r @ t) / np.where(size > 0, size, 1.0), 0.0)
-    return mono, rho
-
-
-def _fitness_grouped(cols: DataFrame, steps: int) -> DataFrame:
-    grid = np.round(np.arange(steps) / (steps - 1), 6)
-
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        folds, pos = pdf["fold_id"].to_numpy(), pdf["pos"].to_numpy()
-        order = np.lexsort((pos, folds))
-        folds, e, c = folds[order], pdf["E_norm"].to_numpy()[order], pdf["C_norm"].to_numpy()[order]
-        ids, starts = np.unique(folds, return_index=True)
-        parts = [_score_weights(e[s:t], c[s:t], grid) for s, t in zip(starts, [*starts[1:], len(folds)])]
-        return pd.DataFrame(
-            {
-                "fold_id": np.repeat(ids, steps),
-                "asset_id": key[0],
-                "a": np.tile(grid, len(ids)),
-                "mono": np.concatenate([m for m, _ in parts]),
-                "rho": np.concatenate([r for _, r in parts]),
-            }
-        )
-
-    schema = "fold_id int, asset_id bigint, a double, mono double, rho double"
-    return spread(cols.drop("n"), "asset_id").groupBy("asset_id").applyInPandas(score, schema)
-
-
-def _fitness_exploded(cols: DataFrame, steps: int, ext: Extent) -> DataFrame:
-    keys = ["fold_id", "asset_id", "a"]
-    grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.round(i / F.lit(float(steps - 1)), 6))
-    rows = cols.withColumn("a", F.explode(grid))
-    rows = rows.withColumn("v", blend(F.col("a"), F.col("E_norm"), F.col("C_norm"))).drop("E_norm", "C_norm")
-    steps_up = neighbours(rows, keys, {"_prev": ("v", 1)}, ext)
-    mono = steps_up.groupBy(*keys).agg(
-        F.abs(F.coalesce(F.sum(F.signum(F.col("v") - F.col("_prev"))), F.lit(0.0))).alias("_s"), F.max("n").alias("n")
-    )
-    ranked = average_rank(rows, keys, "v", "_r", ext)
-    rho = ranked.groupBy(*keys).agg(F.corr("_r", "pos").alias("_rho"), F.stddev_pop("v").alias("_sd"))
-    joined = mono.join(rho, keys)
-    return joined.select(
-        *keys,
-        guarded(F.col("n") > 1, F.col("_s") / (F.col("n") - 1)).alias("mono"),
-        guarded((F.col("n") >= 3) & (F.col("_sd") >= 1e-12), F.col("_rho")).alias("rho"),
-    )
+    """Monotonicity and signed Spearman against life for every (fold, asset, weight of E)."""
+    grid = [round(i / (steps - 1), 6) for i in range(steps)]
+    scored = score_weights(train, ["fold_id", "asset_id"], ["E_norm", "C_norm"], [(a, 1.0 - a) for a in grid], ext)
+    return scored.select("fold_id", "asset_id", F.round(F.col("w") / F.lit(float(steps - 1)), 6).alias("a"), "mono", "rho")
 
 
 def weight_sweep(scores: DataFrame, objective: str = "mono+corr") -> DataFrame:
@@ -307,6 +221,14 @@ def fit_on(train: DataFrame, ext: Extent, objective: str = "mono+corr", lo: floa
     return pick_weight(weight_sweep(scores, objective)).join(bounds, "fold_id")
 
 
+def fit_both(train: DataFrame, ext: Extent) -> DataFrame:
+    """Parameters of the default objective, with the label-free weights beside them (a_mono, b_mono)."""
+    bounds = train_bounds(train, ext)
+    scores = keep(fitness_per_asset(scale_by_fold(train, bounds), ext))
+    mono = pick_weight(weight_sweep(scores, "mono")).select("fold_id", F.col("a").alias("a_mono"), F.col("b").alias("b_mono"))
+    return pick_weight(weight_sweep(scores)).join(mono, "fold_id").join(bounds, "fold_id")
+
+
 def fit_index(components: DataFrame, folds: int, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0) -> DataFrame:
     return fit_on(training_rows(components, folds), ext, objective, lo, hi)
 

@@ -158,10 +158,10 @@ def weight_sweep_curve(spark, folder):
     return health.weight_sweep(_scores(spark, folder)).select("fold_id", "a", *rounded(["fitness"]))
 
 
-@query("index_apply", sql("SELECT fold_id, asset_id, pos, round(en, 6) AS e_norm, round(cn, 6) AS c_norm, round(idx, 6) AS index FROM held"))
+@query("index_apply", sql("SELECT fold_id, asset_id, pos, round(en, 6) AS e_norm, round(cn, 6) AS c_norm, round(idx, 9) AS index FROM held"))
 def index_apply(spark, folder):
     held, _, _ = event_index(spark, folder)
-    return held.select("fold_id", *ID, F.round("E_norm", 6).alias("e_norm"), F.round("C_norm", 6).alias("c_norm"), F.round("index", 6).alias("index"))
+    return held.select("fold_id", *ID, F.round("E_norm", 6).alias("e_norm"), F.round("C_norm", 6).alias("c_norm"), F.round("index", 9).alias("index"))
 
 
 @query(
