@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
-from ..operators import errors, health, inference, joins, labels, ordered, regress
+from ..operators import errors, folds, health, inference, joins, labels, ordered, regress
 from ..operators.ordered import keep
 from ..sources.tables import event_series, table
 from .registry import query
@@ -552,14 +552,15 @@ def boosted_trees_errors(spark, folder):
 
 @query("stage_classifier")
 def stage_classifier(spark, folder):
-    """Stage forest on a split over assets' own time, majority vote per snapshot of four windows."""
-    from ..operators import folds
-
-    rows = _tabular(spark, folder).withColumn("stage_true", labels.staged(labels.degradation(F.col("pos"), F.col("n")), labels.STAGE_LIFE))
-    # windows of one asset alternate between train and test blocks so that every stage occurs in both
-    rows = rows.withColumn("role", F.when(F.pmod(F.floor(F.col("pos") / 4), F.lit(5)) < 3, "train").otherwise("test"))
+    """Stage forest on a chronological split, majority vote per snapshot of four windows.
+
+    Stages come from the unit-scaled abnormality, so every stage can occur early and late in a life.
+    """
+    comp, _ = waveform_components(spark, folder)
+    lim = comp.groupBy("asset_id").agg(F.min("E").alias("lo"), F.max("E").alias("hi"))
+    unit = (F.col("E") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)
+    rows = comp.select("asset_id", "pos", "n", "E", *FEATURES).join(lim, "asset_id")
+    rows = keep(folds.chronological(rows.withColumn("stage_true", labels.staged(unit, labels.STAGE_INDEX)).drop("E", "lo", "hi")))
     got = regress.stage_classifier(rows, FEATURES, "stage_true").withColumn("snapshot_id", F.floor(F.col("pos") / 4))
     snaps = errors.to_snapshots(got, ["asset_id", "snapshot_id"], votes=["stage_pred"], firsts=["stage_true"]).withColumn("model", F.lit("forest"))
     return errors.classification_metrics(snaps, ["model"], "stage_true", "stage_pred").select("model", *rounded(["accuracy", "macro_f1", "balanced_accuracy"]))
-
-
