@@ -24,6 +24,11 @@ def guarded(condition: Column, value: Column, otherwise=0.0) -> Column:
     return F.when(condition, value).otherwise(F.lit(otherwise))
 
 
+def correlation(x, y) -> Column:
+    """Aggregate: Pearson correlation, NULL for a constant side (the built-in raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def hash32(*parts) -> Column:
     """Integer in [0, 2^32) that depends only on the parts, on any partitioning and engine."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import guarded
+from ..functions.scalars import correlation, guarded
 from .ordered import Extent, average_rank, neighbours, quantiles
 
 
@@ -15,7 +15,7 @@ def spearman(rows: DataFrame, keys, x: str, y: str, ext: Extent, name: str = "rh
     ranked = average_rank(rows.select(*keys, x, y), keys, x, "_rx", ext)
     ranked = average_rank(ranked, keys, y, "_ry", ext)
     out = ranked.groupBy(*keys).agg(
-        F.corr("_rx", "_ry").alias("_c"),
+        correlation("_rx", "_ry").alias("_c"),
         F.count(F.lit(1)).alias("_n"),
         F.stddev_pop(x).alias("_sx"),
         F.stddev_pop(y).alias("_sy"),
@@ -29,7 +29,7 @@ def spearman_vs_life(rows: DataFrame, keys, value: str, ext: Extent, name: str =
     keys = list(keys)
     ranked = average_rank(rows.select(*keys, "pos", value), keys, value, "_r", ext)
     out = ranked.groupBy(*keys).agg(
-        F.corr("_r", "pos").alias("_c"), F.count(F.lit(1)).alias("_n"), F.stddev_pop(value).alias("_s")
+        correlation("_r", "pos").alias("_c"), F.count(F.lit(1)).alias("_n"), F.stddev_pop(value).alias("_s")
     )
     ok = (F.col("_n") >= min_rows) & (F.col("_s") >= 1e-12)
     return out.select(*keys, guarded(ok, F.col("_c")).alias(name))
@@ -49,7 +49,7 @@ def partial_spearman(rows: DataFrame, keys, x: str, y: str, z: str, ext: Extent,
     out = ranked.groupBy(*keys).agg(
         pearson("_rx", "_ry").alias("_xy"), pearson("_rx", "_rz").alias("_xz"), pearson("_ry", "_rz").alias("_yz")
     )
-    bottom = F.sqrt((1 - F.col("_xz") * F.col("_xz")) * (1 - F.col("_yz") * F.col("_yz"))) + 1e-12
+    bottom = F.sqrt(F.greatest((1 - F.col("_xz") * F.col("_xz")) * (1 - F.col("_yz") * F.col("_yz")), F.lit(0.0))) + 1e-12
     return out.select(*keys, ((F.col("_xy") - F.col("_xz") * F.col("_yz")) / bottom).alias(name), F.col("_xy").alias("raw"))
 
 
@@ -75,8 +75,8 @@ def asset_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
         tally(step > 0).alias("n_pos"),
         tally(step < 0).alias("n_neg"),
         tally(step == 0).alias("n_tie"),
-        F.corr(value, "pos").alias("_corr"),
-        F.corr("_rank", "pos").alias("_rho"),
+        correlation(value, "pos").alias("_corr"),
+        correlation("_rank", "pos").alias("_rho"),
         F.stddev_pop(value).alias("_sd"),
         F.avg(bend * bend).alias("_bend"),
         F.min_by(value, "pos").alias("first_value"),

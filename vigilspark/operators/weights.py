@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import guarded
+from ..functions.scalars import correlation, guarded
 from .ordered import SAFE_GROUP, Extent, average_rank, neighbours, spread
 
 SCORES = ["mono", "rho", "trend", "first_value", "last_value"]
@@ -114,8 +114,8 @@ def _exploded(cols: DataFrame, keys, components, weights, ext: Extent) -> DataFr
     agg = rows.groupBy(*wide).agg(
         F.count(F.lit(1)).alias("_n"),
         F.abs(F.coalesce(F.sum(F.signum(F.round(F.col("v") - F.col("_prev"), 9))), F.lit(0.0))).alias("_net"),
-        F.corr("_r", "pos").alias("_rho"),
-        F.corr("v", "pos").alias("_trend"),
+        correlation("_r", "pos").alias("_rho"),
+        correlation("v", "pos").alias("_trend"),
         F.stddev_pop("v").alias("_sd"),
         F.min_by("v", "pos").alias("first_value"),
         F.max_by("v", "pos").alias("last_value"),

@@ -40,11 +40,11 @@ def is_kept(win: Column, count: Column, most: int) -> Column:
     if most == 1:
         return (count <= 1) | (win == 0)
     step = (count - 1) / F.lit(float(most - 1))
-    near = F.floor(win / step)
+    near = F.floor(F.try_divide(win, step))
     hit = F.lit(False)
     for d in (-1, 0, 1, 2):
         k = near + d
-        hit = hit | ((k >= 0) & (k <= most - 1) & (F.bround(k * step, 0) == win))
+        hit = hit | F.coalesce((k >= 0) & (k <= most - 1) & (F.bround(k * step, 0) == win), F.lit(False))
     return (count <= most) | hit
 
 
@@ -106,7 +106,8 @@ def resample(series: DataFrame, keys, value: str, points: Column, ext: Extent) -
     rows = neighbours(series.select(*keys, "pos", "n", value, points.cast("bigint").alias("_h")), keys, {"_next": (value, -1)}, ext)
     span, last = F.col("n") - 1, F.col("_h") - 1
     lo = F.when(span == 0, F.lit(0)).otherwise(F.ceil(F.col("pos") * last / span))
-    hi = F.when((span == 0) | (F.col("pos") == span), last).otherwise(F.floor(((F.col("pos") + 1) * last - 1) / span))
+    one = F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.lit(-1))
+    hi = F.when(last == 0, one).when((span == 0) | (F.col("pos") == span), last).otherwise(F.floor(((F.col("pos") + 1) * last - 1) / span))
     rows = rows.withColumns({"_lo": lo.cast("bigint"), "_hi": hi.cast("bigint")}).where("_lo <= _hi")
     rows = rows.withColumn("i", F.explode(F.sequence("_lo", "_hi")))
     at = F.when(last > 0, F.col("i") * span / last).otherwise(F.lit(0.0)) - F.col("pos")
@@ -143,8 +144,8 @@ def sensor_stats(per_asset: DataFrame, keys, channel: str, has_sensor: str, floo
     """Pooled stats over assets that carry the sensor; 0 and 1 when fewer than two rows do."""
     real = F.when(F.col(has_sensor), F.col("rows")).otherwise(F.lit(0))
     total = F.sum(real)
-    mean = F.sum(real * F.col(f"m_{channel}")) / total
-    square = F.sum(real * (F.col(f"v_{channel}") + F.col(f"m_{channel}") * F.col(f"m_{channel}"))) / total
+    mean = F.try_divide(F.sum(real * F.col(f"m_{channel}")), total)
+    square = F.try_divide(F.sum(real * (F.col(f"v_{channel}") + F.col(f"m_{channel}") * F.col(f"m_{channel}"))), total)
     out = per_asset.groupBy(*keys).agg(total.alias("sensor_rows"), mean.alias("_m"), square.alias("_q"))
     enough = F.col("sensor_rows") >= 2
     return out.select(
