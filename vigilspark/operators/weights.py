@@ -85,18 +85,19 @@ def _grouped(cols: DataFrame, keys, components, weights) -> DataFrame:
     table = {k: np.asarray(w, float) for k, w in weights.items()} if isinstance(weights, dict) else np.asarray(weights, float)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        groups = pdf.groupby(inner, sort=False) if inner else [((), pdf)]
-        for key, g in groups:
-            g = g.sort_values("pos")
-            w = table[key[0]] if isinstance(table, dict) else table
-            got = score_series(g[components].to_numpy(float).T, w)
-            part = pd.DataFrame({"w": np.arange(len(w), dtype="int32"), **got})
-            for name, value in zip(inner, key):
-                part[name] = value
-            part[outer] = pdf[outer].iloc[0]
-            parts.append(part)
-        return pd.concat(parts, ignore_index=True)
+        part = pdf.groupby(inner, sort=False).ngroup().to_numpy() if inner else np.zeros(len(pdf), int)
+        order = np.lexsort((pdf["pos"].to_numpy(), part))
+        x = pdf[components].to_numpy(float)[order].T
+        starts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+        heads = pdf.iloc[order[starts]]
+        got, sizes = [], []
+        for j, (s, e) in enumerate(zip(starts, [*starts[1:], len(order)])):
+            w = table[heads[inner[0]].iloc[j]] if isinstance(table, dict) else table
+            got.append(score_series(x[:, s:e], w))
+            sizes.append(len(w))
+        out = {k: np.repeat(heads[k].to_numpy(), sizes) for k in keys}
+        out["w"] = np.concatenate([np.arange(m, dtype="int32") for m in sizes])
+        return pd.DataFrame(out | {name: np.concatenate([g[name] for g in got]) for name in SCORES})
 
     fields = [cols.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("w", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in SCORES]])
