@@ -21,9 +21,6 @@ def frame():
     return pd.DataFrame(rows, columns=["asset_id", "pos", "v", "n"])
 
 
-def both(request_ext):
-    return [SMALL, request_ext]
-
 
 def test_position_matches_sort(spark, frame, split_groups):
     df = spark.createDataFrame(frame.drop(columns="n").sample(frac=1, random_state=1))
@@ -92,7 +89,7 @@ def test_rolling_median(spark, frame, split_groups):
 
 def test_extent_and_partition_invariance(spark, frame):
     df = spark.createDataFrame(frame)
-    assert ordered.extent(df, ["asset_id"]) == Extent(len(frame), 61)
+    assert ordered.extent(df, ["asset_id"]) == Extent(len(frame), 61, 5)
     a = ordered.neighbours(df.repartition(1), ["asset_id"], {"p": ("v", 1)}, SMALL).toPandas()
     b = ordered.neighbours(df.repartition(8), ["asset_id"], {"p": ("v", 1)}, SMALL).toPandas()
     key = ["asset_id", "pos"]

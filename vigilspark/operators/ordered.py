@@ -25,29 +25,33 @@ CHUNK = 1 << 18
 
 @dataclass(frozen=True)
 class Extent:
-    """Row count of a table and of its largest group."""
+    """Row count of a table, of its largest group, and the number of groups."""
 
     rows: int
     longest: int
-
-    def fan_out(self, times: int) -> "Extent":
-        return Extent(self.rows * times, self.longest * times)
+    groups: int = 0
 
     @property
     def pooled(self) -> "Extent":
         """Extent seen by a grouping that may put every row into one group."""
-        return Extent(self.rows, self.rows)
+        return Extent(self.rows, self.rows, 1)
+
+    @property
+    def assets(self) -> "Extent":
+        """Extent of a table with one row per group, under a grouping that may pool them all."""
+        n = self.groups or self.rows
+        return Extent(n, n, 1)
 
 
 def extent(df: DataFrame, keys) -> Extent:
-    """One pre-aggregated count per key; only two numbers reach the driver."""
+    """One pre-aggregated count per key; only three numbers reach the driver."""
     top = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("c"))
-        .agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0)))
+        .agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0)), F.count(F.lit(1)))
         .first()
     )
-    return Extent(int(top[0]), int(top[1]))
+    return Extent(int(top[0]), int(top[1]), int(top[2]))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Scoring of linear combinations: every weight vector of a list against every series.
 
-Series short enough for one task are scored as one Arrow group per series, which sends each row
-once and multiplies inside NumPy. Longer series are fanned out over the weight list and scored
+Rows carry (keys, pos, n, components). Series short enough for one task are scored as one Arrow group per series, which sends each row
+once and multiplies inside NumPy. Only longer series are fanned out over the weight list and scored
 with distributed neighbours and ranks. Both give the same numbers.
 """
 
@@ -68,16 +68,16 @@ def score_weights(rows: DataFrame, keys, components, weights, ext: Extent) -> Da
     ``weights`` is a list of tuples, or a dict of such lists by the first key (a fold).
     """
     keys = list(keys)
-    cols = rows.select(*keys, "pos", *components)
+    cols = rows.select(*keys, "pos", "n", *components)
     if ext.longest <= SAFE_GROUP:
-        return _grouped(cols, keys, components, weights)
-    if isinstance(weights, dict):
-        parts = [_exploded(cols.where(F.col(keys[0]) == k), keys, components, w, ext) for k, w in weights.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    return _exploded(cols, keys, components, weights, ext)
+        return _grouped(cols.drop("n"), keys, components, weights)
+    out = _grouped(cols.where(F.col("n") <= SAFE_GROUP).drop("n"), keys, components, weights)
+    long = cols.where(F.col("n") > SAFE_GROUP).drop("n")
+    split = weights.items() if isinstance(weights, dict) else [(None, weights)]
+    for fold, w in split:
+        mine = long if fold is None else long.where(F.col(keys[0]) == fold)
+        out = out.unionByName(_exploded(mine, keys, components, w, ext))
+    return out
 
 
 def _grouped(cols: DataFrame, keys, components, weights) -> DataFrame:

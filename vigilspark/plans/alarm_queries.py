@@ -278,7 +278,7 @@ def early_warning_table(spark, folder):
         scored.withColumn("lead", F.col("lead").cast("double")),
         ["dataset", "detector", "onset_kind"],
         {"lead_med": ("lead", 0.5)},
-        ext.pooled,
+        ext.assets,
         also=[F.count(F.lit(1)).alias("n"), F.sum("fired").alias("fired"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall")],
     )
     return out.select("dataset", "detector", "onset_kind", "n", "fired", "precision", "recall", F.round("lead_med", 6).alias("lead"), F.format_string("%d/%d", "fired", "n").alias("fired_on"))
@@ -292,7 +292,7 @@ def onset_sensitivity(spark, folder):
     scored = _early_warning(spark, folder).where("onset_kind > 0").withColumn("lead", F.col("lead").cast("double"))
     _, ext = event_series(spark, folder)
     out = ordered.quantiles(
-        scored, ["detector", "onset_kind"], {"m": ("lead", 0.5)}, ext.pooled,
+        scored, ["detector", "onset_kind"], {"m": ("lead", 0.5)}, ext.assets,
         also=[F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall")],
     )
     return out.select("detector", "onset_kind", "precision", "recall", F.round("m", 6).alias("lead"))
@@ -407,7 +407,7 @@ def monotonicity_mechanism(spark, folder):
     steps = F.nullif(F.col("n_steps"), F.lit(0))
     f = f.withColumns({"s_e": F.col("net_before") / steps, "s_i": F.col("net_after") / steps})
     out = ordered.quantiles(
-        f, ["dataset"], {"signed_abnormality": ("s_e", 0.5), "signed_index": ("s_i", 0.5)}, ext.pooled,
+        f, ["dataset"], {"signed_abnormality": ("s_e", 0.5), "signed_index": ("s_i", 0.5)}, ext.assets,
         also=[
             F.count(F.lit(1)).alias("n_assets"), F.sum("n_steps").alias("steps"), F.sum("flips").alias("flips"),
             F.sum("rise_to_fall").alias("rise_to_fall"), F.sum("fall_to_rise").alias("fall_to_rise"),

@@ -158,7 +158,7 @@ def cross_dataset_index_quality(spark, folder):
     rows, ext = _composite(spark, folder)
     rows = rows.select("dataset", *ID, "n", F.round(composite.combine(composite.FIXED_WITH_TEMPERATURE), 9).alias("v"))
     crit = quality.asset_criteria(rows, ["dataset", "asset_id"], "v", ext).withColumn("rho", F.abs("rho"))
-    out = ordered.quantiles(crit, ["dataset"], {"monotonicity_m": ("monotonicity", 0.5), "rho_m": ("rho", 0.5)}, ext.pooled, also=[F.count(F.lit(1)).alias("n_assets")])
+    out = ordered.quantiles(crit, ["dataset"], {"monotonicity_m": ("monotonicity", 0.5), "rho_m": ("rho", 0.5)}, ext.assets, also=[F.count(F.lit(1)).alias("n_assets")])
     return out.select("dataset", "n_assets", F.round("monotonicity_m", 6).alias("monotonicity"), F.round("rho_m", 6).alias("rho"))
 
 
@@ -350,7 +350,7 @@ def realised_range(spark, folder):
         also=[F.max("value").alias("hi"), F.avg((F.col("value") >= 0.999).cast("double")).alias("sat")],
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     out = ordered.quantiles(
-        per, ["dataset", "quantity"], {"iqr_median": ("iqr", 0.5), "range_median": ("hi", 0.5)}, ext.pooled,
+        per, ["dataset", "quantity"], {"iqr_median": ("iqr", 0.5), "range_median": ("hi", 0.5)}, ext.assets,
         also=[F.avg("sat").alias("sat_frac_mean"), F.count(F.lit(1)).alias("n")],
     )
     return out.select("dataset", "quantity", *rounded(["iqr_median", "range_median", "sat_frac_mean"]), "n")
@@ -452,5 +452,5 @@ def tie_and_bound_diagnostics(spark, folder):
         F.avg((F.col("value") <= 0).cast("double")).alias("at0"), F.avg((F.col("value") >= 1).cast("double")).alias("at1"),
         F.coalesce(F.sum((s > 0).cast("double")), F.lit(0.0)).alias("np"), F.coalesce(F.sum((s < 0).cast("double")), F.lit(0.0)).alias("nn"),
     )
-    out = ordered.quantiles(per, ["dataset", "series"], {"frac_tie": ("tie", 0.5), "frac_at_0": ("at0", 0.5), "frac_at_1": ("at1", 0.5), "n_pos": ("np", 0.5), "n_neg": ("nn", 0.5)}, ext.pooled)
+    out = ordered.quantiles(per, ["dataset", "series"], {"frac_tie": ("tie", 0.5), "frac_at_0": ("at0", 0.5), "frac_at_1": ("at1", 0.5), "n_pos": ("np", 0.5), "n_neg": ("nn", 0.5)}, ext.assets)
     return out.select("dataset", "series", *rounded(["frac_tie", "frac_at_0", "frac_at_1"]), "n_pos", "n_neg")

@@ -195,7 +195,7 @@ _S = "round(median({0}), 6) AS {1}_median, round(quantile_cont({0}, 0.25), 6) AS
 def main_results(spark, folder):
     facts, ext = _facts(spark, folder)
     keys = ["dataset", "config"]
-    size = ext.pooled
+    size = ext.assets
     norm = inference.summary(inference.seed_average(facts, [*keys, "asset_id"], "mae"), keys, "err", size, "norm")
     hours = inference.summary(inference.seed_average(facts, [*keys, "asset_id"], "mae_hours"), keys, "err", size, "hours")
     other = facts.groupBy(*keys).agg(F.countDistinct("seed").cast("int").alias("n_seeds"), F.avg("rmse").alias("rmse_mean"))
@@ -209,7 +209,7 @@ SELECT dataset, config, seed, count(*) AS n, round(avg(mae), 6) AS mae_mean, rou
 def fold_metric_summary(spark, folder):
     facts, ext = _facts(spark, folder)
     aggs = [f(m).alias(f"{m}_{t}") for m in ("mae", "rmse", "r2", "asym_score") for f, t in ((F.avg, "mean"), (F.stddev_samp, "std"))]
-    out = ordered.quantiles(facts, ["dataset", "config", "seed"], {"mae_median": ("mae", 0.5)}, ext.pooled, also=[F.count(F.lit(1)).alias("n"), *aggs])
+    out = ordered.quantiles(facts, ["dataset", "config", "seed"], {"mae_median": ("mae", 0.5)}, ext.assets, also=[F.count(F.lit(1)).alias("n"), *aggs])
     return out.select("dataset", "config", "seed", "n", *rounded([c for c in out.columns if c not in ("dataset", "config", "seed", "n")]))
 
 
@@ -235,7 +235,7 @@ SELECT dataset, asset_id, n, round(err, 6) AS mae, kind, place FROM (
 def failure_cases(spark, folder):
     facts, ext = _facts(spark, folder)
     sa = facts.where(F.col("config") == PROPOSED).groupBy("dataset", "asset_id").agg(F.round(F.avg("mae"), 9).alias("err"), F.max("n").alias("n"))
-    out = joins.extreme_rows(sa, ["dataset"], "err", 3, 2, "asset_id", ext.pooled)
+    out = joins.extreme_rows(sa, ["dataset"], "err", 3, 2, "asset_id", ext.assets)
     return out.select("dataset", "asset_id", "n", F.round("err", 6).alias("mae"), "kind", "place")
 
 
@@ -248,7 +248,7 @@ def error_vs_lifetime(spark, folder):
 
     facts, ext = _facts(spark, folder)
     sa = facts.where(F.col("config") == PROPOSED).groupBy("dataset", "asset_id").agg(F.round(F.avg("mae"), 9).alias("err"), F.max("n").alias("life"))
-    return quality.spearman(sa, ["dataset"], "err", "life", ext.pooled).select("dataset", *rounded(["rho"]))
+    return quality.spearman(sa, ["dataset"], "err", "life", ext.assets).select("dataset", *rounded(["rho"]))
 
 
 @query("per_condition_errors", sql("""
@@ -314,7 +314,7 @@ def constant_predictors(spark, folder):
     half = errors.regression_metrics(half, ["dataset", "asset_id"]).withColumn("predictor", F.lit("constant_half"))
     cols = ["dataset", "predictor", "mae", "rmse"]
     both = half.select(*cols).unionByName(facts.where("seed = 0").withColumnRenamed("config", "predictor").select(*cols))
-    out = ordered.quantiles(both, ["dataset", "predictor"], {"mae_median": ("mae", 0.5)}, ext.pooled, also=[F.avg("mae").alias("mae_mean"), F.avg("rmse").alias("rmse_mean")])
+    out = ordered.quantiles(both, ["dataset", "predictor"], {"mae_median": ("mae", 0.5)}, ext.assets, also=[F.avg("mae").alias("mae_mean"), F.avg("rmse").alias("rmse_mean")])
     return out.select("dataset", "predictor", *rounded(["mae_mean", "mae_median", "rmse_mean"]))
 
 
@@ -333,13 +333,13 @@ def conformal_intervals(spark, folder):
     """Split-conformal half-widths from the next asset's own held-out residuals."""
     pred, ext = _predictions(spark, folder)
     rows = keep(pred.where((F.col("seed") == 0) & (F.col("config") == PROPOSED)).withColumn("res", F.abs(F.col("y_pred") - F.col("y_true"))))
-    pairs = errors.next_in_order(rows.where("pos = 0").select("dataset", "asset_id"), ["dataset"], ext.pooled)
+    pairs = errors.next_in_order(rows.where("pos = 0").select("dataset", "asset_id"), ["dataset"], ext.assets)
     q = errors.conformal_quantile(rows.select(F.col("asset_id").alias("cal_asset"), "pos", "res"), ["cal_asset"], "res", (0.2, 0.1), ext)
     mine = pairs.join(q, "cal_asset").select("asset_id", "alpha", "q")
     inside = F.round("res", 9) <= F.round("q", 9)
     per = rows.join(mine, "asset_id").groupBy("dataset", "asset_id", "alpha").agg(F.avg(inside.cast("double")).alias("picp"), F.avg(2 * F.col("q")).alias("mpiw"))
     out = ordered.quantiles(
-        per.withColumn("nominal", F.round(1 - F.col("alpha"), 2)), ["dataset", "nominal"], {"picp_median": ("picp", 0.5)}, ext.pooled,
+        per.withColumn("nominal", F.round(1 - F.col("alpha"), 2)), ["dataset", "nominal"], {"picp_median": ("picp", 0.5)}, ext.assets,
         also=[F.avg("picp").alias("picp_mean"), F.min("picp").alias("picp_min"), F.avg("mpiw").alias("mpiw_mean"), F.count(F.lit(1)).alias("n")],
     )
     return out.select("dataset", "nominal", *rounded(["picp_mean", "picp_median", "picp_min", "mpiw_mean"]), "n")
@@ -364,7 +364,7 @@ def deployable_hours(spark, folder):
     per = per.withColumns({"retro": F.col("mae") * F.col("life") * 0.6, "deploy": F.col("mae") * F.col("dep") * 0.6})
     names = {"mae_norm": "mae", "retrospective": "retro", "deployable": "deploy"}
     out = ordered.quantiles(
-        per, ["dataset"], {f"{k}_median": (v, 0.5) for k, v in names.items()}, ext.pooled, also=[F.avg(v).alias(f"{k}_mean") for k, v in names.items()]
+        per, ["dataset"], {f"{k}_median": (v, 0.5) for k, v in names.items()}, ext.assets, also=[F.avg(v).alias(f"{k}_mean") for k, v in names.items()]
     )
     return out.select("dataset", *rounded([f"{k}_{t}" for k in names for t in ("mean", "median")]))
 
@@ -393,7 +393,7 @@ def _differences(spark, folder):
     sa, ext = _seed_mean(spark, folder)
     base = sa.where(F.col("config") == PROPOSED).select("dataset", "asset_id", F.col("err").alias("b"))
     arms = sa.where(F.col("config") != PROPOSED).select("dataset", "asset_id", F.col("config").alias("arm"), F.col("err").alias("a"))
-    return arms.join(base, ["dataset", "asset_id"]).withColumn("diff", F.round(F.col("a") - F.col("b"), 9)), ext.pooled
+    return arms.join(base, ["dataset", "asset_id"]).withColumn("diff", F.round(F.col("a") - F.col("b"), 9)), ext.assets
 
 
 @query("signed_rank_sums", sql("""
@@ -508,7 +508,7 @@ def variant_wins(spark, folder):
     sa = sa.withColumn("err", F.round("err", 9))
     best = sa.groupBy("dataset", "asset_id").agg(F.min("err").alias("best"))
     rows = sa.join(best, ["dataset", "asset_id"])
-    out = ordered.quantiles(rows, ["dataset", "config"], {"q25": ("err", 0.25), "q75": ("err", 0.75)}, ext.pooled, also=[F.sum((F.col("err") <= F.col("best")).cast("bigint")).alias("times_best")])
+    out = ordered.quantiles(rows, ["dataset", "config"], {"q25": ("err", 0.25), "q75": ("err", 0.75)}, ext.assets, also=[F.sum((F.col("err") <= F.col("best")).cast("bigint")).alias("times_best")])
     return out.select("dataset", "config", *rounded(["q25", "q75"]), "times_best")
 
 
@@ -523,7 +523,7 @@ def correlation_distribution(spark, folder):
     series, ext = event_series(spark, folder)
     per = quality.partial_spearman(series, ["asset_id"], "x", "y", "pos", ext).withColumns({"partial": F.round("partial", 9), "_all": F.lit(0)})
     out = ordered.quantiles(
-        per, ["_all"], {"q1": ("partial", 0.25), "q2": ("partial", 0.5), "q3": ("partial", 0.75)}, ext.pooled,
+        per, ["_all"], {"q1": ("partial", 0.25), "q2": ("partial", 0.5), "q3": ("partial", 0.75)}, ext.assets,
         also=[F.min("partial").alias("lo"), F.sum((F.col("partial") < 0).cast("bigint")).alias("n_negative"), F.count(F.lit(1)).alias("n")],
     )
     return out.select(F.round("q2", 6).alias("median"), F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"), F.round("lo", 6).alias("min"), "n_negative", "n")

@@ -165,7 +165,7 @@ def frozen_transfer(spark, folder):
 
     crit = quality.asset_criteria(target, ["fold_id", "asset_id"], "index", ext)
     wanted = {f"{c}_m": (c, 0.5) for c in ("monotonicity", "trendability", "rho")}
-    out = ordered.quantiles(crit, ["fold_id"], wanted, ext.pooled, also=[F.count(F.lit(1)).alias("n_assets")])
+    out = ordered.quantiles(crit, ["fold_id"], wanted, ext.assets, also=[F.count(F.lit(1)).alias("n_assets")])
     return out.select("n_assets", *[F.round(f"{c}_m", 6).alias(c) for c in ("monotonicity", "trendability", "rho")])
 
 

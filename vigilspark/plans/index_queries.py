@@ -37,7 +37,7 @@ def indicator_quality(spark, folder):
         held, ["asset_id", "pos", "n"], {"abnormality": "E_norm", "index": "index", "value_x": "x", "value_y": "y"}
     )
     crit = quality.asset_criteria(rows, ["indicator", "asset_id"], "value", ext)
-    table = quality.quality_table(crit, ["indicator"], ext.pooled)
+    table = quality.quality_table(crit, ["indicator"], ext.assets)
     return table.select(
         "indicator",
         *rounded(["monotonicity_median", "trendability_median", "trendability_min", "rho_median", "prognosability"]),

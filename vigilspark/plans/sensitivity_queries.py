@@ -45,7 +45,7 @@ def indicator_quality_smoothed(spark, folder):
     smooth = keep(ordered.rolling_median(rows, keys, "value", "_s", ext).withColumn("smooth", F.round("_s", 9)).drop("_s"))
     parts = []
     for column, tail in (("value", ""), ("smooth", "_smooth")):
-        t = quality.quality_table(quality.asset_criteria(smooth, keys, column, ext), ["indicator"], ext.pooled)
+        t = quality.quality_table(quality.asset_criteria(smooth, keys, column, ext), ["indicator"], ext.assets)
         names = {"monotonicity_median": f"mono{tail}", "trendability_median": f"trend{tail}", "prognosability": f"progn{tail}"}
         parts.append(t.select("indicator", F.col("n_assets").alias(f"n{tail}"), *[F.round(k, 6).alias(v) for k, v in names.items()]))
     return parts[0].join(parts[1].drop("n_smooth"), "indicator")
@@ -60,7 +60,7 @@ def index_sensitivity(spark, folder):
         params = keep(health.fit_index(comp, FOLDS, ext, lo=lo, hi=hi))
         held = health.apply_index(health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS).where("role = 'test'"), params)
         longs = long_indicators(held, ["asset_id", "pos", "n"], {"index": "index", "abnormality": "E_norm"})
-        t = quality.quality_table(quality.asset_criteria(longs, ["indicator", "asset_id"], "value", ext), ["indicator"], ext.pooled)
+        t = quality.quality_table(quality.asset_criteria(longs, ["indicator", "asset_id"], "value", ext), ["indicator"], ext.assets)
         head = comp.where("pos = 0")
         info = head.agg(
             F.sum((F.col("estimator") == "diagonal").cast("bigint")).alias("n_diagonal"),
@@ -98,7 +98,7 @@ def healthy_fraction_sensitivity(spark, folder):
     keys = ["h0", *KEY]
     e = health.mahalanobis(rows, keys, FEATURES, "empirical", ridge=1e-6).withColumn("E", F.round("E", 9))
     rho = quality.spearman(e, ["dataset", *keys], "E", "rul", ext).withColumn("rho", F.abs("rho"))
-    out = ordered.quantiles(rho, ["h0", "dataset"], {"m": ("rho", 0.5)}, ext.pooled, also=[F.count(F.lit(1)).alias("n_assets")])
+    out = ordered.quantiles(rho, ["h0", "dataset"], {"m": ("rho", 0.5)}, ext.assets, also=[F.count(F.lit(1)).alias("n_assets")])
     return out.select("h0", "dataset", F.round("m", 6).alias("median_abs_rho"), "n_assets")
 
 

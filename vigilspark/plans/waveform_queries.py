@@ -419,7 +419,7 @@ def waveform_components(spark, folder, samples=None, keys=("asset_id",), **optio
     feats = feats.withColumns({f"envelope_{c}": spectra.envelope_energy()(c) for c in CH}).drop(*CH)
     sizes = own.groupBy("asset_id").agg(F.max("n").alias("n")).select("asset_id", windowing.window_count(F.col("n"), L, HOP).alias("n"))
     series = keep(feats.withColumnRenamed("win", "pos").join(sizes, "asset_id"))
-    ext = Extent(ext.rows // HOP + 1, ext.longest // HOP + 1)
+    ext = Extent(ext.rows // HOP + 1, ext.longest // HOP + 1, ext.groups)
     return keep(health.raw_components(series, keys, FEATURES, ext, **options)), ext
 
 
@@ -440,7 +440,7 @@ def robustness_table(spark, folder, kinds=("clean", "gain", "drift", "snr20", "s
     healthy = F.col("pos") < F.greatest(F.floor(F.col("n") * F.lit(0.2)), F.lit(1))
     noisy = perturb.all_scenarios(samples, ["asset_id"], CH, kinds, healthy)
     comp, ext = waveform_components(spark, folder, noisy, ["kind", "asset_id"])
-    ext = ext.fan_out(len(kinds))
+    ext = Extent(ext.rows * len(kinds), ext.longest, ext.groups * len(kinds))
     number = sum((F.when(F.col("kind") == k, F.lit(i)).otherwise(F.lit(0)) for i, k in enumerate(kinds)), F.lit(0))
     rows = health.assign_roles(comp.select("kind", "asset_id", "pos", "n", "E", "C", "rms_x", "kurt_x"), FOLDS)
     rows = rows.withColumn("fold_id", (number * FOLDS + F.col("fold_id")).cast("int"))
@@ -448,7 +448,7 @@ def robustness_table(spark, folder, kinds=("clean", "gain", "drift", "snr20", "s
     applied = keep(health.apply_index(rows.where("role != 'val'"), params))
     held = applied.where("role = 'test'")
     longs = long_indicators(held, ["kind", "asset_id", "pos", "n"], {"index": "index", "abnormality": "E_norm", "rms": "rms_x", "kurtosis": "kurt_x"})
-    summary = quality.quality_table(quality.asset_criteria(longs, ["kind", "indicator", "asset_id"], "value", ext), ["kind", "indicator"], ext.pooled)
+    summary = quality.quality_table(quality.asset_criteria(longs, ["kind", "indicator", "asset_id"], "value", ext), ["kind", "indicator"], ext.assets)
     firsts = alarms.with_run_minimum(applied, ["fold_id", "asset_id"], "index", ext).withColumn("p", F.explode(linspace_grid(0.3, 13, 0.05)))
     firsts = alarms.first_persistent(firsts, ["kind", "fold_id", "role", "asset_id", "p"], F.col("p"))
     scored = keep(alarms.alarm_scores(firsts, alarms.onset_at(F.col("n"), F.lit(0.6))))
