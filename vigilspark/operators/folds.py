@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Extent, neighbours, position, running_total
+from .ordered import Extent, keep, neighbours, position, running_total
 
 # Recording-set prefixes that name the same physical asset.
 SET_PREFIXES = "^(Full_Test_Set_|Test_set_|Learning_set_)"
@@ -56,7 +56,7 @@ def leave_one_out(manifest: DataFrame, ext: Extent, keys=("dataset",)) -> DataFr
     rows = position(named, keys, ["asset"], ext)
     rows = neighbours(rows, keys, {"_prev": ("grp", 1)}, ext)
     rows = rows.withColumn("_start", F.when(F.col("_prev").eqNullSafe(F.col("grp")), 0).otherwise(1))
-    rows = running_total(rows, keys, "_start", "_run", ext)
+    rows = keep(running_total(rows, keys, "_start", "_run", ext))
     heads = rows.where("_start = 1").select(*keys, F.col("_run").alias("_h"), F.col("asset").alias("val"), F.col("grp").alias("val_group"))
     runs = heads.groupBy(*keys).agg(
         F.max("_h").alias("_runs"), F.max_by("val_group", -F.col("_h")).alias("_first_group")

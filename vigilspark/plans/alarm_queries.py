@@ -13,8 +13,9 @@ from .registry import query
 from .sqlkit import define, sql
 
 ID = ["asset_id", "pos"]
-TAU = linspace_grid(0.3, 13, 0.05)
-SIGMA = linspace_grid(0.5, 31, 0.25)
+# start, count, step of the threshold grids
+TAU = (0.3, 13, 0.05)
+SIGMA = (0.5, 31, 0.25)
 ONSETS = (0.5, 0.6, 0.7, 0.8)
 
 
@@ -209,13 +210,13 @@ def _fanned(spark, folder):
     rows, _, ext = event_index(spark, folder, role=None)
     rows = keep(rows.select("fold_id", "role", "dataset", "asset_id", "pos", "n", "x", "y", "index"))
     ids = ["fold_id", "role", "dataset", "asset_id"]
-    idx = alarms.with_run_minimum(rows.drop("x", "y"), ["fold_id", "asset_id"], "index", ext).withColumn("p", F.explode(TAU))
+    idx = alarms.with_run_minimum(rows.drop("x", "y"), ["fold_id", "asset_id"], "index", ext).withColumn("p", F.explode(linspace_grid(*TAU)))
     idx = alarms.first_persistent(idx, [*ids, "p"], F.col("p")).withColumn("family", F.lit("index"))
     series, _ = event_series(spark, folder)
     longs = long_indicators(series, ["asset_id", "pos", "n"], {"x": "x", "y": "y"}).withColumnRenamed("indicator", "family")
     level = alarms.healthy_level(longs, ["asset_id", "family"], "value")
     longs = alarms.with_run_minimum(longs, ["asset_id", "family"], "value", ext).join(level, ["asset_id", "family"])
-    sig = alarms.first_persistent(longs.withColumn("p", F.explode(SIGMA)), ["asset_id", "family", "p"], alarms.sigma_threshold(F.col("p")))
+    sig = alarms.first_persistent(longs.withColumn("p", F.explode(linspace_grid(*SIGMA))), ["asset_id", "family", "p"], alarms.sigma_threshold(F.col("p")))
     roles = rows.where("pos = 0").select(*ids)
     sig = sig.join(roles, "asset_id")
     return idx.unionByName(sig)

@@ -28,7 +28,7 @@ def sql(select: str, **local: str) -> str:
                 order.append(name)
 
     # a negative value that rounds to zero must not stay -0.0
-    select = re.sub(r", (\d)\) AS ", r", \1) + 0.0::DOUBLE AS ", select)
+    select = re.sub(r", ([2-9])\) AS ", r", \1) + 0.0::DOUBLE AS ", select)
     visiting: list[str] = []
     visit(select)
     if not order:
