@@ -132,6 +132,44 @@ def state_change(scaled: DataFrame, keys, features, ext: Extent, name: str = "C"
     return out.withColumn(name, step).drop("_step", "_next", *[f"_l_{c}" for c in z])
 
 
+def _healthy_moments(series: DataFrame, keys, features, ext: Extent, estimator: str, min_ratio: float) -> DataFrame:
+    """Per asset, in one pass over the healthy prefix: medians, scales, and means and covariances of z.
+
+    z is a linear map of the feature, so its moments follow from those of the raw feature. Only the
+    shrinkage intensity needs a second pass, for the fourth moment of the centred z.
+    """
+    d = len(features)
+    base = series.where(F.col("pos") < F.col("n_base"))
+    wanted = {}
+    for i, f in enumerate(features):
+        wanted |= {f"_q1_{i}": (f, 0.25), f"_q2_{i}": (f, 0.5), f"_q3_{i}": (f, 0.75)}
+    stats = quantiles(
+        base, keys, wanted, ext,
+        also=[
+            F.count(F.lit(1)).alias("_n"),
+            *[F.avg(f).alias(f"_m_{i}") for i, f in enumerate(features)],
+            *[F.covar_pop(features[i], features[j]).alias(f"_c_{i}_{j}") for i, j in _pairs(d)],
+        ],
+    )
+    scale = [F.col(f"_q3_{i}") - F.col(f"_q1_{i}") + EPS for i in range(d)]
+    stats = stats.select(
+        *keys,
+        "_n",
+        *[F.col(f"_q2_{i}").alias(f"_mid_{i}") for i in range(d)],
+        *[scale[i].alias(f"_scale_{i}") for i in range(d)],
+        *[F.col(f"_m_{i}").alias(f"_mean_{i}") for i in range(d)],
+        F.array(*[F.col(f"_c_{i}_{j}") / (scale[i] * scale[j]) for i, j in _pairs(d)]).alias("_s"),
+    )
+    if estimator != "auto":
+        return stats.withColumn("_q", F.lit(0.0))
+    # the branch is decided by the prefix length, so only assets that shrink are read again
+    shrinks = stats.where(F.col("_n") >= min_ratio * d)
+    dev = [(F.col(f) - F.col(f"_mean_{i}")) / F.col(f"_scale_{i}") for i, f in enumerate(features)]
+    norm2 = sum((x * x for x in dev), F.lit(0.0))
+    fourth = base.join(shrinks, list(keys)).groupBy(*keys).agg(F.sum(norm2 * norm2).alias("_q"))
+    return stats.join(fourth, list(keys), "left").na.fill({"_q": 0.0})
+
+
 def raw_components(
     series: DataFrame,
     keys,
@@ -141,11 +179,33 @@ def raw_components(
     fraction: float = 0.2,
     mult: float = 3.0,
     log_compress: bool = True,
+    ridge: float = 1e-9,
 ) -> DataFrame:
-    """Abnormality E and state change C of every snapshot; no label or lifetime enters."""
-    out = with_baseline(series, len(features), fraction, mult)
-    out = robust_scale(out, keys, features, ext)
-    out = mahalanobis(out, keys, features, estimator, mult)
+    """Abnormality E and state change C of every snapshot; no label or lifetime enters.
+
+    The same numbers as robust_scale, mahalanobis and state_change in turn, with their per-asset
+    statistics gathered together and joined to the rows once.
+    """
+    keys, d = list(keys), len(features)
+    rows = with_baseline(series, d, fraction, mult)
+    stats = _healthy_moments(rows, keys, features, ext, estimator, mult)
+    if estimator == "diagonal":
+        diagonal = [F.lit(1.0) / (F.col("_s")[k] + 1e-6) if i == j else F.lit(0.0) for k, (i, j) in enumerate(_pairs(d))]
+        inverse = F.struct(F.array(*diagonal).alias("m"), F.lit("diagonal").alias("estimator"), F.lit(None).cast("double").alias("shrinkage"))
+    else:
+        inverse = _precision_udf(d, estimator, mult, ridge)("_n", "_s", "_q")
+    stats = stats.withColumn("_inv", inverse).drop("_n", "_s", "_q")
+    out = rows.join(stats, keys)
+    out = out.withColumns({f"z_{f}": (F.col(f) - F.col(f"_mid_{i}")) / F.col(f"_scale_{i}") for i, f in enumerate(features)})
+    dev = [(F.col(f) - F.col(f"_mean_{i}")) / F.col(f"_scale_{i}") for i, f in enumerate(features)]
+    quad = F.lit(0.0)
+    for k, (i, j) in enumerate(_pairs(d)):
+        if i == j or estimator != "diagonal":
+            quad = quad + dev[i] * dev[j] * F.col("_inv.m")[k] * (1.0 if i == j else 2.0)
+    out = out.withColumns(
+        {"E": F.sqrt(F.greatest(quad, F.lit(0.0)) + EPS), "estimator": F.col("_inv.estimator"), "shrinkage": F.col("_inv.shrinkage")}
+    )
+    out = out.drop("_inv", *[f"_{t}_{i}" for t in ("mid", "scale", "mean") for i in range(d)])
     out = state_change(out, keys, features, ext)
     if log_compress:
         out = out.withColumns({"E": F.log1p("E"), "C": F.log1p("C")})
