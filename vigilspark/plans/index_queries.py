@@ -74,10 +74,8 @@ def mahalanobis_diagonal(spark, folder):
     return health.mahalanobis(z, KEY, FEATURES, "diagonal").select(*ID, F.round("E", 6).alias("e"))
 
 
-@query(
-    "mahalanobis_shrunk",
-    sql(
-        """
+SHRUNK_SQL = sql(
+    """
 SELECT asset_id, pos, nbr AS n_base, round(s, 6) AS shrinkage,
        round(sqrt(GREATEST((s22 * dx * dx - 2 * s12 * dx * dy + s11 * dy * dy) / (s11 * s22 - s12 * s12), 0) + 1e-9), 6) AS e
 FROM (SELECT zz.asset_id, pos, nbr, s, zx - mx AS dx, zy - my AS dy,
@@ -89,8 +87,10 @@ SELECT zmom.*, (vx + vy) / 2 AS mu, (q / nbr - (vx * vx + vy * vy + 2 * cxy * cx
        ((vx * vx + vy * vy + 2 * cxy * cxy) - 2 * ((vx + vy) / 2) * (vx + vy) + 2 * power((vx + vy) / 2, 2)) / 2 AS delta
 FROM zmom JOIN fourth USING (asset_id)""",
         shrink="SELECT *, CASE WHEN beta <= 0 OR delta <= 0 THEN 0 ELSE LEAST(beta, delta) / delta END AS s FROM parts",
-    ),
 )
+
+
+@query("mahalanobis_shrunk", SHRUNK_SQL)
 def mahalanobis_shrunk(spark, folder):
     """Ledoit-Wolf covariance of the healthy prefix; two features, so SQL has the closed inverse."""
     z, _ = _scaled(spark, folder)
@@ -98,6 +98,13 @@ def mahalanobis_shrunk(spark, folder):
     return out.select(*ID, "n_base", *rounded(["shrinkage"]), F.round("E", 6).alias("e"))
 
 
+@query("shrunk_components", SHRUNK_SQL)
+def shrunk_components(spark, folder):
+    """The same distances from the pipeline that gathers all healthy-prefix statistics at once."""
+    comp, _ = event_components(spark, folder, "auto", log_compress=False)
+    return comp.select(*ID, "n_base", *rounded(["shrinkage"]), F.round("E", 6).alias("e"))
+
+
 @query(
     "mahalanobis_empirical",
     sql("""
