@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["line_dedup", "decontaminate", "toxicity", "quality", "url_filters", "html_text", "licenses"]
+MODULES = ["line_dedup", "decontaminate", "jaccard_join", "bpe", "toxicity", "quality", "url_filters", "html_text", "licenses"]
 
 
 def load_all() -> tuple[dict, dict]:
