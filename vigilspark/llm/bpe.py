@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .base import query, table
-from .chunks import code_rows, in_order, unpack, word_rows
+from .chunks import code_rows, documents_of, in_order, pack, unpack, word_rows
 
 KNOWN_WORDS = 300_000
+#: Words whose ids are packed together, by chunk.
+PACKED_WORDS = 200_000
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -53,25 +55,43 @@ def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(chunk, code, ids): the ids of each word as 32-bit integers in a binary."""
+    """(chunk, codes, sizes, ids): words of a chunk met in one task, packed: steps between codes, numbers of ids, ids."""
+    wide = f"<u{2 if max(ranks_of(path).values()) < 1 << 16 else 4}"
 
     def run(batches):
         import tiktoken
 
         bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})._core_bpe
         ids: dict[str, bytes] = {}
+        chunks, codes, out = [], [], []
+
+        def batch():
+            c, k = np.concatenate(chunks), np.concatenate(codes)
+            order = np.lexsort((k, c))
+            c, k = c[order], k[order]
+            sizes = np.fromiter((len(out[i]) for i in order), dtype=np.int64, count=len(order)) // int(wide[2])
+            edges = np.append(np.flatnonzero(np.append(True, c[1:] != c[:-1])), len(c))
+            rows = [(int(c[lo]), pack(np.diff(k[lo:hi], prepend=0)), pack(sizes[lo:hi]), b"".join(out[i] for i in order[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:])]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names=["chunk", "codes", "sizes", "ids"])
+
         for b in batches:
-            out = []
+            chunks.append(b.column(0).to_numpy())
+            codes.append(b.column(1).to_numpy().astype(np.int64))
             for w in b.column(2).to_pylist():
                 x = ids.get(w)
                 if x is None:
                     if len(ids) >= KNOWN_WORDS:
                         ids.clear()
-                    x = ids[w] = np.array(bpe.encode_single_piece(w.encode()), dtype="<u4").tobytes()
+                    x = ids[w] = np.array(bpe.encode_single_piece(w.encode()), dtype=wide).tobytes()
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["chunk", "code", "ids"])
+            if len(out) >= PACKED_WORDS:
+                yield batch()
+                chunks, codes, out = [], [], []
+        if out:
+            yield batch()
 
-    return words.hint("rebalance", "word").mapInArrow(run, "chunk long, code int, ids binary")
+    return words.hint("rebalance", "word").mapInArrow(run, "chunk long, codes binary, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -80,18 +100,22 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     split = splitter(pattern)
     found = encode_words(word_rows(docs, split), path, pattern)
 
+    wide = f"<u{2 if max(ranks_of(path).values()) < 1 << 16 else 4}"
+
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = in_order(right, left)
-        pieces = right["ids"].to_pylist()
-        pieces = [pieces[k] for k in order]
-        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
-        flat, starts = np.frombuffer(b"".join(pieces), dtype="<u4").astype(np.int32), np.cumsum(sizes) - sizes
-        out, edges = [], [0]
-        for codes in map(unpack, left["codes"].to_pylist()):
-            out.append(gather(starts[codes], sizes[codes], flat))
+        codes = [np.cumsum(unpack(x)) for x in right["codes"].to_pylist()]
+        sizes = [unpack(x) for x in right["sizes"].to_pylist()]
+        codes, sizes = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (codes, sizes))
+        flat = np.frombuffer(b"".join(right["ids"].to_pylist()), dtype=wide).astype(np.int32)
+        starts, order = np.cumsum(sizes) - sizes, in_order(codes, left)
+        starts, sizes = starts[order], sizes[order]
+        docs, out, edges = [], [], [0]
+        for doc, own in documents_of(left):
+            docs.append(doc)
+            out.append(gather(starts[own], sizes[own], flat))
             edges.append(edges[-1] + len(out[-1]))
         ids = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
-        return pa.table({"doc_id": left["doc_id"], "ids": ids.cast(pa.list_(pa.int32()))})
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": ids.cast(pa.list_(pa.int32()))})
 
     return code_rows(docs, split).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
