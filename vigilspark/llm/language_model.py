@@ -154,15 +154,20 @@ def pair_rows(docs: DataFrame, counts: DataFrame, uni: Unigrams, buckets: int) -
             n_tokens.append(len(own))
             n_known.append(int(known[own].sum()))
             score.append(float(base[own].sum()))
+            own = own.astype(np.int32)
             before.append(np.append(own[-1:], own[:-1]))  # the last token is the end, which also stands before the first
             after.append(own)
-            of.append(np.full(len(own), 2 * k + held[-1], dtype=np.int64))
+            of.append(np.full(len(own), 2 * k + held[-1], dtype=np.int32))
         rows = [(int(mix(np.array([chunk], np.uint64))[0] % np.uint64(buckets)), chunk, [np.array([-1 if x is None else x for x in ids], np.int64).tobytes(), bytes(x is None for x in ids), bytes(held), pack(np.array(n_tokens)), pack(np.array(n_known)), np.array(score).tobytes(), b""])]
-        v, w, d = (np.concatenate(x) for x in (before, after, of))
-        del before, after, of
-        # one entry per (pair, document), then per pair
-        order = np.lexsort((d, (v << 32) | w))
-        key, d = ((v << 32) | w)[order], d[order]
+        key = np.concatenate(before).astype(np.int64) << 32
+        del before
+        key |= np.concatenate(after)
+        del after
+        d = np.concatenate(of)
+        del of
+        # one entry per (pair, document), then per pair; documents are in order already
+        order = np.argsort(key, kind="stable")
+        key, d = key[order], d[order]
         new = np.append(True, (key[1:] != key[:-1]) | (d[1:] != d[:-1]))
         at = np.flatnonzero(new)
         times, key, d = np.diff(np.append(at, len(key))), key[at], d[at]
@@ -181,7 +186,7 @@ def pair_rows(docs: DataFrame, counts: DataFrame, uni: Unigrams, buckets: int) -
             entry = np.repeat(first[own] - (np.cumsum(n_docs[own]) - n_docs[own]), n_docs[own]) + np.arange(int(n_docs[own].sum()))
             x = pv[own]
             head = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            steps = d[entry].copy()
+            steps = d[entry].astype(np.int64)
             starts = np.cumsum(n_docs[own]) - n_docs[own]
             steps[1:] -= d[entry][:-1]
             steps[starts] = d[entry][starts]
@@ -216,6 +221,10 @@ def counted_pairs(pairs: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
     return stored(pairs.groupBy("bucket").applyInArrow(run, OUT))
 
 
+#: A bucket is counted in so many turns, each over some of its histories, so that little stands in memory at once.
+TURNS = 4
+
+
 def _bucket(parts, chunks, uni: Unigrams, share: float):
     vh, cv, wh, cw, n_docs, chunk, doc, times = [], [], [], [], [], [], [], []
     for k, p in enumerate(parts):
@@ -227,14 +236,45 @@ def _bucket(parts, chunks, uni: Unigrams, share: float):
         wh.append(raw.view(np.uint64).ravel())
         cw.append(_loose(p[4]))
         m = _loose(p[5])
-        n_docs.append(m)
+        n_docs.append(m.astype(np.int32))
         steps = _loose(p[6])
         starts = np.cumsum(m) - m
         run = np.cumsum(steps)
-        doc.append(run - np.repeat(run[starts] - steps[starts], m))
-        times.append(_loose(p[7]))
+        doc.append((run - np.repeat(run[starts] - steps[starts], m)).astype(np.int32))
+        times.append(_loose(p[7]).astype(np.int32))
         chunk.append(np.full(len(steps), k, dtype=np.int32))
-    vh, cv, wh, cw, n_docs, chunk, doc, times = (np.concatenate(x) for x in (vh, cv, wh, cw, n_docs, chunk, doc, times))
+    columns = []
+    for x in (vh, cv, wh, cw, n_docs, chunk, doc, times):
+        columns.append(np.concatenate(x))
+        x.clear()
+    rows, sums, counts = [], [], np.zeros(K + 1)
+    turn = (columns[0] >> np.uint64(11)) % np.uint64(TURNS)
+    turn_of_event = np.repeat(turn, columns[4]).astype(np.uint8)
+    for k in range(TURNS):
+        some, events = turn == k, turn_of_event == k
+        if some.any():
+            found = _histories([c[some] for c in columns[:5]], [c[events] for c in columns[5:]], chunks, uni, share)
+            rows += found[0]
+            sums.append(found[1:4])
+            counts += found[4]
+    # sums by document
+    docs, back = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
+    total = np.bincount(back, weights=np.concatenate([x[1] for x in sums]), minlength=len(docs))
+    hist = np.concatenate([x[2] for x in sums])
+    hist = np.stack([np.bincount(back, weights=hist[:, k], minlength=len(docs)) for k in range(K)], axis=1).astype(np.int64)
+    own = docs >> 40
+    edges = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(docs))
+    for a, b in zip(edges[:-1], edges[1:]):
+        e = (docs[a:b] & ((1 << 40) - 1)) >> 1
+        rows.append((0, int(chunks[own[a]]), None, [_squeezed(np.diff(e, prepend=0)), total[a:b].tobytes(), _squeezed(hist[a:b].ravel())]))
+    rows.append((3, 0, counts.tolist(), None))
+    return rows
+
+
+def _histories(pairs, events, chunks, uni: Unigrams, share: float):
+    """Some whole histories of a bucket: rows of kind 2; places of documents, their sums and counts; counts of counts."""
+    vh, cv, wh, cw, n_docs = pairs
+    chunk, doc, times = events
     order = np.lexsort((wh, vh))
     new_v = np.append(True, vh[order][1:] != vh[order][:-1])
     new = new_v | np.append(True, wh[order][1:] != wh[order][:-1])
@@ -256,18 +296,11 @@ def _bucket(parts, chunks, uni: Unigrams, share: float):
     high = r > K
     log[high] = np.log10((r[high] - TAIL) / c[high])
     log[~seen] = np.log10(p_word[~seen])
-    # sums by document
-    place = chunk.astype(np.int64) << 40 | doc
-    docs, back = np.unique(place, return_inverse=True)
+    docs, back = np.unique(chunk.astype(np.int64) << 40 | doc, return_inverse=True)
     total = np.bincount(back, weights=times * log[event], minlength=len(docs))
-    hist = np.stack([np.bincount(back, weights=times * (r[event] == k), minlength=len(docs)) for k in range(1, K + 1)], axis=1).astype(np.int64)
-    rows, own = [], docs >> 40
-    edges = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(docs))
-    for a, b in zip(edges[:-1], edges[1:]):
-        e = (docs[a:b] & ((1 << 40) - 1)) >> 1
-        rows.append((0, int(chunks[own[a]]), None, [_squeezed(np.diff(e, prepend=0)), total[a:b].tobytes(), _squeezed(hist[a:b].ravel())]))
-    rows.append((3, 0, [float((r == k).sum()) for k in range(1, K + 2)], None))
+    hist = np.stack([np.bincount(back, weights=times * (r[event] == k), minlength=len(docs)) for k in range(1, K + 1)], axis=1).astype(np.int32)
     # histories that were backed off from, or that other buckets share
+    rows = []
     lost = ~seen[event] & known[event]
     stats = np.stack([np.bincount(history, weights=x, minlength=len(first)) for x in (high * (r - TAIL), *[(r == k) for k in range(1, K + 1)], seen * p_word)], axis=1)
     many = np.ceil(cv[first] / share) > 1
@@ -280,7 +313,7 @@ def _bucket(parts, chunks, uni: Unigrams, share: float):
     for v in np.flatnonzero(many):
         at = lost & (history[event] == v)
         rows.append((2, int(vh[first[v]].view(np.int64)), [float(cv[first[v]]), *stats[v].tolist()], [b"", *_events(np.zeros(int(at.sum()), np.int64), chunks[chunk[at]], doc[at] >> 1, times[at])]))
-    return rows
+    return rows, docs, total, hist, np.array([(r == k).sum() for k in range(1, K + 2)], dtype=np.float64)
 
 
 def _events(history, chunk, doc, times):
