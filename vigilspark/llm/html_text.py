@@ -2,9 +2,9 @@
 
 Pass 1 labels every block by its surroundings (menus, footers, forms, adverts, comments by tag, class or id), link
 density, length and stop-word density: good, bad, or ambiguous. Pass 2 lets ambiguous blocks inherit from the nearest
-decided neighbours: between two good ones they are good; where the neighbours differ the nearer one decides, the earlier
-one on a tie. Inside an article or main element neighbours are looked for in that element only, and where none is decided
-the block is good; elsewhere it is bad. Pages without such an element are treated as one container.
+decided neighbours: where the neighbours differ the nearer one decides, the earlier one on a tie; a heading goes with what
+follows it. Inside an article or main element ambiguous blocks are good, and where a page has such an element the rest
+of it is left out. Without decided neighbours a block is bad.
 
 One page is one row and is handled alone: nothing is shuffled. Cases: NULL or empty html and pages without text give
 an empty string; markup that never closes ends with the page; repeated rows and NULL ids or urls pass through.
@@ -167,7 +167,7 @@ def first_label(b: Block) -> int:
 def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     labels = [first_label(b) for b in found]
-    if any(b.home and x > 0 for b, x in zip(found, labels)) or any(b.home and x == 0 for b, x in zip(found, labels)):
+    if any(b.home and x >= 0 for b, x in zip(found, labels)):
         labels = [x if b.home else -1 for b, x in zip(found, labels)]  # the page names its article
     n = len(found)
     before, after, seen = [None] * n, [None] * n, {}
@@ -185,12 +185,11 @@ def main_text(page: str | None) -> str:
         if labels[k] == 0:
             i, j = before[k], after[k]
             if found[k].home:
-                near = [labels[x] for x in (i, j) if x is not None]
-                final[k] = 1 if not near or max(near) > 0 else -1
-                if found[k].home and max(near, default=1) < 0:
-                    final[k] = 1  # bad ones inside an article are islands in it
-            elif i is None or j is None:
-                final[k] = -1 if i is None and j is None else labels[i if j is None else j] if found[k].tag in HEADING or i is not None else -1
+                final[k] = 1  # bad blocks inside an article are islands in it
+            elif found[k].tag in HEADING or i is None:
+                final[k] = -1 if j is None else labels[j]
+            elif j is None:
+                final[k] = labels[i]
             else:
                 final[k] = labels[i] if labels[i] == labels[j] or k - i <= j - k else labels[j]
     return "\n".join(b.text for b, x in zip(found, final) if x > 0)
