@@ -123,6 +123,11 @@ def test_artifacts(spark, tmp_path):
     assert man.asset_id.tolist() == ["A"] and man.n_snapshots[0] == 14 and man.n_windows[0] == 14 * 4 and not man.has_temp[0]
     lab = files.read_parquet(spark, str(tmp_path / "a/labels")).toPandas().sort_values("snapshot_id")
     assert len(lab) == 14 and lab.rul.iloc[-1] == 0
+    # a second run adds the other asset and leaves the finished one alone, in all four tables
+    finished = spark.createDataFrame([("d", "A")], "dataset string, asset_id string")
+    build_artifacts(df, str(tmp_path / "a"), 16, 0.5, most=4, done=finished)
+    for name, count in (("manifest", {"A": 1, "B": 1}), ("snapshot_features", {"A": 14, "B": 12}), ("index", {"A": 14, "B": 12}), ("labels", {"A": 14, "B": 12})):
+        assert files.read_parquet(spark, str(tmp_path / "a" / name)).toPandas().asset_id.value_counts().to_dict() == count
 
 
 # ------------------------------------------------------------------ statistics

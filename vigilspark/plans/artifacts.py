@@ -36,8 +36,8 @@ def snapshot_features(samples: DataFrame, length: int, overlap: float, most: int
 def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float, most: int | None = None, temperature: DataFrame | None = None, cadence_s: float = 10.0, done: DataFrame | None = None, least: int = 10) -> dict[str, DataFrame]:
     """All per-asset tables of every asset in one pass, written partitioned by dataset.
 
-    ``done`` lists finished (dataset, asset_id) keys to skip; assets with fewer than ``least``
-    snapshots are left out.
+    ``done`` lists finished (dataset, asset_id) keys to skip: their rows stay, those of the other assets are
+    appended. Without it the tables are written anew. Assets with fewer than ``least`` snapshots are left out.
     """
     keys = ["dataset", "asset_id"]
     if done is not None:
@@ -65,5 +65,5 @@ def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float
         "manifest": manifest,
     }
     for name, df in tables.items():
-        write_table(df, f"{folder}/{name}")
+        write_table(df, f"{folder}/{name}", mode="overwrite" if done is None else "append")
     return tables
