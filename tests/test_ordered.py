@@ -99,3 +99,52 @@ def test_extent_and_partition_invariance(spark, frame):
 def test_checkpoint_dir_is_read_from_the_session(spark):
     ordered.use_checkpoints(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+@pytest.fixture(scope="module")
+def gaps():
+    """One asset with a third of all rows, NULL values, a NULL key, NaN and ties."""
+    rows = []
+    for asset, n in ((1, 31), (2, 12), (3, 9), (None, 14), (4, 26)):
+        for k in range(n):
+            v = None if k % 4 == 1 else float("nan") if k == 6 else float((k * 7) % 5)
+            rows.append((asset, k, v, float((k * 3) % 7) if k % 5 else None, n))
+    return rows
+
+
+def both_forms(spark, gaps, split_groups, build):
+    """The result of the window form and of the split form on the same rows, as sorted text."""
+    df = spark.createDataFrame(gaps, "asset_id int, pos long, v double, u double, n long").repartition(4)
+    out = []
+    for ext in (Extent(3, 3), split_groups):
+        got = build(df, ext)
+        out.append(sorted(str([None if x is None else round(x, 9) if isinstance(x, float) else x for x in r]) for r in got.select(*sorted(got.columns)).collect()))
+    return out
+
+
+@pytest.mark.parametrize("block", ["position", "average_rank", "running_total", "quantiles", "criteria", "spearman", "partial", "weights"])
+def test_null_rule_is_the_same_in_both_forms(spark, gaps, split_groups, block):
+    from vigilspark.operators import quality, weights
+
+    k = ["asset_id"]
+    build = {
+        "position": lambda df, e: ordered.position(df.drop("n"), k, ["v", "pos"], e, "at"),
+        "average_rank": lambda df, e: ordered.average_rank(df, k, "v", "r", e),
+        "running_total": lambda df, e: ordered.running_total(df, k, "u", "t", e),
+        "quantiles": lambda df, e: ordered.quantiles(df, k, {"q": ("u", 0.3)}, e),
+        "criteria": lambda df, e: quality.asset_criteria(df, k, "u", e),
+        "spearman": lambda df, e: quality.spearman(df, k, "u", "pos", e),
+        "partial": lambda df, e: quality.partial_spearman(df, k, "u", "n", "pos", e),
+        "weights": lambda df, e: weights.score_weights(df.where("asset_id IS NOT NULL").withColumns({"f": F.lit(0), "v": F.nanvl("v", F.lit(9.0))}), ["f", "asset_id"], ["u", "v"], [(0.2, 0.8), (1.0, 0.0)], e),
+    }[block]
+    short, long = both_forms(spark, gaps, split_groups, build)
+    assert short and short == long
+
+
+def test_null_values_keep_their_row_without_a_rank(spark, gaps, split_groups):
+    df = spark.createDataFrame(gaps, "asset_id int, pos long, v double, u double, n long")
+    for ext in (Extent(3, 3), split_groups):
+        got = ordered.average_rank(df, ["asset_id"], "u", "r", ext).toPandas()
+        assert len(got) == len(gaps) and (got.r.isna() == got.u.isna()).all()
+        want = got.groupby("asset_id", dropna=False).u.rank()
+        assert np.allclose(got.r.dropna(), want.dropna())

@@ -209,3 +209,18 @@ def test_factorial_needs_all_cells(spark):
     rows = [("d", a, b, m) for a, b, m in (("off", "off", 1.0), ("off", "on", 2.0), ("on", "off", 4.0), ("on", "on", 8.0))] + [("e", "on", "on", 1.0)]
     got = inference.factorial_effects(spark.createDataFrame(rows, "dataset string, first string, second string, mean double"), ["dataset"]).collect()
     assert len(got) == 1 and (got[0].effect_first, got[0].effect_second, got[0].interaction) == (4.5, 2.5, 3.0)
+
+
+def test_merged_moments_keep_digits_under_a_large_offset(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"asset_id": np.arange(600) % 4, "x": 1e9 + rng.normal(size=600), "a": 1e9 + rng.normal(size=600)})
+    pdf["x"] += pdf.asset_id
+    pdf["y"] = 0.3 * (pdf.a - 1e9) + rng.normal(0, 0.1, 600)
+    per = windowing.channel_stats(spark.createDataFrame(pdf), ["x"]).withColumns({"g": F.lit(1), "has": F.lit(True)})
+    assert abs(windowing.pooled_stats(per, ["g"], ["x"]).first().std_x - pdf.x.std(ddof=0)) < 1e-6
+    assert abs(windowing.sensor_stats(per, ["g"], "x", "has").first().std_x - pdf.x.std(ddof=0)) < 1e-6
+    parts = regress.moments(spark.createDataFrame(pdf), ["asset_id"], ["a"], "y").withColumn("k", F.lit(1))
+    got = regress.ridge_by_fold(regress.merge_moments(parts, ["k"], 1), ["a"], ["a"], 1.0).first().model
+    z = (pdf.a - pdf.a.mean()) / pdf.a.std(ddof=0)
+    slope = (z * (pdf.y - pdf.y.mean())).sum() / (len(z) + 1.0) / pdf.a.std(ddof=0)
+    assert abs(got[1] - slope) < 1e-6

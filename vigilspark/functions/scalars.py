@@ -25,8 +25,13 @@ def guarded(condition: Column, value: Column, otherwise=0.0) -> Column:
 
 
 def correlation(x, y) -> Column:
-    """Aggregate: Pearson correlation, NULL for a constant side (the built-in raises there in ANSI mode)."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Aggregate: Pearson correlation over rows that carry both sides.
+
+    NULL for a constant side (the built-in raises there in ANSI mode).
+    """
+    x, y = (c if isinstance(c, Column) else F.col(c) for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
 
 
 def hash32(*parts) -> Column:

@@ -7,6 +7,9 @@ A group (an asset, a fold, ...) may be a large share of all rows. Callers measur
 * order and ranks: a range partitioning on (keys, order), whose partitions cut through a group;
 * neighbours: fixed-width chunks of the dense position, with the few edge rows copied over;
 * running totals and quantiles: chunk totals first, then an offset per chunk.
+
+Both forms follow one NULL rule: rows whose key is NULL form a group of their own, and a NULL value keeps its row
+and place but has no rank (NULL) and counts in no rank, quantile or total. NaN is the largest value.
 """
 
 from __future__ import annotations
@@ -64,6 +67,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL meets NULL; the key columns are those of ``left``."""
+    keys = list(keys)
+    other = right.select(*[F.col(k).alias(f"_key_{k}") if k in keys else F.col(k) for k in right.columns])
+    meets = F.lit(True)
+    for k in keys:
+        meets = meets & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return left.join(other, meets, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Take the checkpoint folder the cluster names; make one only for a local session."""
     sc = spark.sparkContext
@@ -123,7 +136,7 @@ def position(df: DataFrame, keys, order, ext: Extent, name: str = "pos", size: s
         return out.withColumn(size, F.count(F.lit(1)).over(w)) if size else out
     laid = _lay_out(df, [*keys, *order])
     heads = laid.groupBy(*keys).agg(F.min("_place").alias("_head"), F.count(F.lit(1)).alias(size or "_size"))
-    out = laid.join(heads, keys).withColumn(name, F.col("_place") - F.col("_head")).drop("_place", "_head")
+    out = same_keys(laid, heads, keys).withColumn(name, F.col("_place") - F.col("_head")).drop("_place", "_head")
     return out if size else out.drop("_size")
 
 
@@ -179,7 +192,8 @@ def running_total(df: DataFrame, keys, value: str, name: str, ext: Extent, pos:
     w = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_tile", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_off"))
     inner = F.sum(value).over(Window.partitionBy(*keys, "_tile").orderBy(pos).rowsBetween(*upto))
-    return tiled.withColumn(name, inner).join(offsets, [*keys, "_tile"]).withColumn(name, F.col(name) + F.col("_off")).drop("_tile", "_off")
+    out = same_keys(tiled.withColumn(name, inner), offsets, [*keys, "_tile"])
+    return out.withColumn(name, F.col(name) + F.col("_off")).drop("_tile", "_off")
 
 
 def _ladder(df: DataFrame, keys, value: str) -> DataFrame:
@@ -193,15 +207,15 @@ def _ladder(df: DataFrame, keys, value: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, keys, value: str, name: str, ext: Extent) -> DataFrame:
-    """1-based rank of ``value`` inside its group, ties sharing their mean rank."""
+    """1-based rank of ``value`` inside its group, ties sharing their mean rank; NULL for a NULL value."""
     keys = list(keys)
     if ext.longest <= SAFE_GROUP:
-        w = Window.partitionBy(*keys).orderBy(value)
+        w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
-        return df.withColumn(name, F.rank().over(w) + (ties - 1) / F.lit(2.0))
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / F.lit(2.0)))
     ladder = _ladder(df, keys, value)
     ranks = ladder.select(*keys, value, (F.col("_below") + (F.col("_cnt") + 1) / F.lit(2.0)).alias(name))
-    return df.join(ranks, [*keys, value])
+    return same_keys(df, ranks, [*keys, value], "left")
 
 
 def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Extent, also=()) -> DataFrame:
@@ -229,7 +243,7 @@ def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Ex
     for c, items in by_col.items():
         ladder = _ladder(df.select(*keys, F.col(c).cast("double").alias("_v")), keys, "_v")
         totals = ladder.groupBy(*keys).agg(F.sum("_cnt").alias("_total"))
-        ladder = ladder.join(totals, keys)
+        ladder = same_keys(ladder, totals, keys)
         aggs, picked = [], []
         for j, (new, p) in enumerate(items):
             at = F.lit(float(p)) * (F.col("_total") - 1)
@@ -238,7 +252,7 @@ def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Ex
                 aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{j}"))
             aggs.append(F.max(at - F.floor(at)).alias(f"_w{j}"))
             picked.append((F.col(f"_lo{j}") + (F.col(f"_hi{j}") - F.col(f"_lo{j}")) * F.col(f"_w{j}")).alias(new))
-        out = out.join(ladder.groupBy(*keys).agg(*aggs).select(*keys, *picked), keys, "left")
+        out = same_keys(out, ladder.groupBy(*keys).agg(*aggs).select(*keys, *picked), keys, "left")
     return out
 
 

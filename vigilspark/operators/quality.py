@@ -1,4 +1,7 @@
-"""Indicator-quality criteria over long series: rows of (keys, pos, n, value)."""
+"""Indicator-quality criteria over long series: rows of (keys, pos, n, value).
+
+A NULL value keeps its place: it has no rank and makes no step, and rank correlations are over complete rows.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +12,23 @@ from ..functions.scalars import correlation, guarded
 from .ordered import Extent, average_rank, neighbours, quantiles
 
 
+def _complete(rows: DataFrame, columns) -> DataFrame:
+    """Blank all of ``columns`` in rows where one of them is NULL; the rows stay, so no group is lost."""
+    columns = list(dict.fromkeys(columns))
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    return rows.withColumns({c: F.when(whole, F.col(c)) for c in columns})
+
+
 def spearman(rows: DataFrame, keys, x: str, y: str, ext: Extent, name: str = "rho", min_rows: int = 3) -> DataFrame:
     """Signed rank correlation per group, 0 for short or constant series."""
     keys = list(keys)
-    ranked = average_rank(rows.select(*keys, x, y), keys, x, "_rx", ext)
+    ranked = average_rank(_complete(rows.select(*keys, x, y), [x, y]), keys, x, "_rx", ext)
     ranked = average_rank(ranked, keys, y, "_ry", ext)
     out = ranked.groupBy(*keys).agg(
         correlation("_rx", "_ry").alias("_c"),
-        F.count(F.lit(1)).alias("_n"),
+        F.count("_rx").alias("_n"),
         F.stddev_pop(x).alias("_sx"),
         F.stddev_pop(y).alias("_sy"),
     )
@@ -29,7 +41,7 @@ def spearman_vs_life(rows: DataFrame, keys, value: str, ext: Extent, name: str =
     keys = list(keys)
     ranked = average_rank(rows.select(*keys, "pos", value), keys, value, "_r", ext)
     out = ranked.groupBy(*keys).agg(
-        correlation("_r", "pos").alias("_c"), F.count(F.lit(1)).alias("_n"), F.stddev_pop(value).alias("_s")
+        correlation("_r", "pos").alias("_c"), F.count("_r").alias("_n"), F.stddev_pop(value).alias("_s")
     )
     ok = (F.col("_n") >= min_rows) & (F.col("_s") >= 1e-12)
     return out.select(*keys, guarded(ok, F.col("_c")).alias(name))
@@ -38,7 +50,7 @@ def spearman_vs_life(rows: DataFrame, keys, value: str, ext: Extent, name: str =
 def partial_spearman(rows: DataFrame, keys, x: str, y: str, z: str, ext: Extent, name: str = "partial") -> DataFrame:
     """Rank correlation of x and y with z held fixed."""
     keys = list(keys)
-    ranked = rows.select(*keys, x, y, z)
+    ranked = _complete(rows.select(*keys, x, y, z), [x, y, z])
     for c, r in ((x, "_rx"), (y, "_ry"), (z, "_rz")):
         ranked = average_rank(ranked, keys, c, r, ext)
 

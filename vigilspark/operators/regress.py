@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,38 +13,41 @@ from .health import assign_roles
 
 
 def moments(rows: DataFrame, keys, features, target: str) -> DataFrame:
-    """Sums that determine every least-squares fit on the features: one small row per group.
+    """Means and scatter that determine every least-squares fit on the features: one small row per group.
 
-    Groups are fold buckets, so a fold's training sums are the sum over its buckets and the data
-    is read once however many folds there are.
+    Groups are fold buckets, so a fold's training scatter is merged from its buckets and the data
+    is read once however many folds there are. Scatter is centred, so large offsets cost no digits.
     """
     d = len(features)
     cols = [F.col(f) for f in features] + [F.col(target)]
-    cross = [F.sum(cols[i] * cols[j]) for i in range(d + 1) for j in range(i, d + 1)]
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("rows"), F.array(*[F.sum(c) for c in cols]).alias("s1"), F.array(*cross).alias("s2")
-    )
+    n = F.count(F.lit(1)).cast("double")
+    cross = [F.covar_pop(cols[i], cols[j]) * n for i in range(d + 1) for j in range(i, d + 1)]
+    return rows.groupBy(*keys).agg(n.alias("rows"), F.array(*[F.avg(c) for c in cols]).alias("mean"), F.array(*cross).alias("scatter"))
 
 
 def merge_moments(parts: DataFrame, keys, features: int) -> DataFrame:
+    """Merge the rows of each key (a fold's buckets, so few): scatter within plus scatter between them."""
     d = features + 1
-    pairs = d * (d + 1) // 2
-    return parts.groupBy(*keys).agg(
+    w = Window.partitionBy(*keys)
+    centre = F.array(*[F.sum(F.col("rows") * F.col("mean")[i]).over(w) / F.sum("rows").over(w) for i in range(d)])
+    off = [F.col("mean")[i] - F.col("_centre")[i] for i in range(d)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    return parts.withColumn("_centre", centre).groupBy(*keys).agg(
         F.sum("rows").alias("rows"),
-        F.array(*[F.sum(F.col("s1")[i]) for i in range(d)]).alias("s1"),
-        F.array(*[F.sum(F.col("s2")[i]) for i in range(pairs)]).alias("s2"),
+        F.array(*[F.max(F.col("_centre")[i]) for i in range(d)]).alias("mean"),
+        F.array(*[F.sum(F.col("scatter")[k] + F.col("rows") * off[i] * off[j]) for k, (i, j) in enumerate(pairs)]).alias("scatter"),
     )
 
 
 def _ridge_udf(chosen: tuple[int, ...], d: int, alpha: float):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(rows: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.Series:
+    def solve(rows: pd.Series, means: pd.Series, scatters: pd.Series) -> pd.Series:
         out = []
-        for n, first, second in zip(rows, s1, s2):
-            mean = np.asarray(first, float) / n
+        for n, mean, scatter in zip(rows, means, scatters):
+            mean = np.asarray(mean, float)
             full = np.zeros((d + 1, d + 1))
-            full[np.triu_indices(d + 1)] = second
-            cov = (full + np.triu(full, 1).T) - n * np.outer(mean, mean)
+            full[np.triu_indices(d + 1)] = scatter
+            cov = full + np.triu(full, 1).T
             k = list(chosen)
             std = np.sqrt(np.maximum(np.diag(cov)[k], 0.0) / n)
             std = np.where(std > 0, std, 1.0)
@@ -59,7 +62,7 @@ def _ridge_udf(chosen: tuple[int, ...], d: int, alpha: float):
 def ridge_by_fold(train: DataFrame, features, chosen, alpha: float = 1.0, name: str = "model") -> DataFrame:
     """Intercept and slopes per row of merged moments; features are standardised inside the penalty."""
     at = tuple(list(features).index(c) for c in chosen)
-    return train.withColumn(name, _ridge_udf(at, len(features), alpha)("rows", "s1", "s2"))
+    return train.withColumn(name, _ridge_udf(at, len(features), alpha)("rows", "mean", "scatter"))
 
 
 def linear_prediction(model: str, chosen) -> Column:
@@ -80,7 +83,7 @@ def predictions(rows: DataFrame, features, target: str, configs: dict[str, list[
     train = merge_moments(assign_roles(parts, folds, "bucket").where("role = 'train'"), ["seed", "fold_id"], len(features))
     for name, chosen in configs.items():
         train = ridge_by_fold(train, features, chosen, alpha, f"m_{name}")
-    models = F.broadcast(train.drop("rows", "s1", "s2"))  # seeds x folds rows
+    models = F.broadcast(train.drop("rows", "mean", "scatter"))  # seeds x folds rows
     out = dealt.withColumnRenamed("bucket", "fold_id").join(models, ["seed", "fold_id"])
     each = [F.struct(F.lit(n).alias("config"), F.round(linear_prediction(f"m_{n}", c), 9).alias("y_pred")) for n, c in configs.items()]
     keep = [c for c in rows.columns if c not in features or c == "pos"]

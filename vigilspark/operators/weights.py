@@ -2,7 +2,8 @@
 
 Rows carry (keys, pos, n, components). Series short enough for one task are scored as one Arrow group per series, which sends each row
 once and multiplies inside NumPy. Only longer series are fanned out over the weight list and scored
-with distributed neighbours and ranks. Both give the same numbers.
+with distributed neighbours and ranks. Both give the same numbers. Rows with a NULL component are left out
+and the others move up, so a series is scored over its complete rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import correlation, guarded
-from .ordered import SAFE_GROUP, Extent, average_rank, neighbours, spread
+from .ordered import SAFE_GROUP, Extent, average_rank, neighbours, position, spread
 
 SCORES = ["mono", "rho", "trend", "first_value", "last_value"]
 
@@ -68,11 +69,14 @@ def score_weights(rows: DataFrame, keys, components, weights, ext: Extent) -> Da
     ``weights`` is a list of tuples, or a dict of such lists by the first key (a fold).
     """
     keys = list(keys)
-    cols = rows.select(*keys, "pos", "n", *components)
+    complete = F.lit(True)
+    for c in components:
+        complete = complete & F.col(c).isNotNull()
+    cols = rows.select(*keys, "pos", "n", *components).where(complete)
     if ext.longest <= SAFE_GROUP:
         return _grouped(cols.drop("n"), keys, components, weights)
     out = _grouped(cols.where(F.col("n") <= SAFE_GROUP).drop("n"), keys, components, weights)
-    long = cols.where(F.col("n") > SAFE_GROUP).drop("n")
+    long = position(cols.where(F.col("n") > SAFE_GROUP).drop("n"), keys, ["pos"], ext, "pos", None)
     split = weights.items() if isinstance(weights, dict) else [(None, weights)]
     for fold, w in split:
         mine = long if fold is None else long.where(F.col(keys[0]) == fold)
@@ -108,18 +112,18 @@ def _exploded(cols: DataFrame, keys, components, weights, ext: Extent) -> DataFr
     table = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights])
     rows = cols.select(*cols.columns, F.posexplode(table).alias("w", "_wt"))
     mix = sum((F.col("_wt")[i] * F.col(c) for i, c in enumerate(components)), F.lit(0.0))
-    rows = rows.withColumn("v", F.round(mix, 9)).drop(*components, "_wt")
+    rows = rows.withColumn("_mix", F.round(mix, 9)).drop(*components, "_wt")
     wide = [*keys, "w"]
-    rows = neighbours(rows, wide, {"_prev": ("v", 1)}, ext)
-    rows = average_rank(rows, wide, "v", "_r", ext)
+    rows = neighbours(rows, wide, {"_prev": ("_mix", 1)}, ext)
+    rows = average_rank(rows, wide, "_mix", "_r", ext)
     agg = rows.groupBy(*wide).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.abs(F.coalesce(F.sum(F.signum(F.round(F.col("v") - F.col("_prev"), 9))), F.lit(0.0))).alias("_net"),
+        F.abs(F.coalesce(F.sum(F.signum(F.round(F.col("_mix") - F.col("_prev"), 9))), F.lit(0.0))).alias("_net"),
         correlation("_r", "pos").alias("_rho"),
-        correlation("v", "pos").alias("_trend"),
-        F.stddev_pop("v").alias("_sd"),
-        F.min_by("v", "pos").alias("first_value"),
-        F.max_by("v", "pos").alias("last_value"),
+        correlation("_mix", "pos").alias("_trend"),
+        F.stddev_pop("_mix").alias("_sd"),
+        F.min_by("_mix", "pos").alias("first_value"),
+        F.max_by("_mix", "pos").alias("last_value"),
     )
     moving = (F.col("_n") >= 3) & (F.col("_sd") >= 1e-12)
     return agg.select(

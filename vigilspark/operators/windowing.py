@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-from .ordered import Extent, neighbours, quantiles
+from .ordered import Extent, neighbours, quantiles, same_keys
 
 TINY = 1e-12
 
@@ -123,36 +123,37 @@ def channel_stats(samples: DataFrame, channels) -> DataFrame:
 
 
 def pooled_stats(per_asset: DataFrame, keys, channels, floor: float = 1e-8) -> DataFrame:
-    """Merge per-asset moments into one mean and deviation per group; the samples are not re-read."""
-    total = F.sum("rows")
-    out = per_asset.groupBy(*keys).agg(
-        total.alias("rows"),
-        *[(F.sum(F.col("rows") * F.col(f"m_{c}")) / total).alias(f"mean_{c}") for c in channels],
-        *[
-            (F.sum(F.col("rows") * (F.col(f"v_{c}") + F.col(f"m_{c}") * F.col(f"m_{c}"))) / total).alias(f"_sq_{c}")
-            for c in channels
-        ],
+    """Merge per-asset moments, centred on the group's mean, into one mean and deviation per group."""
+    means = per_asset.groupBy(*keys).agg(
+        F.sum("rows").alias("_total"),
+        *[(F.sum(F.col("rows") * F.col(f"m_{c}")) / F.sum("rows")).alias(f"mean_{c}") for c in channels],
+    )
+
+    def variance(c):
+        off = F.col(f"m_{c}") - F.col(f"mean_{c}")
+        return F.sum(F.col("rows") * (F.col(f"v_{c}") + off * off)) / F.max("_total")
+
+    return same_keys(per_asset, means, keys).groupBy(*keys).agg(
+        F.max("_total").alias("rows"),
+        *[F.max(f"mean_{c}").alias(f"mean_{c}") for c in channels],
+        *[(F.sqrt(variance(c)) + floor).alias(f"std_{c}") for c in channels],
     )
-    dev = {
-        f"std_{c}": F.sqrt(F.greatest(F.col(f"_sq_{c}") - F.col(f"mean_{c}") * F.col(f"mean_{c}"), F.lit(0.0))) + floor
-        for c in channels
-    }
-    return out.withColumns(dev).drop(*[f"_sq_{c}" for c in channels])
 
 
 def sensor_stats(per_asset: DataFrame, keys, channel: str, has_sensor: str, floor: float = 1e-8) -> DataFrame:
     """Pooled stats over assets that carry the sensor; 0 and 1 when fewer than two rows do."""
     real = F.when(F.col(has_sensor), F.col("rows")).otherwise(F.lit(0))
     total = F.sum(real)
-    mean = F.try_divide(F.sum(real * F.col(f"m_{channel}")), total)
-    square = F.try_divide(F.sum(real * (F.col(f"v_{channel}") + F.col(f"m_{channel}") * F.col(f"m_{channel}"))), total)
-    out = per_asset.groupBy(*keys).agg(total.alias("sensor_rows"), mean.alias("_m"), square.alias("_q"))
+    means = per_asset.groupBy(*keys).agg(total.alias("_total"), F.try_divide(F.sum(real * F.col(f"m_{channel}")), total).alias("_m"))
+    off = F.col(f"m_{channel}") - F.col("_m")
+    spread_of = F.try_divide(F.sum(real * (F.col(f"v_{channel}") + off * off)), F.max("_total"))
+    out = same_keys(per_asset, means, keys).groupBy(*keys).agg(F.max("_total").alias("sensor_rows"), F.max("_m").alias("_m"), spread_of.alias("_var"))
     enough = F.col("sensor_rows") >= 2
     return out.select(
         *keys,
         "sensor_rows",
         F.when(enough, F.col("_m")).otherwise(F.lit(0.0)).alias(f"mean_{channel}"),
-        F.when(enough, F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))) + floor).otherwise(F.lit(1.0)).alias(f"std_{channel}"),
+        F.when(enough, F.sqrt("_var") + floor).otherwise(F.lit(1.0)).alias(f"std_{channel}"),
     )
 
 

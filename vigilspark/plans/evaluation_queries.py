@@ -16,6 +16,7 @@ SEEDS = 3
 CONFIGS = {"mean": [], "x_only": ["x"], "xy": ["x", "y"], "clock": ["pos"], "xy_clock": ["x", "y", "pos"]}
 PROPOSED = "xy"
 DAK = ["dataset", "asset_id", "config"]
+DAKS = [*DAK, "seed"]
 
 
 # ------------------------------------------------------------------ SQL for the prediction table
@@ -72,11 +73,11 @@ def _seed_mean(spark, folder, metric="mae"):
     return inference.seed_average(facts, ["dataset", "config", "asset_id"], metric), ext
 
 
-@query("ridge_predictions", sql("SELECT seed, asset_id, pos, config, round(yt, 6) AS y_true, p AS y_pred FROM pred WHERE seed = 0".replace("p AS y_pred", "round(p, 9) AS y_pred")))
+@query("ridge_predictions", sql("SELECT seed, asset_id, pos, config, round(yt, 6) AS y_true, p AS y_pred FROM pred".replace("p AS y_pred", "round(p, 9) AS y_pred")))
 def ridge_predictions(spark, folder):
     """Held-out predictions of the train mean and of ridge fits solved from merged moments."""
     pred, _ = _predictions(spark, folder)
-    return pred.where("seed = 0").select("seed", "asset_id", "pos", "config", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 9).alias("y_pred"))
+    return pred.select("seed", "asset_id", "pos", "config", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 9).alias("y_pred"))
 
 
 @query("train_mean_predictor", sql("SELECT seed, fold_id, m AS n_rows, round(ay, 6) AS prediction FROM mom"))
@@ -86,7 +87,7 @@ def train_mean_predictor(spark, folder):
     rows = rows.withColumn("bucket", F.pmod(F.floor(F.col("asset_id") / (F.col("seed") + 1)), F.lit(FOLDS)))
     parts = regress.moments(rows, ["seed", "bucket"], [], "y_true")
     train = regress.merge_moments(health.assign_roles(parts, FOLDS, "bucket").where("role = 'train'"), ["seed", "fold_id"], 0)
-    return train.select("seed", "fold_id", F.col("rows").cast("bigint").alias("n_rows"), F.round(F.col("s1")[0] / F.col("rows"), 6).alias("prediction"))
+    return train.select("seed", "fold_id", F.col("rows").cast("bigint").alias("n_rows"), F.round(F.col("mean")[0], 6).alias("prediction"))
 
 
 @query("regression_errors", sql("SELECT dataset, config, asset_id, seed, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) + 0.0::DOUBLE AS r2, round(asym_score, 6) AS asym_score, round(mae_hours, 6) AS mae_hours FROM fact"))
@@ -96,11 +97,11 @@ def regression_errors(spark, folder):
 
 
 @query("phm_score", sql("""
-SELECT asset_id, config, round(sum(CASE WHEN d < 0 THEN exp(-d / 13) - 1 ELSE exp(d / 10) - 1 END), 6) AS phm FROM (SELECT asset_id, config, (p - yt) * (GREATEST(n - 1, 1) * 10 / 3600.0::DOUBLE * 0.6::DOUBLE) AS d FROM pred WHERE seed = 0) GROUP BY ALL"""))
+SELECT seed, asset_id, config, round(sum(CASE WHEN d < 0 THEN exp(-d / 13) - 1 ELSE exp(d / 10) - 1 END), 6) AS phm FROM (SELECT seed, asset_id, config, (p - yt) * (GREATEST(n - 1, 1) * 10 / 3600.0::DOUBLE * 0.6::DOUBLE) AS d FROM pred) GROUP BY ALL"""))
 def phm_score(spark, folder):
     pred, _ = _predictions(spark, folder)
     hours = (F.col("y_pred") - F.col("y_true")) * (labels.fail_at(F.col("n")) * F.lit(10.0) / F.lit(3600.0) * F.lit(0.6))
-    return pred.where("seed = 0").groupBy("asset_id", "config").agg(F.round(F.sum(errors.phm_score(hours)), 6).alias("phm"))
+    return pred.groupBy("seed", "asset_id", "config").agg(F.round(F.sum(errors.phm_score(hours)), 6).alias("phm"))
 
 
 @query("interval_coverage", sql("SELECT dataset, config, round(avg(CASE WHEN yt >= p - 0.25 AND yt <= p + 0.25 THEN 1.0::DOUBLE ELSE 0 END), 6) AS picp, round(avg((p + 0.25) - (p - 0.25)), 6) AS mpiw FROM pred GROUP BY ALL"))
@@ -119,15 +120,15 @@ def pinball_loss(spark, folder):
 
 
 define("prog", """
-SELECT dataset, config, asset_id, avg(CASE WHEN p >= 0.8::DOUBLE * yt AND p <= 1.2::DOUBLE * yt THEN 1.0::DOUBLE ELSE 0 END) AS alpha_lambda,
-       (max(pos) - coalesce(max(CASE WHEN round(abs(p - yt), 9) > 0.1 THEN pos END), min(pos) - 1)) / count(*)::DOUBLE AS horizon FROM pred WHERE seed = 0 AND yt < 1 GROUP BY ALL""")
+SELECT seed, dataset, config, asset_id, avg(CASE WHEN p >= 0.8::DOUBLE * yt AND p <= 1.2::DOUBLE * yt THEN 1.0::DOUBLE ELSE 0 END) AS alpha_lambda,
+       (max(pos) - coalesce(max(CASE WHEN round(abs(p - yt), 9) > 0.1 THEN pos END), min(pos) - 1)) / count(*)::DOUBLE AS horizon FROM pred WHERE yt < 1 GROUP BY ALL""")
 
 
-@query("prognostic_metrics", sql("SELECT dataset, config, count(*) AS n, round(avg(alpha_lambda), 6) AS alpha_lambda, round(avg(horizon), 6) AS prognostic_horizon FROM prog GROUP BY ALL"))
+@query("prognostic_metrics", sql("SELECT seed, dataset, config, count(*) AS n, round(avg(alpha_lambda), 6) AS alpha_lambda, round(avg(horizon), 6) AS prognostic_horizon FROM prog GROUP BY ALL"))
 def prognostic_metrics(spark, folder):
     pred, _ = _predictions(spark, folder)
-    per = errors.prognostic_metrics(pred.where("seed = 0"), DAK)
-    return per.groupBy("dataset", "config").agg(
+    per = errors.prognostic_metrics(pred, DAKS)
+    return per.groupBy("seed", "dataset", "config").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("alpha_lambda"), 6).alias("alpha_lambda"), F.round(F.avg("prognostic_horizon"), 6).alias("prognostic_horizon")
     )
 
@@ -138,53 +139,53 @@ def _stage(v: str) -> str:
 
 define("staged", f"SELECT seed, config, dataset, asset_id, pos, n, yt, p, {_stage('pos / GREATEST(n - 1, 1)::DOUBLE')} AS st, {_stage('round(1 - 0.6::DOUBLE * p, 9)')} AS sp FROM pred")
 define("snapped", """
-SELECT config, dataset, asset_id, pos // 3 AS snapshot_id, arg_min(st, pos) AS st, avg(p) AS p, arg_min(yt, pos) AS yt, count(*) AS n_windows FROM staged WHERE seed = 0 GROUP BY ALL""")
+SELECT seed, config, dataset, asset_id, pos // 3 AS snapshot_id, arg_min(st, pos) AS st, avg(p) AS p, arg_min(yt, pos) AS yt, count(*) AS n_windows FROM staged GROUP BY ALL""")
 define("votes", """
-SELECT config, asset_id, snapshot_id, sp FROM (SELECT *, row_number() OVER (PARTITION BY config, asset_id, snapshot_id ORDER BY c DESC, sp) AS r FROM (SELECT config, asset_id, pos // 3 AS snapshot_id, sp, count(*) AS c FROM staged WHERE seed = 0 GROUP BY ALL)) WHERE r = 1""")
-define("snapv", "SELECT s.*, v.sp FROM snapped s JOIN votes v USING (config, asset_id, snapshot_id)")
+SELECT seed, config, asset_id, snapshot_id, sp FROM (SELECT *, row_number() OVER (PARTITION BY seed, config, asset_id, snapshot_id ORDER BY c DESC, sp) AS r FROM (SELECT seed, config, asset_id, pos // 3 AS snapshot_id, sp, count(*) AS c FROM staged GROUP BY ALL)) WHERE r = 1""")
+define("snapv", "SELECT s.*, v.sp FROM snapped s JOIN votes v USING (seed, config, asset_id, snapshot_id)")
 
 
 def _snapshots(spark, folder):
     pred, _ = _predictions(spark, folder)
-    rows = pred.where("seed = 0").withColumns(
+    rows = pred.withColumns(
         {
             "stage_true": labels.staged(labels.degradation(F.col("pos"), F.col("n")), labels.STAGE_LIFE),
             "stage_pred": labels.staged(F.round(1 - F.lit(0.6) * F.col("y_pred"), 9), labels.STAGE_LIFE),
             "snapshot_id": F.floor(F.col("pos") / 3),
         }
     )
-    return errors.to_snapshots(rows, ["config", "dataset", "asset_id", "snapshot_id"], votes=["stage_pred"], firsts=["stage_true", "y_true"], means=["y_pred"])
+    return errors.to_snapshots(rows, ["seed", "config", "dataset", "asset_id", "snapshot_id"], votes=["stage_pred"], firsts=["stage_true", "y_true"], means=["y_pred"])
 
 
-@query("snapshot_predictions", sql("SELECT config, asset_id, snapshot_id, sp AS stage_pred, st AS stage_true, round(p, 6) AS y_pred, round(yt, 6) AS y_true, n_windows FROM snapv"))
+@query("snapshot_predictions", sql("SELECT seed, config, asset_id, snapshot_id, sp AS stage_pred, st AS stage_true, round(p, 10) AS y_pred, round(yt, 6) AS y_true, n_windows FROM snapv"))
 def snapshot_predictions(spark, folder):
     s = _snapshots(spark, folder)
-    return s.select("config", "asset_id", "snapshot_id", "stage_pred", "stage_true", *rounded(["y_pred", "y_true"]), "n_windows")
+    return s.select("seed", "config", "asset_id", "snapshot_id", "stage_pred", "stage_true", *rounded(["y_pred"], 10), *rounded(["y_true"]), "n_windows")
 
 
 define("cls", """
-SELECT config, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
-  SELECT config, st AS label, (st = sp)::INT AS tp, 0 AS fp, (st <> sp)::INT AS fn FROM snapv UNION ALL SELECT config, sp, 0, (st <> sp)::INT, 0 FROM snapv) GROUP BY config, label""")
+SELECT seed, config, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+  SELECT seed, config, st AS label, (st = sp)::INT AS tp, 0 AS fp, (st <> sp)::INT AS fn FROM snapv UNION ALL SELECT seed, config, sp, 0, (st <> sp)::INT, 0 FROM snapv) GROUP BY ALL""")
 
 
 @query("stage_classification", sql("""
-SELECT config, round(sum(tp) / sum(tp + fn)::DOUBLE, 6) AS accuracy, round(avg(2 * tp / (2 * tp + fp + fn)::DOUBLE), 6) AS macro_f1, round(avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE END), 6) AS balanced_accuracy FROM cls GROUP BY config"""))
+SELECT seed, config, round(sum(tp) / sum(tp + fn)::DOUBLE, 6) AS accuracy, round(avg(2 * tp / (2 * tp + fp + fn)::DOUBLE), 6) AS macro_f1, round(avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE END), 6) AS balanced_accuracy FROM cls GROUP BY seed, config"""))
 def stage_classification(spark, folder):
-    m = errors.classification_metrics(_snapshots(spark, folder), ["config"], "stage_true", "stage_pred")
-    return m.select("config", *rounded(["accuracy", "macro_f1", "balanced_accuracy"]))
+    m = errors.classification_metrics(_snapshots(spark, folder), ["seed", "config"], "stage_true", "stage_pred")
+    return m.select("seed", "config", *rounded(["accuracy", "macro_f1", "balanced_accuracy"]))
 
 
 @query("evaluation_record", sql("""
-SELECT f.dataset, f.config, f.asset_id, round(f.mae, 6) AS mae, round(f.rmse, 6) AS rmse, round(f.r2, 6) + 0.0::DOUBLE AS r2, round(f.mae_hours, 6) AS mae_hours, round(s.acc, 6) AS stage_acc, round(q.alpha_lambda, 6) AS alpha_lambda, round(q.horizon, 6) AS prognostic_horizon
-FROM fact f JOIN (SELECT config, asset_id, avg((st = sp)::INT) AS acc FROM snapv GROUP BY ALL) s ON s.config = f.config AND s.asset_id = f.asset_id LEFT JOIN prog q ON q.config = f.config AND q.asset_id = f.asset_id WHERE f.seed = 0"""))
+SELECT f.seed, f.dataset, f.config, f.asset_id, round(f.mae, 6) AS mae, round(f.rmse, 6) AS rmse, round(f.r2, 6) + 0.0::DOUBLE AS r2, round(f.mae_hours, 6) AS mae_hours, round(s.acc, 6) AS stage_acc, round(q.alpha_lambda, 6) AS alpha_lambda, round(q.horizon, 6) AS prognostic_horizon
+FROM fact f JOIN (SELECT seed, config, asset_id, avg((st = sp)::INT) AS acc FROM snapv GROUP BY ALL) s ON s.seed = f.seed AND s.config = f.config AND s.asset_id = f.asset_id LEFT JOIN prog q ON q.seed = f.seed AND q.config = f.config AND q.asset_id = f.asset_id"""))
 def evaluation_record(spark, folder):
-    """One wide record per (asset, configuration)."""
+    """One wide record per (asset, configuration, seed)."""
     facts, _ = _facts(spark, folder)
     pred, _ = _predictions(spark, folder)
-    acc = errors.classification_metrics(_snapshots(spark, folder), DAK, "stage_true", "stage_pred").select(*DAK, F.col("accuracy").alias("stage_acc"))
-    prog = errors.prognostic_metrics(pred.where("seed = 0"), DAK)
-    out = facts.where("seed = 0").join(acc, DAK).join(prog, DAK, "left")
-    return out.select(*DAK, *rounded(["mae", "rmse", "r2", "mae_hours", "stage_acc", "alpha_lambda", "prognostic_horizon"]))
+    acc = errors.classification_metrics(_snapshots(spark, folder), DAKS, "stage_true", "stage_pred").select(*DAKS, F.col("accuracy").alias("stage_acc"))
+    prog = errors.prognostic_metrics(pred, DAKS)
+    out = facts.join(acc, DAKS).join(prog, DAKS, "left")
+    return out.select(*DAKS, *rounded(["mae", "rmse", "r2", "mae_hours", "stage_acc", "alpha_lambda", "prognostic_horizon"]))
 
 
 # ------------------------------------------------------------------ summaries
@@ -276,11 +277,11 @@ def per_asset_appendix(spark, folder):
     return out.select("dataset", "asset_id", "config", "n", *rounded(["mae", "mae_hours"])).orderBy("dataset", "asset_id", "config")
 
 
-@query("distinct_and_value_counts", sql("SELECT config, count(DISTINCT asset_id) AS assets, count(DISTINCT sp) AS stages, sum((sp = 0)::INT)::BIGINT AS n_stage0, sum((sp = 3)::INT)::BIGINT AS n_stage3, sum((sp = st)::INT)::BIGINT || '/' || count(*) AS hits FROM snapv GROUP BY config"))
+@query("distinct_and_value_counts", sql("SELECT seed, config, count(DISTINCT asset_id) AS assets, count(DISTINCT sp) AS stages, sum((sp = 0)::INT)::BIGINT AS n_stage0, sum((sp = 3)::INT)::BIGINT AS n_stage3, sum((sp = st)::INT)::BIGINT || '/' || count(*) AS hits FROM snapv GROUP BY seed, config"))
 def distinct_and_value_counts(spark, folder):
     s = _snapshots(spark, folder)
     hit = F.sum((F.col("stage_pred") == F.col("stage_true")).cast("bigint"))
-    return s.groupBy("config").agg(
+    return s.groupBy("seed", "config").agg(
         F.countDistinct("asset_id").alias("assets"), F.countDistinct("stage_pred").alias("stages"),
         F.sum((F.col("stage_pred") == 0).cast("bigint")).alias("n_stage0"), F.sum((F.col("stage_pred") == 3).cast("bigint")).alias("n_stage3"),
         F.concat_ws("/", hit.cast("string"), F.count(F.lit(1)).cast("string")).alias("hits"),
@@ -288,85 +289,89 @@ def distinct_and_value_counts(spark, folder):
 
 
 @query("trajectory_penalties", sql("""
-SELECT config, round(avg(rough), 6) AS roughness, round(avg(down), 6) AS mean_decrease, round(avg(up), 6) AS mean_increase FROM (
-  SELECT config, asset_id, coalesce(avg(b * b), 0) AS rough, coalesce(avg(GREATEST(-d, 0)), 0) AS down, coalesce(avg(GREATEST(d, 0)), 0) AS up FROM (
-    SELECT config, asset_id, p - lag(p) OVER w AS d, p - 2 * lag(p) OVER w + lag(p, 2) OVER w AS b FROM snapped WINDOW w AS (PARTITION BY config, asset_id ORDER BY snapshot_id))
-  GROUP BY ALL) GROUP BY config""".replace("GREATEST(-d, 0)", "CASE WHEN d IS NOT NULL THEN GREATEST(-d, 0) END").replace("GREATEST(d, 0))", "CASE WHEN d IS NOT NULL THEN GREATEST(d, 0) END)")))
+SELECT seed, config, round(avg(rough), 6) AS roughness, round(avg(down), 6) AS mean_decrease, round(avg(up), 6) AS mean_increase FROM (
+  SELECT seed, config, asset_id, coalesce(avg(b * b), 0) AS rough, coalesce(avg(GREATEST(-d, 0)), 0) AS down, coalesce(avg(GREATEST(d, 0)), 0) AS up FROM (
+    SELECT seed, config, asset_id, p - lag(p) OVER w AS d, p - 2 * lag(p) OVER w + lag(p, 2) OVER w AS b FROM snapped WINDOW w AS (PARTITION BY seed, config, asset_id ORDER BY snapshot_id))
+  GROUP BY ALL) GROUP BY seed, config""".replace("GREATEST(-d, 0)", "CASE WHEN d IS NOT NULL THEN GREATEST(-d, 0) END").replace("GREATEST(d, 0))", "CASE WHEN d IS NOT NULL THEN GREATEST(d, 0) END)")))
 def trajectory_penalties(spark, folder):
     """Roughness and monotonicity penalties of the snapshot-level predicted trajectory."""
     from ..operators import quality
 
     s = _snapshots(spark, folder).withColumnRenamed("snapshot_id", "pos")
     _, ext = event_series(spark, folder)
-    per = quality.trajectory_penalties(s, ["config", "asset_id"], "y_pred", ext)
-    return per.groupBy("config").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("roughness", "mean_decrease", "mean_increase")])
+    per = quality.trajectory_penalties(s, ["seed", "config", "asset_id"], "y_pred", ext)
+    return per.groupBy("seed", "config").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("roughness", "mean_decrease", "mean_increase")])
 
 
 # ------------------------------------------------------------------ constants, conformal, hours
 @query("constant_predictors", sql("""
-SELECT dataset, predictor, round(avg(mae), 6) AS mae_mean, round(median(mae), 6) AS mae_median, round(avg(rmse), 6) AS rmse_mean FROM (
-  SELECT dataset, asset_id, 'constant_half' AS predictor, avg(abs(yt - 0.5)) AS mae, sqrt(avg(power(yt - 0.5, 2))) AS rmse FROM pred WHERE seed = 0 AND config = 'mean' GROUP BY ALL
-  UNION ALL SELECT dataset, asset_id, config, mae, rmse FROM fact WHERE seed = 0) GROUP BY ALL"""))
+SELECT seed, dataset, predictor, round(avg(mae), 6) AS mae_mean, round(median(mae), 6) AS mae_median, round(avg(rmse), 6) AS rmse_mean FROM (
+  SELECT seed, dataset, asset_id, 'constant_half' AS predictor, avg(abs(yt - 0.5)) AS mae, sqrt(avg(power(yt - 0.5, 2))) AS rmse FROM pred WHERE config = 'mean' GROUP BY ALL
+  UNION ALL SELECT seed, dataset, asset_id, config, mae, rmse FROM fact) GROUP BY ALL"""))
 def constant_predictors(spark, folder):
     facts, ext = _facts(spark, folder)
     series, _ = event_series(spark, folder)
     half = series.select("dataset", "asset_id", "pos", labels.capped_rul(F.col("pos"), F.col("n")).alias("y_true")).withColumn("y_pred", F.lit(0.5))
     half = errors.regression_metrics(half, ["dataset", "asset_id"]).withColumn("predictor", F.lit("constant_half"))
-    cols = ["dataset", "predictor", "mae", "rmse"]
-    both = half.select(*cols).unionByName(facts.where("seed = 0").withColumnRenamed("config", "predictor").select(*cols))
-    out = ordered.quantiles(both, ["dataset", "predictor"], {"mae_median": ("mae", 0.5)}, ext.assets, also=[F.avg("mae").alias("mae_mean"), F.avg("rmse").alias("rmse_mean")])
-    return out.select("dataset", "predictor", *rounded(["mae_mean", "mae_median", "rmse_mean"]))
+    half = half.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))  # the same for every seed
+    keys = ["seed", "dataset", "predictor"]
+    cols = [*keys, "mae", "rmse"]
+    both = half.select(*cols).unionByName(facts.withColumnRenamed("config", "predictor").select(*cols))
+    out = ordered.quantiles(both, keys, {"mae_median": ("mae", 0.5)}, ext.assets, also=[F.avg("mae").alias("mae_mean"), F.avg("rmse").alias("rmse_mean")])
+    return out.select(*keys, *rounded(["mae_mean", "mae_median", "rmse_mean"]))
 
 
 define("ring", "SELECT a.dataset, a.asset_id, b.asset_id AS cal FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY asset_id) - 1 AS p, count(*) OVER (PARTITION BY dataset) AS m FROM (SELECT DISTINCT dataset, asset_id FROM ev)) a JOIN (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY asset_id) - 1 AS p FROM (SELECT DISTINCT dataset, asset_id FROM ev)) b ON a.dataset = b.dataset AND b.p = (a.p + 1) % a.m AND a.asset_id <> b.asset_id")
 define("cq", """
-SELECT asset_id AS cal, al::DOUBLE AS alpha, count(*) AS m, max(CASE WHEN k = lo THEN r END) + (max(CASE WHEN k = hi THEN r END) - max(CASE WHEN k = lo THEN r END)) * max(ix - lo) AS q FROM (
+SELECT seed, asset_id AS cal, al::DOUBLE AS alpha, count(*) AS m, max(CASE WHEN k = lo THEN r END) + (max(CASE WHEN k = hi THEN r END) - max(CASE WHEN k = lo THEN r END)) * max(ix - lo) AS q FROM (
   SELECT *, floor(ix) AS lo, ceil(ix) AS hi FROM (SELECT *, round(LEAST(ceil(round((m + 1) * (1 - al::DOUBLE), 9)) / m, 1) * (m - 1), 9) AS ix FROM (
-    SELECT asset_id, abs(p - yt) AS r, row_number() OVER (PARTITION BY asset_id ORDER BY abs(p - yt), pos) - 1 AS k, count(*) OVER (PARTITION BY asset_id) AS m FROM pred WHERE seed = 0 AND config = 'xy'), (VALUES (0.2), (0.1)) t(al)))
+    SELECT seed, asset_id, abs(p - yt) AS r, row_number() OVER (PARTITION BY seed, asset_id ORDER BY abs(p - yt), pos) - 1 AS k, count(*) OVER (PARTITION BY seed, asset_id) AS m FROM pred WHERE config = 'xy'), (VALUES (0.2), (0.1)) t(al)))
 GROUP BY ALL""")
 
 
 @query("conformal_intervals", sql("""
-SELECT dataset, round(1 - alpha, 2) AS nominal, round(avg(picp), 6) AS picp_mean, round(median(picp), 6) AS picp_median, round(min(picp), 6) AS picp_min, round(avg(mpiw), 6) AS mpiw_mean, count(*) AS n FROM (
-  SELECT r.dataset, r.asset_id, alpha, avg(CASE WHEN round(abs(p.p - yt), 9) <= round(q, 9) THEN 1.0::DOUBLE ELSE 0 END) AS picp, avg(2 * q) AS mpiw FROM ring r JOIN cq USING (cal) JOIN pred p ON p.asset_id = r.asset_id AND p.seed = 0 AND p.config = 'xy' GROUP BY ALL) GROUP BY ALL"""))
+SELECT seed, dataset, round(1 - alpha, 2) AS nominal, round(avg(picp), 6) AS picp_mean, round(median(picp), 6) AS picp_median, round(min(picp), 6) AS picp_min, round(avg(mpiw), 6) AS mpiw_mean, count(*) AS n FROM (
+  SELECT p.seed, r.dataset, r.asset_id, alpha, avg(CASE WHEN round(abs(p.p - yt), 9) <= round(q, 9) THEN 1.0::DOUBLE ELSE 0 END) AS picp, avg(2 * q) AS mpiw FROM ring r JOIN cq USING (cal) JOIN pred p ON p.asset_id = r.asset_id AND p.seed = cq.seed AND p.config = 'xy' GROUP BY ALL) GROUP BY ALL"""))
 def conformal_intervals(spark, folder):
     """Split-conformal half-widths from the next asset's own held-out residuals."""
     pred, ext = _predictions(spark, folder)
-    rows = keep(pred.where((F.col("seed") == 0) & (F.col("config") == PROPOSED)).withColumn("res", F.abs(F.col("y_pred") - F.col("y_true"))))
-    pairs = errors.next_in_order(rows.where("pos = 0").select("dataset", "asset_id"), ["dataset"], ext.assets)
-    q = errors.conformal_quantile(rows.select(F.col("asset_id").alias("cal_asset"), "pos", "res"), ["cal_asset"], "res", (0.2, 0.1), ext)
-    mine = pairs.join(q, "cal_asset").select("asset_id", "alpha", "q")
+    rows = keep(pred.where(F.col("config") == PROPOSED).withColumn("res", F.abs(F.col("y_pred") - F.col("y_true"))))
+    pairs = errors.next_in_order(rows.where("pos = 0 AND seed = 0").select("dataset", "asset_id"), ["dataset"], ext.assets)
+    q = errors.conformal_quantile(rows.select("seed", F.col("asset_id").alias("cal_asset"), "pos", "res"), ["seed", "cal_asset"], "res", (0.2, 0.1), ext)
+    mine = pairs.join(q, "cal_asset").select("seed", "asset_id", "alpha", "q")
     inside = F.round("res", 9) <= F.round("q", 9)
-    per = rows.join(mine, "asset_id").groupBy("dataset", "asset_id", "alpha").agg(F.avg(inside.cast("double")).alias("picp"), F.avg(2 * F.col("q")).alias("mpiw"))
+    per = rows.join(mine, ["seed", "asset_id"]).groupBy("seed", "dataset", "asset_id", "alpha").agg(F.avg(inside.cast("double")).alias("picp"), F.avg(2 * F.col("q")).alias("mpiw"))
     out = ordered.quantiles(
-        per.withColumn("nominal", F.round(1 - F.col("alpha"), 2)), ["dataset", "nominal"], {"picp_median": ("picp", 0.5)}, ext.assets,
+        per.withColumn("nominal", F.round(1 - F.col("alpha"), 2)), ["seed", "dataset", "nominal"], {"picp_median": ("picp", 0.5)}, ext.assets,
         also=[F.avg("picp").alias("picp_mean"), F.min("picp").alias("picp_min"), F.avg("mpiw").alias("mpiw_mean"), F.count(F.lit(1)).alias("n")],
     )
-    return out.select("dataset", "nominal", *rounded(["picp_mean", "picp_median", "picp_min", "mpiw_mean"]), "n")
+    return out.select("seed", "dataset", "nominal", *rounded(["picp_mean", "picp_median", "picp_min", "mpiw_mean"]), "n")
 
 
 define("lives", "SELECT asset_id, max(n) AS n, (GREATEST(max(n) - 1, 1)) * 10 / 3600.0::DOUBLE AS life FROM ev GROUP BY asset_id")
 
 
 @query("deployable_hours", sql(f"""
-SELECT dataset, round(avg(err), 6) AS mae_norm_mean, round(median(err), 6) AS mae_norm_median, round(avg(err * life * 0.6::DOUBLE), 6) AS retrospective_mean, round(median(err * life * 0.6::DOUBLE), 6) AS retrospective_median,
+SELECT seed, dataset, round(avg(err), 6) AS mae_norm_mean, round(median(err), 6) AS mae_norm_median, round(avg(err * life * 0.6::DOUBLE), 6) AS retrospective_mean, round(median(err * life * 0.6::DOUBLE), 6) AS retrospective_median,
        round(avg(err * dep * 0.6::DOUBLE), 6) AS deployable_mean, round(median(err * dep * 0.6::DOUBLE), 6) AS deployable_median
-FROM (SELECT f.dataset, f.asset_id, mae AS err, life, dep FROM fact f JOIN lives USING (asset_id) JOIN (SELECT g AS fold_id, avg(life) AS dep FROM lives, generate_series(0, {FOLDS - 1}) t(g) WHERE asset_id % {FOLDS} <> g AND asset_id % {FOLDS} <> (g + 1) % {FOLDS} GROUP BY g) d ON d.fold_id = f.asset_id % {FOLDS} WHERE seed = 0 AND config = 'xy')
-GROUP BY dataset"""))
+FROM (SELECT f.seed, f.dataset, f.asset_id, mae AS err, life, dep FROM fact f JOIN lives USING (asset_id) JOIN (SELECT s AS seed, g AS fold_id, avg(life) AS dep FROM lives, generate_series(0, {SEEDS - 1}) q(s), generate_series(0, {FOLDS - 1}) t(g) WHERE (asset_id // (s + 1)) % {FOLDS} <> g AND (asset_id // (s + 1)) % {FOLDS} <> (g + 1) % {FOLDS} GROUP BY s, g) d ON d.seed = f.seed AND d.fold_id = (f.asset_id // (f.seed + 1)) % {FOLDS} WHERE config = 'xy')
+GROUP BY seed, dataset"""))
 def deployable_hours(spark, folder):
     """Errors in hours on the true life scale and on the mean training life, which is known online."""
     facts, ext = _facts(spark, folder)
     series, _ = event_series(spark, folder)
     lives = series.groupBy("asset_id").agg((labels.fail_at(F.max("n")) * F.lit(10.0) / F.lit(3600.0)).alias("life"))
-    roles = health.assign_roles(lives, FOLDS)
-    dep = F.broadcast(roles.where("role = 'train'").groupBy("fold_id").agg(F.avg("life").alias("dep")))  # one row per fold
-    per = facts.where((F.col("seed") == 0) & (F.col("config") == PROPOSED)).join(roles.where("role = 'test'"), "asset_id").join(dep, "fold_id")
+    dealt = lives.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
+    dealt = dealt.withColumn("bucket", F.pmod(F.floor(F.col("asset_id") / (F.col("seed") + 1)), F.lit(FOLDS)).cast("int"))
+    roles = health.assign_roles(dealt, FOLDS, "bucket")
+    dep = F.broadcast(roles.where("role = 'train'").groupBy("seed", "fold_id").agg(F.avg("life").alias("dep")))  # one row per seed and fold
+    per = facts.where(F.col("config") == PROPOSED).join(roles.where("role = 'test'"), ["seed", "asset_id"]).join(dep, ["seed", "fold_id"])
     per = per.withColumns({"retro": F.col("mae") * F.col("life") * 0.6, "deploy": F.col("mae") * F.col("dep") * 0.6})
     names = {"mae_norm": "mae", "retrospective": "retro", "deployable": "deploy"}
     out = ordered.quantiles(
-        per, ["dataset"], {f"{k}_median": (v, 0.5) for k, v in names.items()}, ext.assets, also=[F.avg(v).alias(f"{k}_mean") for k, v in names.items()]
+        per, ["seed", "dataset"], {f"{k}_median": (v, 0.5) for k, v in names.items()}, ext.assets, also=[F.avg(v).alias(f"{k}_mean") for k, v in names.items()]
     )
-    return out.select("dataset", *rounded([f"{k}_{t}" for k in names for t in ("mean", "median")]))
+    return out.select("seed", "dataset", *rounded([f"{k}_{t}" for k in names for t in ("mean", "median")]))
 
 
 @query("classical_hours_comparison", sql("""

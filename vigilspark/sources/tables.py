@@ -21,13 +21,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 @lru_cache(maxsize=64)
-def _measured(app: str, folder: str, name: str, key: str) -> Extent:
+def _measured(app: str, folder: str, name: str, key: str, files: int) -> Extent:
     return extent(table(SparkSession.getActiveSession(), folder, name).select(key), [key])
 
 
 def table_extent(spark: SparkSession, folder: str, name: str, key: str) -> Extent:
-    """Size of a stored table and of its largest key; measured once per application and folder."""
-    return _measured(spark.sparkContext.applicationId, folder, name, key)
+    """Size of a stored table and of its largest key; measured once per application and set of files."""
+    files = hash(tuple(sorted(table(spark, folder, name).inputFiles())))
+    return _measured(spark.sparkContext.applicationId, folder, name, key, files)
 
 
 def event_series(spark: SparkSession, folder: str) -> tuple[DataFrame, Extent]:
