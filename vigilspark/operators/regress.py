@@ -75,12 +75,13 @@ def linear_prediction(model: str, chosen) -> Column:
 def predictions(rows: DataFrame, features, target: str, configs: dict[str, list[str]], folds: int, seeds: int, alpha: float = 1.0) -> DataFrame:
     """Held-out predictions of every configuration and seed, long form (config, y_true, y_pred).
 
-    A seed re-deals assets to buckets. An empty feature list is the training mean.
+    A seed re-deals assets to buckets; these fits choose nothing, so they learn from every asset but the held-out
+    ones. An empty feature list is the training mean.
     """
     dealt = rows.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     dealt = dealt.withColumn("bucket", F.pmod(F.floor(F.col("asset_id") / (F.col("seed") + 1)), F.lit(folds)).cast("int"))
     parts = moments(dealt, ["seed", "bucket"], features, target)
-    train = merge_moments(assign_roles(parts, folds, "bucket").where("role = 'train'"), ["seed", "fold_id"], len(features))
+    train = merge_moments(assign_roles(parts, folds, "bucket").where("role <> 'test'"), ["seed", "fold_id"], len(features))
     for name, chosen in configs.items():
         train = ridge_by_fold(train, features, chosen, alpha, f"m_{name}")
     models = F.broadcast(train.drop("rows", "mean", "scatter"))  # seeds x folds rows
@@ -93,7 +94,7 @@ def predictions(rows: DataFrame, features, target: str, configs: dict[str, list[
 
 
 def tree_predictions(rows: DataFrame, features, target: str, folds: int, kind: str, trees: int, depth: int, seed: int = 42) -> DataFrame:
-    """Forest or boosted trees per fold, fitted by Spark ML on training assets, held-out predictions."""
+    """Forest or boosted trees per fold, fitted by Spark ML on all but the held-out assets, held-out predictions."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
@@ -106,7 +107,7 @@ def tree_predictions(rows: DataFrame, features, target: str, folds: int, kind: s
         else:
             model = GBTRegressor(featuresCol="_v", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed)
         mine = data.where(F.col("fold_id") == f)
-        fitted = model.fit(mine.where("role = 'train'").select("_v", target))
+        fitted = model.fit(mine.where("role <> 'test'").select("_v", target))
         got = fitted.transform(mine.where("role = 'test'")).withColumn("y_pred", clip(F.col("prediction"), 0, 1))
         got = got.drop("_v", "prediction", "role")
         out = got if out is None else out.unionByName(got)

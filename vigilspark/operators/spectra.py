@@ -96,12 +96,12 @@ def fault_frequencies(assets: DataFrame, shaft: str = "shaft_hz") -> DataFrame:
     return assets.select("*", pairs.alias("_f")).select(*assets.columns, "_f.fault", "_f.hz")
 
 
-def mean_spectrum(windows: DataFrame, keys, channels, most: int = 6) -> DataFrame:
-    """Mean envelope spectrum of the first windows of a snapshot, over all channels, as (bin, mag).
+def mean_spectrum(windows: DataFrame, keys, channels, most: int | None = None) -> DataFrame:
+    """Mean envelope spectrum of a snapshot's windows, over all channels, as (bin, mag).
 
-    Windows carry ``seq``, their number inside the snapshot.
+    With ``most``, of its first windows only, by ``seq``, their number inside the snapshot.
     """
-    first = windows.where(F.col("seq") < most)
+    first = windows if most is None else windows.where(F.col("seq") < most)
     spectra = first.select(*keys, F.explode(F.array(*[envelope_spectrum(c) for c in channels])).alias("_m"))
     return spectra.select(*keys, F.posexplode("_m").alias("bin", "_v")).groupBy(*keys, "bin").agg(F.avg("_v").alias("mag"))
 

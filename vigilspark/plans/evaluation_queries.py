@@ -25,7 +25,7 @@ define("dealt", f"SELECT *, CAST(s AS INT) AS seed, CAST((asset_id // (s + 1)) %
 define("mom", f"""
 SELECT d.seed, f::INT AS fold_id, count(*) AS m, avg(x) AS ax, avg(t) AS am, avg(pos) AS ap, avg(yt) AS ay, var_pop(x) AS vx, var_pop(t) AS vt, var_pop(pos) AS vp,
        covar_pop(x, t) AS cxt, covar_pop(x, pos) AS cxp, covar_pop(t, pos) AS ctp, covar_pop(x, yt) AS cxy, covar_pop(t, yt) AS cty, covar_pop(pos, yt) AS cpy
-FROM dealt d, generate_series(0, {FOLDS - 1}) g(f) WHERE d.fold_id <> f AND d.fold_id <> (f + 1) % {FOLDS} GROUP BY d.seed, f""")
+FROM dealt d, generate_series(0, {FOLDS - 1}) g(f) WHERE d.fold_id <> f GROUP BY d.seed, f""")
 define("rid", """
 SELECT *, m + 1 AS dg, m * cxt / sqrt(vx * vt) AS r12, m * cxp / sqrt(vx * vp) AS r13, m * ctp / sqrt(vt * vp) AS r23, m * cxy / sqrt(vx) AS c1, m * cty / sqrt(vt) AS c2, m * cpy / sqrt(vp) AS c3 FROM mom""")
 define("coef", """
@@ -86,7 +86,7 @@ def train_mean_predictor(spark, folder):
     rows = series.withColumn("y_true", labels.capped_rul(F.col("pos"), F.col("n"))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
     rows = rows.withColumn("bucket", F.pmod(F.floor(F.col("asset_id") / (F.col("seed") + 1)), F.lit(FOLDS)))
     parts = regress.moments(rows, ["seed", "bucket"], [], "y_true")
-    train = regress.merge_moments(health.assign_roles(parts, FOLDS, "bucket").where("role = 'train'"), ["seed", "fold_id"], 0)
+    train = regress.merge_moments(health.assign_roles(parts, FOLDS, "bucket").where("role <> 'test'"), ["seed", "fold_id"], 0)
     return train.select("seed", "fold_id", F.col("rows").cast("bigint").alias("n_rows"), F.round(F.col("mean")[0], 6).alias("prediction"))
 
 

@@ -242,7 +242,7 @@ FROM (SELECT *, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS h FROM dft64), gener
 define("mag64", """
 SELECT asset_id, win, ch, k AS bin, sqrt(power(sum(d * cos(2 * pi() * ((k * m) % 64) / 64)), 2) + power(sum(d * sin(2 * pi() * ((k * m) % 64) / 64)), 2)) AS mag
 FROM (SELECT *, e - avg(e) OVER (PARTITION BY asset_id, win, ch) AS d FROM env64), generate_series(0, 32) g(k) GROUP BY ALL""")
-define("spec64", "SELECT asset_id, win // 8 AS snapshot_id, bin, avg(mag) AS mag FROM mag64 WHERE win % 8 < 6 GROUP BY ALL")
+define("spec64", "SELECT asset_id, win // 8 AS snapshot_id, bin, avg(mag) AS mag FROM mag64 GROUP BY ALL")
 define("bands", f"SELECT asset_id, fault, h, k * fr * h AS fc FROM named, {FACTORS}, generate_series(1, 4) g(h) WHERE k * fr * h < 800")
 def _defect_sql(spec: str) -> str:
     case = lambda f: f"coalesce(sum(CASE WHEN fault = '{f}' THEN mag * mag END), 0) AS {f.lower()}"
@@ -273,8 +273,8 @@ def defect_frequencies(spark, folder):
 def _spectrum(spark, folder, per_snapshot=8):
     samples, _ = waveform_samples(spark, folder)
     cut = windowing.cut_windows(samples, LS, LS)
-    cut = cut.withColumns({"snapshot_id": F.floor(F.col("win") / per_snapshot), "seq": F.pmod("win", F.lit(per_snapshot))}).where("seq < 6")
-    arrays = windowing.window_arrays(cut, ["asset_id", "snapshot_id", "win", "seq"], CH)
+    cut = cut.withColumn("snapshot_id", F.floor(F.col("win") / per_snapshot))
+    arrays = windowing.window_arrays(cut, ["asset_id", "snapshot_id", "win"], CH)
     return spectra.mean_spectrum(arrays, ["asset_id", "snapshot_id"], CH)
 
 
