@@ -168,3 +168,21 @@ def test_majority_vote_and_classification(spark):
     assert {r.snap: r.p for r in s.collect()} == {1: 1, 2: 0}
     m = errors.classification_metrics(s, ["model"], "t", "p").first()
     assert m.accuracy == 0.5 and np.isclose(m.macro_f1, 1 / 3) and m.balanced_accuracy == 0.5
+
+
+def test_grid_of_thresholds_equals_one_threshold_at_a_time(spark):
+    grid = [-1.0, 0.1, 0.25, 0.25, 0.5, 0.7, 2.0]
+    values = [None, 0.2, 0.5, 0.5, 0.9, None, 0.1, 0.25, float("nan"), 0.0]
+    rows = [(g, p, len(values), values[(p + k) % len(values)]) for k, g in enumerate(["a", "b", None]) for p in range(len(values))]
+    df = spark.createDataFrame(rows + [("quiet", 0, 1, None)], "g string, pos long, n long, run_min double")
+    literal = F.array(*[F.lit(x) for x in grid])
+    got = alarms.first_over_grid(df, ["g"], literal, lambda p: p, len(grid), "p", q=1).collect()
+    want = []
+    for x in grid:
+        want += [(r.g, x, r["first"], r.n) for r in alarms.first_persistent(df, ["g"], F.lit(x), q=1).collect()]
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, want))
+
+
+def test_cadence_of_listed_and_unlisted_programmes(spark):
+    df = spark.createDataFrame([("ims",), ("other",), (None,)], "p string")
+    assert [r[0] for r in df.select(labels.cadence_of(F.col("p"), 2.0)).collect()] == [600.0, 2.0, 2.0]

@@ -1,7 +1,9 @@
 """Persistent alarms: ``q`` consecutive snapshots above a threshold.
 
 A run of ``q`` values above the threshold is the same as their minimum being above it, so the
-rolling minimum is computed once and serves every threshold of a grid.
+rolling minimum is computed once and serves every threshold of a grid. A grid never multiplies
+rows: a value gets its place in the grid, rows are aggregated by place, and only those sums are
+spread over the grid.
 """
 
 from __future__ import annotations
@@ -36,13 +38,42 @@ def with_run_minimum(rows: DataFrame, keys, value: str, ext: Extent, q: int = 3,
 def first_persistent(rows: DataFrame, keys, threshold: Column, q: int = 3, run_min: str = "run_min") -> DataFrame:
     """First index of a persistent exceedance per group, -1 when there is none.
 
-    Rows need ``run_min`` and ``n``; ``keys`` may include a threshold parameter the rows were
-    fanned out by - the fan-out feeds a map-side aggregate and is never shuffled.
+    Rows need ``run_min`` and ``n``. For a grid of thresholds use ``first_over_grid``.
     """
     start = F.when(F.col(run_min) > threshold, F.col("pos") - (q - 1))
     return rows.groupBy(*keys).agg(F.coalesce(F.min(start), F.lit(-1)).cast("bigint").alias("first"), F.max("n").alias("n"))
 
 
+def with_grid_place(rows: DataFrame, value: str, grid: Column, threshold, most: int, name: str = "_place") -> DataFrame:
+    """How many of the grid's thresholds lie below ``value``; NULL for a NULL value.
+
+    ``threshold`` maps a grid value to a threshold and must not fall along the grid, which holds at
+    most ``most`` values. A bisection with the very comparisons of the grid, so no rounding enters.
+    """
+    out = rows.withColumn(name, F.when(F.col(value).isNotNull(), F.lit(0)))
+    for bit in reversed(range(most.bit_length())):
+        step = 1 << bit
+        above = F.col(value) > threshold(F.get(grid, F.col(name) + F.lit(step - 1)))
+        out = out.withColumn(name, F.when(above, F.col(name) + F.lit(step)).otherwise(F.col(name)))
+    return out
+
+
+def first_over_grid(rows: DataFrame, keys, grid: Column, threshold, most: int, param: str, q: int = 3, run_min: str = "run_min") -> DataFrame:
+    """``first_persistent`` for every value of a grid, as one row per group and ``param``.
+
+    A threshold is passed at the earliest of the rows whose place lies beyond it: the shuffle carries
+    at most one row per group and place, whatever the length of the series. ``grid`` may depend on ``keys``.
+    """
+    keys = list(keys)
+    placed = with_grid_place(rows, run_min, grid, threshold, most)
+    ends = placed.groupBy(*keys, "_place").agg(F.min(F.col("pos") - (q - 1)).alias("_start"), F.max("n").alias("_n"))
+    ends = ends.groupBy(*keys).agg(F.collect_list(F.struct("_place", "_start")).alias("_ends"), F.max("_n").alias("n"))
+    out = ends.select(*keys, "n", "_ends", F.posexplode(grid).alias("_at", param))
+    beyond = F.filter("_ends", lambda e: e["_place"] > F.col("_at"))
+    first = F.coalesce(F.array_min(F.transform(beyond, lambda e: e["_start"])), F.lit(-1)).cast("bigint")
+    return out.select(*keys, param, first.alias("first"), "n")
+
+
 def healthy_level(rows: DataFrame, keys, value: str, fraction: float = 0.2) -> DataFrame:
     """Mean and population deviation of the healthy prefix (at least five snapshots)."""
     healthy = F.col("pos") < F.greatest(F.lit(5), F.floor(F.col("n") * F.lit(float(fraction))))
@@ -85,10 +116,13 @@ def select_parameter(scores: DataFrame, keys, param: str) -> DataFrame:
     return mean.groupBy(*keys).agg(best.alias(param), F.max("_f1").alias("train_f1"))
 
 
-def flag_metrics(rows: DataFrame, keys, flag: str, positive: Column) -> DataFrame:
-    """Snapshot-level precision, recall (NULL when undefined) and false-alarm rate of alarm flags."""
+def flag_metrics(rows: DataFrame, keys, flag: str, positive: Column, weight: Column | None = None) -> DataFrame:
+    """Snapshot-level precision, recall (NULL when undefined) and false-alarm rate of alarm flags.
+
+    ``weight``: how many snapshots a row stands for.
+    """
     on, pos = F.col(flag) == 1, positive
-    n = lambda c: F.sum(c.cast("bigint"))
+    n = lambda c: F.sum(c.cast("bigint") if weight is None else c.cast("bigint") * weight)
     agg = rows.groupBy(*keys).agg(
         n(on & pos).alias("tp"), n(on & ~pos).alias("fp"), n(~on & pos).alias("fn"), n(~pos).alias("healthy")
     )

@@ -41,6 +41,12 @@ def staged(value: Column, cuts) -> Column:
     return out.cast("int")
 
 
+def cadence_of(programme: Column, default: float = 1.0) -> Column:
+    """Seconds between snapshots of a recording programme; ``default`` for one that is not listed."""
+    known = F.create_map(*[F.lit(x) for pair in CADENCE_SECONDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, programme), F.lit(float(default)))
+
+
 def with_hours(rows: DataFrame, cadence: Column, onset: float = 0.4) -> DataFrame:
     """Absolute hours and the scale that turns a capped fraction into hours."""
     life = fail_at(F.col("n")) * cadence / F.lit(3600.0)

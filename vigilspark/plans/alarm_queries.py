@@ -173,9 +173,11 @@ FROM (SELECT round(0.05 + 0.05 * k, 6)::DOUBLE AS tau, sum(CASE WHEN v > round(0
 def pooled_pr_curve(spark, folder):
     rows, _ = _normed(spark, folder)
     stage = labels.staged(labels.degradation(F.col("pos"), F.col("n")), labels.STAGE_LIFE)
-    rows = rows.select("v", stage.alias("stage"), F.explode(linspace_grid(0.05, 19, 0.05)).alias("tau"))
-    rows = rows.withColumn("hit", (F.col("v") > F.col("tau")).cast("int"))
-    m = alarms.flag_metrics(rows, ["tau"], "hit", F.col("stage") >= 1)
+    grid = linspace_grid(0.05, 19, 0.05)
+    rows = alarms.with_grid_place(rows.select("v", (stage >= 1).alias("ill")), "v", grid, lambda tau: tau, 19)
+    counts = rows.groupBy("_place", "ill").agg(F.count(F.lit(1)).alias("w"))
+    counts = counts.select("*", F.posexplode(grid).alias("_at", "tau")).withColumn("hit", (F.col("_place") > F.col("_at")).cast("int"))
+    m = alarms.flag_metrics(counts, ["tau"], "hit", F.col("ill"), F.col("w"))
     return m.select("tau", F.round(F.coalesce("precision", F.lit(1.0)), 6).alias("precision"), F.round(F.coalesce("recall", F.lit(0.0)), 6).alias("recall"))
 
 
@@ -210,13 +212,13 @@ def _fanned(spark, folder):
     rows, _, ext = event_index(spark, folder, role=None)
     rows = keep(rows.select("fold_id", "role", "dataset", "asset_id", "pos", "n", "x", "y", "index"))
     ids = ["fold_id", "role", "dataset", "asset_id"]
-    idx = alarms.with_run_minimum(rows.drop("x", "y"), ["fold_id", "asset_id"], "index", ext).withColumn("p", F.explode(linspace_grid(*TAU)))
-    idx = alarms.first_persistent(idx, [*ids, "p"], F.col("p")).withColumn("family", F.lit("index"))
+    idx = alarms.with_run_minimum(rows.drop("x", "y"), ["fold_id", "asset_id"], "index", ext)
+    idx = alarms.first_over_grid(idx, ids, linspace_grid(*TAU), lambda p: p, TAU[1], "p").withColumn("family", F.lit("index"))
     series, _ = event_series(spark, folder)
     longs = long_indicators(series, ["asset_id", "pos", "n"], {"x": "x", "y": "y"}).withColumnRenamed("indicator", "family")
     level = alarms.healthy_level(longs, ["asset_id", "family"], "value")
     longs = alarms.with_run_minimum(longs, ["asset_id", "family"], "value", ext).join(level, ["asset_id", "family"])
-    sig = alarms.first_persistent(longs.withColumn("p", F.explode(linspace_grid(*SIGMA))), ["asset_id", "family", "p"], alarms.sigma_threshold(F.col("p")))
+    sig = alarms.first_over_grid(longs, ["asset_id", "family"], linspace_grid(*SIGMA), alarms.sigma_threshold, SIGMA[1], "p")
     roles = rows.where("pos = 0").select(*ids)
     sig = sig.join(roles, "asset_id")
     return idx.unionByName(sig)
@@ -320,9 +322,8 @@ def _curves(spark, folder):
     level = alarms.healthy_level(longs, keys, "value")
     longs = alarms.with_run_minimum(longs, keys, "value", ext).join(level, keys)
     grid = F.when(F.col("family") == "index", linspace_grid(0.05, 38, 0.025)).otherwise(linspace_grid(0.25, 160, 0.25))
-    longs = longs.withColumn("param", F.explode(grid))
-    thr = F.when(F.col("family") == "index", F.col("param")).otherwise(alarms.sigma_threshold(F.col("param")))
-    scored = alarms.alarm_scores(alarms.first_persistent(longs, [*keys, "param"], thr), alarms.onset_at(F.col("n"), F.lit(0.6)))
+    thr = lambda p: F.when(F.col("family") == "index", p).otherwise(alarms.sigma_threshold(p))
+    scored = alarms.alarm_scores(alarms.first_over_grid(longs, keys, grid, thr, 160, "param"), alarms.onset_at(F.col("n"), F.lit(0.6)))
     return scored.groupBy("dataset", "family", "param").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
 
 
@@ -388,6 +389,25 @@ def label_table(spark, folder):
     )
 
 
+@query(
+    "label_hours_by_cadence",
+    sql("""
+SELECT asset_id, pos, programme, cadence_s, round(GREATEST(n - 1, 1) * cadence_s / 3600.0::DOUBLE, 6) AS life_hours, round((GREATEST(n - 1, 1) - pos) * cadence_s / 3600.0::DOUBLE, 6) AS rul_hours
+FROM (SELECT *, CASE programme WHEN 'pronostia' THEN 10.0::DOUBLE WHEN 'xjtu_sy' THEN 60.0 WHEN 'mendeley' THEN 3600.0 WHEN 'ims' THEN 600.0 ELSE 1.0 END AS cadence_s FROM (
+  SELECT *, CASE condition WHEN 'click' THEN 'pronostia' WHEN 'view' THEN 'xjtu_sy' WHEN 'purchase' THEN 'ims' ELSE 'unlisted' END AS programme FROM ev WHERE condition IS NOT NULL))"""),
+)
+def label_hours_by_cadence(spark, folder):
+    """Absolute hours at the cadence of each recording programme; the programme here goes by the kind of event."""
+    rows, _ = event_series(spark, folder)
+    programme = F.lit("unlisted")
+    for kind, name in {"click": "pronostia", "view": "xjtu_sy", "purchase": "ims"}.items():
+        programme = F.when(F.col("condition") == kind, F.lit(name)).otherwise(programme)
+    rows = rows.where("condition IS NOT NULL").withColumn("programme", programme)
+    rows = rows.withColumn("cadence_s", labels.cadence_of(F.col("programme")))
+    out = labels.with_hours(rows, F.col("cadence_s"))
+    return out.select(*ID, "programme", "cadence_s", *rounded(["life_hours", "rul_hours"]))
+
+
 @query(
     "monotonicity_mechanism",
     sql(

@@ -449,8 +449,8 @@ def robustness_table(spark, folder, kinds=("clean", "gain", "drift", "snr20", "s
     held = applied.where("role = 'test'")
     longs = long_indicators(held, ["kind", "asset_id", "pos", "n"], {"index": "index", "abnormality": "E_norm", "rms": "rms_x", "kurtosis": "kurt_x"})
     summary = quality.quality_table(quality.asset_criteria(longs, ["kind", "indicator", "asset_id"], "value", ext), ["kind", "indicator"], ext.assets)
-    firsts = alarms.with_run_minimum(applied, ["fold_id", "asset_id"], "index", ext).withColumn("p", F.explode(linspace_grid(0.3, 13, 0.05)))
-    firsts = alarms.first_persistent(firsts, ["kind", "fold_id", "role", "asset_id", "p"], F.col("p"))
+    firsts = alarms.with_run_minimum(applied, ["fold_id", "asset_id"], "index", ext)
+    firsts = alarms.first_over_grid(firsts, ["kind", "fold_id", "role", "asset_id"], linspace_grid(0.3, 13, 0.05), lambda p: p, 13, "p")
     scored = keep(alarms.alarm_scores(firsts, alarms.onset_at(F.col("n"), F.lit(0.6))))
     best = alarms.select_parameter(scored.where("role = 'train'"), ["fold_id"], "p").select("fold_id", "p")
     test = scored.where("role = 'test'").join(F.broadcast(best), ["fold_id", "p"])  # one row per fold
