@@ -91,6 +91,12 @@ def use_checkpoints(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for tables a query writes and reads again."""
+    use_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def _lay_out(df: DataFrame, cols) -> DataFrame:
     """Add ``_place``, the global 0-based position under the order of ``cols`` (unique rows).
 
