@@ -154,3 +154,18 @@ def test_search_beats_its_own_random_start(spark):
     best = directions.best_linear_parameter(std, cols, EXT, candidates=40, rounds=3).toPandas().set_index("fold_id").sort_index()
     assert (best.fitness >= start - 1e-12).all()
     assert np.allclose(best.weights.map(lambda w: np.linalg.norm(w)), 1.0)
+
+
+def test_folds_of_one_dataset_ignore_the_other(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame([(a, p, 12, float(rng.random()), float(rng.random())) for a in range(12) for p in range(12)], columns=["asset_id", "pos", "n", "E", "C"])
+    other = pdf.assign(E=pdf.E.where(pdf.asset_id % 2 == 0, pdf.E * 100 + 7))
+
+    def fitted(frame):
+        out = health.fit_index(spark.createDataFrame(frame), 3, Extent(1000, 200), dataset=F.pmod("asset_id", F.lit(2)))
+        return out.toPandas().sort_values("fold_id").set_index("fold_id")
+
+    a, b = fitted(pdf), fitted(other)
+    assert list(a.index) == [0, 1, 2, 3, 4, 5]
+    assert a.loc[:2].equals(b.loc[:2])
+    assert (a.loc[3:, "E_hi"] != b.loc[3:, "E_hi"]).all()

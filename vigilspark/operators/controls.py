@@ -32,10 +32,10 @@ def clipped_score(c: str) -> Column:
     return clip((F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + EPS), -5, 5)
 
 
-def conditioning_table(components: DataFrame, features, folds: int, ext: Extent) -> DataFrame:
+def conditioning_table(components: DataFrame, features, folds: int, ext: Extent, dataset: Column | None = None) -> DataFrame:
     """Every conditioning column of every asset in every fold, fitted on training assets only."""
     cols = ["dataset", "asset_id", "pos", "n", "E", "C", *features]
-    rows = assign_roles(components.select(*cols), folds)
+    rows = assign_roles(components.select(*cols), folds, dataset=dataset)
     train = rows.where("role = 'train'")
     params = fit_both(train, ext)
     stats = F.broadcast(fold_feature_stats(train, features))  # one row per fold
@@ -56,9 +56,9 @@ def conditioning_table(components: DataFrame, features, folds: int, ext: Extent)
     return out.join(saturation(out, keys), keys)
 
 
-def fold_record(components: DataFrame, folds: int, ext: Extent) -> DataFrame:
+def fold_record(components: DataFrame, folds: int, ext: Extent, dataset: Column | None = None) -> DataFrame:
     """One record per fold: frozen parameters of both objectives, training size, held-out saturation."""
-    rows = assign_roles(components.select("asset_id", "pos", "n", "n_base", "E", "C"), folds)
+    rows = assign_roles(components.select("asset_id", "pos", "n", "n_base", "E", "C"), folds, dataset=dataset)
     train = rows.where("role = 'train'")
     params = fit_both(train, ext)
     longest = train.groupBy("fold_id").agg(F.max("n").alias("H_max_train"))

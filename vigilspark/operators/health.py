@@ -213,8 +213,12 @@ def raw_components(
 
 
 # ------------------------------------------------------------------ fold fit
-def assign_roles(rows: DataFrame, folds: int, group: str = "asset_id") -> DataFrame:
-    """Fan each row out to its role in every fold: one bucket held out, the next for validation."""
+def assign_roles(rows: DataFrame, folds: int, group: str = "asset_id", dataset: Column | None = None) -> DataFrame:
+    """Fan each row out to its role in every fold: one bucket held out, the next for validation.
+
+    ``dataset`` numbers the datasets from 0. Each then has folds of its own, numbered from
+    ``dataset * folds``, and nothing fitted by fold sees another dataset's rows.
+    """
     bucket = F.pmod(F.col(group), F.lit(folds))
     out = rows.withColumn("fold_id", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     role = (
@@ -222,7 +226,10 @@ def assign_roles(rows: DataFrame, folds: int, group: str = "asset_id") -> DataFr
         .when(bucket == F.pmod(F.col("fold_id") + 1, F.lit(folds)), "val")
         .otherwise("train")
     )
-    return out.withColumn("role", role)
+    out = out.withColumn("role", role)
+    if dataset is None:
+        return out
+    return out.withColumn("fold_id", (dataset * F.lit(folds) + F.col("fold_id")).cast("int"))
 
 
 def train_bounds(train: DataFrame, ext: Extent, lo: float = 1.0, hi: float = 99.0) -> DataFrame:
@@ -231,9 +238,9 @@ def train_bounds(train: DataFrame, ext: Extent, lo: float = 1.0, hi: float = 99.
     return quantiles(train.select("fold_id", "E", "C"), ["fold_id"], wanted, ext.pooled)
 
 
-def training_rows(components: DataFrame, folds: int, group: str = "asset_id") -> DataFrame:
+def training_rows(components: DataFrame, folds: int, group: str = "asset_id", dataset: Column | None = None) -> DataFrame:
     cols = dict.fromkeys(["asset_id", group, "pos", "n", "E", "C"])
-    return assign_roles(components.select(*cols), folds, group).where("role = 'train'")
+    return assign_roles(components.select(*cols), folds, group, dataset).where("role = 'train'")
 
 
 def _small(params: DataFrame) -> DataFrame:
@@ -289,8 +296,8 @@ def fit_both(train: DataFrame, ext: Extent) -> DataFrame:
     return pick_weight(weight_sweep(scores)).join(mono, "fold_id").join(bounds, "fold_id")
 
 
-def fit_index(components: DataFrame, folds: int, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0) -> DataFrame:
-    return fit_on(training_rows(components, folds), ext, objective, lo, hi)
+def fit_index(components: DataFrame, folds: int, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0, dataset: Column | None = None) -> DataFrame:
+    return fit_on(training_rows(components, folds, dataset=dataset), ext, objective, lo, hi)
 
 
 def apply_index(rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import rounded
 from ..operators import alarms, composite, controls, directions, health, labels, ordered, quality
 from ..operators.ordered import keep
-from ..sources.tables import KEY, event_series
+from ..sources.tables import KEY, dataset_number, event_series
 from .pipelines import FEATURES, event_components, event_index, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, define, sql
@@ -246,7 +246,7 @@ WINDOW w AS (PARTITION BY a.fold_id, a.asset_id ORDER BY a.pos)"""),
 def conditioning_columns(spark, folder):
     """Index, its derivatives and every control, for all assets in all folds."""
     comp, ext = event_components(spark, folder)
-    out = controls.conditioning_table(comp, FEATURES, FOLDS, ext)
+    out = controls.conditioning_table(comp, FEATURES, FOLDS, ext, dataset=dataset_number())
     exact = rounded(["index", "index_vel", "index_acc", "index_shuf"], 9)
     names = ["index_mono", "index_rand", "elapsed_norm", "deg_oracle", "hc_x", "hc_y", "sat_frac"]
     return out.select("fold_id", *ID, F.round("E_norm", 6).alias("e_norm"), F.round("C_norm", 6).alias("c_norm"), *exact, *rounded(names))
@@ -257,7 +257,7 @@ SELECT fold_id, asset_id, pos, round(ar * en + (1 - ar) * cn, 6) AS index_rand
 FROM (SELECT *, ('0x' || substr(md5(fold_id || '|' || asset_id || '|rand'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS ar FROM normed WHERE role = 'test')"""))
 def random_weight_index(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.assign_roles(comp.select(*ID, "n", "E", "C"), FOLDS)
+    rows = health.assign_roles(comp.select(*ID, "n", "E", "C"), FOLDS, dataset=dataset_number())
     held = health.scale_by_fold(rows.where("role = 'test'"), health.train_bounds(rows.where("role = 'train'"), ext))
     a = controls.random_weight(F.col("fold_id"), F.col("asset_id"))
     return held.select("fold_id", *ID, F.round(a * F.col("E_norm") + (F.lit(1.0) - a) * F.col("C_norm"), 6).alias("index_rand"))
@@ -275,7 +275,7 @@ def shuffled_series(spark, folder):
 SELECT fold_id, asset_id, pos, round(pos / GREATEST(hmax, 1)::DOUBLE, 6) AS elapsed_norm, round(pos / GREATEST(n - 1, 1)::DOUBLE, 6) AS deg_oracle FROM roles JOIN fstat USING (fold_id) WHERE role = 'test'"""))
 def elapsed_and_life_fraction(spark, folder):
     series, _ = event_series(spark, folder)
-    rows = health.assign_roles(series.select(*ID, "n"), FOLDS)
+    rows = health.assign_roles(series.select(*ID, "n"), FOLDS, dataset=dataset_number())
     longest = F.broadcast(rows.where("role = 'train'").groupBy("fold_id").agg(F.max("n").alias("h")))  # one row per fold
     out = rows.where("role = 'test'").join(longest, "fold_id")
     return out.select(
@@ -291,7 +291,7 @@ FROM roles JOIN fstat USING (fold_id) WHERE role = 'test'"""))
 def scored_features(spark, folder):
     """Features on the training scale of the fold, clipped at five deviations."""
     series, _ = event_series(spark, folder)
-    rows = health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS)
+    rows = health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS, dataset=dataset_number())
     stats = F.broadcast(controls.fold_feature_stats(rows.where("role = 'train'"), FEATURES))  # one row per fold
     out = rows.where("role = 'test'").join(stats, "fold_id")
     return out.select("fold_id", *ID, *[F.round(controls.clipped_score(c), 6).alias(f"hc_{c}") for c in FEATURES])
@@ -304,7 +304,7 @@ FROM picked p JOIN picked_mono USING (fold_id) JOIN bounds USING (fold_id) JOIN
 JOIN (SELECT fold_id, avg(CASE WHEN e_lin > 1 OR e_lin < 0 THEN 1.0::DOUBLE ELSE 0 END) AS sat, max(n_base) AS nb FROM normed WHERE role = 'test' GROUP BY fold_id) USING (fold_id)"""))
 def fold_parameter_record(spark, folder):
     comp, ext = event_components(spark, folder)
-    r = controls.fold_record(comp, FOLDS, ext)
+    r = controls.fold_record(comp, FOLDS, ext, dataset=dataset_number())
     return r.select(
         "fold_id", "n_train", F.col("H_max_train").alias("h_max_train"), "a", "b", *rounded(["fitness"]), "a_mono", "b_mono",
         *[F.round(c, 6).alias(c.lower()) for c in ("E_lo", "E_hi", "C_lo", "C_hi")], *rounded(["holdout_sat_frac"]), "holdout_n_baseline",
@@ -316,11 +316,11 @@ SELECT count(*) AS n_folds, round(median(a), 6) AS a_median, round(quantile_cont
        round(median(b), 6) AS b_median, round(median(p.fitness), 6) AS fitness_median, round(median(am), 6) AS a_mono_median FROM picked p JOIN picked_mono USING (fold_id)"""))
 def weight_distribution(spark, folder):
     comp, ext = event_components(spark, folder)
-    r = controls.fold_record(comp, FOLDS, ext).withColumn("_all", F.lit(0))
+    r = controls.fold_record(comp, FOLDS, ext, dataset=dataset_number()).withColumn("_all", F.lit(0))
     out = ordered.quantiles(
         r, ["_all"],
         {"a_median": ("a", 0.5), "a_q25": ("a", 0.25), "a_q75": ("a", 0.75), "b_median": ("b", 0.5), "fitness_median": ("fitness", 0.5), "a_mono_median": ("a_mono", 0.5)},
-        ordered.Extent(FOLDS, FOLDS), also=[F.count(F.lit(1)).alias("n_folds"), F.min("a").alias("a_min"), F.max("a").alias("a_max")],
+        ordered.Extent(2 * FOLDS, 2 * FOLDS), also=[F.count(F.lit(1)).alias("n_folds"), F.min("a").alias("a_min"), F.max("a").alias("a_max")],
     )
     return out.select("n_folds", *rounded(["a_median", "a_q25", "a_q75"]), "a_min", "a_max", *rounded(["b_median", "fitness_median", "a_mono_median"]))
 
@@ -330,7 +330,7 @@ SELECT a, round(avg(fitness), 6) AS mean, round(stddev_samp(fitness), 6) AS std,
 def weight_sweep_summary(spark, folder):
     """Mean and spread of the sweep over folds; the plateau lies within 0.02 of the best mean."""
     comp, ext = event_components(spark, folder)
-    rows = health.training_rows(comp, FOLDS)
+    rows = health.training_rows(comp, FOLDS, dataset=dataset_number())
     sweep = health.weight_sweep(health.fitness_per_asset(health.scale_by_fold(rows, health.train_bounds(rows, ext)), ext))
     agg = sweep.groupBy("a").agg(F.round(F.avg("fitness"), 9).alias("_m"), F.round(F.stddev_samp("fitness"), 6).alias("std"), F.count(F.lit(1)).alias("count"))
     best = F.broadcast(agg.agg(F.max("_m").alias("_best")))  # a single row
@@ -371,7 +371,7 @@ SELECT fold_id, asset_id, pos, round(CASE WHEN rho < 0 THEN -pc1 ELSE pc1 END, 6
 )
 def principal_component_index_by_fold(spark, folder):
     series, ext = event_series(spark, folder)
-    rows = keep(health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS))
+    rows = keep(health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS, dataset=dataset_number()))
     return directions.pca_index_by_fold(rows, FEATURES, ext).select("fold_id", *ID, *rounded(["pca_index"]))
 
 
@@ -394,7 +394,7 @@ def principal_component_index_by_asset(spark, folder):
 
 def _standard_train(spark, folder):
     series, ext = event_series(spark, folder)
-    rows = health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS)
+    rows = health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS, dataset=dataset_number())
     return keep(directions.standardise_by_fold(rows.where("role = 'train'"), rows.where("role = 'train'"), FEATURES)), ext
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
 from ..operators import health, quality
-from ..sources.tables import KEY, event_series
+from ..sources.tables import KEY, dataset_number, event_series
 from .pipelines import FEATURES, event_components, event_index, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, sql
@@ -138,13 +138,13 @@ def raw_components(spark, folder):
 @query("fold_bounds", sql("SELECT fold_id, round(e_lo, 6) AS e_lo, round(e_hi, 6) AS e_hi, round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM bounds"))
 def fold_bounds(spark, folder):
     comp, ext = event_components(spark, folder)
-    b = health.train_bounds(health.training_rows(comp, FOLDS), ext)
+    b = health.train_bounds(health.training_rows(comp, FOLDS, dataset=dataset_number()), ext)
     return b.select("fold_id", *[F.round(c, 6).alias(c.lower()) for c in ("E_lo", "E_hi", "C_lo", "C_hi")])
 
 
 def _scores(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.training_rows(comp, FOLDS)
+    rows = health.training_rows(comp, FOLDS, dataset=dataset_number())
     return health.fitness_per_asset(health.scale_by_fold(rows, health.train_bounds(rows, ext)), ext)
 
 
@@ -177,6 +177,6 @@ def index_apply(spark, folder):
 )
 def index_saturation(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS).where("role = 'test'")
-    scaled = health.scale_by_fold(rows, health.train_bounds(health.training_rows(comp, FOLDS), ext))
+    rows = health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS, dataset=dataset_number()).where("role = 'test'")
+    scaled = health.scale_by_fold(rows, health.train_bounds(health.training_rows(comp, FOLDS, dataset=dataset_number()), ext))
     return health.saturation(scaled, ["fold_id", "asset_id"]).select("fold_id", "asset_id", *rounded(["sat_frac"]))

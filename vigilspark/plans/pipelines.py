@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import health
 from ..operators.ordered import Extent, keep
-from ..sources.tables import KEY, event_series
+from ..sources.tables import KEY, dataset_number, event_series
 from .sqlkit import FOLDS
 
 FEATURES = ["x", "y"]
@@ -21,9 +21,9 @@ def event_components(spark, folder, estimator: str = "diagonal", **options) -> t
 def event_index(spark, folder, role: str | None = "test", objective: str = "mono+corr"):
     """Frozen index of every asset on its held-out fold (or all roles), with its parameters."""
     comp, ext = event_components(spark, folder)
-    params = keep(health.fit_index(comp, FOLDS, ext, objective))
+    params = keep(health.fit_index(comp, FOLDS, ext, objective, dataset=dataset_number()))
     cols = ["dataset", "asset_id", "pos", "n", "n_base", "x", "y", "E", "C"]
-    rows = health.assign_roles(comp.select(*cols), FOLDS)
+    rows = health.assign_roles(comp.select(*cols), FOLDS, dataset=dataset_number())
     if role:
         rows = rows.where(F.col("role") == role)
     return health.apply_index(rows, params), params, ext

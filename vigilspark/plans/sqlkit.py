@@ -75,7 +75,7 @@ SELECT zz.dataset, zz.asset_id, zz.pos, zz.n, zz.n_base, x, y,
 FROM zz JOIN zmom USING (asset_id) JOIN changes ON changes.asset_id = zz.asset_id AND changes.pos = zz.pos""")
 
 define("roles", f"""
-SELECT comp.*, CAST(f AS INT) AS fold_id,
+SELECT comp.*, CAST((asset_id % 2) * {FOLDS} + f AS INT) AS fold_id,
        CASE WHEN asset_id % {FOLDS} = f THEN 'test' WHEN asset_id % {FOLDS} = (f + 1) % {FOLDS} THEN 'val' ELSE 'train' END AS role
 FROM comp, generate_series(0, {FOLDS - 1}) g(f)""")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import Extent, extent, position
@@ -31,6 +31,11 @@ def table_extent(spark: SparkSession, folder: str, name: str, key: str) -> Exten
     return _measured(spark.sparkContext.applicationId, folder, name, key, files)
 
 
+def dataset_number() -> Column:
+    """Number of an event asset's dataset, the digit in its name."""
+    return F.pmod("asset_id", F.lit(2))
+
+
 def event_series(spark: SparkSession, folder: str) -> tuple[DataFrame, Extent]:
     """One snapshot per event: x is the value, y the numeric property, ordered by (ts, event_id)."""
     ext = table_extent(spark, folder, "events", "user_id")
