@@ -304,6 +304,66 @@ def test_license_rules(spark):
     assert out[2].labels == "gpl-2.0" and out[2].score == 1.0 and out[3].labels == "" and out[3].score == 0 and out[4].n_base == 3000
 
 
+def _variants(regex):
+    """Strings that match a rule: each alternative of each group once, options left out and taken."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(items):
+        out = [""]
+        for op, x in items:
+            if op is c.LITERAL:
+                own = [chr(x)]
+            elif op is c.IN:
+                first = x[0][1]
+                own = ["ing"] if x[0][0] is c.CATEGORY else [chr(first[0] if isinstance(first, tuple) else first)]
+            elif op is c.BRANCH:
+                own = [v for branch in x[1] for v in of(branch)]
+            elif op is c.SUBPATTERN:
+                own = of(x[3])
+            elif op is c.MAX_REPEAT:
+                own = [*[""] * (x[0] == 0), *of(x[2])]
+            else:
+                assert op is c.AT
+                own = [""]
+            out = [out[min(k, len(out) - 1)] + own[min(k, len(own) - 1)] for k in range(max(len(out), len(own)))]
+        return out
+
+    return list(dict.fromkeys(of(_parser.parse(regex))))
+
+
+def test_no_license_match_is_lost_before_the_regexes(spark):
+    rules, keywords = licenses.signature_rules(), licenses.rule_keywords()
+    assert len(rules) == len(keywords)
+    texts = []
+    for (_, label, _, _, _, regex), own in zip(rules, keywords):
+        for v in _variants(regex):
+            assert re.fullmatch(regex, v) and any(k in v for k in own), (label, v)
+            texts.append(v)
+    names = [name for _, _, name, _ in licenses.FAMILIES]
+    assert all(any(k in v for k in licenses.KEYWORDS[f[0]]) for f, name in zip(licenses.FAMILIES, names) for v in _variants(name))
+    bodies = {
+        "isc": "Permission to use, copy, modify, and/or distribute this\n    software for any purpose with or without fee is hereby granted.",
+        "mit": "Permission is hereby granted, free of charge, to any person\n obtaining a copy of this software and associated files.",
+        "bsd": "Redistribution and use in source and binary forms, with or\n without modification, are permitted.",
+        "bsd-3-clause": "Released under BSD-3-Clause",
+        "cc-by": "Published under Creative Commons\tAttribution 4.0 International",
+        "eupl-1.2": "European Union Public Licence",
+        "cddl-1.0": "Common Development and Distribution License",
+    }
+    more = [("mit", "Expat License")]
+    rows = [*enumerate(texts), *[(len(texts) + k, t) for k, (_, t) in enumerate([*bodies.items(), *more])]]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", text.lower())
+        hits = [(m.start(), m.end(), p, -k, label) for k, label, _, p, _, regex in rules for m in re.finditer(regex, t)]
+        want = {h[4] for h in hits if not any(g[0] <= h[0] and g[1] >= h[1] and (g[2:4] > h[2:4] if g[:2] == h[:2] else g[2] >= h[2]) for g in hits)}
+        assert want and want <= set(got[doc].split(",")) <= want | {"mit", "apache", "gpl"}, text
+    token = spark.createDataFrame([(0, 'token = "bee4a2827eb113d73cb298acc0f727ef99bdc461"')], "doc_id long, text string")
+    assert licenses.scan(token).first().labels == ""
+    assert all(label in got[len(texts) + k].split(",") for k, (label, _) in enumerate([*bodies.items(), *more]))
+
+
 def test_pipeline_equals_brute_force(spark):
     import public_tokenizers
     import tiktoken

@@ -1,7 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter, overlaps settled by priority and containment.
 
-1. Gate: a text without any gate word is done after its word count.
-2. Prefilter: a gated text meets only the rules whose keyword it contains.
+1. Gate: a text that holds no keyword of any rule, white space collapsed, is done after its word count.
+2. Prefilter: other texts meet only the rules of which they hold a keyword. Every match of a rule holds one of the
+   rule's keywords (``rule_keywords``), so neither step loses a detection. The SQL still has one keyword a rule and the
+   narrower ``GATE``; on texts that only the keywords here let through the two differ.
 3. Every match of a rule is a detection (start, end, priority). A detection that lies inside another one of the same
    or a higher priority is suppressed; of equal spans the rule that stands first stays.
 4. Labels of what is left join the labels of the base phrases.
@@ -10,7 +12,7 @@ Cases: NULL or empty text has no words, no labels and score 0. Repeated rows (sa
 each. Ties between rules are settled by their order. Extra columns are not read.
 
 No Python runs on the data. The rules are a constant of this module (their count is fixed), so they are broadcast.
-Only gated texts reach the regexes; what is shuffled are detections and one digest row per document.
+Only texts with a keyword reach the regexes; what is shuffled are detections and one digest row per document.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text that is not lower-cased yet.
 WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE_PHRASES = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])]
+#: Gate of the SQL; the operator's gate follows from ``rule_keywords``.
 GATE = r"(?i)(licen[cs]e|spdx|public domain|copyleft|creative commons|\bcc.by|\bcc0|redistribution and use|all rights reserved|permission is hereby granted)"
 
-#: (label, keyword, name of the license as a regex, SPDX identifier as a regex); versions are spelled out by the name.
+#: (label, keyword in the SQL, name of the license as a regex, SPDX identifier as a regex); versions are spelled out by the name.
 FAMILIES = [
     ("agpl-3.0", "affero", r"(gnu )?affero general public licen[cs]e(,? (version |v\.? ?)?3(\.0)?)?", r"agpl-3\.0(-only|-or-later)?"),
     ("apache-1.1", "apache", r"apache( software)? licen[cs]e,? (version |v\.? ?)?1\.1", r"apache-1\.1"),
@@ -77,6 +80,49 @@ FRAMES = [
     (30, 0.9, r"licen[cs]e ?: ?(the )?{name}"),
     (10, 0.8, r"{name}"),
 ]
+_CC = ("cc by", "cc-by", "cc attribution", "cc-attribution", "creative commons by", "creative commons attribution")
+#: Keywords of the families: every match of a name holds one of them, whichever alternatives it takes.
+KEYWORDS = {
+    "agpl-3.0": ("affero general public licen",),
+    "apache-1.1": ("apache licen", "apache software licen"),
+    "apache-2.0": ("apache licen", "apache software licen"),
+    "artistic-2.0": ("artistic licen",),
+    "bsd-2-clause": ("bsd 2", "bsd-2", "simplified bsd", "freebsd"),
+    "bsd-3-clause": ("bsd 3", "bsd-3", "new bsd", "modified bsd", "revised bsd"),
+    "bsl-1.0": ("boost software licen",),
+    "cc0-1.0": ("cc0",),
+    "cc-by": _CC,
+    "cc-by-nc": _CC,
+    "cc-by-nd": _CC,
+    "cc-by-sa": _CC,
+    "cc-by-nc-sa": _CC,
+    "cc-by-nc-nd": _CC,
+    "cddl-1.0": ("cddl", "common development and distribution licen"),
+    "epl-1.0": ("eclipse public licen",),
+    "epl-2.0": ("eclipse public licen",),
+    "eupl-1.2": ("eupl", "european union public licen"),
+    "gpl-1.0": ("general public licen",),
+    "gpl-2.0": ("general public licen",),
+    "gpl-3.0": ("general public licen",),
+    "lgpl-2.1": ("lesser general public licen",),
+    "lgpl-3.0": ("lesser general public licen",),
+    "lgpl-2.0": ("library general public licen",),
+    "gfdl": ("free documentation licen",),
+    "isc": ("isc licen",),
+    "mit": ("mit licen", "expat licen"),
+    "mpl-1.1": ("mozilla public licen",),
+    "mpl-2.0": ("mozilla public licen",),
+    "ms-pl": ("microsoft public licen",),
+    "odbl-1.0": ("open database licen",),
+    "ofl-1.1": ("open font licen",),
+    "openssl": ("openssl licen",),
+    "postgresql": ("postgresql licen",),
+    "psf-2.0": ("python software foundation licen",),
+    "unlicense": ("unlicense",),
+    "wtfpl": ("do what the f",),
+    "zlib": ("zlib licen", "zlib/libpng licen"),
+}
+SPDX = "spdx-license-identifier"
 #: Rules with wording of their own: (label, keyword, priority, confidence, regex).
 SINGLE = [
     ("mit", "permission is hereby", 50, 0.99, r"permission is hereby granted, free of charge, to any person obtaining a copy"),
@@ -102,6 +148,12 @@ def signature_rules() -> list[tuple[int, str, str, int, float, str]]:
     return [(k, *rule) for k, rule in enumerate(rules)]
 
 
+def rule_keywords() -> list[tuple[str, ...]]:
+    """Keywords of every rule, in the order of ``signature_rules``."""
+    named = [KEYWORDS[label] for label, *_ in FAMILIES for _ in FRAMES]
+    return [*named, *[(SPDX,) for _ in FAMILIES], *[(word,) for _, word, *_ in SINGLE]]
+
+
 def _spans(rule: str = "regex"):
     """Every match of a rule in ``t`` as (start, end): lengths of the pieces between matches and of the matches add up."""
     hits = F.regexp_extract_all("t", F.col(rule), F.lit(0))
@@ -113,13 +165,13 @@ def _spans(rule: str = "regex"):
 
 
 def detections(docs: DataFrame) -> DataFrame:
-    """(id, th, label, priority, confidence, s, e): matches that no other match suppresses, over gated texts."""
+    """(id, th, label, priority, confidence, s, e): matches that no other match suppresses."""
     spark = docs.sparkSession
-    rules = spark.createDataFrame(signature_rules(), "ord int, label string, keyword string, priority int, confidence double, regex string")
-    keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in signature_rules()})])
-    gated = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("t")).where(F.rlike("t", F.lit(GATE)))
-    gated = gated.select("id", "th", F.regexp_replace(lower_ascii(F.col("t")), r"[\x20\x09-\x0D]+", " ").alias("t"))
-    met = gated.select("id", "th", "t", F.explode(F.filter(keywords, lambda k: F.contains(F.col("t"), k))).alias("keyword"))
+    words = rule_keywords()
+    rules = spark.createDataFrame([(k, label, "|".join(words[k]), p, conf, regex) for k, label, _, p, conf, regex in signature_rules()], "ord int, label string, keyword string, priority int, confidence double, regex string")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.regexp_replace(lower_ascii(text_or_empty()), r"[\x20\x09-\x0D]+", " ").alias("t"))
+    keywords = F.array(*[F.when(_any([_held(x) for x in own]), F.lit("|".join(own))) for own in sorted(set(words))])
+    met = texts.select("id", "th", "t", F.explode(F.filter(keywords, lambda k: k.isNotNull())).alias("keyword"))
     hits = met.join(F.broadcast(rules), "keyword").select("id", "th", "ord", "label", "priority", "confidence", F.inline(_spans()))
     # the furthest end of any match that starts at or before this one, among matches of the same or a higher rank
     ranks = sorted({r[3] for r in signature_rules()})
@@ -160,6 +212,19 @@ def _all(conditions):
     return F.coalesce(out, F.lit(False))
 
 
+def _held(keyword: str):
+    """The text has the keyword; "cc" only at the start of a word, since hexadecimal numbers hold it too."""
+    held = F.contains("t", F.lit(keyword))
+    return held & F.rlike("t", F.lit(rf"\b{keyword}")) if keyword.startswith("cc") else held
+
+
+def _any(conditions):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
 def _quoted(x) -> str:
     return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
 
