@@ -240,6 +240,27 @@ def test_language_model_equals_brute_force(spark, bucket_tokens):
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9, atol=1e-6)
 
 
+def test_a_pair_in_every_document_is_split(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CHARS", 600)
+    seen = [k for k in range(1, 3000) if not language_model.held_out(k)][:1200]
+    held = [k for k in range(1, 3000) if language_model.held_out(k)][:300]
+    docs = [(k, f"the the w{k % 90}" + " of" * (k % 2) + " x of the" * (k == seen[3])) for k in seen]
+    docs += [(k, f"the the w{k % 90} of the" + " of of the" * (k % 3)) for k in held]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    key = lambda r: (r[0], *r[1:5])
+    got, want = (sorted(x, key=key) for x in (map(tuple, language_model.score(frame, 300).collect()), katz(docs)))
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9, atol=1e-6)
+    counts = language_model.word_counts(frame)
+    sums = np.sum([np.frombuffer(r.codes, np.float64) for r in counts.where("chunk < 0").collect()], axis=0)
+    uni = language_model.Unigrams(float(sums[0]), float(sums[1]), sums[2:].tolist())
+    buckets = math.ceil(1.25 * uni.total / 300)
+    entries = collections.Counter()
+    for r in language_model.pair_rows(frame, counts, uni, buckets).collect():
+        entries[r.bucket] += len(language_model._loose(r.data[7])) if r.data[-1] else 0
+    assert max(entries.values()) < 1000 < len(docs)
+
+
 def test_chunks_give_room_to_words_of_the_last_held_out_document(spark, monkeypatch):
     monkeypatch.setattr(chunks, "WORDS", 3)
     docs = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(40)], "doc_id long, text string").coalesce(1)

@@ -10,7 +10,8 @@ Passes: (1) distinct words of every chunk meet by word; their counts go back to
 of the history. There all counts of a history meet; logs of what does not hang on the discounts are summed by document,
 and what does is kept as counts of counts by document and by history (table 2, by kind). (3) Discounts follow from table 2,
 then the backoff weights, and the sums by document. A history that is more frequent than a bucket's share is split by its
-next words; its statistics are added up again before its weight is computed.
+next words; its statistics are added up again before its weight is computed. A pair of two such words is split by chunk
+as well; its parts are counted apart and take their place once a Spark aggregate has added the counts up (kind 4).
 
 Following words are told apart by 48 bits of their hash within a history, histories by 64 bits. Cases: NULL and empty
 texts are one end token; a NULL id is a training document; repeated rows count and are scored as often as they stand;
@@ -175,7 +176,9 @@ def pair_rows(docs: DataFrame, counts: DataFrame, uni: Unigrams, buckets: int) -
         n_docs = np.diff(np.append(first, len(key)))
         pv, pw = key[first] >> 32, key[first] & 0xFFFFFFFF
         split = np.ceil(np.maximum(c[pv], 1) / share).astype(np.uint64)
-        bucket = (mix(h[pv] + (h[pw] % split) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+        salt = np.uint64(chunk) % np.ceil(np.maximum(np.minimum(c[pv], c[pw]), 1) / share).astype(np.uint64)
+        salt = mix(salt + np.uint64(1)) * (salt > 0)
+        bucket = (mix(h[pv] + (h[pw] % split) * np.uint64(0x9E3779B97F4A7C15) + salt) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((pw, pv, bucket))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets <= len(order) else None
         found = range(buckets) if edges is not None else np.unique(bucket)
@@ -202,7 +205,7 @@ OUT = "kind int, key long, nums array<double>, data array<binary>"
 
 
 def counted_pairs(pairs: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
-    """Table 2: what a bucket knows. kind 0: sums by document; 1: the documents; 2: backed-off histories; 3: counts of counts."""
+    """Table 2: what a bucket knows. kind 0: sums by document; 1: the documents; 2: backed-off histories; 3: counts of counts; 4: parts of pairs that are split by chunk."""
     share = max(1.0, uni.total / buckets)
 
     def run(group: pa.Table) -> pa.Table:
@@ -253,10 +256,21 @@ def _bucket(parts, chunks, uni: Unigrams, share: float):
     for k in range(TURNS):
         some, events = turn == k, turn_of_event == k
         if some.any():
-            found = _histories([c[some] for c in columns[:5]], [c[events] for c in columns[5:]], chunks, uni, share)
+            pairs, own = [c[some] for c in columns[:5]], [c[events] for c in columns[5:]]
+            hot = np.minimum(pairs[1], pairs[3]) > share
+            if hot.any():
+                at = np.repeat(hot, pairs[4])
+                rows += _parts([c[hot] for c in pairs], [c[at] for c in own], chunks, uni)
+                pairs, own = [c[~hot] for c in pairs], [c[~at] for c in own]
+                if hot.all():
+                    continue
+            found = _histories(pairs, own, chunks, uni, share)
             rows += found[0]
             sums.append(found[1:4])
             counts += found[4]
+    rows.append((3, 0, counts.tolist(), None))
+    if not sums:
+        return rows
     # sums by document
     docs, back = np.unique(np.concatenate([x[0] for x in sums]), return_inverse=True)
     total = np.bincount(back, weights=np.concatenate([x[1] for x in sums]), minlength=len(docs))
@@ -267,10 +281,55 @@ def _bucket(parts, chunks, uni: Unigrams, share: float):
     for a, b in zip(edges[:-1], edges[1:]):
         e = (docs[a:b] & ((1 << 40) - 1)) >> 1
         rows.append((0, int(chunks[own[a]]), None, [_squeezed(np.diff(e, prepend=0)), total[a:b].tobytes(), _squeezed(hist[a:b].ravel())]))
-    rows.append((3, 0, counts.tolist(), None))
     return rows
 
 
+def _parts(pairs, events, chunks, uni: Unigrams):
+    """What a bucket has of pairs that others share: rows of kind 4 with c(v), P(w), this part's count, and the events."""
+    vh, cv, wh, cw, n_docs = pairs
+    chunk, doc, times = events
+    keys, first, back = np.unique(np.column_stack([vh, wh]), axis=0, return_index=True, return_inverse=True)
+    pair = np.repeat(back.ravel(), n_docs)
+    order = np.argsort(pair, kind="stable")
+    edges = np.searchsorted(pair[order], np.arange(len(keys) + 1))
+    rows = []
+    for k, (v, w) in enumerate(keys):
+        at = order[edges[k] : edges[k + 1]]
+        nums = [float(cv[first[k]]), float(uni.probability(cw[first[k] : first[k] + 1])[0]), float((times[at] * (1 - (doc[at] & 1))).sum())]
+        rows.append((4, int(v.view(np.int64)), nums, [w.tobytes(), *_events(np.zeros(len(at), np.int64), chunks[chunk[at]], doc[at] >> 1, times[at])]))
+    return rows
+
+
+def merged_parts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, w, c, p, r): the pairs that are split by chunk with their counts; their parts with the same columns and events."""
+    rows = found.where("kind = 4").select("key", F.get("data", F.lit(0)).alias("w"), "nums", "data")
+    c, p, r = (F.get("nums", F.lit(k)) for k in range(3))
+    whole = rows.groupBy("key", "w").agg(F.max(c).alias("c"), F.max(p).alias("p"), F.sum(r).alias("r"))
+    return whole, rows.drop("nums").join(whole, ["key", "w"])
+
+
+def split_pairs(parts: DataFrame) -> DataFrame:
+    """(kind, key, data) like kind 0 from the parts of pairs, once their counts are whole."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for c, p, r, data in zip(*(b.column(k).to_pylist() for k in range(4))):
+                log = math.log10(p) if r == 0 else math.log10(r / c if r <= K else (r - TAIL) / c)
+                chunk, doc, times = np.frombuffer(zlib.decompress(data[2]), np.int64), _loose(data[3]), _loose(data[4])
+                edges = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk))
+                for lo, hi in zip(edges[:-1], edges[1:]):
+                    own, back = np.unique(doc[lo:hi], return_inverse=True)
+                    n = np.bincount(back, weights=times[lo:hi], minlength=len(own))
+                    hist = np.zeros((len(own) if 0 < r <= K else 0, K), np.int64)
+                    if len(hist):
+                        hist[:, int(r) - 1] = n
+                    out.append((int(chunk[lo]), [_squeezed(np.diff(own, prepend=0)), (n * log).tobytes(), _squeezed(hist.ravel())]))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(out), pa.int32()), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.list_(pa.binary()))], names=["kind", "key", "data"])
+
+    return parts.select("c", "p", "r", "data").mapInArrow(run, "kind int, key long, data array<binary>")
+
+
 def _histories(pairs, events, chunks, uni: Unigrams, share: float):
     """Some whole histories of a bucket: rows of kind 2; places of documents, their sums and counts; counts of counts."""
     vh, cv, wh, cw, n_docs = pairs
@@ -326,8 +385,13 @@ def backed_off(found: DataFrame, d: np.ndarray) -> DataFrame:
     rows = found.where("kind = 2").select("key", "nums", "data")
     shared = rows.where("nums IS NOT NULL")
     n = K + 3
-    sums = shared.groupBy("key").agg(F.array(F.max(F.get("nums", F.lit(0))), *[F.sum(F.get("nums", F.lit(k))) for k in range(1, n)]).alias("all"))
-    whole = shared.drop("nums").join(sums, "key").select("key", F.col("all").alias("nums"), "data").unionByName(rows.where("nums IS NULL"))
+    pairs, parts = merged_parts(found)
+    zero = F.lit(0.0)
+    own = [F.when(F.col("r") > K, F.col("r") - TAIL).otherwise(zero), *[F.when(F.col("r") == k, 1.0).otherwise(zero) for k in range(1, K + 1)], F.when(F.col("r") > 0, F.col("p")).otherwise(zero)]
+    stats = shared.select("key", "nums").unionByName(pairs.select("key", F.array("c", *own).alias("nums")))
+    unseen = parts.where("r = 0").select("key", "data")
+    sums = stats.groupBy("key").agg(F.array(F.max(F.get("nums", F.lit(0))), *[F.sum(F.get("nums", F.lit(k))) for k in range(1, n)]).alias("all"))
+    whole = shared.drop("nums").unionByName(unseen).join(sums, "key").select("key", F.col("all").alias("nums"), "data").unionByName(rows.where("nums IS NULL"))
 
     def run(batches):
         for b in batches:
@@ -356,7 +420,9 @@ def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     buckets = max(1, math.ceil(1.25 * uni.total / bucket_tokens))
     found = counted_pairs(pair_rows(docs, counts, uni, buckets), uni, buckets)
     n = found.where("kind = 3").select(*[F.coalesce(F.sum(F.get("nums", F.lit(k))), F.lit(0.0)) for k in range(K + 1)]).first()
-    d = discounts(list(n))
+    pairs, parts = merged_parts(found)
+    more = pairs.select(*[F.count(F.when(F.col("r") == k, 1)) for k in range(1, K + 2)]).first()
+    d = discounts([a + b for a, b in zip(n, more)])
     train = int(uni.total)
 
     def run(group: pa.Table) -> pa.Table:
@@ -383,7 +449,7 @@ def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
             }
         )
 
-    rows = found.where("kind < 2").select("kind", "key", "data").unionByName(backed_off(found, d))
+    rows = found.where("kind < 2").select("kind", "key", "data").unionByName(backed_off(found, d)).unionByName(split_pairs(parts))
     return rows.groupBy("key").applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
