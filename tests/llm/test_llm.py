@@ -125,6 +125,32 @@ def test_decontamination_equals_search(spark):
     assert kept == {i for i, _ in texts} - {i for i, _ in want}
 
 
+def test_decontamination_finds_items_with_changed_words(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    df = collections.Counter(t for _, x in items for t in set(decontaminate.tokens(x)))
+    index = decontaminate.Index(items, df, len(items), float(np.mean([len(decontaminate.tokens(x)) for _, x in items])))
+    rng, texts, want = np.random.default_rng(3), [], []
+    for item, text in items:
+        parts = decontaminate.halves(text)
+        for k in range(sum(map(len, parts))):
+            for at in ([k], [k, int(rng.integers(sum(map(len, parts))))]):
+                w = [x for part in parts for x in part]
+                for place in at:
+                    w[place] = f"other{place}"
+                lost = [sum(len(set(at) & {j}) for j in range(lo, lo + len(p))) for lo, p in zip((0, len(parts[0])), parts)]
+                texts.append(" ".join(["before", *w, "after"]))
+                want.append(item if all(2 * n <= len(p) for n, p in zip(lost, parts)) else None)
+    retrieved = {(t, i[0]) for t, _, i, _ in index.candidates([decontaminate.tokens(x) for x in texts], decontaminate.THRESHOLD)}
+    got = set(index.matches(texts))
+    assert all((t, i) in got for t, i in enumerate(want) if i is not None and (t, i) in retrieved)
+    assert sum(i is not None and (t, i) in retrieved for t, i in enumerate(want)) > 0.9 * len(want)
+    words = sorted(df)
+    clean = [" ".join(rng.choice(words, 400)) for _ in range(200)]
+    half = [" ".join(decontaminate.halves(x)[k]) for _, x in items for k in (0, 1) if min(map(len, decontaminate.halves(x))) >= 5]
+    assert half and not index.matches(clean, 0.2) and not index.matches(half, 0.2)
+    assert decontaminate.edits(list("abcd"), list("xxabydxx")) == 1 and decontaminate.allowed(1, 0.8) == 0 and decontaminate.allowed(30, 1.0) == 0
+
+
 def test_block_bounds_lose_no_candidate():
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(60)]

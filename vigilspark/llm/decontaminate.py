@@ -6,8 +6,10 @@
 * Query: every text is cut into windows of as many words as the longest item has; two neighbours form a passage, so
   an item inside the text lies inside a passage. The sum of upper bounds skips a passage, the sums of block maxima skip
   blocks, and in what is left items are scored one by one, best bound first. All above ``threshold`` are candidates.
-* Verification: shares of the question's and of the answer's five-word runs that occur in the passage; the answer is
-  the item's last sentence (the second half if it has one sentence), the question the rest.
+* Verification: the question and the answer must each occur in the passage, by the share of their five-word runs or word
+  by word in order with few edits: a fifth of the words, and two in a short part, but never more than half of it
+  (``allowed``). So a part of one word must stand as it is. The answer is the item's last sentence (the second half if
+  it has one sentence), the question the rest. The overlap given is the larger of the two shares.
 
 Memory: the index is collected in parts of at most ``PART_WORDS`` postings, each broadcast and used for one pass, so its
 size is bounded whatever the benchmark's size. Cases: NULL or empty texts and items give nothing; items with equal
@@ -63,6 +65,34 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(own & runs(passage, n)) / len(own)
 
 
+def allowed(n: int, least: float) -> int:
+    """Edits that a part of ``n`` words may have; none if everything is asked for."""
+    return 0 if least >= 1 else max(int((1 - least) * n + 1e-9), min(2, n // 2))
+
+
+def edits(part: list[str], passage: list[str]) -> int:
+    """Fewest words to change, drop or insert so that the part stands somewhere in the passage."""
+    row = [0] * (len(passage) + 1)
+    for i, x in enumerate(part, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(passage, 1):
+            last, row[j] = row[j], last if x == y else 1 + min(last, row[j], row[j - 1])
+    return min(row)
+
+
+def verified(part: list[str], passage: list[str], least: float) -> tuple[bool, float]:
+    """Whether the part occurs in the passage, and the overlap."""
+    share = overlap(part, passage)
+    if share >= least:
+        return True, share
+    most = allowed(len(part), least)
+    common = (Counter(part) & Counter(passage)).total()  # no fewer edits than words that are missing
+    if len(part) - common > most:
+        return False, share
+    n = edits(part, passage)
+    return n <= most, max(share, 1 - n / len(part))
+
+
 class Index:
     """One part of the inverted index."""
 
@@ -142,8 +172,11 @@ class Index:
         """(text, item) -> (score, question overlap, answer overlap) of the best verified passage."""
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
         for t, passage, (item, question, answer), score in self.candidates([tokens(x) for x in texts], threshold):
-            q, a = overlap(question, passage), overlap(answer, passage)
-            if q >= least and a >= least:
+            found, q = verified(question, passage, least)
+            if not found:
+                continue
+            found, a = verified(answer, passage, least)
+            if found:
                 out[t, item] = max(out.get((t, item), (0.0, 0.0, 0.0)), (score, q, a))
         return out
 
