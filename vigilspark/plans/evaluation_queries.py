@@ -547,12 +547,12 @@ def _tree_errors(pred):
 @query("random_forest_errors")
 def random_forest_errors(spark, folder):
     """Random forest on the ten window features: error of each held-out asset."""
-    return _tree_errors(regress.tree_predictions(_tabular(spark, folder), FEATURES, "y_true", FOLDS, "forest", trees=20, depth=6))
+    return _tree_errors(regress.tree_predictions(_tabular(spark, folder), FEATURES, "y_true", FOLDS, "forest", trees=200, depth=6))
 
 
 @query("boosted_trees_errors")
 def boosted_trees_errors(spark, folder):
-    return _tree_errors(regress.tree_predictions(_tabular(spark, folder), FEATURES, "y_true", FOLDS, "boosted", trees=10, depth=4))
+    return _tree_errors(regress.tree_predictions(_tabular(spark, folder), FEATURES, "y_true", FOLDS, "boosted", trees=300, depth=4))
 
 
 @query("stage_classifier")
