@@ -202,6 +202,13 @@ def test_jaccard_join_equals_all_pairs(spark, odd):
     assert sum(r.doc_id == 6 for r in jaccard_join.keep_documents(odd).collect()) == 1
 
 
+def test_jaccard_join_keeps_rows_without_words(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t "), (None, None), (4, "some words that stand here"), (5, "some words that stand here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in jaccard_join.keep_documents(docs).collect()}
+    assert kept == set(rows[:5])
+
+
 def test_bayes_limits_and_minhash():
     limits = jaccard_join.least_matches()
     assert all(m < 0.8 * n for n, m in limits.items()) and list(limits) == [16, 32, 48, 64, 80]

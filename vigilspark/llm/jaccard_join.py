@@ -236,7 +236,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
         "id",
         "th",
         F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce(F.struct("id", "th").eqNullSafe(F.col("first_row")), F.lit(True)).alias("first"),
+        (F.col("cid").isNull() | F.struct("id", "th").eqNullSafe(F.col("first_row"))).alias("first"),
         F.coalesce("size", F.lit(1)).alias("n_copies"),
         F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).alias("n_links"),
     )
