@@ -6,7 +6,7 @@ import importlib
 
 from . import base
 
-MODULES = ["line_dedup", "decontaminate", "jaccard_join", "bpe", "language_model", "toxicity", "quality", "url_filters", "html_text", "licenses"]
+MODULES = ["line_dedup", "decontaminate", "jaccard_join", "bpe", "language_model", "toxicity", "quality", "url_filters", "html_text", "licenses", "lsh_forest", "prefix_trie", "phrases"]
 
 
 def load_all() -> tuple[dict, dict]:
