@@ -422,11 +422,11 @@ grams AS (
 f AS (SELECT lang, k, g, string_split(g, ' ') AS ws, count(*) AS a FROM grams GROUP BY lang, k, g HAVING count(*) >= 30),
 cand AS (SELECT * FROM f WHERE k >= 2),
 cuts AS (
-  SELECT c.lang, c.g, c.k, c.a, at, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score
-  FROM cand c, (VALUES (1), (2), (3)) t(at), f l, f r
-  WHERE at < c.k AND l.lang = c.lang AND l.g = array_to_string(c.ws[1:at], ' ')
-    AND r.lang = c.lang AND r.g = array_to_string(c.ws[at + 1:], ' ')),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, at) = 1),
+  SELECT c.lang, c.g, c.k, c.a, cut, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a // (l.a + r.a))::BIGINT AS score
+  FROM cand c, (VALUES (1), (2), (3)) t(cut), f l, f r
+  WHERE cut < c.k AND l.lang = c.lang AND l.g = array_to_string(c.ws[1:cut], ' ')
+    AND r.lang = c.lang AND r.g = array_to_string(c.ws[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
 subs AS (
   SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS g, max(a) AS a
   FROM cand, (VALUES (1), (2), (3)) s(i), (VALUES (2), (3)) t(m)
