@@ -253,19 +253,21 @@ def similar(docs: DataFrame) -> DataFrame:
     sketch = stored(classes.join(light, "cid").select("cid", "light", "sig"))
     no_label = F.lit(None).cast("binary").alias("label")
 
-    def links_of(places: DataFrame) -> DataFrame:
+    def items_of(places: DataFrame) -> tuple[DataFrame, DataFrame]:
         items = places.join(sketch, "cid").select(*ITEM_ROWS)
-        asked = stored(wanted(items))
-        reps = classes.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
-        own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.col("text").cast("binary").alias("text"))
-        texts = stored(own.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cid", "text").dropDuplicates(["cid"]))
-        return stored(confirmed(items, asked, texts))
+        return items, stored(wanted(items))
 
     small = members.where("NOT large").select(F.xxhash64("region", "tree").alias("item"), "tree", "cid", no_label)
-    links = links_of(small.unionByName(descended(heavy, classes).select("item", "tree", "cid", no_label)))
+    items, asked = items_of(small.unionByName(descended(heavy, classes).select("item", "tree", "cid", no_label)))
+    # all documents meet the wanted ones once, so the classes that may be asked for later are taken along
+    reps = classes.join(asked.select("cid").unionByName(heavy.select("cid")).distinct(), "cid", "left_semi").select("cid", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.col("text").cast("binary").alias("text"))
+    texts = stored(own.join(reps, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("cid", "text").dropDuplicates(["cid"]))
+    links = stored(confirmed(items, asked, texts))
     found = components(links)
     if not heavy.isEmpty():
-        links = links.unionByName(links_of(stored(rest_of(heavy, found))))
+        items, asked = items_of(stored(rest_of(heavy, found)))
+        links = links.unionByName(stored(confirmed(items, asked, texts)))
         found = components(links)
     known = classes.select("cid", "least_id").join(found, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     groups = known.groupBy("label").agg(F.min("least_id").alias("component_id"))
