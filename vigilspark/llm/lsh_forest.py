@@ -44,7 +44,7 @@ class Hashes(dict):
     """word -> hash, emptied when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -64,8 +64,8 @@ def salts() -> tuple[np.ndarray, np.ndarray]:
 def minhash(own: np.ndarray, add: np.ndarray, by: np.ndarray) -> np.ndarray:
     """One value per salt: both halves of a shingle's hash take part, so equal low halves do not tie two shingles."""
     out = np.full(VALUES, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(own), 8192):
-        some = own[k : k + 8192]
+    for k in range(0, len(own), 1024):
+        some = own[k : k + 1024]
         low, high = some.astype(np.uint32), (some >> np.uint64(32)).astype(np.uint32)
         v = (low[None, :] ^ add[:, None]) * by[:, None]
         v ^= v >> np.uint32(15)
