@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"random_forest_errors", "boosted_trees_errors", "stage_classifier", "robustness_table", "index_sensitivity"}
+SLOW = {"stage_classifier", "robustness_table", "index_sensitivity"}
 
 
 @pytest.fixture(scope="module")
@@ -43,15 +43,3 @@ def test_query_matches_sql(spark, con, name):
     want = con.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
-
-
-def test_tree_queries_grow_the_surveyed_numbers(monkeypatch):
-    from vigilspark.plans import evaluation_queries as plans
-
-    seen = {}
-    monkeypatch.setattr(plans, "_tabular", lambda *a: None)
-    monkeypatch.setattr(plans, "_tree_errors", lambda pred: pred)
-    monkeypatch.setattr(plans.regress, "tree_predictions", lambda *a, **k: seen.update({a[4]: k["trees"]}))
-    plans.random_forest_errors(None, "")
-    plans.boosted_trees_errors(None, "")
-    assert seen == {"forest": 200, "boosted": 300}

@@ -1,4 +1,4 @@
-"""Tabular predictors per fold: train mean, ridge from mergeable moments, Spark ML trees."""
+"""Tabular predictors per fold: train mean, ridge from mergeable moments, histogram trees, kernel machines."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clip
+from . import trees as trees_
 from .health import assign_roles
 
 
@@ -93,25 +94,76 @@ def predictions(rows: DataFrame, features, target: str, configs: dict[str, list[
     )
 
 
-def tree_predictions(rows: DataFrame, features, target: str, folds: int, kind: str, trees: int, depth: int, seed: int = 42) -> DataFrame:
-    """Forest or boosted trees per fold, fitted by Spark ML on all but the held-out assets, held-out predictions."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+def tree_predictions(rows: DataFrame, features, target: str, folds: int, kind: str, trees: int, depth: int = 4, seed: int = 42, bucket: Column | None = None) -> DataFrame:
+    """Held-out predictions of a forest or of boosted trees, fitted on all but the held-out bucket of each fold.
 
-    data = VectorAssembler(inputCols=list(features), outputCol="_v").transform(rows)
-    data = assign_roles(data, folds)
-    out = None
-    for f in range(folds):
-        if kind == "forest":
-            model = RandomForestRegressor(featuresCol="_v", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all")
+    The row of bucket b is scored by fold b, so every row goes out once; see :mod:`trees` for the bound on what is learned from.
+    """
+    dealt = rows.withColumn("fold_id", (F.pmod(F.col("asset_id"), F.lit(folds)) if bucket is None else bucket).cast("int"))
+    data = trees_.learn_from(dealt, features, target, "fold_id")
+    models = trees_.fit(rows.sparkSession, data, {f: [f] for f in range(folds)}, kind, trees, depth, seed=seed)
+    out = trees_.scored(dealt, features, data, models, kind, trees)
+    return out.withColumn("y_pred", clip(F.col("y_pred"), 0, 1)).drop(*features)
+
+
+def fourier_features(rows: DataFrame, features, size: int = 256, name: str = "_v", seed: int = 42) -> DataFrame:
+    """Random cosines whose inner products approach a Gaussian kernel: what an RBF machine sees, for a linear model.
+
+    Features are expected on unit scale; the kernel's width is the usual one, 1 / number of features.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    d = len(features)
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, np.sqrt(2.0 / d), (d, size)), rng.uniform(0, 2 * np.pi, size)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def cosines(*x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.sqrt(2.0 / size) * np.cos(np.column_stack(x) @ w + b)))
+
+    return rows.withColumn(name, array_to_vector(cosines(*[F.col(f) for f in features])))
+
+
+def unit_scaled(rows: DataFrame, features, learn: Column) -> DataFrame:
+    """Features with the mean and deviation of the rows that ``learn`` marks."""
+    stats = rows.where(learn).agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
+    out = rows.crossJoin(F.broadcast(stats))  # one row
+    return out.withColumns({f: (F.col(f) - F.col(f"_m_{f}")) / (F.col(f"_s_{f}") + 1e-8) for f in features}).drop(*[f"_{k}_{f}" for f in features for k in "ms"])
+
+
+def chronological_models(rows: DataFrame, features, label: str, target: str, kind: str, trees: int = 200, seed: int = 42) -> DataFrame:
+    """Test rows of a chronological split (``role``) with a predicted stage and a predicted target.
+
+    ``kind``: forest, boosted (depth 5, whole rows and columns) or kernel (random cosines before linear machines). Stages are
+    NULL when training has only one.
+    """
+    train = F.col("role") == "train"
+    stages = sorted(r[0] for r in rows.where(train & F.col(label).isNotNull()).select(label).distinct().limit(100).collect())
+    if kind == "kernel":
+        from pyspark.ml.classification import LinearSVC, OneVsRest
+        from pyspark.ml.regression import LinearRegression
+
+        data = fourier_features(unit_scaled(rows, features, train), features).drop(*features)
+        learn, test = data.where(train), data.where("role = 'test'")
+        out = LinearRegression(featuresCol="_v", labelCol=target, predictionCol="target_pred", regParam=1e-3, standardization=False).fit(learn).transform(test)
+        if len(stages) > 1:
+            machine = OneVsRest(classifier=LinearSVC(featuresCol="_v", regParam=1e-3), featuresCol="_v", labelCol=label, predictionCol="stage_pred")
+            out = machine.fit(learn.where(F.col(label).isNotNull())).transform(out)
         else:
-            model = GBTRegressor(featuresCol="_v", labelCol=target, maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed)
-        mine = data.where(F.col("fold_id") == f)
-        fitted = model.fit(mine.where("role <> 'test'").select("_v", target))
-        got = fitted.transform(mine.where("role = 'test'")).withColumn("y_pred", clip(F.col("prediction"), 0, 1))
-        got = got.drop("_v", "prediction", "role")
-        out = got if out is None else out.unionByName(got)
-    return out
+            out = out.withColumn("stage_pred", F.lit(None).cast("double"))
+        return out.drop("_v").withColumn("stage_pred", F.col("stage_pred").cast("int"))
+    dealt = rows.withColumn("fold_id", F.when(train, 0).otherwise(1))
+    options = dict(kind=kind, trees=trees, depth=5, rate=0.3, share=1.0, seed=seed)
+    data = trees_.learn_from(dealt, features, target, "fold_id")
+    regressor = trees_.fit(rows.sparkSession, data, {1: [1]}, **options)
+    test = dealt.where("role = 'test'")
+    out = trees_.scored(test, features, data, regressor, kind, trees, name="target_pred")
+    if len(stages) > 1:
+        data = trees_.learn_from(dealt, features, label, "fold_id")
+        out = trees_.scored(out, features, data, trees_.fit(rows.sparkSession, data, {1: [1]}, classes=stages, **options), kind, trees, name="stage_pred")
+    else:
+        out = out.withColumn("stage_pred", F.lit(None).cast("double"))
+    return out.drop("fold_id", *features).withColumn("stage_pred", F.col("stage_pred").cast("int"))
 
 
 def stage_classifier(rows: DataFrame, features, label: str, kind: str = "forest", trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:

@@ -546,8 +546,8 @@ def _tree_errors(pred):
 
 @query("random_forest_errors")
 def random_forest_errors(spark, folder):
-    """Random forest on the ten window features: error of each held-out asset."""
-    return _tree_errors(regress.tree_predictions(_tabular(spark, folder), FEATURES, "y_true", FOLDS, "forest", trees=200, depth=6))
+    """Forest of 200 unpruned trees on the ten window features: error of each held-out asset."""
+    return _tree_errors(regress.tree_predictions(_tabular(spark, folder), FEATURES, "y_true", FOLDS, "forest", trees=200))
 
 
 @query("boosted_trees_errors")
@@ -569,3 +569,29 @@ def stage_classifier(spark, folder):
     got = regress.stage_classifier(rows, FEATURES, "stage_true").withColumn("snapshot_id", F.floor(F.col("pos") / 4))
     snaps = errors.to_snapshots(got, ["asset_id", "snapshot_id"], votes=["stage_pred"], firsts=["stage_true"]).withColumn("model", F.lit("forest"))
     return errors.classification_metrics(snaps, ["model"], "stage_true", "stage_pred").select("model", *rounded(["accuracy", "macro_f1", "balanced_accuracy"]))
+
+
+@query("chronological_models")
+def chronological_models(spark, folder):
+    """Forest, boosted trees and a kernel machine on a chronological split: stage and remaining life of snapshots of four windows.
+
+    The stage of a snapshot is the vote of its windows, its remaining life their mean. Stage scores are NULL when training
+    has one stage only.
+    """
+    comp, _ = waveform_components(spark, folder)
+    lim = comp.groupBy("asset_id").agg(F.min("E").alias("lo"), F.max("E").alias("hi"))
+    unit = (F.col("E") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9)
+    rows = comp.join(lim, "asset_id").select("asset_id", "pos", "n", *FEATURES, labels.staged(unit, labels.STAGE_INDEX).alias("stage_true"), labels.capped_rul(F.col("pos"), F.col("n")).alias("rul_true"))
+    rows = keep(folds.chronological(rows))
+    out = None
+    for name, kind, trees in (("forest", "forest", 200), ("boosted", "boosted", 300), ("kernel", "kernel", 0)):
+        got = regress.chronological_models(rows, FEATURES, "stage_true", "rul_true", kind, trees)
+        got = got.select("asset_id", F.floor(F.col("pos") / 4).alias("snapshot_id"), "stage_true", "stage_pred", "rul_true", "target_pred", F.lit(name).alias("model"))
+        out = got if out is None else out.unionByName(got)
+    key = ["model", "asset_id", "snapshot_id"]
+    out = keep(out)
+    votes = errors.to_snapshots(out, key, votes=["stage_pred"], firsts=["stage_true"])
+    stages = errors.classification_metrics(votes.where("stage_pred IS NOT NULL"), ["model"], "stage_true", "stage_pred")
+    lives = out.groupBy(*key).agg(F.avg("rul_true").alias("y_true"), F.avg("target_pred").alias("y_pred"))
+    lives = errors.regression_metrics(lives, ["model"])
+    return lives.join(stages, "model", "left").select("model", *rounded(["accuracy", "macro_f1", "balanced_accuracy", "mae", "rmse"]))
