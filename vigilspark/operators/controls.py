@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS, clip, hash32, uniform
-from .health import apply_index, assign_roles, fit_both, saturation, velocity_acceleration
+from .health import apply_index, assign_roles, bucket_of, fit_both_index, saturation, velocity_acceleration
 from .ordered import Extent, position
 
 
@@ -34,10 +34,11 @@ def clipped_score(c: str) -> Column:
 
 def conditioning_table(components: DataFrame, features, folds: int, ext: Extent, dataset: Column | None = None) -> DataFrame:
     """Every conditioning column of every asset in every fold, fitted on training assets only."""
-    cols = ["dataset", "asset_id", "pos", "n", "E", "C", *features]
-    rows = assign_roles(components.select(*cols), folds, dataset=dataset)
+    key = bucket_of(components)
+    cols = dict.fromkeys(["dataset", "asset_id", key, "pos", "n", "E", "C", *features])
+    rows = assign_roles(components.select(*cols), folds, key, dataset)
     train = rows.where("role = 'train'")
-    params = fit_both(train, ext)
+    params = fit_both_index(components, folds, ext, dataset)
     stats = F.broadcast(fold_feature_stats(train, features))  # one row per fold
     keys = ["fold_id", "asset_id"]
     out = apply_index(rows, params).join(stats, "fold_id")
@@ -58,9 +59,10 @@ def conditioning_table(components: DataFrame, features, folds: int, ext: Extent,
 
 def fold_record(components: DataFrame, folds: int, ext: Extent, dataset: Column | None = None) -> DataFrame:
     """One record per fold: frozen parameters of both objectives, training size, held-out saturation."""
-    rows = assign_roles(components.select("asset_id", "pos", "n", "n_base", "E", "C"), folds, dataset=dataset)
+    key = bucket_of(components)
+    rows = assign_roles(components.select(*dict.fromkeys(["asset_id", key, "pos", "n", "n_base", "E", "C"])), folds, key, dataset)
     train = rows.where("role = 'train'")
-    params = fit_both(train, ext)
+    params = fit_both_index(components, folds, ext, dataset)
     longest = train.groupBy("fold_id").agg(F.max("n").alias("H_max_train"))
     held = apply_index(rows.where("role = 'test'"), params)
     out_of_range = ((F.col("E_lin") > 1.0) | (F.col("E_lin") < 0.0)).cast("double")

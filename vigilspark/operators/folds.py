@@ -74,6 +74,31 @@ def leave_one_out(manifest: DataFrame, ext: Extent, keys=("dataset",)) -> DataFr
     return out.select(*keys, F.col("asset").alias("holdout"), F.col("grp").alias("holdout_group"), "val", "val_group", n_train.alias("n_train"))
 
 
+def deal_groups(manifest: DataFrame, folds: int, ext: Extent, keys=("dataset",), group: str = "grp", size: str = "size") -> DataFrame:
+    """(keys, group, bucket): whole independence groups dealt to ``folds`` buckets of about the same size.
+
+    The largest groups go first, forth and back over the buckets, so a bucket differs from another by one group at most.
+    ``manifest`` has a row per group and its ``size``; ``ext`` sizes it by ``keys``.
+    """
+    keys = list(keys)
+    ranked = position(manifest.withColumn("_less", -F.col(size)), keys, ["_less", group], ext, "_rank", None)
+    turn, at = F.floor(F.col("_rank") / folds), F.pmod(F.col("_rank"), F.lit(folds))
+    return ranked.select(*keys, group, F.when(turn % 2 == 0, at).otherwise(folds - 1 - at).cast("int").alias("bucket"))
+
+
+def guarded_fit(params: DataFrame, rows: DataFrame, group: str = "grp", bucket: str = "bucket", keys=("dataset",)) -> DataFrame:
+    """``params``, unless a group of ``rows`` lies in two buckets: then reading them raises.
+
+    Roles follow from buckets alone, so a group in one bucket cannot be trained on and held out in the same fold. The check is
+    part of the plan of the fit, one pre-aggregated row per group, and cannot be left out by a caller.
+    """
+    split = rows.groupBy(*keys, group).agg((F.min(bucket) != F.max(bucket)).cast("int").alias("_split"))
+    bad = split.agg(F.coalesce(F.sum("_split"), F.lit(0)).alias("_bad"))  # one row
+    message = F.concat(F.lit("leakage: "), F.col("_bad").cast("string"), F.lit(" groups lie in several buckets"))
+    held = F.when(F.col("_bad") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return params.crossJoin(F.broadcast(bad)).where(held).drop("_bad")
+
+
 def fold_violations(members: DataFrame) -> DataFrame:
     """Groups that appear in more than one role of a fold: (fold_id, grp, role) rows in, leaks out.
 

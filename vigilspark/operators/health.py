@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import EPS, clip, rescale
-from .ordered import Extent, keep, neighbours, quantiles
-from .weights import score_weights
+from .folds import guarded_fit
+from .ordered import Extent, keep, neighbours, quantiles, quantiles_without
+from .weights import score_scaled, score_weights
 
 GRID_STEPS = 101
 
@@ -296,8 +297,71 @@ def fit_both(train: DataFrame, ext: Extent) -> DataFrame:
     return pick_weight(weight_sweep(scores)).join(mono, "fold_id").join(bounds, "fold_id")
 
 
+def bucket_of(rows: DataFrame) -> str:
+    """Folds follow the buckets that groups were dealt to, where rows carry them, else the asset's number."""
+    return "bucket" if "bucket" in rows.columns else "asset_id"
+
+
+def fold_bounds(components: DataFrame, folds: int, dataset: Column | None = None, lo: float = 1.0, hi: float = 99.0) -> DataFrame:
+    """Percentile bounds of E and C over each fold's training rows, from all rows minus the fold's two buckets."""
+    pool = (F.lit(0) if dataset is None else dataset).cast("int").alias("_pool")
+    rows = components.select(pool, F.pmod(F.col(bucket_of(components)), F.lit(folds)).cast("int").alias("_bucket"), "E", "C")
+    f = F.col("_f")
+    requests = rows.select("_pool").distinct().withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    requests = requests.select("_pool", (F.col("_pool") * folds + f).cast("int").alias("fold_id"), F.array(f, F.pmod(f + 1, F.lit(folds))).alias("without"))
+    wanted = {"E_lo": ("E", lo / 100), "E_hi": ("E", hi / 100), "C_lo": ("C", lo / 100), "C_hi": ("C", hi / 100)}
+    out = quantiles_without(rows, ["_pool"], "_bucket", wanted, requests)
+    return out.where("E_lo IS NOT NULL").drop("_pool")
+
+
+def fold_scores(components: DataFrame, bounds: DataFrame, folds: int, ext: Extent, dataset: Column | None = None, steps: int = GRID_STEPS) -> DataFrame:
+    """Monotonicity and Spearman of every (fold, training asset, weight of E); each asset's rows go out once."""
+    key = bucket_of(components)
+    assets = components.select(*dict.fromkeys(["asset_id", key])).distinct()
+    uses = assign_roles(assets, folds, key, dataset).where("role = 'train'").join(_small(bounds), "fold_id")
+    return score_grid(components, uses, ext, steps)
+
+
+def score_grid(components: DataFrame, uses: DataFrame, ext: Extent, steps: int = GRID_STEPS) -> DataFrame:
+    grid = [round(i / (steps - 1), 6) for i in range(steps)]
+    scored = score_scaled(components, uses, [(a, 1.0 - a) for a in grid], ext)
+    return scored.select("fold_id", "asset_id", F.round(F.col("w") / F.lit(float(steps - 1)), 6).alias("a"), "mono", "rho")
+
+
+def guarded(params: DataFrame, components: DataFrame) -> DataFrame:
+    """Parameters that raise when a group of ``components`` lies in two buckets; without groups there is nothing to check."""
+    if {"dataset", "grp", "bucket"} <= set(components.columns):
+        return guarded_fit(params, components)
+    return params
+
+
 def fit_index(components: DataFrame, folds: int, ext: Extent, objective: str = "mono+corr", lo: float = 1.0, hi: float = 99.0, dataset: Column | None = None) -> DataFrame:
-    return fit_on(training_rows(components, folds, dataset=dataset), ext, objective, lo, hi)
+    """Frozen parameters of every fold: percentile bounds and the selected weight, behind the leak guard."""
+    bounds = keep(fold_bounds(components, folds, dataset, lo, hi))
+    scores = fold_scores(components, bounds, folds, ext, dataset)
+    return guarded(pick_weight(weight_sweep(scores, objective)).join(bounds, "fold_id"), components)
+
+
+def fit_both_index(components: DataFrame, folds: int, ext: Extent, dataset: Column | None = None) -> DataFrame:
+    """Parameters of the default objective with the label-free weights beside them (a_mono, b_mono)."""
+    bounds = keep(fold_bounds(components, folds, dataset))
+    scores = keep(fold_scores(components, bounds, folds, ext, dataset))
+    mono = pick_weight(weight_sweep(scores, "mono")).select("fold_id", F.col("a").alias("a_mono"), F.col("b").alias("b_mono"))
+    return guarded(pick_weight(weight_sweep(scores)).join(mono, "fold_id").join(bounds, "fold_id"), components)
+
+
+def fit_left_out(components: DataFrame, left_out: DataFrame, ext: Extent, pool: str = "dataset", unit: str = "grp", objective: str = "mono+corr", steps: int = GRID_STEPS) -> DataFrame:
+    """Fits that each leave some units of their pool out: ``left_out`` has (pool, fold_id, without) with an array of units.
+
+    Bounds come from counts by subtraction; weights are scored on every asset of the pool outside ``without``, which is what
+    leaving one out asks for: folds x assets scores, but one copy of the rows.
+    """
+    wanted = {"E_lo": ("E", 0.01), "E_hi": ("E", 0.99), "C_lo": ("C", 0.01), "C_hi": ("C", 0.99)}
+    bounds = keep(quantiles_without(components, [pool], unit, wanted, left_out).where("E_lo IS NOT NULL"))
+    assets = components.select(pool, unit, "asset_id").distinct()
+    uses = assets.join(left_out, pool).where(~F.array_contains("without", F.col(unit))).select("asset_id", "fold_id").join(bounds.drop(pool), "fold_id")
+    best = pick_weight(weight_sweep(score_grid(components, uses, ext, steps), objective))
+    return best.join(bounds, "fold_id")
 
 
 def apply_index(rows: DataFrame, params: DataFrame) -> DataFrame:

@@ -262,6 +262,77 @@ def quantiles(df: DataFrame, keys, wanted: dict[str, tuple[str, float]], ext: Ex
     return out
 
 
+def quantiles_without(rows: DataFrame, pool, unit: str, wanted: dict[str, tuple[str, float]], requests: DataFrame, without: str = "without") -> DataFrame:
+    """Exact interpolated quantiles of a pool's rows without some of its units, for any number of such requests.
+
+    ``requests`` has a row per request: the pool columns, columns that name it, and an array of units to leave out. The
+    result has those columns and ``wanted``; a quantile over nothing is NULL. No row is copied per request: values are
+    counted per unit and laid out in order once; a request subtracts its units' counts from the counts of the partitions
+    of that layout, and only the partitions that hold a wanted rank are looked into, each as one bounded group.
+    NULLs are ignored, NaN is the largest value, NULL units are a unit of their own that can not be left out.
+    """
+    import pandas as pd
+
+    pool = list(pool)
+    named = [c for c in requests.columns if c != without]
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("_c"), F.col(c).cast("double").alias("_v")) for k, c in enumerate(columns)]))
+    tally = rows.select(*pool, F.col(unit).alias("_u"), cells.alias("_x")).select(*pool, "_u", "_x._c", "_x._v").where("_v IS NOT NULL")
+    tally = tally.groupBy(*pool, "_c", "_v", "_u").agg(F.count(F.lit(1)).alias("_k"))
+    spark = rows.sparkSession
+    use_checkpoints(spark)
+    # equal values share a partition, and the partitions are numbered in order of value within (pool, column)
+    laid = tally.repartitionByRange(*pool, "_c", "_v").withColumn("_bin", F.spark_partition_id()).checkpoint()
+    counts = laid.groupBy(*pool, "_c", "_bin", "_u").agg(F.sum("_k").alias("_k"))
+    bins = counts.groupBy(*pool, "_c", "_bin").agg(F.sum("_k").alias("_all"))
+    asked = requests.withColumn("_r", F.xxhash64(*named))
+    left_out = asked.select(*pool, "_r", F.explode(F.array_distinct(without)).alias("_u"))
+    minus = left_out.join(counts, [*pool, "_u"]).groupBy("_r", "_c", "_bin").agg(F.sum("_k").alias("_less"))
+    cell = asked.select(*pool, "_r").join(bins, pool).join(minus, ["_r", "_c", "_bin"], "left")
+    cell = cell.withColumn("_in", F.col("_all") - F.coalesce("_less", F.lit(0)))
+    own = Window.partitionBy("_r", "_c")  # as many rows as there are partitions
+    cell = cell.withColumns({"_upto": F.sum("_in").over(own.orderBy("_bin")), "_n": F.sum("_in").over(own)}).where("_n > 0")
+    targets = F.array(*[F.struct(F.lit(new).alias("_name"), F.lit(columns.index(c)).alias("_of"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_at")) for new, (c, p) in wanted.items()])
+    ends = cell.withColumn("_t", F.explode(targets)).where("_t._of = _c").select(*pool, "_r", "_c", "_bin", "_in", "_upto", "_t._name", "_t._at")
+    ends = ends.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at"))))).where("_rank >= _upto - _in AND _rank < _upto")
+    picks = ends.select(*pool, "_c", "_bin", "_r", "_name", "_at", "_rank", (F.col("_rank") - (F.col("_upto") - F.col("_in"))).alias("_inside"))
+    picks = picks.join(asked.select("_r", F.col(without).alias("_without")), "_r").withColumnsRenamed({"_c": "_pc", "_bin": "_pbin", **{c: f"_p_{c}" for c in pool}})
+    needed = picks.select(*[F.col(f"_p_{c}").alias(c) for c in pool], F.col("_pc").alias("_c"), F.col("_pbin").alias("_bin")).distinct()
+    values = laid.join(needed, [*pool, "_c", "_bin"], "left_semi")
+
+    def select(own: pd.DataFrame, picked: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        v, place = np.unique(own["_v"].to_numpy(float), return_inverse=True)
+        weight, code = own["_k"].to_numpy(np.int64), own["_u"].to_numpy()
+        upto = np.cumsum(np.bincount(place, weight, len(v)).astype(np.int64))
+        rows_of = {u: np.flatnonzero(code == u) for u in {x for w in picked["_without"] for x in w}}
+        out = np.empty(len(picked))
+        for k, (gone, inside) in enumerate(zip(picked["_without"], picked["_inside"])):
+            at = np.concatenate([rows_of[u] for u in set(gone)]) if len(gone) else np.empty(0, int)
+            order = np.argsort(place[at], kind="stable")
+            where, less = place[at][order], np.cumsum(weight[at][order])
+            lo, hi = 0, len(v) - 1
+            while lo < hi:  # the first value up to which more than ``inside`` rows are left
+                mid = (lo + hi) // 2
+                cut = np.searchsorted(where, mid, side="right")
+                if upto[mid] - (less[cut - 1] if cut else 0) > inside:
+                    hi = mid
+                else:
+                    lo = mid + 1
+            out[k] = v[lo]
+        return picked[["_r", "_name", "_at", "_rank"]].assign(_v=out)
+
+    keys = [*pool, "_c", "_bin"]
+    found = values.groupBy(*keys).cogroup(picks.groupBy(*[f"_p_{c}" for c in pool], "_pc", "_pbin")).applyInPandas(select, "_r long, _name string, _at double, _rank long, _v double")
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    value = low + (high - low) * (F.max("_at") - F.floor(F.max("_at")))
+    # a rank was found, so what comes back from pandas as NULL was NaN
+    value = found.groupBy("_r", "_name").agg(F.coalesce(value, F.lit(float("nan"))).alias("_v"))
+    wide = value.groupBy("_r").agg(*[F.max(F.when(F.col("_name") == new, F.col("_v"))).alias(new) for new in wanted])
+    return asked.join(wide, "_r", "left").select(*named, *wanted)
+
+
 def rolling_median(df: DataFrame, keys, value: str, name: str, ext: Extent, fraction: float = 0.05, size: str = "n", pos: str = "pos") -> DataFrame:
     """Centred rolling median whose width is a fraction of the series length (at least 3).
 

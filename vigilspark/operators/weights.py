@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import correlation, guarded
+from ..functions.scalars import EPS, correlation, guarded
 from .ordered import SAFE_GROUP, Extent, average_rank, neighbours, position, spread
 
 SCORES = ["mono", "rho", "trend", "first_value", "last_value"]
@@ -84,6 +84,42 @@ def score_weights(rows: DataFrame, keys, components, weights, ext: Extent) -> Da
     return out
 
 
+def score_scaled(rows: DataFrame, uses: DataFrame, weights, ext: Extent, key: str = "asset_id", pair=("E", "C")) -> DataFrame:
+    """One row per (fold, series, weight) for the pair of components, scaled by each fold that learns from the series.
+
+    ``uses`` has a row per (fold_id, series) with that fold's bounds. The rows of a series go out once, whatever number of
+    folds learn from it; only series beyond ``SAFE_GROUP`` are copied per fold and scored with distributed ranks.
+    """
+    a, b = pair
+    names = ["fold_id", f"{a}_lo", f"{a}_hi", f"{b}_lo", f"{b}_hi"]
+    cols = rows.select(key, "pos", "n", a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    table = np.asarray(weights, float)
+
+    def score(own: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("pos")
+        x, out = own[[a, b]].to_numpy(float).T, []
+        if len(own):
+            for fold in folds.itertuples(index=False):
+                lo, hi = (np.array([getattr(fold, f"{c}_{side}") for c in pair])[:, None] for side in ("lo", "hi"))
+                unit = np.clip((x - lo) / (hi - lo + EPS), 0.0, 1.0)
+                got = score_series(unit, table)
+                out.append(pd.DataFrame({"fold_id": fold.fold_id, key: getattr(fold, "of"), "w": np.arange(len(table), dtype="int32"), **got}))
+        if not out:
+            return pd.DataFrame({c: pd.Series(dtype=float) for c in ["fold_id", key, "w", *SCORES]})
+        return pd.concat(out)
+
+    schema = T.StructType([T.StructField("fold_id", uses.schema["fold_id"].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("w", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in SCORES]])
+    short = cols.where(F.col("n") <= SAFE_GROUP).drop("n") if ext.longest > SAFE_GROUP else cols.drop("n")
+    each = uses.select(F.col(key).alias("of"), *names)
+    out = spread(short, key).groupBy(key).cogroup(spread(each, "of").groupBy("of")).applyInPandas(score, schema)
+    if ext.longest <= SAFE_GROUP:
+        return out
+    long = position(cols.where(F.col("n") > SAFE_GROUP).drop("n"), [key], ["pos"], ext, "pos", None)
+    long = long.join(each, F.col(key) == F.col("of")).drop("of")
+    unit = {c: F.least(F.greatest((F.col(c) - F.col(f"{c}_lo")) / (F.col(f"{c}_hi") - F.col(f"{c}_lo") + EPS), F.lit(0.0)), F.lit(1.0)) for c in pair}
+    return out.unionByName(_exploded(long.withColumns(unit).select("fold_id", key, "pos", *pair), ["fold_id", key], list(pair), weights, ext))
+
+
 def _grouped(cols: DataFrame, keys, components, weights) -> DataFrame:
     outer, inner = keys[-1], keys[:-1]
     table = {k: np.asarray(w, float) for k, w in weights.items()} if isinstance(weights, dict) else np.asarray(weights, float)

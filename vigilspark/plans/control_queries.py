@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import rounded
 from ..operators import alarms, composite, controls, directions, health, labels, ordered, quality
 from ..operators.ordered import keep
-from ..sources.tables import KEY, dataset_number, event_series
-from .pipelines import FEATURES, event_components, event_index, long_indicators
+from ..sources.tables import KEY, dataset_number, event_runs, event_series
+from .pipelines import FEATURES, event_components, event_index, event_roles, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, define, sql
 
@@ -257,8 +257,8 @@ SELECT fold_id, asset_id, pos, round(ar * en + (1 - ar) * cn, 6) AS index_rand
 FROM (SELECT *, ('0x' || substr(md5(fold_id || '|' || asset_id || '|rand'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS ar FROM normed WHERE role = 'test')"""))
 def random_weight_index(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.assign_roles(comp.select(*ID, "n", "E", "C"), FOLDS, dataset=dataset_number())
-    held = health.scale_by_fold(rows.where("role = 'test'"), health.train_bounds(rows.where("role = 'train'"), ext))
+    rows = event_roles(comp.select(*ID, "bucket", "n", "E", "C"))
+    held = health.scale_by_fold(rows.where("role = 'test'"), health.fold_bounds(comp, FOLDS, dataset_number()))
     a = controls.random_weight(F.col("fold_id"), F.col("asset_id"))
     return held.select("fold_id", *ID, F.round(a * F.col("E_norm") + (F.lit(1.0) - a) * F.col("C_norm"), 6).alias("index_rand"))
 
@@ -274,8 +274,8 @@ def shuffled_series(spark, folder):
 @query("elapsed_and_life_fraction", sql("""
 SELECT fold_id, asset_id, pos, round(pos / GREATEST(hmax, 1)::DOUBLE, 6) AS elapsed_norm, round(pos / GREATEST(n - 1, 1)::DOUBLE, 6) AS deg_oracle FROM roles JOIN fstat USING (fold_id) WHERE role = 'test'"""))
 def elapsed_and_life_fraction(spark, folder):
-    series, _ = event_series(spark, folder)
-    rows = health.assign_roles(series.select(*ID, "n"), FOLDS, dataset=dataset_number())
+    series, _ = event_runs(spark, folder, FOLDS)
+    rows = event_roles(series.select(*ID, "bucket", "n"))
     longest = F.broadcast(rows.where("role = 'train'").groupBy("fold_id").agg(F.max("n").alias("h")))  # one row per fold
     out = rows.where("role = 'test'").join(longest, "fold_id")
     return out.select(
@@ -290,8 +290,8 @@ SELECT fold_id, asset_id, pos, round(LEAST(GREATEST((x - mx) / (sx + 1e-9), -5),
 FROM roles JOIN fstat USING (fold_id) WHERE role = 'test'"""))
 def scored_features(spark, folder):
     """Features on the training scale of the fold, clipped at five deviations."""
-    series, _ = event_series(spark, folder)
-    rows = health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS, dataset=dataset_number())
+    series, _ = event_runs(spark, folder, FOLDS)
+    rows = event_roles(series.select(*ID, "bucket", "n", "x", "y"))
     stats = F.broadcast(controls.fold_feature_stats(rows.where("role = 'train'"), FEATURES))  # one row per fold
     out = rows.where("role = 'test'").join(stats, "fold_id")
     return out.select("fold_id", *ID, *[F.round(controls.clipped_score(c), 6).alias(f"hc_{c}") for c in FEATURES])
@@ -330,8 +330,8 @@ SELECT a, round(avg(fitness), 6) AS mean, round(stddev_samp(fitness), 6) AS std,
 def weight_sweep_summary(spark, folder):
     """Mean and spread of the sweep over folds; the plateau lies within 0.02 of the best mean."""
     comp, ext = event_components(spark, folder)
-    rows = health.training_rows(comp, FOLDS, dataset=dataset_number())
-    sweep = health.weight_sweep(health.fitness_per_asset(health.scale_by_fold(rows, health.train_bounds(rows, ext)), ext))
+    scores = health.fold_scores(comp, health.fold_bounds(comp, FOLDS, dataset_number()), FOLDS, ext, dataset_number())
+    sweep = health.weight_sweep(scores)
     agg = sweep.groupBy("a").agg(F.round(F.avg("fitness"), 9).alias("_m"), F.round(F.stddev_samp("fitness"), 6).alias("std"), F.count(F.lit(1)).alias("count"))
     best = F.broadcast(agg.agg(F.max("_m").alias("_best")))  # a single row
     return agg.join(best).select("a", F.round("_m", 6).alias("mean"), "std", "count", (F.col("_m") >= F.col("_best") - 0.02).cast("int").alias("plateau"))
@@ -370,8 +370,8 @@ SELECT fold_id, asset_id, pos, round(CASE WHEN rho < 0 THEN -pc1 ELSE pc1 END, 6
     SELECT asset_id, pos, pc1, rank() OVER (PARTITION BY asset_id ORDER BY pc1) + (count(*) OVER (PARTITION BY asset_id, pc1) - 1) / 2.0::DOUBLE AS rk FROM f_pc) GROUP BY asset_id) USING (asset_id)"""),
 )
 def principal_component_index_by_fold(spark, folder):
-    series, ext = event_series(spark, folder)
-    rows = keep(health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS, dataset=dataset_number()))
+    series, ext = event_runs(spark, folder, FOLDS)
+    rows = keep(event_roles(series.select(*ID, "bucket", "n", "x", "y")))
     return directions.pca_index_by_fold(rows, FEATURES, ext).select("fold_id", *ID, *rounded(["pca_index"]))
 
 
@@ -393,8 +393,8 @@ def principal_component_index_by_asset(spark, folder):
 
 
 def _standard_train(spark, folder):
-    series, ext = event_series(spark, folder)
-    rows = health.assign_roles(series.select(*ID, "n", "x", "y"), FOLDS, dataset=dataset_number())
+    series, ext = event_runs(spark, folder, FOLDS)
+    rows = event_roles(series.select(*ID, "bucket", "n", "x", "y"))
     return keep(directions.standardise_by_fold(rows.where("role = 'train'"), rows.where("role = 'train'"), FEATURES)), ext
 
 

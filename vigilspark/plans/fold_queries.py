@@ -8,8 +8,8 @@ from ..functions.scalars import rounded
 from ..operators import folds, health, joins, labels, ordered, windowing
 from ..operators.ordered import Extent, keep
 from ..sources.files import concat, from_path
-from ..sources.tables import dataset_number, event_series, table, table_extent, waveform_samples
-from .pipelines import FEATURES, event_components, event_index, long_indicators
+from ..sources.tables import event_runs, event_series, table, table_extent, waveform_samples
+from .pipelines import FEATURES, event_components, event_index, event_roles, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, define, sql
 
@@ -175,8 +175,9 @@ FROM applied a JOIN (SELECT fold_id, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) A
 def fold_assembly(spark, folder):
     """Stacked rows of every fold with train-only statistics and the fold's own index injected."""
     rows, _, _ = event_index(spark, folder, role=None)
-    series, _ = event_series(spark, folder)
-    per_asset = health.assign_roles(windowing.channel_stats(series, FEATURES), FOLDS, dataset=dataset_number()).where("role = 'train'")
+    series, _ = event_runs(spark, folder, FOLDS)
+    stats = windowing.channel_stats(series, FEATURES).join(series.select("asset_id", "bucket").distinct(), "asset_id")
+    per_asset = event_roles(stats).where("role = 'train'")
     stats = windowing.pooled_stats(per_asset, ["fold_id"], FEATURES).drop("rows")
     z = windowing.zscore(rows, F.broadcast(stats), ["fold_id"], FEATURES)  # one row per fold
     deg = labels.degradation(F.col("pos"), F.col("n"))

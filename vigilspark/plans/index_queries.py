@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
-from ..operators import health, quality
+from ..operators import health, ordered, quality
 from ..sources.tables import KEY, dataset_number, event_series
-from .pipelines import FEATURES, event_components, event_index, long_indicators
+from .pipelines import FEATURES, event_components, event_index, event_roles, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, sql
 
@@ -138,14 +138,13 @@ def raw_components(spark, folder):
 @query("fold_bounds", sql("SELECT fold_id, round(e_lo, 6) AS e_lo, round(e_hi, 6) AS e_hi, round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM bounds"))
 def fold_bounds(spark, folder):
     comp, ext = event_components(spark, folder)
-    b = health.train_bounds(health.training_rows(comp, FOLDS, dataset=dataset_number()), ext)
+    b = health.fold_bounds(comp, FOLDS, dataset_number())
     return b.select("fold_id", *[F.round(c, 6).alias(c.lower()) for c in ("E_lo", "E_hi", "C_lo", "C_hi")])
 
 
 def _scores(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.training_rows(comp, FOLDS, dataset=dataset_number())
-    return health.fitness_per_asset(health.scale_by_fold(rows, health.train_bounds(rows, ext)), ext)
+    return health.fold_scores(comp, health.fold_bounds(comp, FOLDS, dataset_number()), FOLDS, ext, dataset_number())
 
 
 @query("weight_fit", sql("SELECT fold_id, a, b, round(fitness, 6) AS fitness, n_train FROM picked"))
@@ -177,6 +176,63 @@ def index_apply(spark, folder):
 )
 def index_saturation(spark, folder):
     comp, ext = event_components(spark, folder)
-    rows = health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS, dataset=dataset_number()).where("role = 'test'")
-    scaled = health.scale_by_fold(rows, health.train_bounds(health.training_rows(comp, FOLDS, dataset=dataset_number()), ext))
+    rows = event_roles(comp.select("asset_id", "bucket", "pos", "n", "E", "C")).where("role = 'test'")
+    scaled = health.scale_by_fold(rows, health.fold_bounds(comp, FOLDS, dataset_number()))
     return health.saturation(scaled, ["fold_id", "asset_id"]).select("fold_id", "asset_id", *rounded(["sat_frac"]))
+
+
+LEFT_OUT = {
+    "loo_groups": "SELECT dataset, grp, row_number() OVER (PARTITION BY dataset ORDER BY grp) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS g FROM (SELECT DISTINCT dataset, asset_id // 4 AS grp FROM ev)",
+    "loo": "SELECT a.dataset, a.grp, b.grp AS vgrp, a.dataset || '/' || a.grp AS fold_id FROM loo_groups a JOIN loo_groups b ON a.dataset = b.dataset AND b.r = (a.r + 1) % a.g",
+    "loo_rows": "SELECT l.fold_id, c.* FROM comp c JOIN loo l ON l.dataset = c.dataset AND c.asset_id // 4 <> l.grp AND c.asset_id // 4 <> l.vgrp",
+    "loo_bounds": "SELECT fold_id, quantile_cont(e, 0.01) AS e_lo, quantile_cont(e, 0.99) AS e_hi, quantile_cont(c, 0.01) AS c_lo, quantile_cont(c, 0.99) AS c_hi FROM loo_rows GROUP BY fold_id",
+}
+
+
+def _left_out(comp):
+    """One fold per independence group of a dataset: the group and, for validation, the next one (cyclic) stay out."""
+    from ..operators.folds import leave_one_out
+
+    name = F.format_string("Test%08d_Bearing%d", "grp", F.pmod("asset_id", F.lit(4)))
+    manifest = comp.select("dataset", name.alias("asset")).distinct()
+    made = leave_one_out(manifest, ordered.extent(manifest, ["dataset"])).select("dataset", "holdout_group", "val_group").distinct()
+    number = lambda c: F.substring(c, 5, 8).cast("bigint")
+    return made.select("dataset", F.concat_ws("/", "dataset", number("holdout_group")).alias("fold_id"), F.array(number("holdout_group"), number("val_group")).alias("without"))
+
+
+@query("leave_one_out_bounds", sql("SELECT fold_id, round(e_lo, 6) AS e_lo, round(e_hi, 6) AS e_hi, round(c_lo, 6) AS c_lo, round(c_hi, 6) AS c_hi FROM loo_bounds", **LEFT_OUT))
+def leave_one_out_bounds(spark, folder):
+    """Percentile bounds of every leave-one-group-out fold, by subtraction from the counts of all."""
+    comp, _ = event_components(spark, folder)
+    wanted = {"e_lo": ("E", 0.01), "e_hi": ("E", 0.99), "c_lo": ("C", 0.01), "c_hi": ("C", 0.99)}
+    out = ordered.quantiles_without(comp, ["dataset"], "grp", wanted, _left_out(comp)).where("e_lo IS NOT NULL")
+    return out.select("fold_id", *rounded(list(wanted)))
+
+
+@query(
+    "leave_one_out_fit",
+    sql(
+        """
+SELECT fold_id, a, round(1 - a, 6) AS b, round(fitness, 6) AS fitness, n_train FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY fitness DESC, a) AS r FROM loo_sweep) WHERE r = 1""",
+        **LEFT_OUT,
+        loo_blended="""
+SELECT fold_id, asset_id, pos, k, round(round(k / 100.0::DOUBLE, 6) * LEAST(GREATEST((e - e_lo) / (e_hi - e_lo + 1e-9), 0), 1)
+       + (1 - round(k / 100.0::DOUBLE, 6)) * LEAST(GREATEST((c - c_lo) / (c_hi - c_lo + 1e-9), 0), 1), 9) AS v
+FROM loo_rows JOIN loo_bounds USING (fold_id), generate_series(0, 100) g(k)""",
+        loo_ranked="""
+SELECT *, rank() OVER r + (count(*) OVER (PARTITION BY fold_id, asset_id, k, v) - 1) / 2.0::DOUBLE AS rk,
+       sign(v - lag(v) OVER (PARTITION BY fold_id, asset_id, k ORDER BY pos)) AS sg
+FROM loo_blended WINDOW r AS (PARTITION BY fold_id, asset_id, k ORDER BY v)""",
+        loo_asset="""
+SELECT fold_id, asset_id, k, CASE WHEN count(*) > 1 THEN abs(coalesce(sum(sg), 0)) / (count(*) - 1)::DOUBLE ELSE 0 END AS mono,
+       CASE WHEN count(*) >= 3 AND stddev_pop(v) >= 1e-12 THEN corr(rk, pos) ELSE 0 END AS rho
+FROM loo_ranked GROUP BY fold_id, asset_id, k""",
+        loo_sweep="SELECT fold_id, round(k / 100.0::DOUBLE, 6) AS a, round(avg(mono + rho), 9) AS fitness, count(*) AS n_train FROM loo_asset GROUP BY fold_id, k",
+    ),
+)
+def leave_one_out_fit(spark, folder):
+    """The studied protocol: every group held out once, its index fitted on all groups but it and its validation group."""
+    comp, ext = event_components(spark, folder)
+    fitted = health.guarded(health.fit_left_out(comp, _left_out(comp), ext), comp)
+    return fitted.select("fold_id", "a", "b", *rounded(["fitness"]), "n_train")

@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from ..operators import health
 from ..operators.ordered import Extent, keep
-from ..sources.tables import KEY, dataset_number, event_series
+from ..sources.tables import KEY, dataset_number, event_runs
 from .sqlkit import FOLDS
 
 FEATURES = ["x", "y"]
 
 
 def event_components(spark, folder, estimator: str = "diagonal", **options) -> tuple[DataFrame, Extent]:
-    series, ext = event_series(spark, folder)
+    series, ext = event_runs(spark, folder, FOLDS)
     return keep(health.raw_components(series, KEY, FEATURES, ext, estimator=estimator, **options)), ext
 
 
+def event_roles(rows: DataFrame) -> DataFrame:
+    """Rows of the event assets in every fold of their dataset; groups were dealt to the buckets whole."""
+    return health.assign_roles(rows, FOLDS, "bucket", dataset_number()).drop("bucket")
+
+
 def event_index(spark, folder, role: str | None = "test", objective: str = "mono+corr"):
     """Frozen index of every asset on its held-out fold (or all roles), with its parameters."""
     comp, ext = event_components(spark, folder)
     params = keep(health.fit_index(comp, FOLDS, ext, objective, dataset=dataset_number()))
-    cols = ["dataset", "asset_id", "pos", "n", "n_base", "x", "y", "E", "C"]
-    rows = health.assign_roles(comp.select(*cols), FOLDS, dataset=dataset_number())
+    cols = ["dataset", "asset_id", "bucket", "pos", "n", "n_base", "x", "y", "E", "C"]
+    rows = event_roles(comp.select(*cols))
     if role:
         rows = rows.where(F.col("role") == role)
     return health.apply_index(rows, params), params, ext

@@ -8,7 +8,7 @@ from ..functions.scalars import rounded
 from ..operators import health, labels, ordered, quality
 from ..operators.ordered import keep
 from ..sources.tables import KEY, dataset_number, event_series
-from .pipelines import FEATURES, event_components, event_index, long_indicators
+from .pipelines import FEATURES, event_components, event_index, event_roles, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, define, sql
 
@@ -58,7 +58,7 @@ def index_sensitivity(spark, folder):
     for setting, beta, lo, hi in SETTINGS:
         comp, ext = event_components(spark, folder, "auto", fraction=beta)
         params = keep(health.fit_index(comp, FOLDS, ext, lo=lo, hi=hi, dataset=dataset_number()))
-        held = health.apply_index(health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C"), FOLDS, dataset=dataset_number()).where("role = 'test'"), params)
+        held = health.apply_index(event_roles(comp.select("asset_id", "bucket", "pos", "n", "E", "C")).where("role = 'test'"), params)
         longs = long_indicators(held, ["asset_id", "pos", "n"], {"index": "index", "abnormality": "E_norm"})
         t = quality.quality_table(quality.asset_criteria(longs, ["indicator", "asset_id"], "value", ext), ["indicator"], ext.assets)
         head = comp.where("pos = 0")

@@ -74,10 +74,15 @@ SELECT zz.dataset, zz.asset_id, zz.pos, zz.n, zz.n_base, x, y,
        ln(1 + sqrt(power(zx - mx, 2) / (vx + 1e-6) + power(zy - my, 2) / (vy + 1e-6) + 1e-9)) AS e, ln(1 + c) AS c
 FROM zz JOIN zmom USING (asset_id) JOIN changes ON changes.asset_id = zz.asset_id AND changes.pos = zz.pos""")
 
+define("runs", f"""
+SELECT dataset, grp, CASE WHEN (r // {FOLDS}) % 2 = 0 THEN r % {FOLDS} ELSE {FOLDS - 1} - r % {FOLDS} END AS bucket FROM (
+  SELECT dataset, grp, row_number() OVER (PARTITION BY dataset ORDER BY size DESC, grp) - 1 AS r FROM (
+    SELECT dataset, asset_id // 4 AS grp, count(*) AS size FROM ev GROUP BY ALL))""")
+
 define("roles", f"""
 SELECT comp.*, CAST((asset_id % 2) * {FOLDS} + f AS INT) AS fold_id,
-       CASE WHEN asset_id % {FOLDS} = f THEN 'test' WHEN asset_id % {FOLDS} = (f + 1) % {FOLDS} THEN 'val' ELSE 'train' END AS role
-FROM comp, generate_series(0, {FOLDS - 1}) g(f)""")
+       CASE WHEN bucket = f THEN 'test' WHEN bucket = (f + 1) % {FOLDS} THEN 'val' ELSE 'train' END AS role
+FROM comp JOIN runs ON runs.dataset = comp.dataset AND runs.grp = comp.asset_id // 4, generate_series(0, {FOLDS - 1}) g(f)""")
 
 define("bounds", """
 SELECT fold_id, quantile_cont(e, 0.01) AS e_lo, quantile_cont(e, 0.99) AS e_hi, quantile_cont(c, 0.01) AS c_lo, quantile_cont(c, 0.99) AS c_hi

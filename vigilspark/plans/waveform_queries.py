@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import linspace_grid, rounded
 from ..operators import alarms, health, perturb, quality, spectra, windowing
 from ..operators.ordered import Extent, keep
-from ..sources.tables import dataset_number, event_series, table, waveform_samples
-from .pipelines import long_indicators
+from ..sources.tables import event_runs, event_series, table, waveform_samples
+from .pipelines import event_roles, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, define, sql
 
@@ -384,10 +384,11 @@ FROM roles JOIN (SELECT fold_id, avg(x) AS mx, stddev_pop(x) + 1e-8 AS sx FROM r
 )
 def temperature_faults(spark, folder):
     """Dead and drifting temperature sensor, in the frozen normalised units of each fold."""
-    series, _ = event_series(spark, folder)
-    train = health.assign_roles(windowing.channel_stats(series, ["x"]), FOLDS, dataset=dataset_number()).where("role = 'train'")
+    series, _ = event_runs(spark, folder, FOLDS)
+    stats = windowing.channel_stats(series, ["x"]).join(series.select("asset_id", "bucket").distinct(), "asset_id")
+    train = event_roles(stats).where("role = 'train'")
     stats = windowing.pooled_stats(train, ["fold_id"], ["x"]).drop("rows")
-    held = health.assign_roles(series.select("asset_id", "pos", "x"), FOLDS, dataset=dataset_number()).where("role = 'test'")
+    held = event_roles(series.select("asset_id", "bucket", "pos", "x")).where("role = 'test'")
     z = windowing.zscore(held, F.broadcast(stats), ["fold_id"], ["x"])  # one row per fold
     drifted = perturb.temperature_drift(z, ["x"], 5.0).withColumnRenamed("z_x", "drifted")
     out = perturb.missing_temperature(drifted, ["x"]).withColumnRenamed("z_x", "missing")

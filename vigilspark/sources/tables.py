@@ -11,6 +11,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folds import deal_groups
 from ..operators.ordered import Extent, extent, position
 
 KEY = ["asset_id"]
@@ -36,6 +37,21 @@ def dataset_number() -> Column:
     return F.pmod("asset_id", F.lit(2))
 
 
+def event_group() -> Column:
+    """Independence group of an event asset: four consecutive assets share one run."""
+    return F.floor(F.col("asset_id") / 4).cast("bigint")
+
+
+def event_runs(spark: SparkSession, folder: str, folds: int) -> tuple[DataFrame, Extent]:
+    """The event series with the independence group of every asset and the fold bucket that the group was dealt to."""
+    series, ext = event_series(spark, folder)
+    series = series.withColumn("grp", event_group())
+    # counted from the events themselves, before they are ordered
+    ids = table(spark, folder, "events").select(F.concat(F.lit("d"), F.pmod("user_id", F.lit(2))).alias("dataset"), F.col("user_id").alias("asset_id"))
+    manifest = ids.groupBy("dataset", event_group().alias("grp")).agg(F.count(F.lit(1)).alias("size"))
+    return series.join(deal_groups(manifest, folds, ext.assets), ["dataset", "grp"]), ext
+
+
 def event_series(spark: SparkSession, folder: str) -> tuple[DataFrame, Extent]:
     """One snapshot per event: x is the value, y the numeric property, ordered by (ts, event_id)."""
     ext = table_extent(spark, folder, "events", "user_id")
