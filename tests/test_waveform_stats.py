@@ -1,5 +1,7 @@
 """Windows, spectra, files and statistics against NumPy and published values."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -187,9 +189,26 @@ def test_tost_and_interval(spark):
 
 def test_bootstrap_is_deterministic(spark):
     df = spark.createDataFrame([("g", k, float(k)) for k in range(20)], "g string, asset_id long, diff double")
-    a = inference.bootstrap_mean(df, ["g"], EXT, 300).first()
-    b = inference.bootstrap_mean(df.repartition(7), ["g"], EXT, 300).first()
-    assert (a.boot_lo, a.boot_hi) == (b.boot_lo, b.boot_hi) and a.boot_lo < 9.5 < a.boot_hi
+    a = inference.bootstrap_mean(df, ["g"], replicates=300).first()
+    b = inference.bootstrap_mean(df.repartition(7), ["g"], replicates=300).first()
+    assert np.allclose((a.boot_lo, a.boot_hi), (b.boot_lo, b.boot_hi)) and a.boot_lo < 9.5 < a.boot_hi
+
+
+def test_bootstrap_interval_is_that_of_the_mean(spark):
+    x = np.random.default_rng(2).normal(1, 2, 400)
+    rows = [(None if k % 2 else 5, k, float(v)) for k, v in enumerate(x)] + [(5, 1000, None), (7, 1, 3.0)]
+    got = {r.g: r for r in inference.bootstrap_mean(spark.createDataFrame(rows, "g int, asset_id long, diff double"), ["g"]).collect()}
+    for key, own in ((5, x[::2]), (None, x[1::2])):
+        half = 1.96 * own.std(ddof=1) / np.sqrt(len(own))
+        assert abs(got[key].boot_lo - own.mean() + half) < 0.06 * half and abs(got[key].boot_hi - own.mean() - half) < 0.06 * half
+    assert got[7].boot_lo == got[7].boot_hi == 3.0
+
+
+def test_multiplicities_are_poisson_and_independent():
+    m = inference.multiplicities(np.arange(5_000, 5_400, dtype=np.int64) * 7919 % 2**32, np.arange(2000))
+    assert abs(m.mean() - 1) < 0.01 and abs(m.var() - 1) < 0.02
+    assert [abs((m == k).mean() - np.exp(-1) / math.factorial(k)) < 0.005 for k in range(5)] == [True] * 5
+    assert np.abs(np.corrcoef(m[:100]) - np.eye(100)).max() < 0.12 and np.abs(np.corrcoef(m[:, :100].T) - np.eye(100)).max() < 0.25
 
 
 def test_ridge_from_moments(spark):

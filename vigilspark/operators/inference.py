@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,24 +124,60 @@ def with_interval(means: DataFrame, level: float, lo: str, hi: str, mean: str =
     return means.withColumns({lo: F.col(mean) - half, hi: F.col(mean) + half})
 
 
-def bootstrap_mean(diffs: DataFrame, keys, ext: Extent, replicates: int = 20_000, level: float = 0.95, diff: str = "diff", seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean from resamples whose indices are hashed, so any retry repeats them.
+#: Multiplicities are Poisson(1): u below the k-th limit of the modulus gives k.
+MODULUS = 2**31 - 1
+_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+POISSON_LIMITS = [int(c * MODULUS) for c in _CDF]
+
+
+def multiplicities(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often rows with hashes ``h`` stand in replicates ``b``: (rows, replicates), by whole-number arithmetic alone."""
+    x = (h[:, None] * 48271 + b[None, :] * 69621 + 1) % MODULUS
+    x = (x * x + 40692 * x + b[None, :]) % MODULUS
+    x = (x * x + 16807 * x + 7) % MODULUS
+    return np.searchsorted(POISSON_LIMITS, x, side="right")
+
+
+def bootstrap_mean(diffs: DataFrame, keys, ext: Extent | None = None, replicates: int = 20_000, level: float = 0.95, diff: str = "diff", seed: int = 0, row: str = "asset_id") -> DataFrame:
+    """Percentile interval of the mean; each row stands in each replicate as often as a hash of both says (Poisson, mean 1).
 
-    Draws are made where the replicates live and looked up by (group, index); each replicate is a
-    map-side partial mean.
+    No draw is looked up and no row is copied: a task keeps ``replicates`` sums and counts per group, and these are merged
+    element by element. Rows with a NULL are left out, and so are replicates in which no row of a group stands.
     """
     keys = list(keys)
-    rows = position(diffs.select(*keys, "asset_id", diff), keys, ["asset_id"], ext, "_i", "_n")
-    groups = rows.where("_i = 0").select(*keys, "_n")
-    spark = diffs.sparkSession
-    draws = groups.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_b")
-    draws = draws.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    u = hash32(F.lit(seed), *[F.col(k) for k in keys], F.col("_b"), F.col("_j")) / F.lit(4294967296.0)
-    draws = draws.withColumn("_i", F.floor(u * F.col("_n")).cast("bigint")).select(*keys, "_b", "_i")
-    means = draws.join(rows.select(*keys, "_i", diff), [*keys, "_i"]).groupBy(*keys, "_b").agg(F.avg(diff).alias("_m"))
+    rows = diffs.select(*keys, hash32(F.lit(seed), *[F.col(k) for k in keys], F.col(row)).alias("_h"), F.col(diff).cast("double").alias("_x")).where("_x IS NOT NULL AND _h IS NOT NULL")
+    block = 1000
+    kinds = T.StructType([*[rows.schema[k] for k in keys], T.StructField("_first", T.LongType()), T.StructField("_s", T.ArrayType(T.DoubleType())), T.StructField("_m", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def out():
+            made = [(*key, first, s[first : first + block], m[first : first + block]) for key, (s, m) in held.items() for first in range(0, replicates, block)]
+            held.clear()
+            return pd.DataFrame(made, columns=kinds.names)
+
+        for pdf in batches:
+            for key, own in pdf.groupby(keys, dropna=False, sort=False):
+                s, m = held.setdefault(tuple(None if v != v else v for v in key), [np.zeros(replicates), np.zeros(replicates, np.int64)])
+                h, x = own["_h"].to_numpy(np.int64), own["_x"].to_numpy(float)
+                for k in range(0, len(x), 256):
+                    for first in range(0, replicates, block):
+                        b = np.arange(first, min(first + block, replicates))
+                        n = multiplicities(h[k : k + 256], b)
+                        s[b] += x[k : k + 256] @ n
+                        m[b] += n.sum(axis=0)
+            if len(held) > 64:
+                yield out()
+        if held:
+            yield out()
+
+    parts = rows.mapInPandas(run, kinds)
+    cells = parts.select(*keys, "_first", F.posexplode(F.arrays_zip("_s", "_m")).alias("_at", "_c"))
+    means = cells.groupBy(*keys, (F.col("_first") + F.col("_at")).alias("_b")).agg(F.sum("_c._s").alias("_s"), F.sum("_c._m").alias("_m")).where("_m > 0")
+    means = means.withColumn("_mean", F.col("_s") / F.col("_m"))
     tail = (1.0 - level) / 2.0
-    return quantiles(means, keys, {"boot_lo": ("_m", tail), "boot_hi": ("_m", 1.0 - tail)}, Extent(replicates, replicates))
+    return quantiles(means, keys, {"boot_lo": ("_mean", tail), "boot_hi": ("_mean", 1.0 - tail)}, Extent(replicates, replicates))
 
 
 def factorial_effects(cells: DataFrame, keys, first: str = "first", second: str = "second", mean: str = "mean") -> DataFrame:

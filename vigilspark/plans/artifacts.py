@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import composite, health, joins, labels, spectra, windowing
 from ..operators.ordered import Extent, extent, keep, position
-from ..sources.files import write_table
+from ..sources.runs import Run, read_runs
 
 CHANNELS = ["x", "y"]
 FEATURES = [f"{f}_{c}" for f in ("rms", "kurt", "crest", "energy", "envelope") for c in CHANNELS]
@@ -34,10 +34,11 @@ def snapshot_features(samples: DataFrame, length: int, overlap: float, most: int
 
 
 def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float, most: int | None = None, temperature: DataFrame | None = None, cadence_s: float = 10.0, done: DataFrame | None = None, least: int = 10) -> dict[str, DataFrame]:
-    """All per-asset tables of every asset in one pass, written partitioned by dataset.
+    """All per-asset tables of every asset in one pass, written partitioned by dataset and committed as one run.
 
     ``done`` lists finished (dataset, asset_id) keys to skip: their rows stay, those of the other assets are
-    appended. Without it the tables are written anew. Assets with fewer than ``least`` snapshots are left out.
+    added. Without it the run replaces the earlier ones. A run that breaks off leaves nothing that a reader
+    sees (:func:`read_artifact`), and the next run does its assets again. Assets with fewer than ``least`` snapshots are left out.
     """
     keys = ["dataset", "asset_id"]
     if done is not None:
@@ -64,6 +65,13 @@ def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float
         "labels": labelled.select(*keys, "snapshot_id", "rul", "deg", "rul_capped", "stage_time", "stage_index", "warning_label", "rul_hours", "life_hours", "H_fail"),
         "manifest": manifest,
     }
+    run = Run(samples.sparkSession, folder, replaces=done is None)
     for name, df in tables.items():
-        write_table(df, f"{folder}/{name}", mode="overwrite" if done is None else "append")
+        run.write(df, name)
+    run.commit()
     return tables
+
+
+def read_artifact(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the stored tables, as far as committed runs have written it."""
+    return read_runs(spark, folder, name)

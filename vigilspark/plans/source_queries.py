@@ -11,7 +11,7 @@ from ..operators import windowing
 from ..operators.ordered import shared_folder
 from ..sources.files import SERIES_SCHEMA, read_csv, read_parquet, read_windows, write_table
 from ..sources.tables import event_series, waveform_samples
-from .artifacts import build_artifacts
+from .artifacts import build_artifacts, read_artifact
 from .control_queries import fold_parameter_record
 from .registry import ORACLE, query
 from .sqlkit import define, sql
@@ -72,13 +72,13 @@ def _artifacts(spark, folder):
     path = _folder(spark, "artifacts")
     later = samples.where("asset_id % 3 = 0").select("dataset", "asset_id").distinct()
     build_artifacts(samples, path, LENGTH, 0.5, temperature=side, done=later)
-    build_artifacts(samples, path, LENGTH, 0.5, temperature=side, done=read_parquet(spark, f"{path}/manifest"))
+    build_artifacts(samples, path, LENGTH, 0.5, temperature=side, done=read_artifact(spark, path, "manifest"))
     return path
 
 
 @query("artifact_manifest", sql("SELECT dataset, asset_id, count(*) AS n_snapshots, sum(w)::BIGINT AS n_windows, max((temp IS NOT NULL)::INT) AS has_temp FROM stored_snaps WHERE n >= 10 GROUP BY ALL"))
 def artifact_manifest(spark, folder):
-    out = read_parquet(spark, f"{_artifacts(spark, folder)}/manifest")
+    out = read_artifact(spark, _artifacts(spark, folder), "manifest")
     return out.select("dataset", "asset_id", "n_snapshots", "n_windows", F.col("has_temp").cast("int").alias("has_temp"))
 
 
@@ -88,14 +88,14 @@ SELECT dataset, asset_id, snapshot_id, n - 1 AS h_fail, round((n - 1 - snapshot_
 FROM stored_snaps WHERE n >= 10"""))
 def artifact_labels(spark, folder):
     """Position labels of the stored label table."""
-    out = read_parquet(spark, f"{_artifacts(spark, folder)}/labels")
+    out = read_artifact(spark, _artifacts(spark, folder), "labels")
     return out.select("dataset", "asset_id", "snapshot_id", F.col("H_fail").alias("h_fail"), *rounded(["rul", "deg", "rul_capped", "life_hours"]))
 
 
 @query("artifact_index", sql("SELECT dataset, asset_id, count(*) AS n, 1 AS in_range, round(max(snapshot_id), 0)::BIGINT AS last FROM stored_snaps WHERE n >= 10 GROUP BY ALL"))
 def artifact_index(spark, folder):
     """The stored index: a value within [0, 1] for every snapshot of every asset."""
-    out = read_parquet(spark, f"{_artifacts(spark, folder)}/index")
+    out = read_artifact(spark, _artifacts(spark, folder), "index")
     inside = F.coalesce(F.col("index").between(0, 1), F.lit(False)).cast("int")
     return out.groupBy("dataset", "asset_id").agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("in_range"), F.max("snapshot_id").alias("last"))
 
