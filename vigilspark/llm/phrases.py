@@ -23,14 +23,14 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import query, stored, table, text_or_empty
 from .chunks import pack, unpack
 
 LEAST, LONGEST, TOP, CUT, CONTAINED = 30, 4, 2000, 2_000_000, 80
-CHUNK_WORDS, CHUNK_BYTES, BLOCK = 300_000, 24_000_000, 1 << 21
+CHUNK_WORDS, CHUNK_BYTES, BLOCK = 300_000, 24_000_000, 1 << 20
 TRIE_PHRASES, ROUND_BYTES = 200_000, 48 << 20
 
 #: Ends of pieces become \n, the other white space of the rule a blank.
@@ -279,31 +279,44 @@ def rounds(tries: DataFrame):
         yield spark.sparkContext.broadcast([bytes(r.trie) for r in tries.where(F.col("number").isin(numbers)).orderBy("number").collect()]), len(out)
 
 
-_GRAMS = "ids array<int>, n long"
+#: A phrase as two longs: the numbers of its words in turn, two to a long, 0 where it has none.
+_GRAMS = "k1 long, k2 long, n long"
 
 
-def _grams(ids: np.ndarray, at: np.ndarray, n: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(at), 100_000):
-        some = at[k : k + 100_000]
-        flat = ids[some[:, None] + np.arange(size)].astype(np.int32).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([lists, pa.array(n[k : k + 100_000].astype(np.int64))], names=["ids", "n"])
+def _grams(words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``LONGEST`` word numbers and their counts, as batches."""
+    for k in range(0, len(words), 100_000):
+        w = words[k : k + 100_000].astype(np.int64)
+        columns = [(w[:, 0] << 32) | w[:, 1], (w[:, 2] << 32) | w[:, 3], n[k : k + 100_000].astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "n"])
+
+
+def words_of_keys() -> Column:
+    low = F.lit(0xFFFFFFFF)
+    each = [F.shiftright("k1", 32), F.col("k1").bitwiseAND(low), F.shiftright("k2", 32), F.col("k2").bitwiseAND(low)]
+    return F.filter(F.array(*[c.cast("int") for c in each]), lambda x: x > 0)
 
 
 def pairs(numbers: DataFrame) -> DataFrame:
-    """(ids, n): pairs of frequent words that stand next to each other, summed per block."""
+    """(k1, k2, n): pairs of frequent words that stand next to each other, summed per block."""
 
     def run(batches):
         for ids in blocks(batches):
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            _, first, n = np.unique((ids[at].astype(np.int64) << 32) | ids[at + 1], return_index=True, return_counts=True)
-            yield from _grams(ids, at[first], n, 2)
+            key = (ids[:-1].astype(np.int64) << 32) | ids[1:]
+            key = key[(ids[:-1] > 0) & (ids[1:] > 0)]
+            key.sort()
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(key)))
+            key = key[first]
+            for k in range(0, len(key), 100_000):
+                some = key[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.zeros(len(some), np.int64)), pa.array(n[k : k + 100_000])], names=["k1", "k2", "n"])
 
     return numbers.mapInArrow(run, _GRAMS)
 
 
 def longer(numbers: DataFrame, tries: DataFrame, size: int) -> DataFrame:
-    """(ids, n): phrases of ``size`` words whose parts of ``size - 1`` words are candidates, summed per block.
+    """(k1, k2, n): phrases of ``size`` words whose parts of ``size - 1`` words are candidates, summed per block.
 
     With one round both parts are asked for; with several the second may be in another round, and only the first is.
     """
@@ -324,7 +337,9 @@ def longer(numbers: DataFrame, tries: DataFrame, size: int) -> DataFrame:
                 at = at[at + size <= len(ids)]
                 at = at[ids[at + size - 1] > 0]
                 _, first, n = np.unique((state[at] << 32) | ids[at + size - 1], return_index=True, return_counts=True)
-                yield from _grams(ids, at[first], n, size)
+                words = np.zeros((len(first), LONGEST), np.int32)
+                words[:, :size] = ids[at[first][:, None] + np.arange(size)]
+                yield from _grams(words, n)
 
         found = numbers.mapInArrow(run, _GRAMS)
         out = found if out is None else out.unionByName(found)
@@ -348,14 +363,13 @@ def counted(numbers: DataFrame, tries: DataFrame) -> DataFrame:
                         total[k] += np.bincount(to, minlength=len(t.check))
                         words[k][to, :level] = ids[at[:, None] + np.arange(level)]
             for k, t in enumerate(held):
-                for level in range(2, LONGEST + 1):
-                    own = np.flatnonzero((t.accepts == level) & (total[k] > 0))
-                    yield from _grams(words[k].ravel(), own * LONGEST, total[k][own], level)
+                own = np.flatnonzero(total[k])
+                yield from _grams(words[k][own], total[k][own])
 
         found = numbers.mapInArrow(run, _GRAMS)
         out = found if out is None else out.unionByName(found)
     out = out if out is not None else numbers.sparkSession.createDataFrame([], _GRAMS)
-    return out.groupBy("ids").agg(F.sum("n").alias("a"))
+    return out.groupBy("k1", "k2").agg(F.sum("n").alias("a")).select(words_of_keys().alias("ids"), "a")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -367,7 +381,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     numbers = stored(number_rows(chunked, words))
 
     def frequent(grams: DataFrame) -> DataFrame:
-        return stored(grams.groupBy("ids").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("ids"))
+        return stored(grams.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(words_of_keys().alias("ids")))
 
     level = candidates = frequent(pairs(numbers))
     for size in range(3, LONGEST + 1):
