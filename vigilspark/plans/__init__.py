@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["index_queries", "alarm_queries", "control_queries", "waveform_queries", "fold_queries", "evaluation_queries", "sensitivity_queries", "source_queries"]
+MODULES = ["index_queries", "alarm_queries", "control_queries", "waveform_queries", "fold_queries", "evaluation_queries", "sensitivity_queries", "source_queries", "streaming_queries"]
 
 
 def load_all():
