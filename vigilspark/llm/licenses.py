@@ -2,8 +2,8 @@
 
 1. Gate: a text that holds no keyword of any rule, white space collapsed, is done after its word count.
 2. Prefilter: other texts meet only the rules of which they hold a keyword. Every match of a rule holds one of the
-   rule's keywords (``rule_keywords``), so neither step loses a detection. The SQL still has one keyword a rule and the
-   narrower ``GATE``; on texts that only the keywords here let through the two differ.
+   rule's keywords (``rule_keywords``), so neither step loses a detection; the SQL runs every rule on every text.
+   A rule matches whole words only, where a letter beyond ASCII is a letter like any other.
 3. Every match of a rule is a detection (start, end, priority). A detection that lies inside another one of the same
    or a higher priority is suppressed; of equal spans the rule that stands first stays.
 4. Labels of what is left join the labels of the base phrases.
@@ -27,18 +27,15 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in a text that is not lower-cased yet.
 WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE_PHRASES = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])]
-#: Gate of the SQL; the operator's gate follows from ``rule_keywords``.
-GATE = r"(?i)(licen[cs]e|spdx|public domain|copyleft|creative commons|\bcc.by|\bcc0|redistribution and use|all rights reserved|permission is hereby granted)"
-
-#: (label, keyword in the SQL, name of the license as a regex, SPDX identifier as a regex); versions are spelled out by the name.
+#: (label, main word, name of the license as a regex, SPDX identifier as a regex); versions are spelled out by the name.
 FAMILIES = [
-    ("agpl-3.0", "affero", r"(gnu )?affero general public licen[cs]e(,? (version |v\.? ?)?3(\.0)?)?", r"agpl-3\.0(-only|-or-later)?"),
-    ("apache-1.1", "apache", r"apache( software)? licen[cs]e,? (version |v\.? ?)?1\.1", r"apache-1\.1"),
-    ("apache-2.0", "apache", r"apache( software)? licen[cs]e,? (version |v\.? ?)?2(\.0)?", r"apache-2\.0"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (version |v\.? ?)?2(\.0)?", r"artistic-2\.0"),
-    ("bsd-2-clause", "bsd", r"(bsd[ -]2[ -]clause|simplified bsd|freebsd)( licen[cs]e)?", r"bsd-2-clause"),
-    ("bsd-3-clause", "bsd", r"(bsd[ -]3[ -]clause|new bsd|modified bsd|revised bsd)( licen[cs]e)?", r"bsd-3-clause"),
-    ("bsl-1.0", "boost", r"boost software licen[cs]e,?( (version |v\.? ?)?1\.0)?", r"bsl-1\.0"),
+    ("agpl-3.0", "affero", r"(gnu )?affero general public licen[cs]es?(,? (version |v\.? ?)?3(\.0)?)?", r"agpl-3\.0(-only|-or-later)?"),
+    ("apache-1.1", "apache", r"apache( software)? licen[cs]es?,? (version |v\.? ?)?1\.1", r"apache-1\.1"),
+    ("apache-2.0", "apache", r"apache( software)? licen[cs]es?,? (version |v\.? ?)?2(\.0)?", r"apache-2\.0"),
+    ("artistic-2.0", "artistic", r"artistic licen[cs]es?,? (version |v\.? ?)?2(\.0)?", r"artistic-2\.0"),
+    ("bsd-2-clause", "bsd", r"(bsd[ -]2[ -]clause|simplified bsd|freebsd)( licen[cs]es?)?", r"bsd-2-clause"),
+    ("bsd-3-clause", "bsd", r"(bsd[ -]3[ -]clause|new bsd|modified bsd|revised bsd)( licen[cs]es?)?", r"bsd-3-clause"),
+    ("bsl-1.0", "boost", r"boost software licen[cs]es?,?( (version |v\.? ?)?1\.0)?", r"bsl-1\.0"),
     ("cc0-1.0", "cc0", r"cc0( 1\.0)?( universal)?", r"cc0-1\.0"),
     ("cc-by", "cc", r"(creative commons |cc[ -])(by|attribution)( |-)?([1-4]\.0)?( international)?", r"cc-by-[1-4]\.0"),
     ("cc-by-nc", "cc", r"(creative commons |cc[ -])(by-nc|attribution-noncommercial)( |-)?([1-4]\.0)?( international)?", r"cc-by-nc-[1-4]\.0"),
@@ -46,30 +43,30 @@ FAMILIES = [
     ("cc-by-sa", "cc", r"(creative commons |cc[ -])(by-sa|attribution-sharealike)( |-)?([1-4]\.0)?( international)?", r"cc-by-sa-[1-4]\.0"),
     ("cc-by-nc-sa", "cc", r"(creative commons |cc[ -])(by-nc-sa|attribution-noncommercial-sharealike)( |-)?([1-4]\.0)?( international)?", r"cc-by-nc-sa-[1-4]\.0"),
     ("cc-by-nc-nd", "cc", r"(creative commons |cc[ -])(by-nc-nd|attribution-noncommercial-noderiv\w*)( |-)?([1-4]\.0)?( international)?", r"cc-by-nc-nd-[1-4]\.0"),
-    ("cddl-1.0", "cddl", r"(common development and distribution licen[cs]e|cddl)( 1\.0)?", r"cddl-1\.0"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e,? (version |- ?v? ?|v\.? ?)?1\.0", r"epl-1\.0"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e,? (version |- ?v? ?|v\.? ?)?2\.0", r"epl-2\.0"),
-    ("eupl-1.2", "eupl", r"(european union public licen[cs]e|eupl)(,? (version |v\.? ?)?1\.2)?", r"eupl-1\.2"),
-    ("gpl-1.0", "general public", r"(gnu )?general public licen[cs]e,? (version |v\.? ?)?1(\.0)?", r"gpl-1\.0(-only|-or-later)?"),
-    ("gpl-2.0", "general public", r"(gnu )?general public licen[cs]e,? (version |v\.? ?)?2(\.0)?", r"gpl-2\.0(-only|-or-later)?"),
-    ("gpl-3.0", "general public", r"(gnu )?general public licen[cs]e,? (version |v\.? ?)?3(\.0)?", r"gpl-3\.0(-only|-or-later)?"),
-    ("lgpl-2.1", "lesser", r"(gnu )?lesser general public licen[cs]e,? (version |v\.? ?)?2\.1", r"lgpl-2\.1(-only|-or-later)?"),
-    ("lgpl-3.0", "lesser", r"(gnu )?lesser general public licen[cs]e,? (version |v\.? ?)?3(\.0)?", r"lgpl-3\.0(-only|-or-later)?"),
-    ("lgpl-2.0", "library", r"(gnu )?library general public licen[cs]e,? (version |v\.? ?)?2(\.0)?", r"lgpl-2\.0(-only|-or-later)?"),
-    ("gfdl", "documentation", r"(gnu )?free documentation licen[cs]e(,? (version |v\.? ?)?1\.[1-3])?", r"gfdl-1\.[1-3](-only|-or-later)?"),
-    ("isc", "isc", r"isc licen[cs]e", r"isc"),
-    ("mit", "mit", r"(mit|expat) licen[cs]e", r"mit"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? (version |v\.? ?)?1\.1", r"mpl-1\.1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? (version |v\.? ?)?2\.0", r"mpl-2\.0"),
-    ("ms-pl", "microsoft", r"microsoft public licen[cs]e", r"ms-pl"),
-    ("odbl-1.0", "open d", r"open database licen[cs]e|open data commons open database licen[cs]e", r"odbl-1\.0"),
-    ("ofl-1.1", "open font", r"(sil )?open font licen[cs]e(,? (version |v\.? ?)?1\.1)?", r"ofl-1\.1"),
-    ("openssl", "openssl", r"openssl licen[cs]e", r"openssl"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
-    ("psf-2.0", "python", r"python software foundation licen[cs]e(,? (version |v\.? ?)?2)?", r"psf-2\.0"),
+    ("cddl-1.0", "cddl", r"(common development and distribution licen[cs]es?|cddl)( 1\.0)?", r"cddl-1\.0"),
+    ("epl-1.0", "eclipse", r"eclipse public licen[cs]es?,? (version |- ?v? ?|v\.? ?)?1\.0", r"epl-1\.0"),
+    ("epl-2.0", "eclipse", r"eclipse public licen[cs]es?,? (version |- ?v? ?|v\.? ?)?2\.0", r"epl-2\.0"),
+    ("eupl-1.2", "eupl", r"(european union public licen[cs]es?|eupl)(,? (version |v\.? ?)?1\.2)?", r"eupl-1\.2"),
+    ("gpl-1.0", "general public", r"(gnu )?general public licen[cs]es?,? (version |v\.? ?)?1(\.0)?", r"gpl-1\.0(-only|-or-later)?"),
+    ("gpl-2.0", "general public", r"(gnu )?general public licen[cs]es?,? (version |v\.? ?)?2(\.0)?", r"gpl-2\.0(-only|-or-later)?"),
+    ("gpl-3.0", "general public", r"(gnu )?general public licen[cs]es?,? (version |v\.? ?)?3(\.0)?", r"gpl-3\.0(-only|-or-later)?"),
+    ("lgpl-2.1", "lesser", r"(gnu )?lesser general public licen[cs]es?,? (version |v\.? ?)?2\.1", r"lgpl-2\.1(-only|-or-later)?"),
+    ("lgpl-3.0", "lesser", r"(gnu )?lesser general public licen[cs]es?,? (version |v\.? ?)?3(\.0)?", r"lgpl-3\.0(-only|-or-later)?"),
+    ("lgpl-2.0", "library", r"(gnu )?library general public licen[cs]es?,? (version |v\.? ?)?2(\.0)?", r"lgpl-2\.0(-only|-or-later)?"),
+    ("gfdl", "documentation", r"(gnu )?free documentation licen[cs]es?(,? (version |v\.? ?)?1\.[1-3])?", r"gfdl-1\.[1-3](-only|-or-later)?"),
+    ("isc", "isc", r"isc licen[cs]es?", r"isc"),
+    ("mit", "mit", r"(mit|expat) licen[cs]es?", r"mit"),
+    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]es?,? (version |v\.? ?)?1\.1", r"mpl-1\.1"),
+    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]es?,? (version |v\.? ?)?2\.0", r"mpl-2\.0"),
+    ("ms-pl", "microsoft", r"microsoft public licen[cs]es?", r"ms-pl"),
+    ("odbl-1.0", "open d", r"open database licen[cs]es?|open data commons open database licen[cs]es?", r"odbl-1\.0"),
+    ("ofl-1.1", "open font", r"(sil )?open font licen[cs]es?(,? (version |v\.? ?)?1\.1)?", r"ofl-1\.1"),
+    ("openssl", "openssl", r"openssl licen[cs]es?", r"openssl"),
+    ("postgresql", "postgresql", r"postgresql licen[cs]es?", r"postgresql"),
+    ("psf-2.0", "python", r"python software foundation licen[cs]es?(,? (version |v\.? ?)?2)?", r"psf-2\.0"),
     ("unlicense", "unlicense", r"the unlicense|unlicense", r"unlicense"),
-    ("wtfpl", "what the", r"do what the f\w+ you want to public licen[cs]e", r"wtfpl"),
-    ("zlib", "zlib", r"zlib(/libpng)? licen[cs]e", r"zlib"),
+    ("wtfpl", "what the", r"do what the f\w+ you want to public licen[cs]es?", r"wtfpl"),
+    ("zlib", "zlib", r"zlib(/libpng)? licen[cs]es?", r"zlib"),
 ]
 #: (priority, confidence, regex around a name): a grant outranks a heading, which outranks a bare mention.
 FRAMES = [
@@ -131,27 +128,82 @@ SINGLE = [
     ("public-domain", "public domain", 30, 0.9, r"(released|placed|dedicated) (in|into|to) the public domain"),
     ("public-domain", "public domain", 10, 0.6, r"public domain"),
     ("proprietary", "all rights", 10, 0.5, r"all rights reserved"),
-    ("gpl", "general public", 10, 0.7, r"(gnu )?general public licen[cs]e"),
-    ("apache", "apache", 10, 0.7, r"apache( software)? licen[cs]e"),
-    ("lgpl", "lesser", 10, 0.7, r"(gnu )?lesser general public licen[cs]e"),
-    ("mpl", "mozilla", 10, 0.7, r"mozilla public licen[cs]e"),
-    ("epl", "eclipse", 10, 0.7, r"eclipse public licen[cs]e"),
-    ("bsd", "bsd", 10, 0.7, r"bsd licen[cs]e"),
+    ("gpl", "general public", 10, 0.7, r"(gnu )?general public licen[cs]es?"),
+    ("apache", "apache", 10, 0.7, r"apache( software)? licen[cs]es?"),
+    ("lgpl", "lesser", 10, 0.7, r"(gnu )?lesser general public licen[cs]es?"),
+    ("mpl", "mozilla", 10, 0.7, r"mozilla public licen[cs]es?"),
+    ("epl", "eclipse", 10, 0.7, r"eclipse public licen[cs]es?"),
+    ("bsd", "bsd", 10, 0.7, r"bsd licen[cs]es?"),
+]
+#: Wording of license texts, file headers and notices: (label, keyword, priority, confidence, regex).
+BODIES = [
+    ("mit", "substantial portions of the software", 50, 0.97, r"the above copyright notice and this permission notice (\(including the next paragraph\) )?shall be included in all copies or substantial portions of the software"),
+    ("mit", "to deal in the software", 50, 0.95, r"to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish"),
+    ("mit-0", "without restriction", 52, 0.9, r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the .software.\), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so\. the software is provided"),
+    ("isc", "with or without fee", 50, 0.96, r"permission to use, copy, modify, and(/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", "with or without fee", 51, 0.9, r"for any purpose with or without fee is hereby granted\. the software is provided"),
+    ("bsd-3-clause", "endorse or promote products", 55, 0.97, r"neither the name of [a-z0-9 ,.'<>()-]{1,120} nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising materials", 56, 0.97, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "in binary form must reproduce", 50, 0.96, r"redistributions in binary form must reproduce the above copyright notice, this list of conditions"),
+    ("bsd", "of source code must retain", 50, 0.96, r"redistributions of source code must retain the above copyright notice, this list of conditions"),
+    ("apache-2.0", "you may not use this file except in compliance", 55, 0.99, r"you may not use this file except in compliance with the license\. you may obtain a copy of the license at"),
+    ("apache-2.0", "www.apache.org/licenses/license-2.0", 55, 0.99, r"https?://www\.apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", "january 2004", 54, 0.95, r"apache license,? version 2\.0,? january 2004"),
+    ("apache-2.0", "distributed on an", 45, 0.85, r"distributed on an .as is. basis, without warranties or conditions of any kind"),
+    ("apache-1.1", "apache software foundation", 52, 0.9, r"this product includes software developed by the apache software foundation"),
+    ("gpl", "redistribute it and/or modify it under the terms of the gnu general public", 50, 0.97, r"(this program|this file|it) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl-2.0", "either version 2 of the licen", 55, 0.98, r"gnu general public licen[cs]e as published by the free software foundation[;,] either version 2 of the licen[cs]e"),
+    ("gpl-3.0", "either version 3 of the licen", 55, 0.98, r"gnu general public licen[cs]e as published by the free software foundation[;,] either version 3 of the licen[cs]e"),
+    ("gpl-2.0", "version 2, june 1991", 55, 0.97, r"gnu general public licen[cs]e version 2, june 1991"),
+    ("gpl-3.0", "version 3, 29 june 2007", 55, 0.97, r"gnu general public licen[cs]e version 3, 29 june 2007"),
+    ("gpl", "without even the implied warranty", 40, 0.85, r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public licen[cs]e"),
+    ("lgpl", "redistribute it and/or modify it under the terms of the gnu lesser", 55, 0.98, r"(this library|this program) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu lesser general public licen[cs]e"),
+    ("lgpl-2.1", "version 2.1, february 1999", 56, 0.97, r"gnu lesser general public licen[cs]e version 2\.1, february 1999"),
+    ("lgpl-2.0", "redistribute it and/or modify it under the terms of the gnu library", 55, 0.97, r"redistribute it and/or modify it under the terms of the gnu library general public licen[cs]e"),
+    ("agpl-3.0", "version 3, 19 november 2007", 56, 0.98, r"gnu affero general public licen[cs]e version 3, 19 november 2007"),
+    ("agpl-3.0", "remote network interaction", 50, 0.9, r"remote network interaction; use with the gnu general public licen[cs]e"),
+    ("mpl-2.0", "source code form is subject to the terms", 55, 0.99, r"this source code form is subject to the terms of the mozilla public licen[cs]e, v\. 2\.0"),
+    ("mpl-2.0", "mozilla.org/mpl/2.0", 55, 0.98, r"https?://(www\.)?mozilla\.org/mpl/2\.0"),
+    ("mpl-1.1", "subject to the mozilla public license version 1.1", 55, 0.98, r"contents of this file are subject to the mozilla public license version 1\.1"),
+    ("epl", "accompanying materials are made available under", 50, 0.96, r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("epl-2.0", "eclipse.org/legal/epl-2.0", 55, 0.98, r"https?://(www\.)?eclipse\.org/legal/epl-2\.0"),
+    ("epl-1.0", "eclipse.org/legal/epl-v10", 55, 0.98, r"https?://(www\.)?eclipse\.org/legal/epl-v10"),
+    ("bsl-1.0", "boost.org/license_1_0", 55, 0.98, r"https?://(www\.)?boost\.org/license_1_0\.txt"),
+    ("bsl-1.0", "covered by this license", 52, 0.95, r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", "altered source versions must be plainly marked", 55, 0.98, r"altered source versions must be plainly marked as such"),
+    ("zlib", "origin of this software must not be misrepresented", 55, 0.98, r"the origin of this software must not be misrepresented"),
+    ("ofl-1.1", "reserved font name", 45, 0.9, r"with reserved font names?"),
+    ("ofl-1.1", "font software is licensed under the sil", 55, 0.98, r"this font software is licensed under the sil open font licen[cs]e"),
+    ("unlicense", "free and unencumbered software", 55, 0.99, r"this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "creativecommons.org/publicdomain/zero", 55, 0.99, r"https?://creativecommons\.org/publicdomain/zero/1\.0"),
+    ("cc-by", "creativecommons.org/licenses/by/", 55, 0.99, r"https?://creativecommons\.org/licenses/by/[1-4]\.[05]"),
+    ("cc-by-sa", "creativecommons.org/licenses/by-sa/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-sa/[1-4]\.[05]"),
+    ("cc-by-nc", "creativecommons.org/licenses/by-nc/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nc/[1-4]\.[05]"),
+    ("cc-by-nd", "creativecommons.org/licenses/by-nd/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nd/[1-4]\.[05]"),
+    ("cc-by-nc-sa", "creativecommons.org/licenses/by-nc-sa/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]"),
+    ("cc-by-nc-nd", "creativecommons.org/licenses/by-nc-nd/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]"),
+    ("wtfpl", "you just do what the f", 55, 0.95, r"you just do what the f\w+ you want to"),
+    ("postgresql", "without a written agreement is hereby granted", 52, 0.92, r"without fee, and without a written agreement is hereby granted"),
+    ("openssl", "openssl project for use in", 52, 0.95, r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("psf-2.0", "between the python software foundation", 52, 0.95, r"this license agreement is between the python software foundation"),
+    ("artistic-2.0", "artistic license 2.0 copyright", 30, 0.6, r"artistic license 2\.0 copyright"),
+    ("proprietary", "proprietary and confidential", 30, 0.8, r"(strictly )?proprietary and confidential"),
+    ("proprietary", "copying of this file", 35, 0.85, r"unauthori[sz]ed copying of this file,? via any medium,? is strictly prohibited"),
 ]
 
 
 def signature_rules() -> list[tuple[int, str, str, int, float, str]]:
     """(order, label, keyword, priority, confidence, regex), written for lower-case text with single spaces."""
     rules = [(label, word, p, conf, frame.replace("{name}", f"({name})")) for label, word, name, _ in FAMILIES for p, conf, frame in FRAMES]
-    rules += [(label, "spdx", 60, 1.0, rf"spdx-license-identifier: ?({spdx})\b") for label, _, _, spdx in FAMILIES]
-    rules += SINGLE
+    rules += [(label, "spdx", 60, 1.0, rf"spdx-license-identifier: ?({spdx})") for label, _, _, spdx in FAMILIES]
+    rules = [(*rule[:-1], rf"\b({rule[-1]})\b") for rule in rules + SINGLE + BODIES]
     return [(k, *rule) for k, rule in enumerate(rules)]
 
 
 def rule_keywords() -> list[tuple[str, ...]]:
     """Keywords of every rule, in the order of ``signature_rules``."""
     named = [KEYWORDS[label] for label, *_ in FAMILIES for _ in FRAMES]
-    return [*named, *[(SPDX,) for _ in FAMILIES], *[(word,) for _, word, *_ in SINGLE]]
+    return [*named, *[(SPDX,) for _ in FAMILIES], *[(word,) for _, word, *_ in SINGLE + BODIES]]
 
 
 def _spans(rule: str = "regex"):
@@ -169,7 +221,7 @@ def detections(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = rule_keywords()
     rules = spark.createDataFrame([(k, label, "|".join(words[k]), p, conf, regex) for k, label, _, p, conf, regex in signature_rules()], "ord int, label string, keyword string, priority int, confidence double, regex string")
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.regexp_replace(lower_ascii(text_or_empty()), r"[\x20\x09-\x0D]+", " ").alias("t"))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.regexp_replace(F.regexp_replace(lower_ascii(text_or_empty()), r"[\x20\x09-\x0D]+", " "), r"[^\x00-\x7F]", "x").alias("t"))
     keywords = F.array(*[F.when(_any([_held(x) for x in own]), F.lit("|".join(own))) for own in sorted(set(words))])
     met = texts.select("id", "th", "t", F.explode(F.filter(keywords, lambda k: k.isNotNull())).alias("keyword"))
     hits = met.join(F.broadcast(rules), "keyword").select("id", "th", "ord", "label", "priority", "confidence", F.inline(_spans()))
@@ -238,9 +290,9 @@ phrases(label, p) AS (VALUES {_PHRASES}),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS w FROM d),
 b AS (SELECT r, i - 1 AS pos, phrases.label FROM w, phrases, unnest(range(1, len(w) + 1)) AS u(i) WHERE contains(t, 'license') AND w[i:i + len(p) - 1] = p),
-g AS (SELECT r, regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM d WHERE regexp_matches(t, '{GATE}')),
+g AS (SELECT r, regexp_replace(regexp_replace(t, '[\x20\x09-\x0D]+', ' ', 'g'), '[^\x00-\x7F]', 'x', 'g') AS t FROM d),
 m AS (SELECT r, ord, label, priority, confidence, regexp_extract_all(g.t, regex) AS hits, string_split_regex(g.t, regex) AS gaps
-    FROM g JOIN rules ON contains(g.t, keyword) WHERE regexp_matches(g.t, regex)),
+    FROM g, rules WHERE regexp_matches(g.t, regex)),
 s AS (SELECT r, ord, label, priority, confidence, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS s, length(hits[k]) AS n
     FROM m, unnest(range(1, len(hits) + 1)) AS u(k)),
 x AS (SELECT a.* FROM s a WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.r = a.r AND c.s <= a.s AND c.s + c.n >= a.s + a.n AND (

@@ -4,7 +4,7 @@ Everything is column expressions over one row, so nothing is shuffled and one lo
 costs no more than its own text. Cases:
 
 * NULL or empty text: no words, hence ``base_failed`` and not kept.
-* Lines without a word count neither as lines nor as repeats.
+* Lines without a word count neither as lines nor as repeats; the cleaned text keeps them where they stand.
 * Ties and repeated rows: every row is judged by its own text alone.
 * Further columns, whatever their names, pass through ``keep_documents`` unchanged.
 """
@@ -23,12 +23,21 @@ SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|\x{2022}\x{00B7}\x{203A}\x{00BB}]"
 UPPER = r"[A-Z\x{00C0}-\x{00D6}\x{00D8}-\x{00DE}]"
 LOWER = r"[a-z\x{00DF}-\x{00F6}\x{00F8}-\x{00FF}]"
-#: Fixed phrases of page furniture; a short line that holds one is boilerplate.
-BOILERPLATE = (
-    r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|uses cookies|"
-    r"enable javascript|javascript (is|must be) (disabled|enabled)|click here|read more|sign (in|up) |log ?in to|"
-    r"subscribe to|share (this|on) |back to top|skip to (main )?content|lorem ipsum)"
-)
+#: Marks of punctuation, ASCII and the usual others.
+MARKS = r"[!-/:-@\[-\x60{-~\x{00A1}\x{00AB}\x{00B7}\x{00BB}\x{00BF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{3001}-\x{3003}]"
+#: Fixed phrases of page furniture in English, French, German and Spanish; a short line that holds one is boilerplate.
+PHRASES = {
+    "en": "all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept (all )?cookies|uses cookies|enable javascript|"
+    "javascript (is|must be) (disabled|enabled)|click here|read more|sign (in|up) |log ?in to|subscribe to|share (this|on) |back to top|"
+    "skip to (main )?content|lorem ipsum|forgot (your )?password|add to (cart|basket)|leave a (comment|reply)|powered by |follow us on",
+    "fr": "tous droits r\u00e9serv\u00e9s|conditions d'utilisation|mentions l\u00e9gales|politique de (confidentialit\u00e9|cookies)|accepter (tous )?les cookies|utilise des cookies|"
+    "activer javascript|cliquez ici|lire la suite|en savoir plus|se connecter|s'inscrire|abonnez-vous|partager sur |retour en haut|aller au contenu|mot de passe oubli\u00e9|ajouter au panier|laisser un commentaire",
+    "de": "alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl\u00e4rung|cookie-richtlinie|alle cookies akzeptieren|verwendet cookies|javascript aktivieren|klicken sie hier|"
+    "hier klicken|weiterlesen|mehr erfahren|jetzt anmelden|newsletter abonnieren|teilen auf |nach oben|zum inhalt springen|passwort vergessen|in den warenkorb|kommentar hinterlassen",
+    "es": "todos los derechos reservados|t\u00e9rminos de (uso|servicio)|aviso legal|pol\u00edtica de (privacidad|cookies)|aceptar (todas )?las cookies|utiliza cookies|activar javascript|"
+    "haga clic aqu\u00ed|haz clic aqu\u00ed|leer m\u00e1s|seguir leyendo|iniciar sesi\u00f3n|reg\u00edstrate|suscr\u00edbete|compartir en |volver arriba|ir al contenido|a\u00f1adir al carrito|deja un comentario",
+}
+BOILERPLATE = "(?i)(" + "|".join(PHRASES.values()) + ")"
 
 
 @dataclass(frozen=True)
@@ -36,6 +45,7 @@ class Rules:
     """Limits of the line rules and of the document's verdict."""
 
     symbols_per_word: float = 0.5
+    marks_share: float = 0.5
     words_per_separator: int = 4
     shouting_words: int = 3
     repeat_words: int = 10
@@ -52,7 +62,8 @@ def line_fails(line: Column, rules: Rules = Rules()) -> Column:
     n = F.size(w)
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     separators = F.regexp_count(line, F.lit(SEPARATORS))
-    punctuation = symbols > n * F.lit(rules.symbols_per_word)
+    chars = F.length(F.array_join(w, ""))
+    punctuation = (symbols > n * F.lit(rules.symbols_per_word)) | (F.regexp_count(line, F.lit(MARKS)) > chars * F.lit(rules.marks_share))
     shouting = (n >= rules.shouting_words) & (F.regexp_count(line, F.lit(UPPER)) > F.regexp_count(line, F.lit(LOWER)))
     navigation = (separators >= 2) & (separators * rules.words_per_separator >= n)
     repeating = (n >= rules.repeat_words) & (F.size(F.array_distinct(w)) < n * F.lit(rules.distinct_share))
@@ -98,8 +109,10 @@ def _once(value: Column, fn) -> Column:
 def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document: ``row`` (the document), the base counts, the cleaned text and the verdict."""
     out = docs.select(packed(docs), text_or_empty().alias("t"))
-    out = out.select("row", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]"))).alias("lines"))
-    out = out.select("*", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.filter("lines", lambda x: ~line_fails(x, rules)).alias("good"), repeated_words(F.col("w")).cast("long").alias("n_repeat_words"))
+    has_word = lambda x: F.rlike(x, F.lit(f"[^{SPACE}]"))
+    out = out.select("row", "t", words(F.col("t")).alias("w"), F.split("t", "\n").alias("every"))
+    out = out.select("*", F.filter("every", has_word).alias("lines"), F.filter("every", lambda x: ~has_word(x) | ~line_fails(x, rules)).alias("left"))
+    out = out.select("*", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.filter("left", has_word).alias("good"), repeated_words(F.col("w")).cast("long").alias("n_repeat_words"))
     size = lambda c: F.length(F.array_join(c, ""))
     out = out.select(
         "row",
@@ -111,7 +124,7 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         ((F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))).alias("base_failed"),
         size("good").alias("kept_chars"),
         size("lines").alias("all_chars"),
-        F.array_join("good", "\n").alias("clean_text"),
+        F.array_join("left", "\n").alias("clean_text"),
     )
     lost = F.col("all_chars") - F.col("kept_chars")
     return out.withColumn("kept", ~F.col("base_failed") & (lost <= F.col("all_chars") * F.lit(rules.lost_share)))
@@ -125,7 +138,7 @@ def keep_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 DIGEST = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
-_BP = BOILERPLATE
+_BP = BOILERPLATE.replace("'", "''")
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -136,9 +149,10 @@ cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(0, {WINDOW}) AS u(k
 l AS (SELECT r, unnest(lines) AS x FROM w),
 f AS (SELECT r, x, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n,
     len(list_distinct(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS dn,
+    len(regexp_extract_all(x, '{MARKS}')) AS ma, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS ch,
     len(regexp_extract_all(x, '{SYMBOLS}')) AS sy, len(regexp_extract_all(x, '{SEPARATORS}')) AS se,
     len(regexp_extract_all(x, '{UPPER}')) AS up, len(regexp_extract_all(x, '{LOWER}')) AS lo FROM l),
-g AS (SELECT r, sum(length(x)) AS all_chars, coalesce(sum(length(x)) FILTER (NOT (sy > n * 0.5 OR (se >= 2 AND se * 4 >= n) OR (n >= 3 AND up > lo)
+g AS (SELECT r, sum(length(x)) AS all_chars, coalesce(sum(length(x)) FILTER (NOT (sy > n * 0.5 OR ma > ch * 0.5 OR (se >= 2 AND se * 4 >= n) OR (n >= 3 AND up > lo)
     OR (n >= 10 AND dn < n * 0.4) OR (n <= 12 AND regexp_matches(x, '{_BP}')))), 0) AS kept_chars FROM f GROUP BY r),
 a AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
