@@ -71,7 +71,7 @@ def test_queries_match_sql(spark, name):
     from compare import normal
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE[name]).df()
     for c in want.columns:
@@ -273,13 +273,14 @@ def test_language_model_equals_brute_force(spark, bucket_tokens):
     assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-9, atol=1e-6)
 
 
-def test_a_pair_in_every_document_is_split(spark, monkeypatch):
+def test_a_pair_in_every_document_is_split(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(language_model, "CHARS", 600)
     seen = [k for k in range(1, 3000) if not language_model.held_out(k)][:1200]
     held = [k for k in range(1, 3000) if language_model.held_out(k)][:300]
     docs = [(k, f"the the w{k % 90}" + " of" * (k % 2) + " x of the" * (k == seen[3])) for k in seen]
     docs += [(k, f"the the w{k % 90} of the" + " of of the" * (k % 3)) for k in held]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).localCheckpoint()
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    frame = spark.read.parquet(str(tmp_path / "docs"))
     key = lambda r: (r[0], *r[1:5])
     got, want = (sorted(x, key=key) for x in (map(tuple, language_model.score(frame, 300).collect()), katz(docs)))
     assert [x[:5] for x in got] == [x[:5] for x in want]

@@ -42,6 +42,19 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in text.lower().translate(_PIECES).replace(b"\n", b" \n ").split(b" ") if w]
 
 
+class Codes(dict):
+    """word -> code of one language in a chunk; a new word takes the next number of the chunk's entries."""
+
+    def __init__(self, lang: str, entries: list[tuple[str, bytes]]):
+        super().__init__({b"\n": 0})
+        self.lang, self.entries = lang, entries
+
+    def __missing__(self, word: bytes) -> int:
+        self.entries.append((self.lang, word))
+        code = self[word] = len(self.entries)
+        return code
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """Dictionary rows (chunk, code, lang, word, n) and code rows (chunk, at, codes) of every chunk, in one table.
 
@@ -57,7 +70,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         task = TaskContext.get()
         chunk = (task.partitionId() if task else 0) << 24
-        known: dict[str, dict[bytes, int]] = {}
+        known: dict[str, Codes] = {}
         entries: list[tuple[str, bytes]] = []
         counts = np.zeros(1, np.int64)
         parts, held, seen, at = [], 0, 0, 0
@@ -80,15 +93,11 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = known.setdefault(lang, {b"\n": 0})
+                if lang not in known:
+                    known[lang] = Codes(lang, entries)
                 words = tokens(text)
                 codes = np.zeros(len(words) + 1, np.int64)
-                for k, w in enumerate(words):
-                    code = own.get(w)
-                    if code is None:
-                        entries.append((lang, w))
-                        code = own[w] = len(entries)
-                    codes[k] = code
+                codes[:-1] = np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words))
                 parts.append(codes)
                 held, seen = held + len(codes), seen + len(text)
                 if held >= 1_000_000:
@@ -153,11 +162,14 @@ class Trie:
 
     ``symbols`` holds the numbers that occur, sorted; a number's symbol is its rank by frequency in the trie, so that the
     children of large nodes lie close together. State 0 is the root; ``accepts[t]`` is the length of the phrase that
-    ends in t, or 0.
+    ends in t, or 0, and ``phrases[of[t]]`` its numbers.
     """
 
-    def __init__(self, symbols, rank, base, check, accepts):
-        self.symbols, self.rank, self.base, self.check, self.accepts = symbols, rank, base, check, accepts
+    KINDS = ("<i4", "<i4", "<i4", "<i4", "i1", "<i4", "<i4")
+
+    def __init__(self, symbols, rank, base, check, accepts, of, phrases):
+        self.symbols, self.rank, self.base, self.check, self.accepts, self.of = symbols, rank, base, check, accepts, of
+        self.phrases = phrases.reshape(-1, LONGEST)
 
     @classmethod
     def of(cls, phrases: np.ndarray) -> "Trie":
@@ -214,16 +226,18 @@ class Trie:
             ends = live[coded[live, level + 1] == 0] if level + 1 < LONGEST else live
             accepts[state[ends]] = level + 1
         used = int(np.flatnonzero(check >= 0)[-1]) + 1
-        return cls(symbols.astype(np.int32), rank, base[:used], check[:used], accepts[:used])
+        of = np.zeros(used, np.int32)
+        of[state] = np.arange(len(phrases))
+        return cls(symbols.astype(np.int32), rank, base[:used], check[:used], accepts[:used], of, phrases.astype(np.int32))
 
     def to_bytes(self) -> bytes:
-        parts = (self.symbols, self.rank, self.base, self.check, self.accepts)
+        parts = (self.symbols, self.rank, self.base, self.check, self.accepts, self.of, self.phrases.ravel())
         return np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(x.tobytes() for x in parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "Trie":
-        sizes, at, out = np.frombuffer(data, "<i8", 5), 40, []
-        for n, kind in zip(sizes, ("<i4", "<i4", "<i4", "<i4", "i1")):
+        sizes, at, out = np.frombuffer(data, "<i8", len(cls.KINDS)), 8 * len(cls.KINDS), []
+        for n, kind in zip(sizes, cls.KINDS):
             out.append(np.frombuffer(data, kind, int(n), at))
             at += int(n) * out[-1].itemsize
         return cls(*out)
@@ -354,17 +368,13 @@ def counted(numbers: DataFrame, tries: DataFrame) -> DataFrame:
         def run(batches, sent=sent):
             held = [Trie.from_bytes(zlib.decompress(x)) for x in sent.value]
             total = [np.zeros(len(t.check), np.int64) for t in held]
-            words = [np.zeros((len(t.check), LONGEST), np.int32) for t in held]
             for ids in blocks(batches):
                 for k, t in enumerate(held):
-                    for level, at, to in t.walk(ids):
-                        whole = t.accepts[to] == level
-                        at, to = at[whole], to[whole]
+                    for _, _, to in t.walk(ids):
                         total[k] += np.bincount(to, minlength=len(t.check))
-                        words[k][to, :level] = ids[at[:, None] + np.arange(level)]
             for k, t in enumerate(held):
-                own = np.flatnonzero(total[k])
-                yield from _grams(words[k][own], total[k][own])
+                own = np.flatnonzero((total[k] > 0) & (t.accepts > 0))
+                yield from _grams(t.phrases[t.of[own]], total[k][own])
 
         found = numbers.mapInArrow(run, _GRAMS)
         out = found if out is None else out.unionByName(found)
