@@ -119,6 +119,11 @@ def test_every_signature_has_its_keyword():
     assert all(word in regex.replace("\\", "").replace("licen[cs]es?", "license").replace("licen[cs]e", "license") or word in regex.replace("\\", "") for _, word, _, _, regex in licenses.BODIES)
 
 
+def test_every_keyword_holds_a_root():
+    assert all(any(r in k for r in licenses.ROOTS) for own in licenses.rule_keywords() for k in own)
+    assert not any(re.search(r"\s", r) for r in licenses.ROOTS)
+
+
 # ------------------------------------------------------------------ line rules
 def cleaned(text):
     """The kept lines of a text by plain Python, blank ones in place."""

@@ -1,6 +1,6 @@
 """License scan: ordered signature rules behind a keyword prefilter, overlaps settled by priority and containment.
 
-1. Gate: a text that holds no keyword of any rule, white space collapsed, is done after its word count.
+1. Gate: a text that holds no root of any keyword (``ROOTS``) is done after its word count.
 2. Prefilter: other texts meet only the rules of which they hold a keyword. Every match of a rule holds one of the
    rule's keywords (``rule_keywords``), so neither step loses a detection; the SQL runs every rule on every text.
    A rule matches whole words only, where a letter beyond ASCII is a letter like any other.
@@ -116,7 +116,7 @@ KEYWORDS = {
     "postgresql": ("postgresql licen",),
     "psf-2.0": ("python software foundation licen",),
     "unlicense": ("unlicense",),
-    "wtfpl": ("do what the f",),
+    "wtfpl": ("you want to public licen",),
     "zlib": ("zlib licen", "zlib/libpng licen"),
 }
 SPDX = "spdx-license-identifier"
@@ -182,7 +182,7 @@ BODIES = [
     ("cc-by-nd", "creativecommons.org/licenses/by-nd/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nd/[1-4]\.[05]"),
     ("cc-by-nc-sa", "creativecommons.org/licenses/by-nc-sa/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nc-sa/[1-4]\.[05]"),
     ("cc-by-nc-nd", "creativecommons.org/licenses/by-nc-nd/", 55, 0.99, r"https?://creativecommons\.org/licenses/by-nc-nd/[1-4]\.[05]"),
-    ("wtfpl", "you just do what the f", 55, 0.95, r"you just do what the f\w+ you want to"),
+    ("wtfpl", "you want to", 55, 0.95, r"you just do what the f\w+ you want to"),
     ("postgresql", "without a written agreement is hereby granted", 52, 0.92, r"without fee, and without a written agreement is hereby granted"),
     ("openssl", "openssl project for use in", 52, 0.95, r"this product includes software developed by the openssl project for use in the openssl toolkit"),
     ("psf-2.0", "between the python software foundation", 52, 0.95, r"this license agreement is between the python software foundation"),
@@ -192,6 +192,14 @@ BODIES = [
 ]
 
 
+#: Every keyword holds one of these; they have no white space, so a text is asked for them before anything is made of it.
+ROOTS = (
+    "licen", "bsd", "cc", "commons", "cddl", "eupl", "want", "domain", "rights", "public", "permission", "redistribut", "apache", "mozilla", "eclipse", "lesser", "software", "restriction",
+    "without", "products", "advertising", "binary", "retain", "2004", "distributed", "1991", "2007", "1999", "remote", "accompanying", "subject", "boost", "plainly", "misrepresented", "reserved",
+    "openssl", "python", "proprietary", "copying", "file",
+)
+
+
 def signature_rules() -> list[tuple[int, str, str, int, float, str]]:
     """(order, label, keyword, priority, confidence, regex), written for lower-case text with single spaces."""
     rules = [(label, word, p, conf, frame.replace("{name}", f"({name})")) for label, word, name, _ in FAMILIES for p, conf, frame in FRAMES]
@@ -221,7 +229,8 @@ def detections(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = rule_keywords()
     rules = spark.createDataFrame([(k, label, "|".join(words[k]), p, conf, regex) for k, label, _, p, conf, regex in signature_rules()], "ord int, label string, keyword string, priority int, confidence double, regex string")
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.regexp_replace(F.regexp_replace(lower_ascii(text_or_empty()), r"[\x20\x09-\x0D]+", " "), r"[^\x00-\x7F]", "x").alias("t"))
+    may = docs.select("doc_id", "text", lower_ascii(text_or_empty()).alias("lower")).where(_any([F.contains("lower", F.lit(x)) for x in ROOTS]))
+    texts = may.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.regexp_replace(F.regexp_replace("lower", r"[\x20\x09-\x0D]+", " "), r"[^\x00-\x7F]", "x").alias("t"))
     keywords = F.array(*[F.when(_any([_held(x) for x in own]), F.lit("|".join(own))) for own in sorted(set(words))])
     met = texts.select("id", "th", "t", F.explode(F.filter(keywords, lambda k: k.isNotNull())).alias("keyword"))
     hits = met.join(F.broadcast(rules), "keyword").select("id", "th", "ord", "label", "priority", "confidence", F.inline(_spans()))
