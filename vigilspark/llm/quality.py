@@ -37,7 +37,7 @@ PHRASES = {
     "es": "todos los derechos reservados|t\u00e9rminos de (uso|servicio)|aviso legal|pol\u00edtica de (privacidad|cookies)|aceptar (todas )?las cookies|utiliza cookies|activar javascript|"
     "haga clic aqu\u00ed|haz clic aqu\u00ed|leer m\u00e1s|seguir leyendo|iniciar sesi\u00f3n|reg\u00edstrate|suscr\u00edbete|compartir en |volver arriba|ir al contenido|a\u00f1adir al carrito|deja un comentario",
 }
-BOILERPLATE = "(?i)(" + "|".join(PHRASES.values()) + ")"
+BOILERPLATE = r"(?i)(^|[\x20\x09\x22'(\[>|/-])(" + "|".join(PHRASES.values()) + ")"
 
 
 @dataclass(frozen=True)
@@ -56,19 +56,28 @@ class Rules:
     repeat_percent: int = 30
 
 
+def count_of(text: Column, kind: str) -> Column:
+    """Characters of a class in a text: what is missing once their runs are taken out."""
+    return F.length(text) - F.length(F.regexp_replace(text, F.lit(f"{kind}+"), F.lit("")))
+
+
 def line_fails(line: Column, rules: Rules = Rules()) -> Column:
     """Punctuation, navigation and boilerplate rules on one line."""
-    w = words(line)
-    n = F.size(w)
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    separators = F.regexp_count(line, F.lit(SEPARATORS))
-    chars = F.length(F.array_join(w, ""))
-    punctuation = (symbols > n * F.lit(rules.symbols_per_word)) | (F.regexp_count(line, F.lit(MARKS)) > chars * F.lit(rules.marks_share))
-    shouting = (n >= rules.shouting_words) & (F.regexp_count(line, F.lit(UPPER)) > F.regexp_count(line, F.lit(LOWER)))
-    navigation = (separators >= 2) & (separators * rules.words_per_separator >= n)
-    repeating = (n >= rules.repeat_words) & (F.size(F.array_distinct(w)) < n * F.lit(rules.distinct_share))
-    boilerplate = (n <= rules.boilerplate_words) & F.rlike(line, F.lit(BOILERPLATE))
-    return punctuation | navigation | shouting | repeating | boilerplate
+
+    def fails(x: Column) -> Column:
+        w, lower = x["w"], x["lower"]
+        n, chars = F.size(w), F.length(F.array_join(w, ""))
+        # where half of the characters are small letters neither marks nor capitals can be more than that
+        odd = 2 * lower < chars
+        separators = count_of(line, SEPARATORS)
+        punctuation = (count_of(line, SYMBOLS) > n * F.lit(rules.symbols_per_word)) | (odd & (count_of(line, MARKS) > chars * F.lit(rules.marks_share)))
+        shouting = (n >= rules.shouting_words) & odd & (count_of(line, UPPER) > lower)
+        navigation = (separators >= 2) & (separators * rules.words_per_separator >= n)
+        repeating = (n >= rules.repeat_words) & (F.size(F.array_distinct(w)) < n * F.lit(rules.distinct_share))
+        boilerplate = (n <= rules.boilerplate_words) & F.rlike(line, F.lit(BOILERPLATE))
+        return punctuation | navigation | shouting | repeating | boilerplate
+
+    return _once(F.struct(words(line).alias("w"), count_of(line, LOWER).alias("lower")), fails)
 
 
 def repeated_words(w: Column) -> Column:
@@ -118,7 +127,7 @@ def assess(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "row",
         "n_words",
         "word_chars",
-        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        count_of(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         ((F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))).alias("base_failed"),
