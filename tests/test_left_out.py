@@ -101,3 +101,16 @@ def test_leave_one_out_plan_copies_no_rows(components):
     want = health.fit_on(one, EXT).collect()[0]
     own = fitted[fitted["fold_id"] == "d0/4"].iloc[0]
     assert np.isclose(own["E_hi"], want.E_hi) and np.isclose(own["C_lo"], want.C_lo)
+
+
+def test_criteria_and_weight_scores_agree_on_missing_values(spark):
+    from vigilspark.operators import quality
+
+    rng = np.random.default_rng(9)
+    rows = [(0, a, p, 24, None if (p * 7 + a) % 4 == 0 else float(rng.random()), 0.0) for a in range(3) for p in range(24)]
+    frame = spark.createDataFrame(rows, "fold_id int, asset_id long, pos long, n long, u double, v double")
+    crit = quality.asset_criteria(frame, ["asset_id"], "u", EXT).orderBy("asset_id").toPandas()
+    got = weights.score_weights(frame, ["fold_id", "asset_id"], ["u", "v"], [(1.0, 1.0)], EXT).orderBy("asset_id").toPandas()
+    assert (crit["n"] == 18).all()
+    for a, b in (("monotonicity", "mono"), ("rho", "rho"), ("trendability", "trend"), ("first_value", "first_value"), ("last_value", "last_value")):
+        assert np.allclose(crit[a], got[b], atol=1e-8)

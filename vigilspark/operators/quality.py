@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import correlation, guarded
-from .ordered import Extent, average_rank, neighbours, quantiles
+from .ordered import Extent, average_rank, neighbours, position, quantiles
 
 
 def _complete(rows: DataFrame, columns) -> DataFrame:
@@ -69,9 +69,11 @@ def asset_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
     """Every per-series criterion in one pass.
 
     Monotonicity (absolute and signed), trendability, rank correlation with life, smoothness, first
-    and last value, and counts of rising, falling and flat steps.
+    and last value, and counts of rising, falling and flat steps. As where weights are scored, rows without a
+    value are left out and the others move up; a series without any value has no row.
     """
     keys = list(keys)
+    rows = position(rows.where(F.col(value).isNotNull()), keys, ["pos"], ext, "pos", None)
     out = average_rank(rows, keys, value, "_rank", ext)
     out = neighbours(out, keys, {"_b1": (value, 1), "_b2": (value, 2)}, ext)
     v = F.col(value)

@@ -599,3 +599,54 @@ def chronological_models(spark, folder):
     lives = out.groupBy(*key).agg(F.avg("rul_true").alias("y_true"), F.avg("target_pred").alias("y_pred"))
     lives = errors.regression_metrics(lives, ["model"])
     return lives.join(stages, "model", "left").select("model", *rounded(["accuracy", "macro_f1", "balanced_accuracy", "mae", "rmse"]))
+
+
+@query("tabular_models")
+def tabular_models(spark, folder):
+    """Tabular predictors per dataset beside the ten-feature ridge: mean and deviation of the assets' errors, its wins, paired p.
+
+    Naive mean, ridge on the two RMS features, ridge, forest and boosted trees on all ten; every asset is held out once, and
+    fits learn from the other assets of its dataset only.
+    """
+    data = _tabular(spark, folder)
+    sets = {"naive_mean": [], "rms_ridge": ["rms_x", "rms_y"], "ridge": FEATURES}
+    facts = None
+    for k in (0, 1):
+        own = data.where(F.pmod("asset_id", F.lit(2)) == k)
+        bucket = F.pmod(F.floor(F.col("asset_id") / 2), F.lit(FOLDS)).cast("int")
+        linear = regress.predictions(own.withColumn("asset_id", F.floor(F.col("asset_id") / 2).cast("bigint")), FEATURES, "y_true", sets, FOLDS, 1)
+        linear = linear.select((F.col("asset_id") * 2 + k).alias("asset_id"), "config", "y_true", "y_pred")
+        for name, kind, trees in (("forest", "forest", 200), ("boosted", "boosted", 300)):
+            got = regress.tree_predictions(own, FEATURES, "y_true", FOLDS, kind, trees, bucket=bucket)
+            linear = linear.unionByName(got.select("asset_id", F.lit(name).alias("config"), "y_true", "y_pred"))
+        errs = errors.regression_metrics(linear, ["config", "asset_id"]).select(F.lit(f"d{k}").alias("dataset"), "config", "asset_id", F.col("mae").alias("err"))
+        facts = errs if facts is None else facts.unionByName(errs)
+    facts = keep(facts)
+    base = facts.where("config = 'ridge'").select("dataset", "asset_id", F.col("err").alias("b"))
+    diffs = facts.withColumnRenamed("err", "a").join(base, ["dataset", "asset_id"]).withColumn("diff", F.round(F.col("a") - F.col("b"), 9)).withColumnRenamed("config", "arm")
+    keys = ["dataset", "arm"]
+    table = diffs.groupBy(*keys).agg(F.avg("a").alias("mae_mean"), F.stddev_samp("a").alias("mae_std"), F.count(F.lit(1)).alias("n"), F.sum((F.col("diff") > 0).cast("bigint")).alias("w"))
+    n = facts.count()
+    tests = inference.with_wilcoxon_p(inference.paired_differences(diffs.where("arm <> 'ridge'"), keys, ordered.Extent(n, n, 1))).select(*keys, "p_value")
+    out = table.join(tests, keys, "left")
+    return out.select("dataset", F.col("arm").alias("predictor"), *rounded(["mae_mean", "mae_std"]), "n", F.format_string("%d/%d", "w", "n").alias("ridge_wins"), F.round("p_value", 6).alias("p_value"))
+
+
+@query("healthy_fraction_ten_features")
+def healthy_fraction_ten_features(spark, folder):
+    """Rank correlation of the plain-covariance abnormality of all ten features with capped life, for several healthy fractions.
+
+    Assets with fewer than twelve snapshots carry no such correlation; they are counted beside the others.
+    """
+    from ..operators import health, quality
+
+    data = _tabular(spark, folder).withColumn("dataset", F.concat(F.lit("d"), F.pmod("asset_id", F.lit(2))))
+    short = data.where("n < 12").groupBy("dataset").agg(F.countDistinct("asset_id").alias("n_short"))
+    rows = data.where("n >= 12").withColumn("h0", F.explode(F.array(*[F.lit(h) for h in (0.1, 0.2, 0.3)])))
+    rows = rows.withColumns({"n_base": F.greatest(F.lit(5), F.floor(F.col("n") * F.col("h0"))), **{f"z_{c}": F.col(c) for c in FEATURES}})
+    keys = ["h0", "asset_id"]
+    e = health.mahalanobis(rows, keys, FEATURES, "empirical", ridge=1e-6)
+    n = data.count()
+    rho = quality.spearman(e, ["dataset", *keys], "E", "y_true", ordered.Extent(3 * n, n, n)).withColumn("rho", F.abs("rho"))
+    out = ordered.quantiles(rho, ["h0", "dataset"], {"m": ("rho", 0.5)}, ordered.Extent(3 * n, n, 6), also=[F.count(F.lit(1)).alias("n_assets")])
+    return out.join(short, "dataset", "left").select("h0", "dataset", F.round("m", 6).alias("median_abs_rho"), "n_assets", F.coalesce("n_short", F.lit(0)).alias("n_short"))

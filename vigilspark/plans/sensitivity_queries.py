@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
-from ..operators import health, labels, ordered, quality
+from ..operators import directions, health, labels, ordered, quality
 from ..operators.ordered import keep
 from ..sources.tables import KEY, dataset_number, event_series
 from .pipelines import FEATURES, event_components, event_index, event_roles, long_indicators
@@ -51,6 +51,90 @@ def indicator_quality_smoothed(spark, folder):
     return parts[0].join(parts[1].drop("n_smooth"), "indicator")
 
 
+_LABEL_FREE = "SELECT n.*, p.am, p.bm FROM normed n JOIN picked_mono p USING (fold_id) WHERE role = 'test'"
+_t_raw, _t_smooth = criteria("t_long", "dataset, indicator, asset_id", "v0"), criteria("t_smooth", "dataset, indicator, asset_id", "v0")
+_SUMMARY = """SELECT dataset, indicator, round(median(monotonicity), 6) AS mono, round(min(trendability), 6) AS trend_min, round(median(trendability), 6) AS trend, round(median(rho), 6) AS rho,
+  round(exp(-stddev_pop(last_value) / (avg(abs(first_value - last_value)) + 1e-12)), 6) AS progn, count(*) AS n_assets"""
+
+
+@query(
+    "indicator_table",
+    sql(
+        """
+SELECT r.dataset, r.indicator, r.mono, r.trend_min, r.trend, r.rho, r.progn, r.n_assets, s.mono AS mono_smooth, s.trend_min AS trend_min_smooth, s.trend AS trend_smooth, s.rho AS rho_smooth, s.progn AS progn_smooth
+FROM t_raw_summary r JOIN t_smooth_summary s ON r.dataset = s.dataset AND r.indicator = s.indicator""",
+        t_free=_LABEL_FREE,
+        t_pc_turn="""
+SELECT asset_id, CASE WHEN count(*) >= 3 AND stddev_pop(pc1) >= 1e-12 THEN corr(rk, pos) ELSE 0 END AS rho FROM (
+  SELECT asset_id, pos, pc1, rank() OVER (PARTITION BY asset_id ORDER BY pc1) + (count(*) OVER (PARTITION BY asset_id, pc1) - 1) / 2.0::DOUBLE AS rk FROM f_pc) GROUP BY asset_id""",
+        t_long="""
+SELECT dataset, asset_id, pos, n, 'index' AS indicator, idx AS v0 FROM held UNION ALL
+SELECT dataset, asset_id, pos, n, 'index_label_free', round(am * en + bm * cn, 9) FROM t_free UNION ALL
+SELECT dataset, asset_id, pos, n, 'abnormality', round(en, 9) FROM held UNION ALL
+SELECT dataset, asset_id, pos, n, 'principal_component', round(CASE WHEN rho < 0 THEN -pc1 ELSE pc1 END, 9) FROM f_pc JOIN t_pc_turn USING (asset_id) UNION ALL
+SELECT dataset, asset_id, pos, n, 'value_x', x FROM held UNION ALL
+SELECT dataset, asset_id, pos, n, 'value_y', y FROM held""",
+        t_smooth="""
+SELECT a.dataset, a.indicator, a.asset_id, a.pos, round(median(b.v0), 9) AS v0 FROM (SELECT *, GREATEST(3, CAST(round_even(0.05::DOUBLE * n, 0) AS BIGINT)) AS w FROM t_long) a
+JOIN t_long b ON a.indicator = b.indicator AND a.asset_id = b.asset_id AND b.pos BETWEEN a.pos - a.w // 2 AND a.pos + (a.w - 1) // 2 GROUP BY ALL""",
+        t_raw_rows=_t_raw["crit_rows"],
+        t_raw_crit=_t_raw["crit"].replace("crit_rows", "t_raw_rows"),
+        t_smooth_rows=_t_smooth["crit_rows"],
+        t_smooth_crit=_t_smooth["crit"].replace("crit_rows", "t_smooth_rows"),
+        t_raw_summary=_SUMMARY + " FROM t_raw_crit GROUP BY dataset, indicator",
+        t_smooth_summary=_SUMMARY + " FROM t_smooth_crit GROUP BY dataset, indicator",
+    ),
+)
+def indicator_table(spark, folder):
+    """Every indicator by dataset, raw and after the centred rolling median: index, label-free index, abnormality, PC1, features."""
+    comp, ext = event_components(spark, folder)
+    params = keep(health.fit_both_index(comp, FOLDS, ext, dataset_number()))
+    rows = keep(event_roles(comp.select("dataset", "asset_id", "bucket", "pos", "n", "x", "y", "E", "C")))
+    held = health.apply_index(rows.where("role = 'test'"), params)
+    held = held.withColumns({"free": F.round(F.col("a_mono") * F.col("E_norm") + F.col("b_mono") * F.col("C_norm"), 9), "e9": F.round("E_norm", 9)})
+    pc = directions.pca_index_by_fold(rows, FEATURES, ext).select("asset_id", "pos", F.round("pca_index", 9).alias("pc"))
+    ids = ["dataset", "asset_id", "pos", "n"]
+    columns = {"index": "index", "index_label_free": "free", "abnormality": "e9", "principal_component": "pc", "value_x": "x", "value_y": "y"}
+    keys = ["dataset", "indicator", "asset_id"]
+    return _raw_and_smooth(long_indicators(held.join(pc, ["asset_id", "pos"]), ids, columns), keys, ext)
+
+
+def _raw_and_smooth(longs, keys, ext):
+    smooth = keep(ordered.rolling_median(longs, keys, "value", "_s", ext).withColumn("smooth", F.round("_s", 9)).drop("_s"))
+    names = {"monotonicity_median": "mono", "trendability_min": "trend_min", "trendability_median": "trend", "rho_median": "rho", "prognosability": "progn"}
+    parts = []
+    for column, tail in (("value", ""), ("smooth", "_smooth")):
+        t = quality.quality_table(quality.asset_criteria(smooth, keys, column, ext), keys[:2], ext.assets)
+        parts.append(t.select(*keys[:2], *[F.round(k, 6).alias(v + tail) for k, v in names.items()], *([] if tail else ["n_assets"])))
+    return parts[0].join(parts[1], keys[:2])
+
+
+@query("waveform_indicator_table")
+def waveform_indicator_table(spark, folder):
+    """The same table for the ten window features: RMS, kurtosis, abnormality, PC1, best linear parameter, both indices.
+
+    Directions and weights are fitted per fold on the training assets of the fold's dataset.
+    """
+    from .artifacts import FEATURES as TEN
+    from .waveform_queries import waveform_components
+
+    comp, ext = waveform_components(spark, folder)
+    params = keep(health.fit_both_index(comp, FOLDS, ext, dataset_number()))
+    rows = health.assign_roles(comp.select("asset_id", "pos", "n", "E", "C", *TEN), FOLDS, dataset=dataset_number())
+    rows = keep(rows.withColumn("dataset", F.concat(F.lit("d"), dataset_number())))
+    held = health.apply_index(rows.where("role = 'test'"), params)
+    std = keep(directions.standardise_by_fold(rows, rows.where("role = 'train'"), TEN))
+    scaled = [f"s_{c}" for c in TEN]
+    best = directions.best_linear_parameter(std.where("role = 'train'"), scaled, ext)
+    linear = std.where("role = 'test'").join(F.broadcast(best), "fold_id")  # one row per fold
+    linear = linear.select("asset_id", "pos", sum((F.col("weights")[k] * F.col(c) for k, c in enumerate(scaled)), F.lit(0.0)).alias("optimal"))
+    pc = directions.pca_index_by_fold(rows, TEN, ext).select("asset_id", "pos", F.col("pca_index").alias("pc"))
+    held = held.withColumns({"free": F.col("a_mono") * F.col("E_norm") + F.col("b_mono") * F.col("C_norm"), "rms": F.col("rms_x") + F.col("rms_y"), "kurtosis": F.col("kurt_x") + F.col("kurt_y")})
+    held = held.join(pc, ["asset_id", "pos"]).join(linear, ["asset_id", "pos"])
+    columns = {"rms": "rms", "kurtosis": "kurtosis", "abnormality": "E_norm", "principal_component": "pc", "optimal_parameter": "optimal", "index_label_free": "free", "index": "index"}
+    return _raw_and_smooth(long_indicators(held, ["dataset", "asset_id", "pos", "n"], columns), ["dataset", "indicator", "asset_id"], ext)
+
+
 @query("index_sensitivity")
 def index_sensitivity(spark, folder):
     """Index quality for other baseline fractions and bounds, with how often the fallbacks applied."""
