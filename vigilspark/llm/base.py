@@ -61,14 +61,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a copy in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: smaller than a checkpoint, and it can be read in parts."""
     import uuid
