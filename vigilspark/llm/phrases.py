@@ -30,7 +30,7 @@ from .base import query, stored, table, text_or_empty
 from .chunks import pack, unpack
 
 LEAST, LONGEST, TOP, CUT, CONTAINED = 30, 4, 2000, 2_000_000, 80
-CHUNK_WORDS, CHUNK_BYTES, BLOCK = 300_000, 24_000_000, 1 << 20
+CHUNK_WORDS, CHUNK_BYTES, BLOCK, PIECE = 300_000, 24_000_000, 1 << 19, 1 << 18
 TRIE_PHRASES, ROUND_BYTES = 200_000, 48 << 20
 
 #: Ends of pieces become \n, the other white space of the rule a blank.
@@ -42,6 +42,13 @@ def tokens(text: bytes) -> list[bytes]:
     return [w for w in text.lower().translate(_PIECES).replace(b"\n", b" \n ").split(b" ") if w]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that Python objects are made for these only."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 class Codes(dict):
     """word -> code of one language in a chunk; a new word takes the next number of the chunk's entries."""
 
@@ -91,7 +98,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 some = entries[k : k + 50_000]
                 yield rows(chunk, len(some), code=np.arange(k + 1, k + 1 + len(some), dtype=np.int32), lang=[x for x, _ in some], word=[x for _, x in some], n=counts[k + 1 : k + 1 + len(some)])
 
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if lang not in known:
                     known[lang] = Codes(lang, entries)
@@ -100,7 +107,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 codes[:-1] = np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words))
                 parts.append(codes)
                 held, seen = held + len(codes), seen + len(text)
-                if held >= 1_000_000:
+                if held >= PIECE:
                     yield piece()
                 if len(entries) >= CHUNK_WORDS or seen >= CHUNK_BYTES:
                     if parts:
@@ -145,7 +152,7 @@ def number_rows(chunked: DataFrame, words: DataFrame) -> DataFrame:
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Word numbers of a task in blocks of about ``BLOCK``; every row ends with a 0, so that no phrase crosses its end."""
     parts, held = [], 0
-    for b in batches:
+    for b in slices(batches, 1):
         for data in b.column(0).to_pylist():
             ids = np.frombuffer(zlib.decompress(data), "<i4")
             parts.append(ids)
@@ -341,7 +348,7 @@ def longer(numbers: DataFrame, tries: DataFrame, size: int) -> DataFrame:
             held = [Trie.from_bytes(zlib.decompress(x)) for x in sent.value]
             offset = np.cumsum([0, *[len(t.check) for t in held]])
             for ids in blocks(batches):
-                state = np.full(len(ids) + 1, -1, np.int64)
+                state = np.full(len(ids) + 1, -1, np.int32)
                 for k, t in enumerate(held):
                     for level, at, to in t.walk(ids):
                         if level == size - 1:
@@ -350,7 +357,7 @@ def longer(numbers: DataFrame, tries: DataFrame, size: int) -> DataFrame:
                 at = np.flatnonzero((state[:-1] >= 0) & ((state[1:] >= 0) | (not both)))
                 at = at[at + size <= len(ids)]
                 at = at[ids[at + size - 1] > 0]
-                _, first, n = np.unique((state[at] << 32) | ids[at + size - 1], return_index=True, return_counts=True)
+                _, first, n = np.unique((state[at].astype(np.int64) << 32) | ids[at + size - 1], return_index=True, return_counts=True)
                 words = np.zeros((len(first), LONGEST), np.int32)
                 words[:, :size] = ids[at[first][:, None] + np.arange(size)]
                 yield from _grams(words, n)
