@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,22 +107,55 @@ def tree_predictions(rows: DataFrame, features, target: str, folds: int, kind: s
     return out.withColumn("y_pred", clip(F.col("y_pred"), 0, 1)).drop(*features)
 
 
-def fourier_features(rows: DataFrame, features, size: int = 256, name: str = "_v", seed: int = 42) -> DataFrame:
-    """Random cosines whose inner products approach a Gaussian kernel: what an RBF machine sees, for a linear model.
-
-    Features are expected on unit scale; the kernel's width is the usual one, 1 / number of features.
-    """
-    from pyspark.ml.functions import array_to_vector
-
-    d = len(features)
+def _cosines(x: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Random cosines whose inner products approach a Gaussian kernel, what an RBF machine sees, of width 1 / number of features."""
+    d = x.shape[1]
     rng = np.random.default_rng(seed)
     w, b = rng.normal(0, np.sqrt(2.0 / d), (d, size)), rng.uniform(0, 2 * np.pi, size)
+    return np.sqrt(2.0 / size) * np.cos(x @ w + b)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def cosines(*x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2.0 / size) * np.cos(np.column_stack(x) @ w + b)))
 
-    return rows.withColumn(name, array_to_vector(cosines(*[F.col(f) for f in features])))
+def kernel_fit(rows: DataFrame, features, targets: dict[str, Column], size: int = 192, penalty: float = 1e-3, seed: int = 42) -> dict[str, tuple[float, np.ndarray]]:
+    """Least-squares kernel machines for all ``targets`` from one pass: {name: (intercept, weights)}.
+
+    A task sums the products of its rows' cosines and targets; these matrices of fixed size are added cell by cell, and
+    only their sum reaches the driver. Rows with a missing feature or target are left out.
+    """
+    names = list(targets)
+    picked = rows.select(*features, *[t.cast("double").alias(f"_t{k}") for k, t in enumerate(targets.values())]).dropna()
+    width = size + 1 + len(names)
+
+    def run(batches):
+        total = np.zeros((width, width))
+        for b in batches:
+            x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(len(features) + len(names))])
+            m = np.column_stack([_cosines(x[:, : len(features)], size, seed), np.ones(len(x)), x[:, len(features) :]])
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["m"])
+
+    cells = picked.mapInArrow(run, "m array<double>").select(F.posexplode("m").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    total = np.array([r.v for r in cells]).reshape(width, width) if cells else np.zeros((width, width))
+    n = max(total[size, size], 1.0)
+    mean, means = total[:size, size] / n, total[size + 1 :, size] / n
+    gram = total[:size, :size] / n - np.outer(mean, mean) + penalty * np.eye(size) / size
+    cross = total[:size, size + 1 :] / n - np.outer(mean, means)
+    w = np.linalg.solve(gram, cross)
+    return {name: (float(means[k] - mean @ w[:, k]), w[:, k]) for k, name in enumerate(names)}
+
+
+def kernel_scores(rows: DataFrame, features, machines: dict[str, tuple[float, np.ndarray]], seed: int = 42) -> DataFrame:
+    """Every row with one column per machine; NULL where a feature is missing."""
+    names = list(machines)
+    start, w = np.array([machines[k][0] for k in names]), np.column_stack([machines[k][1] for k in names])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(k, T.DoubleType()) for k in names]])
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
+            out = _cosines(x, len(w), seed) @ w + start
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[:, k], from_pandas=True) for k in range(len(names))]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def unit_scaled(rows: DataFrame, features, learn: Column) -> DataFrame:
@@ -134,24 +168,22 @@ def unit_scaled(rows: DataFrame, features, learn: Column) -> DataFrame:
 def chronological_models(rows: DataFrame, features, label: str, target: str, kind: str, trees: int = 200, seed: int = 42) -> DataFrame:
     """Test rows of a chronological split (``role``) with a predicted stage and a predicted target.
 
-    ``kind``: forest, boosted (depth 5, whole rows and columns) or kernel (random cosines before linear machines). Stages are
-    NULL when training has only one.
+    ``kind``: forest, boosted (depth 5, whole rows and columns) or kernel (least-squares machines on random cosines, one
+    against the rest for stages). Stages are NULL when training has only one.
     """
     train = F.col("role") == "train"
     stages = sorted(r[0] for r in rows.where(train & F.col(label).isNotNull()).select(label).distinct().limit(100).collect())
     if kind == "kernel":
-        from pyspark.ml.classification import LinearSVC, OneVsRest
-        from pyspark.ml.regression import LinearRegression
-
-        data = fourier_features(unit_scaled(rows, features, train), features).drop(*features)
+        data = unit_scaled(rows, features, train)
         learn, test = data.where(train), data.where("role = 'test'")
-        out = LinearRegression(featuresCol="_v", labelCol=target, predictionCol="target_pred", regParam=1e-3, standardization=False).fit(learn).transform(test)
-        if len(stages) > 1:
-            machine = OneVsRest(classifier=LinearSVC(featuresCol="_v", regParam=1e-3), featuresCol="_v", labelCol=label, predictionCol="stage_pred")
-            out = machine.fit(learn.where(F.col(label).isNotNull())).transform(out)
+        wanted = {f"_is_{k}": F.when(F.col(label) == c, 1.0).otherwise(-1.0) for k, c in enumerate(stages)} if len(stages) > 1 else {}
+        out = kernel_scores(test, features, kernel_fit(learn, features, {"target_pred": F.col(target), **wanted}, seed=seed), seed)
+        if wanted:
+            best = F.array_max(F.array(*[F.struct(F.col(k).alias("s"), F.lit(c).alias("c")) for k, c in zip(wanted, stages)]))["c"]
+            out = out.withColumn("stage_pred", best).drop(*wanted)
         else:
-            out = out.withColumn("stage_pred", F.lit(None).cast("double"))
-        return out.drop("_v").withColumn("stage_pred", F.col("stage_pred").cast("int"))
+            out = out.withColumn("stage_pred", F.lit(None).cast("int"))
+        return out.drop(*features).withColumn("stage_pred", F.col("stage_pred").cast("int"))
     dealt = rows.withColumn("fold_id", F.when(train, 0).otherwise(1))
     options = dict(kind=kind, trees=trees, depth=5, rate=0.3, share=1.0, seed=seed)
     data = trees_.learn_from(dealt, features, target, "fold_id")
