@@ -229,7 +229,9 @@ def detections(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     words = rule_keywords()
     rules = spark.createDataFrame([(k, label, "|".join(words[k]), p, conf, regex) for k, label, _, p, conf, regex in signature_rules()], "ord int, label string, keyword string, priority int, confidence double, regex string")
-    may = docs.select("doc_id", "text", lower_ascii(text_or_empty()).alias("lower")).where(_any([F.contains("lower", F.lit(x)) for x in ROOTS]))
+    # bound by a lambda, so that the text is lower-cased once for all roots
+    may = docs.where(F.exists(F.array(lower_ascii(text_or_empty())), lambda t: _any([F.contains(t, F.lit(x)) for x in ROOTS])))
+    may = may.select("doc_id", "text", lower_ascii(text_or_empty()).alias("lower"))
     texts = may.select(F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("th"), F.regexp_replace(F.regexp_replace("lower", r"[\x20\x09-\x0D]+", " "), r"[^\x00-\x7F]", "x").alias("t"))
     keywords = F.array(*[F.when(_any([_held(x) for x in own]), F.lit("|".join(own))) for own in sorted(set(words))])
     met = texts.select("id", "th", "t", F.explode(F.filter(keywords, lambda k: k.isNotNull())).alias("keyword"))
