@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"stage_classifier", "robustness_table", "index_sensitivity"}
+SLOW = {"stage_classifier", "robustness_table", "index_sensitivity", "chronological_models", "tabular_models"}
 
 
 @pytest.fixture(scope="module")

@@ -590,7 +590,7 @@ def chronological_models(spark, folder):
     out = None
     for name, kind, trees in (("forest", "forest", 200), ("boosted", "boosted", 300), ("kernel", "kernel", 0)):
         got = regress.chronological_models(rows, FEATURES, "stage_true", "rul_true", kind, trees)
-        got = got.select("asset_id", F.floor(F.col("pos") / 4).alias("snapshot_id"), "stage_true", "stage_pred", "rul_true", "target_pred", F.lit(name).alias("model"))
+        got = got.select("asset_id", "pos", F.floor(F.col("pos") / 4).alias("snapshot_id"), "stage_true", "stage_pred", "rul_true", "target_pred", F.lit(name).alias("model"))
         out = got if out is None else out.unionByName(got)
     key = ["model", "asset_id", "snapshot_id"]
     out = keep(out)
