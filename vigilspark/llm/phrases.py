@@ -30,7 +30,7 @@ from .base import query, stored, table, text_or_empty
 from .chunks import pack, unpack
 
 LEAST, LONGEST, TOP, CUT, CONTAINED = 30, 4, 2000, 2_000_000, 80
-CHUNK_WORDS, CHUNK_BYTES, BLOCK, PIECE = 150_000, 12_000_000, 1 << 19, 1 << 18
+CHUNK_WORDS, CHUNK_BYTES, BLOCK, PIECE = 300_000, 24_000_000, 1 << 20, 1 << 18
 TRIE_PHRASES, ROUND_BYTES = 200_000, 48 << 20
 
 #: Ends of pieces become \n, the other white space of the rule a blank.
