@@ -148,3 +148,13 @@ def test_null_values_keep_their_row_without_a_rank(spark, gaps, split_groups):
         assert len(got) == len(gaps) and (got.r.isna() == got.u.isna()).all()
         want = got.groupby("asset_id", dropna=False).u.rank()
         assert np.allclose(got.r.dropna(), want.dropna())
+
+
+def test_kept_tables_do_not_multiply_in_plans(spark):
+    rows = spark.range(20).withColumn("v", F.col("id") % 3)
+    sizes = []
+    for _ in range(5):
+        rows = ordered.keep(rows.join(rows.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v").select("id", "v", (F.col("c") * 0 + F.col("id")).alias("w")).drop("w"))
+        sizes.append(len(rows._jdf.queryExecution().executedPlan().toString()))
+    assert sorted(r.id for r in rows.collect()) == list(range(20))
+    assert max(sizes) < 2 * sizes[0]

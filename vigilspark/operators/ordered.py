@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +63,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Mark a snapshot-level result that several branches read; lineage stays, so a lost block is recomputed."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Store a result that several branches read in the shared folder, and read it back from there.
+
+    A reader's plan has one scan in place of the lineage. A cached table keeps its own plan inside every plan that reads it,
+    so tables cached one from another multiply at each level, until the plans alone fill the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
