@@ -114,3 +114,21 @@ def test_criteria_and_weight_scores_agree_on_missing_values(spark):
     assert (crit["n"] == 18).all()
     for a, b in (("monotonicity", "mono"), ("rho", "rho"), ("trendability", "trend"), ("first_value", "first_value"), ("last_value", "last_value")):
         assert np.allclose(crit[a], got[b], atol=1e-8)
+
+
+def test_left_out_sums_equal_scores_of_every_fold_and_asset(spark, components, monkeypatch):
+    left = spark.createDataFrame([("d0", "a", [0, 1]), ("d0", "b", [2]), ("d1", "c", [0])], "dataset string, fold_id string, without array<long>")
+    wanted = {"E_lo": ("E", 0.01), "E_hi": ("E", 0.99), "C_lo": ("C", 0.01), "C_hi": ("C", 0.99)}
+    bounds = ordered.quantiles_without(components, ["dataset"], "grp", wanted, left).where("E_lo IS NOT NULL")
+    asked = left.join(bounds, ["dataset", "fold_id"])
+    grid = [(0.0, 1.0), (0.4, 0.6), (1.0, 0.0)]
+    monkeypatch.setattr(weights, "SERIES_BLOCK", 2)
+    monkeypatch.setattr(weights, "FOLD_BLOCK", 1)
+    groups = components.select("asset_id").distinct().count()
+    sums = weights.mean_left_out(components, asked, grid, ordered.Extent(EXT.rows, EXT.longest, groups), "dataset", "grp")
+    got = {(r.fold_id, r.w): (r.n, r.s) for r in sums.groupBy("fold_id", "w").agg(F.sum("_n").alias("n"), F.sum("_sum").alias("s")).collect()}
+    uses = components.select("dataset", "grp", "asset_id").distinct().join(asked, "dataset").where(~F.array_contains("without", F.col("grp")))
+    each = weights.score_scaled(components, uses.drop("dataset", "grp", "without"), grid, EXT)
+    want = {(r.fold_id, r.w): (r.n, r.s) for r in each.groupBy("fold_id", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("mono") + F.col("rho")).alias("s")).collect()}
+    assert got and set(got) == set(want)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
