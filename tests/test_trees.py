@@ -99,3 +99,35 @@ def test_chronological_models_on_a_ring(spark, kind):
     assert (out["stage"] == out["stage_pred"]).mean() > 0.93 and np.abs(out["rul"] - out["target_pred"]).mean() < (0.15 if kind == "kernel" else 0.1)
     one = regress.chronological_models(frame.withColumn("stage", F.lit(1)), ["a", "b"], "stage", "rul", kind, 5).toPandas()
     assert one["stage_pred"].isna().all() and one["target_pred"].notna().all()
+
+
+def test_every_model_is_fitted_once(spark, planted):
+    """A sort behind the fit samples its input first and so fits everything twice."""
+    data = trees.learn_from(planted.withColumn("fold", F.col("asset_id") % 5), FEATURES, "y", "fold")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fit-once", "fit")
+    try:
+        models = trees.fit(spark, data, {f: [f] for f in range(3)}, "forest", 5)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("fit-once")]
+    assert sorted(models) == [0, 1, 2] and len(jobs) == 1
+    assert [tracker.getStageInfo(s).numTasks for s in jobs[0].stageIds] == [3]
+
+
+def test_prediction_and_growth_equal_a_plain_walk():
+    rng = np.random.default_rng(11)
+    codes = rng.integers(0, 100, (9000, 3)).astype(np.uint8)
+    own = trees.forest(codes[:500], rng.random(500), 4, [3])
+    want = np.zeros(len(codes))
+    for root in own.root:
+        for k, row in enumerate(codes):
+            node = root
+            while own.feature[node] >= 0:
+                node = own.left[node] + (row[own.feature[node]] > own.cut[node])
+            want[k] += own.value[node]
+    assert np.array_equal(own.predict(codes), want)
+    grower = trees._Grower()
+    root = grower.node()
+    kids = grower.split_all(np.array([root]), np.array([2]), np.array([7]))
+    assert kids.tolist() == [1, 2] and (grower.left[0], grower.feature[0], grower.cut[0], len(grower.value)) == (1, 2, 7, 3)
