@@ -132,3 +132,34 @@ def test_left_out_sums_equal_scores_of_every_fold_and_asset(spark, components, m
     want = {(r.fold_id, r.w): (r.n, r.s) for r in each.groupBy("fold_id", "w").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("mono") + F.col("rho")).alias("s")).collect()}
     assert got and set(got) == set(want)
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
+def test_series_are_scored_in_blocks_and_ties_share_their_rank(spark):
+    """Many short series go to one Arrow group; ranks of rounded values equal pandas' mean ranks."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 12, 300)
+    rows = [(int(k), int(p), int(n), float(rng.integers(0, 4)) / 3, float(rng.integers(0, 3)) / 2) for k, n in enumerate(lengths) for p in range(n)]
+    frame = spark.createDataFrame(rows, "asset_id long, pos long, n long, E double, C double")
+    uses = spark.createDataFrame([(f, k, 0.1, 0.9, 0.0, 1.0) for f in (0, 1) for k in range(f, 300, 2 - f)], "fold_id int, asset_id long, E_lo double, E_hi double, C_lo double, C_hi double")
+    out = weights.score_scaled(frame, uses, [(0.3, 0.7), (1.0, 0.0)], Extent(len(rows), 11, 300))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow [_s" in plan
+    got = {(r.fold_id, r.asset_id, r.w): r for r in out.collect()}
+    assert len(got) == 2 * uses.count()
+    own = pd.DataFrame(rows, columns=["asset_id", "pos", "n", "E", "C"])
+    for asset in (1, 5, 17, 298):
+        s = own[own.asset_id == asset].sort_values("pos")
+        e = np.clip((s.E - 0.1) / (0.8 + 1e-9), 0, 1)
+        v = (0.3 * e + 0.7 * np.clip(s.C / (1 + 1e-9), 0, 1)).round(9)
+        rho = np.corrcoef(v.rank(), s.pos)[0, 1] if len(v) >= 3 and v.std(ddof=0) >= 1e-12 else 0.0
+        mono = abs(np.sign(v.diff().round(9)).sum()) / (len(v) - 1) if len(v) > 1 else 0.0
+        row = got[(1, asset, 0)]
+        assert np.isclose(row.rho, rho, atol=1e-12) and np.isclose(row.mono, mono, atol=1e-12)
+
+
+def test_values_without_room_beside_a_place_are_ranked_all_the_same():
+    x = np.array([[1e9, 3e9, 2e9, 2e9, 5e9]])
+    got = weights.score_series(x, np.array([[1.0], [1e-9], [-1.0]]))
+    ranks = np.array([1, 4, 2.5, 2.5, 5])
+    rho = np.corrcoef(ranks, np.arange(5))[0, 1]
+    assert np.allclose(got["rho"], [rho, rho, -rho]) and np.allclose(got["mono"], 0.25)

@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import EPS, correlation, guarded
 from .ordered import SAFE_GROUP, Extent, average_rank, neighbours, position, spread
 
-SERIES_BLOCK, FOLD_BLOCK = 128, 128
+SERIES_BLOCK, FOLD_BLOCK, BLOCK_VALUES = 128, 128, 100_000
 SCORES = ["mono", "rho", "trend", "first_value", "last_value"]
 
 
@@ -42,22 +44,65 @@ def _against_time(centred: np.ndarray, t: np.ndarray, moving: np.ndarray) -> np.
     return np.where(ok, (centred @ t) / np.where(size > 0, size, 1.0), 0.0)
 
 
+def _rank_correlation(q: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    """Rank correlation with time of every row of whole numbers, 0 where it does not move.
+
+    Value and place share one integer, so one plain sort gives the places in order of value. Only runs of equal values are
+    looked at again, for their mean rank.
+    """
+    m, n = q.shape
+    bits = max(1, (n - 1).bit_length())
+    mixed = (q << bits) | np.arange(n)
+    mixed.sort(axis=1)
+    place, value = mixed & ((1 << bits) - 1), mixed >> bits
+    t = np.arange(n) - (n - 1) / 2.0
+    total, spread_of = place @ t, np.full(m, n * (n * n - 1.0) / 12)
+    tied = np.zeros((m, n + 1), bool)
+    np.equal(value[:, 1:], value[:, :-1], out=tied[:, 1:n])
+    edge = np.flatnonzero(np.diff(tied.ravel(), prepend=False))
+    if len(edge):
+        # a run of equal values starts one place before its first tie and ends with its last one
+        first, last = edge[::2] - 1, edge[1::2] - 1
+        row, size = first // (n + 1), last - first + 1
+        upto = np.zeros((m, n + 1))
+        np.cumsum(place, axis=1, out=upto[:, 1:])
+        own = np.zeros((m, n + 1))
+        np.cumsum(place * t, axis=1, out=own[:, 1:])
+        a, b = first - row * (n + 1), last - row * (n + 1) + 1
+        mean = (a + b - 1) / 2.0 - (n - 1) / 2.0
+        change = mean * (upto[row, b] - upto[row, a]) - (own[row, b] - own[row, a])
+        total = total + np.bincount(row, change, m)
+        spread_of = spread_of - np.bincount(row, size * (size * size - 1.0) / 12, m)
+    size = np.sqrt(spread_of * (t * t).sum())
+    ok = moving & (size > 0)
+    return np.where(ok, total / np.where(size > 0, size, 1.0), 0.0)
+
+
 def score_series(x: np.ndarray, weights: np.ndarray, trend: bool = True) -> dict[str, np.ndarray]:
     """Criteria of ``weights @ x`` for a (components, length) series, some weights at a time; ``trend`` may be left out."""
     n, m = x.shape[1], len(weights)
     out = {name: np.zeros(m) for name in SCORES}
     t = np.arange(n) - (n - 1) / 2.0
-    block = max(1, 1_000_000 // max(n, 1))
+    block = max(1, BLOCK_VALUES // max(n, 1))
     for k in range(0, m, block):
         part = slice(k, k + block)
-        v = np.round(sum(weights[part, i, None] * x[i] for i in range(len(x))), 9)
+        v = sum(weights[part, i, None] * x[i] for i in range(len(x)))
+        whole = np.rint(v * 1e9)
+        top = np.abs(whole).max(initial=0.0)
+        v = whole / 1e9 if top < 1e300 else np.round(v, 9)
         out["first_value"][part], out["last_value"][part] = v[:, 0], v[:, -1]
+        # as whole numbers, beside a place, where they have room in 64 bits (NaN and infinity have not)
+        fits = bool(top < 1 << (62 - max(1, (n - 1).bit_length())))
+        q = whole.astype(np.int64) if fits else None
         if n > 1:
-            net = np.sign(np.round(np.diff(v, axis=1), 9)).sum(axis=1)
-            out["mono"][part] = np.abs(net) / (n - 1)
+            if fits:
+                rises, falls = (q[:, 1:] > q[:, :-1]).sum(axis=1), (q[:, 1:] < q[:, :-1]).sum(axis=1)
+                out["mono"][part] = np.abs(rises - falls) / (n - 1)
+            else:
+                out["mono"][part] = np.abs(np.sign(np.round(np.diff(v, axis=1), 9)).sum(axis=1)) / (n - 1)
         if n >= 3:
             moving = v.std(axis=1) >= 1e-12
-            out["rho"][part] = _against_time(mean_ranks(v) - (n - 1) / 2.0, t, moving)
+            out["rho"][part] = _rank_correlation(q, moving) if fits else _against_time(mean_ranks(v) - (n - 1) / 2.0, t, moving)
             if trend:
                 out["trend"][part] = np.abs(_against_time(v - v.mean(axis=1, keepdims=True), t, moving))
     return out
@@ -88,30 +133,45 @@ def score_scaled(rows: DataFrame, uses: DataFrame, weights, ext: Extent, key: st
     """One row per (fold, series, weight) for the pair of components, scaled by each fold that learns from the series.
 
     ``uses`` has a row per (fold_id, series) with that fold's bounds. The rows of a series go out once, whatever number of
-    folds learn from it; only series beyond ``SAFE_GROUP`` are copied per fold and scored with distributed ranks.
+    folds learn from it, with a block of about ``SERIES_BLOCK`` series or ``SAFE_GROUP`` rows to an Arrow group. Only series
+    beyond ``SAFE_GROUP`` are copied per fold and scored with distributed ranks.
     """
     a, b = pair
     names = ["fold_id", f"{a}_lo", f"{a}_hi", f"{b}_lo", f"{b}_hi"]
     cols = rows.select(key, "pos", "n", a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     table = np.asarray(weights, float)
 
-    def score(own: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("pos")
-        x, out = own[[a, b]].to_numpy(float).T, []
-        if len(own):
-            for fold in folds.itertuples(index=False):
-                lo, hi = (np.array([getattr(fold, f"{c}_{side}") for c in pair])[:, None] for side in ("lo", "hi"))
-                unit = np.clip((x - lo) / (hi - lo + EPS), 0.0, 1.0)
-                got = score_series(unit, table)
-                out.append(pd.DataFrame({"fold_id": fold.fold_id, key: getattr(fold, "of"), "w": np.arange(len(table), dtype="int32"), **got}))
-        if not out:
-            return pd.DataFrame({c: pd.Series(dtype=object if c == "fold_id" else float) for c in ["fold_id", key, "w", *SCORES]})
-        return pd.concat(out).astype({"fold_id": object})
+    per = max(1, min(SERIES_BLOCK, SAFE_GROUP // max(min(ext.longest, SAFE_GROUP), 1)))
+    blocks = -(-max(ext.groups, 1) // per)
+    types = T.StructType([T.StructField("fold_id", uses.schema["fold_id"].dataType), T.StructField(key, rows.schema[key].dataType)])
+    schema = T.StructType([*types, T.StructField("w", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in SCORES]])
+    arrow = to_arrow_schema(schema)
+
+    def score(own: pa.Table, folds: pa.Table) -> pa.Table:
+        named = own[key].combine_chunks().dictionary_encode(null_encoding="encode")
+        code, found = named.indices.to_numpy(zero_copy_only=False), {k: j for j, k in enumerate(named.dictionary.to_pylist())}
+        order = np.lexsort((own["pos"].to_numpy(), code))
+        x, code = np.array([own[c].to_numpy()[order] for c in pair]), code[order]
+        edges = np.searchsorted(code, np.arange(len(found) + 1))
+        bounds = np.array([[folds[f"{c}_{side}"].to_numpy() for c in pair] for side in ("lo", "hi")])
+        used, got = [], []
+        for k, series in enumerate(folds["of"].to_pylist()):
+            if series in found:
+                s, e = edges[found[series]], edges[found[series] + 1]
+                lo, hi = bounds[0, :, k, None], bounds[1, :, k, None]
+                got.append(score_series(np.clip((x[:, s:e] - lo) / (hi - lo + EPS), 0.0, 1.0), table))
+                used.append(k)
+        if not used:
+            return arrow.empty_table()
+        each = pa.array(np.repeat(used, len(table)))
+        columns = [folds["fold_id"].take(each), folds["of"].take(each), pa.array(np.tile(np.arange(len(table), dtype="int32"), len(used)))]
+        return pa.table([*columns, *[pa.array(np.concatenate([g[c] for g in got])) for c in SCORES]], schema=arrow)
 
-    schema = T.StructType([T.StructField("fold_id", uses.schema["fold_id"].dataType), T.StructField(key, rows.schema[key].dataType), T.StructField("w", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in SCORES]])
     short = cols.where(F.col("n") <= SAFE_GROUP).drop("n") if ext.longest > SAFE_GROUP else cols.drop("n")
     each = uses.select(F.col(key).alias("of"), *names)
-    out = spread(short, key).groupBy(key).cogroup(spread(each, "of").groupBy("of")).applyInPandas(score, schema)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias("_s")
+    left, right = short.select(block(key), "*"), each.select(block("of"), "*")
+    out = spread(left, "_s").groupBy("_s").cogroup(spread(right, "_s").groupBy("_s")).applyInArrow(score, schema)
     if ext.longest <= SAFE_GROUP:
         return out
     long = position(cols.where(F.col("n") > SAFE_GROUP).drop("n"), [key], ["pos"], ext, "pos", None)
