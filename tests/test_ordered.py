@@ -158,3 +158,22 @@ def test_kept_tables_do_not_multiply_in_plans(spark):
         sizes.append(len(rows._jdf.queryExecution().executedPlan().toString()))
     assert sorted(r.id for r in rows.collect()) == list(range(20))
     assert max(sizes) < 2 * sizes[0]
+
+
+def test_rolling_median_of_many_short_series_is_one_group_of_rows(spark):
+    """Series of several widths share an Arrow group and stay apart in it; NULL values and a NULL key included."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows = [(None if k == 3 else k, p, n, None if rng.random() < 0.1 else float(rng.normal())) for k, n in enumerate(rng.integers(1, 200, 40).tolist()) for p in range(n)]
+    frame = spark.createDataFrame(rows, "asset_id long, pos long, n long, v double")
+    out = ordered.rolling_median(frame, ["asset_id"], "v", "m", ordered.Extent(len(rows), 200, 40))
+    assert "FlatMapGroupsInPandas [_block" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.toPandas()
+    assert len(got) == len(rows)
+    for _, s in got.groupby("asset_id", dropna=False):
+        s = s.sort_values("pos")
+        want = s["v"].rolling(max(3, round(len(s) * 0.05)), center=True, min_periods=1).median()
+        assert s["pos"].tolist() == list(range(len(s)))
+        pd.testing.assert_series_equal(s["m"], want, check_names=False)

@@ -343,9 +343,11 @@ def quantiles_without(rows: DataFrame, pool, unit: str, wanted: dict[str, tuple[
 def rolling_median(df: DataFrame, keys, value: str, name: str, ext: Extent, fraction: float = 0.05, size: str = "n", pos: str = "pos") -> DataFrame:
     """Centred rolling median whose width is a fraction of the series length (at least 3).
 
-    Each Arrow group is one tile of the series plus the rows its windows reach, never a whole
-    long series; tiles are at least as wide as the window.
+    An Arrow group holds the tiles of as many series as make up about ``CHUNK / 4`` rows of ``ext``, each with the rows its
+    windows reach, never a whole long series; tiles are at least as wide as the window. Tiles of equal width are smoothed in one
+    call, with a window of missing values between them.
     """
+    import numpy as np
     import pandas as pd
 
     keys = list(keys)
@@ -353,15 +355,25 @@ def rolling_median(df: DataFrame, keys, value: str, name: str, ext: Extent, frac
     reach = F.floor(width / 2).cast("bigint") + 1
     tile = F.greatest(F.lit(CHUNK // 4), width)
     tiled = _with_halo(df.withColumns({"_w": width, "_tw": tile}), pos, F.col("_tw"), reach, reach)
+    blocks = -(-max(ext.rows, 1) // max(1, CHUNK // 4))
+    tiled = tiled.withColumn("_block", F.pmod(F.xxhash64(*keys, "_tile"), F.lit(blocks)))
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        w = int(pdf["_w"].iloc[0])
-        pdf[name] = pdf[value].rolling(w, center=True, min_periods=1).median()
+        series = pdf.groupby([*keys, "_tile"], sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((pdf[pos].to_numpy(), series))
+        v, w, series = pdf[value].to_numpy(float)[order], pdf["_w"].to_numpy()[order], series[order]
+        smoothed = np.empty(len(v))
+        for one in np.unique(w):
+            at = np.flatnonzero(w == one)
+            place = np.arange(len(at)) + one * np.cumsum(np.diff(series[at], prepend=series[at[0]]) != 0)
+            apart = np.full(place[-1] + 1, np.nan)
+            apart[place] = v[at]
+            smoothed[at] = pd.Series(apart).rolling(int(one), center=True, min_periods=1).median().to_numpy()[place]
+        pdf = pdf.iloc[order].assign(**{name: smoothed})
         home = pdf["_tile"].to_numpy() == pdf[pos].to_numpy() // pdf["_tw"].to_numpy()
-        return pdf.loc[home, [c for c in pdf.columns if c not in ("_w", "_tw", "_tile")]]
+        return pdf.loc[home, [c for c in pdf.columns if c not in ("_w", "_tw", "_tile", "_block")]]
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    return spread(tiled, *keys, "_tile").groupBy(*keys, "_tile").applyInPandas(smooth, schema)
+    return spread(tiled, "_block").groupBy("_block").applyInPandas(smooth, schema)
