@@ -169,3 +169,23 @@ def test_folds_of_one_dataset_ignore_the_other(spark):
     assert list(a.index) == [0, 1, 2, 3, 4, 5]
     assert a.loc[:2].equals(b.loc[:2])
     assert (a.loc[3:, "E_hi"] != b.loc[3:, "E_hi"]).all()
+
+
+def test_settings_share_the_components_of_their_baseline_fraction(spark, monkeypatch):
+    """Five settings with three baseline fractions ask for components three times, from one stored series."""
+    from vigilspark.plans import sensitivity_queries as plans
+
+    asked = []
+
+    def made(spark, folder, estimator, runs, fraction):
+        asked.append((fraction, id(runs[0])))
+        return runs
+
+    def fitted(comp, *args, **options):
+        raise StopIteration
+
+    monkeypatch.setattr(plans, "event_components", made)
+    monkeypatch.setattr(plans.health, "fit_index", fitted)
+    with pytest.raises(StopIteration):
+        plans.index_sensitivity(spark, "/root/testdata/sf0.001")
+    assert [f for f, _ in asked] == [0.1, 0.2, 0.3] and len({s for _, s in asked}) == 1

@@ -78,36 +78,51 @@ def _rank_correlation(q: np.ndarray, moving: np.ndarray) -> np.ndarray:
     return np.where(ok, total / np.where(size > 0, size, 1.0), 0.0)
 
 
-def score_series(x: np.ndarray, weights: np.ndarray, trend: bool = True) -> dict[str, np.ndarray]:
-    """Criteria of ``weights @ x`` for a (components, length) series, some weights at a time; ``trend`` may be left out."""
-    n, m = x.shape[1], len(weights)
+def criteria(v: np.ndarray, trend: bool = True) -> dict[str, np.ndarray]:
+    """Criteria of every row of ``v``, a series of its own; ``trend`` may be left out."""
+    m, n = v.shape
     out = {name: np.zeros(m) for name in SCORES}
     t = np.arange(n) - (n - 1) / 2.0
-    block = max(1, BLOCK_VALUES // max(n, 1))
-    for k in range(0, m, block):
-        part = slice(k, k + block)
-        v = sum(weights[part, i, None] * x[i] for i in range(len(x)))
-        whole = np.rint(v * 1e9)
-        top = np.abs(whole).max(initial=0.0)
-        v = whole / 1e9 if top < 1e300 else np.round(v, 9)
-        out["first_value"][part], out["last_value"][part] = v[:, 0], v[:, -1]
-        # as whole numbers, beside a place, where they have room in 64 bits (NaN and infinity have not)
-        fits = bool(top < 1 << (62 - max(1, (n - 1).bit_length())))
-        q = whole.astype(np.int64) if fits else None
-        if n > 1:
-            if fits:
-                rises, falls = (q[:, 1:] > q[:, :-1]).sum(axis=1), (q[:, 1:] < q[:, :-1]).sum(axis=1)
-                out["mono"][part] = np.abs(rises - falls) / (n - 1)
-            else:
-                out["mono"][part] = np.abs(np.sign(np.round(np.diff(v, axis=1), 9)).sum(axis=1)) / (n - 1)
-        if n >= 3:
-            moving = v.std(axis=1) >= 1e-12
-            out["rho"][part] = _rank_correlation(q, moving) if fits else _against_time(mean_ranks(v) - (n - 1) / 2.0, t, moving)
-            if trend:
-                out["trend"][part] = np.abs(_against_time(v - v.mean(axis=1, keepdims=True), t, moving))
+    whole = np.rint(v * 1e9)
+    top = np.abs(whole).max(initial=0.0)
+    v = whole / 1e9 if top < 1e300 else np.round(v, 9)
+    out["first_value"], out["last_value"] = v[:, 0], v[:, -1]
+    # as whole numbers, beside a place, where they have room in 64 bits (NaN and infinity have not)
+    fits = bool(top < 1 << (62 - max(1, (n - 1).bit_length())))
+    q = whole.astype(np.int64) if fits else None
+    if n > 1:
+        if fits:
+            rises, falls = (q[:, 1:] > q[:, :-1]).sum(axis=1), (q[:, 1:] < q[:, :-1]).sum(axis=1)
+            out["mono"] = np.abs(rises - falls) / (n - 1)
+        else:
+            out["mono"] = np.abs(np.sign(np.round(np.diff(v, axis=1), 9)).sum(axis=1)) / (n - 1)
+    if n >= 3:
+        moving = v.std(axis=1) >= 1e-12
+        out["rho"] = _rank_correlation(q, moving) if fits else _against_time(mean_ranks(v) - (n - 1) / 2.0, t, moving)
+        if trend:
+            out["trend"] = np.abs(_against_time(v - v.mean(axis=1, keepdims=True), t, moving))
     return out
 
 
+def score_series(x: np.ndarray, weights: np.ndarray, trend: bool = True) -> dict[str, np.ndarray]:
+    """Criteria of ``weights @ x`` for a (components, length) series, some weights at a time; ``trend`` may be left out."""
+    block = max(1, BLOCK_VALUES // max(x.shape[1], 1))
+    parts = [criteria(sum(weights[k : k + block, i, None] * x[i] for i in range(len(x))), trend) for k in range(0, len(weights), block)]
+    return {name: np.concatenate([p[name] for p in parts]) for name in SCORES}
+
+
+def score_equal(x: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+    """The same for several series of one length, (series, components, length), in turn; as many at a time as make up a block."""
+    count, parts, n = max(1, BLOCK_VALUES // (len(weights) * x.shape[2])), [], x.shape[2]
+    for k in range(0, len(x), count):
+        some = x[k : k + count]
+        if len(some) == 1:
+            parts.append(score_series(some[0], weights))
+        else:
+            parts.append(criteria(sum(weights[:, i, None] * some[:, i, None, :] for i in range(x.shape[1])).reshape(-1, n)))
+    return {name: np.concatenate([p[name] for p in parts]) for name in SCORES}
+
+
 def score_weights(rows: DataFrame, keys, components, weights, ext: Extent) -> DataFrame:
     """One row per series and weight index ``w``: monotonicity, Spearman and trend against time, ends.
 
@@ -154,13 +169,17 @@ def score_scaled(rows: DataFrame, uses: DataFrame, weights, ext: Extent, key: st
         x, code = np.array([own[c].to_numpy()[order] for c in pair]), code[order]
         edges = np.searchsorted(code, np.arange(len(found) + 1))
         bounds = np.array([[folds[f"{c}_{side}"].to_numpy() for c in pair] for side in ("lo", "hi")])
+        of = np.array([found.get(k, len(found)) for k in folds["of"].to_pylist()], int)
+        sizes = np.append(np.diff(edges), 0)[of]
         used, got = [], []
-        for k, series in enumerate(folds["of"].to_pylist()):
-            if series in found:
-                s, e = edges[found[series]], edges[found[series] + 1]
-                lo, hi = bounds[0, :, k, None], bounds[1, :, k, None]
-                got.append(score_series(np.clip((x[:, s:e] - lo) / (hi - lo + EPS), 0.0, 1.0), table))
-                used.append(k)
+        for n in np.unique(sizes[sizes > 0]):
+            same = np.flatnonzero(sizes == n)
+            step = max(1, SAFE_GROUP // int(n))
+            for some in (same[k : k + step] for k in range(0, len(same), step)):
+                lo, hi = (side[:, some].T[:, :, None] for side in bounds)
+                unit = np.stack([x[:, edges[j] : edges[j + 1]] for j in of[some]])
+                got.append(score_equal(np.clip((unit - lo) / (hi - lo + EPS), 0.0, 1.0), table))
+                used += some.tolist()
         if not used:
             return arrow.empty_table()
         each = pa.array(np.repeat(used, len(table)))

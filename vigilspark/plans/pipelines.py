@@ -13,8 +13,9 @@ from .sqlkit import FOLDS
 FEATURES = ["x", "y"]
 
 
-def event_components(spark, folder, estimator: str = "diagonal", **options) -> tuple[DataFrame, Extent]:
-    series, ext = event_runs(spark, folder, FOLDS)
+def event_components(spark, folder, estimator: str = "diagonal", runs: tuple[DataFrame, Extent] | None = None, **options) -> tuple[DataFrame, Extent]:
+    """Raw components of the event series; ``runs`` may bring the series and its extent, where several settings share them."""
+    series, ext = runs or event_runs(spark, folder, FOLDS)
     return keep(health.raw_components(series, KEY, FEATURES, ext, estimator=estimator, **options)), ext
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import rounded
 from ..operators import directions, health, labels, ordered, quality
 from ..operators.ordered import keep
-from ..sources.tables import KEY, dataset_number, event_series
+from ..sources.tables import KEY, dataset_number, event_runs, event_series
 from .pipelines import FEATURES, event_components, event_index, event_roles, long_indicators
 from .registry import query
 from .sqlkit import FOLDS, criteria, define, sql
@@ -138,9 +138,12 @@ def waveform_indicator_table(spark, folder):
 @query("index_sensitivity")
 def index_sensitivity(spark, folder):
     """Index quality for other baseline fractions and bounds, with how often the fallbacks applied."""
-    parts = None
+    parts, (series, ext) = None, event_runs(spark, folder, FOLDS)
+    runs = keep(series), ext
+    # the components depend on the baseline fraction alone, so settings with other bounds share them
+    made = {beta: event_components(spark, folder, "auto", runs, fraction=beta)[0] for beta in dict.fromkeys(s[1] for s in SETTINGS)}
     for setting, beta, lo, hi in SETTINGS:
-        comp, ext = event_components(spark, folder, "auto", fraction=beta)
+        comp = made[beta]
         params = keep(health.fit_index(comp, FOLDS, ext, lo=lo, hi=hi, dataset=dataset_number()))
         held = health.apply_index(event_roles(comp.select("asset_id", "bucket", "pos", "n", "E", "C")).where("role = 'test'"), params)
         longs = long_indicators(held, ["asset_id", "pos", "n"], {"index": "index", "abnormality": "E_norm"})
