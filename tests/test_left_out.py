@@ -163,3 +163,17 @@ def test_values_without_room_beside_a_place_are_ranked_all_the_same():
     ranks = np.array([1, 4, 2.5, 2.5, 5])
     rho = np.corrcoef(ranks, np.arange(5))[0, 1]
     assert np.allclose(got["rho"], [rho, rho, -rho]) and np.allclose(got["mono"], 0.25)
+
+
+def test_weights_of_many_series_are_scored_in_blocks(spark):
+    """Also without known groups no block takes all rows, and a NULL in the first key keeps its own series."""
+    assert weights._blocks(Extent(10 * weights.SAFE_GROUP, 50)) == 10 and weights._blocks(Extent(6000, 60, 300)) == 3
+    rows = [(None if k % 3 == 0 else k % 3, k, p, 4, float((p * 7 + k) % 5), 1.0) for k in range(60) for p in range(4)]
+    frame = spark.createDataFrame(rows, "fold_id int, asset_id long, pos long, n long, u double, v double")
+    out = weights.score_weights(frame, ["fold_id", "asset_id"], ["u", "v"], [(1.0, 0.0), (0.5, 0.5)], Extent(240, 4, 60))
+    assert "FlatMapGroupsInPandas [_s" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.where("w = 0").toPandas()
+    assert len(got) == 60 and got["fold_id"].isna().sum() == 20
+    for r in got.itertuples():
+        x = [float((p * 7 + r.asset_id) % 5) for p in range(4)]
+        assert (r.first_value, r.last_value) == (x[0], x[-1]) and np.isclose(r.mono, abs(np.sign(np.diff(x)).sum()) / 3)

@@ -123,6 +123,12 @@ def score_equal(x: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
     return {name: np.concatenate([p[name] for p in parts]) for name in SCORES}
 
 
+def _blocks(ext: Extent) -> int:
+    """How many groups the series are dealt to: about ``SERIES_BLOCK`` of them or ``SAFE_GROUP`` rows in each."""
+    per = max(1, min(SERIES_BLOCK, SAFE_GROUP // max(min(ext.longest, SAFE_GROUP), 1)))
+    return max(-(-max(ext.groups, 1) // per), -(-ext.rows // SAFE_GROUP))
+
+
 def score_weights(rows: DataFrame, keys, components, weights, ext: Extent) -> DataFrame:
     """One row per series and weight index ``w``: monotonicity, Spearman and trend against time, ends.
 
@@ -134,8 +140,8 @@ def score_weights(rows: DataFrame, keys, components, weights, ext: Extent) -> Da
         complete = complete & F.col(c).isNotNull()
     cols = rows.select(*keys, "pos", "n", *components).where(complete)
     if ext.longest <= SAFE_GROUP:
-        return _grouped(cols.drop("n"), keys, components, weights)
-    out = _grouped(cols.where(F.col("n") <= SAFE_GROUP).drop("n"), keys, components, weights)
+        return _grouped(cols.drop("n"), keys, components, weights, ext)
+    out = _grouped(cols.where(F.col("n") <= SAFE_GROUP).drop("n"), keys, components, weights, ext)
     long = position(cols.where(F.col("n") > SAFE_GROUP).drop("n"), keys, ["pos"], ext, "pos", None)
     split = weights.items() if isinstance(weights, dict) else [(None, weights)]
     for fold, w in split:
@@ -156,8 +162,7 @@ def score_scaled(rows: DataFrame, uses: DataFrame, weights, ext: Extent, key: st
     cols = rows.select(key, "pos", "n", a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     table = np.asarray(weights, float)
 
-    per = max(1, min(SERIES_BLOCK, SAFE_GROUP // max(min(ext.longest, SAFE_GROUP), 1)))
-    blocks = -(-max(ext.groups, 1) // per)
+    blocks = _blocks(ext)
     types = T.StructType([T.StructField("fold_id", uses.schema["fold_id"].dataType), T.StructField(key, rows.schema[key].dataType)])
     schema = T.StructType([*types, T.StructField("w", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in SCORES]])
     arrow = to_arrow_schema(schema)
@@ -240,19 +245,18 @@ def mean_left_out(rows: DataFrame, folds: DataFrame, weights, ext: Extent, pool:
     return left.cogroup(right).applyInPandas(score, schema)
 
 
-def _grouped(cols: DataFrame, keys, components, weights) -> DataFrame:
-    outer, inner = keys[-1], keys[:-1]
+def _grouped(cols: DataFrame, keys, components, weights, ext: Extent) -> DataFrame:
     table = {k: np.asarray(w, float) for k, w in weights.items()} if isinstance(weights, dict) else np.asarray(weights, float)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = pdf.groupby(inner, sort=False).ngroup().to_numpy() if inner else np.zeros(len(pdf), int)
+        part = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
         order = np.lexsort((pdf["pos"].to_numpy(), part))
         x = pdf[components].to_numpy(float)[order].T
         starts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
         heads = pdf.iloc[order[starts]]
         got, sizes = [], []
         for j, (s, e) in enumerate(zip(starts, [*starts[1:], len(order)])):
-            w = table[heads[inner[0]].iloc[j]] if isinstance(table, dict) else table
+            w = table[heads[keys[0]].iloc[j]] if isinstance(table, dict) else table
             got.append(score_series(x[:, s:e], w))
             sizes.append(len(w))
         out = {k: np.repeat(heads[k].to_numpy(), sizes) for k in keys}
@@ -261,7 +265,8 @@ def _grouped(cols: DataFrame, keys, components, weights) -> DataFrame:
 
     fields = [cols.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("w", T.IntegerType()), *[T.StructField(s, T.DoubleType()) for s in SCORES]])
-    return spread(cols, outer).groupBy(outer).applyInPandas(score, schema)
+    dealt = cols.withColumn("_s", F.pmod(F.xxhash64(keys[-1]), F.lit(_blocks(ext))))
+    return spread(dealt, "_s").groupBy("_s").applyInPandas(score, schema)
 
 
 def _exploded(cols: DataFrame, keys, components, weights, ext: Extent) -> DataFrame:
