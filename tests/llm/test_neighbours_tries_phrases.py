@@ -202,3 +202,26 @@ def test_a_trie_accepts_its_phrases_and_no_other():
     want = {(k, n) for k in range(len(ids)) for n in (2, 3, 4) if k + n <= len(ids) and tuple(ids[k : k + n]) in rows}
     assert got == want and len(got) > 1000
     assert len(trie.check) < 40 * len(rows)
+
+
+def test_phrases_cross_the_strides_of_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "STRIDE", 7)
+    rows = phrase_rows()
+    docs = clash(spark, rows, "lang string, text string")
+    assert sorted(map(tuple, phrases.collocations(docs, 7).collect())) == phrases_by_search(rows, 7)
+
+
+def test_the_memory_of_a_walk_does_not_follow_the_block():
+    import tracemalloc
+
+    packed = np.array([[a, b, 0, 0] for a in range(1, 30) for b in range(1, 30)], np.int32)
+    trie, rng = phrases.Trie.of(packed), np.random.default_rng(1)
+    peaks = []
+    for size in (1 << 19, 1 << 21):
+        ids = rng.integers(0, 40, size).astype(np.int32)
+        tracemalloc.start()
+        found = sum(int((trie.accepts[to] > 0).sum()) for _, some, starts in phrases.strides(ids) for _, _, to in trie.walk(some, starts))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == np.count_nonzero((ids[:-1] > 0) & (ids[:-1] < 30) & (ids[1:] > 0) & (ids[1:] < 30))
+    assert peaks[1] < 1.2 * peaks[0] < 20e6

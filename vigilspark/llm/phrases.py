@@ -31,7 +31,7 @@ from .chunks import pack, unpack
 
 LEAST, LONGEST, TOP, CUT, CONTAINED = 30, 4, 2000, 2_000_000, 80
 CHUNK_WORDS, CHUNK_BYTES, BLOCK, PIECE = 300_000, 24_000_000, 1 << 20, 1 << 18
-TRIE_PHRASES, ROUND_BYTES = 200_000, 48 << 20
+TRIE_PHRASES, ROUND_BYTES, STRIDE = 200_000, 48 << 20, 1 << 17
 
 #: Ends of pieces become \n, the other white space of the rule a blank.
 _PIECES = bytes(10 if k in b".,;:!?\n\x0b\x0c\r" else 32 if k == 9 else k for k in range(256))
@@ -164,6 +164,16 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(parts)
 
 
+def strides(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(first position, numbers, starts): ``STRIDE`` positions in turn, with the words that phrases from there reach.
+
+    A task's memory follows from the stride, while what it sums up stays one block or the whole task.
+    """
+    for k in range(0, len(ids), STRIDE):
+        some = ids[k : k + STRIDE + LONGEST - 1]
+        yield k, some, min(STRIDE, len(ids) - k)
+
+
 class Trie:
     """A double-array trie over word numbers: the child of state s by symbol c is t = base[s] + c if check[t] = s.
 
@@ -249,11 +259,15 @@ class Trie:
             at += int(n) * out[-1].itemsize
         return cls(*out)
 
-    def walk(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(level, positions, states) for level 1, 2, ...: the positions whose next ``level`` words are a path of the trie."""
+    def walk(self, ids: np.ndarray, starts: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(level, positions, states) for level 1, 2, ...: the positions whose next ``level`` words are a path of the trie.
+
+        Only the first ``starts`` positions are set out from; what follows them may be read.
+        """
         k = np.minimum(np.searchsorted(self.symbols, ids), len(self.symbols) - 1)
         symbol = np.where(self.symbols[k] == ids, self.rank[k], 0)
-        at = np.flatnonzero(symbol)
+        del k
+        at = np.flatnonzero(symbol[:starts])
         state = np.zeros(len(at), np.int32)
         for level in range(1, LONGEST + 1):
             inside = at + level - 1 < len(ids)
@@ -349,18 +363,21 @@ def longer(numbers: DataFrame, tries: DataFrame, size: int) -> DataFrame:
             offset = np.cumsum([0, *[len(t.check) for t in held]])
             for ids in blocks(batches):
                 state = np.full(len(ids) + 1, -1, np.int32)
-                for k, t in enumerate(held):
-                    for level, at, to in t.walk(ids):
-                        if level == size - 1:
-                            whole = t.accepts[to] == level
-                            state[at[whole]] = to[whole] + offset[k]
+                for first, some, starts in strides(ids):
+                    for k, t in enumerate(held):
+                        for level, at, to in t.walk(some, starts):
+                            if level == size - 1:
+                                whole = t.accepts[to] == level
+                                state[first + at[whole]] = to[whole] + offset[k]
                 at = np.flatnonzero((state[:-1] >= 0) & ((state[1:] >= 0) | (not both)))
                 at = at[at + size <= len(ids)]
                 at = at[ids[at + size - 1] > 0]
                 _, first, n = np.unique((state[at].astype(np.int64) << 32) | ids[at + size - 1], return_index=True, return_counts=True)
-                words = np.zeros((len(first), LONGEST), np.int32)
-                words[:, :size] = ids[at[first][:, None] + np.arange(size)]
-                yield from _grams(words, n)
+                at = at[first]
+                for k in range(0, len(at), 100_000):
+                    words = np.zeros((len(at[k : k + 100_000]), LONGEST), np.int32)
+                    words[:, :size] = ids[at[k : k + 100_000, None] + np.arange(size)]
+                    yield from _grams(words, n[k : k + 100_000])
 
         found = numbers.mapInArrow(run, _GRAMS)
         out = found if out is None else out.unionByName(found)
@@ -374,14 +391,17 @@ def counted(numbers: DataFrame, tries: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             held = [Trie.from_bytes(zlib.decompress(x)) for x in sent.value]
-            total = [np.zeros(len(t.check), np.int64) for t in held]
+            # a count for each phrase, not for each state of the tries
+            total = [np.zeros(len(t.phrases), np.int64) for t in held]
             for ids in blocks(batches):
-                for k, t in enumerate(held):
-                    for _, _, to in t.walk(ids):
-                        total[k] += np.bincount(to, minlength=len(t.check))
+                for _, some, starts in strides(ids):
+                    for k, t in enumerate(held):
+                        ends = [t.of[to[t.accepts[to] > 0]] for _, _, to in t.walk(some, starts)]
+                        if ends:
+                            total[k] += np.bincount(np.concatenate(ends), minlength=len(t.phrases))
             for k, t in enumerate(held):
-                own = np.flatnonzero((total[k] > 0) & (t.accepts > 0))
-                yield from _grams(t.phrases[t.of[own]], total[k][own])
+                own = np.flatnonzero(total[k])
+                yield from _grams(t.phrases[own], total[k][own])
 
         found = numbers.mapInArrow(run, _GRAMS)
         out = found if out is None else out.unionByName(found)
