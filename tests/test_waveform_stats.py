@@ -243,3 +243,28 @@ def test_merged_moments_keep_digits_under_a_large_offset(spark):
     z = (pdf.a - pdf.a.mean()) / pdf.a.std(ddof=0)
     slope = (z * (pdf.y - pdf.y.mean())).sum() / (len(z) + 1.0) / pdf.a.std(ddof=0)
     assert abs(got[1] - slope) < 1e-6
+
+
+@pytest.mark.parametrize("length,hop,tile", [(16, 8, 2), (15, 15, 1), (16, 4, 3), (16, 20, 512)])
+def test_window_table_equals_windows_cut_by_copies(spark, monkeypatch, length, hop, tile):
+    monkeypatch.setattr(windowing, "TILE_WINDOWS", tile)
+    monkeypatch.setattr(windowing, "GROUP_SAMPLES", 40)
+    pdf = samples((70, 33, 15, 64)).assign(k=lambda d: np.where(d.asset_id == 1, None, "a"))
+    pdf["x"] = pdf["x"].astype(object).where(~pdf.index.isin([3, 90]) & ~pdf.pos.between(32, 63), None)
+    df = spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], "asset_id long, pos long, n long, x double, y double, k string")
+    keys, names = ["asset_id", "k"], ["rms", "kurt", "crest", "energy"]
+    got = windowing.window_table(df, keys, ["x", "y"], length, hop, len(pdf)).toPandas()
+    plain = windowing.window_features(windowing.cut_windows(df, length, hop).drop("n"), [*keys, "win"], ["x", "y"], length, arrays=True)
+    want = plain.withColumns({f"envelope_{c}": spectra.envelope_energy()(c) for c in ("x", "y")}).drop("x", "y").toPandas()
+    got, want = (d.sort_values(["asset_id", "win"]).reset_index(drop=True) for d in (got, want))
+    cols = [f"{f}_{c}" for f in (*names, "envelope") for c in ("x", "y")]
+    assert got[["asset_id", "win"]].equals(want[["asset_id", "win"]]) and got.k.isna().equals(want.k.isna())
+    assert got.x.equals(want.x) if "x" in got else np.allclose(got[cols].to_numpy(float), want[cols].to_numpy(float), rtol=1e-9, equal_nan=True)
+    whole = windowing.window_table(df.drop("n"), keys, ["x", "y"], length, hop, len(pdf), whole=True).toPandas().sort_values(["asset_id", "win"]).reset_index(drop=True)
+    assert whole[["asset_id", "win", "n"]].equals(got[["asset_id", "win", "n"]]) and np.allclose(whole[cols].to_numpy(float), got[cols].to_numpy(float), equal_nan=True)
+
+
+def test_window_table_exchanges_samples_once(spark):
+    df = spark.createDataFrame(samples())
+    plan = windowing.window_table(df, ["asset_id"], ["x", "y"], 16, 8, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Repartition") == 1

@@ -54,6 +54,15 @@ def _by_length(arrays: pd.Series, fn) -> pd.Series:
     return pd.Series(out)
 
 
+def envelope_energies(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Spectral energy of the mean-free Hilbert envelope of every run of ``v`` that begins at ``starts``."""
+    sizes, out = np.diff(starts, append=len(v)), np.empty(len(starts))
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        out[at] = _energy(_envelope(v[starts[at][:, None] + np.arange(n)]))
+    return out
+
+
 def envelope_energy(band: tuple[int, int] | None = None):
     """UDF: spectral energy of the mean-free Hilbert envelope of a window."""
 

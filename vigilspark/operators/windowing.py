@@ -6,13 +6,19 @@ grouping by (asset, window) is bounded however long one recording is.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-
-from .ordered import Extent, neighbours, quantiles, same_keys
+from .ordered import Extent, neighbours, quantiles, same_keys, spread
+from .spectra import envelope_energies
 
 TINY = 1e-12
+#: Samples of an Arrow group, and windows of a tile of a series.
+GROUP_SAMPLES, TILE_WINDOWS = 1 << 17, 512
 
 
 def hop_length(length: int, overlap: float) -> int:
@@ -91,6 +97,94 @@ def window_features(cut: DataFrame, keys, channels, length: int, arrays: bool =
     return out.drop(*[f"_{t}_{c}" for t in ("peak", "pow", "alt") for c in channels])
 
 
+def _features(v: np.ndarray, ok: np.ndarray, i: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """The features of every run of samples that begins at ``starts``: missing samples are left out, NaN where nothing is there."""
+    total = lambda x: np.add.reduceat(x, starts)
+    sizes = np.diff(starts, append=len(v))
+    present = total(ok.astype(np.int64))
+    m = np.where(present > 0, present, np.nan)
+    own = np.where(ok, v, 0.0)
+    d = np.where(ok, v - np.repeat(total(own) / m, sizes), 0.0)
+    d2 = d * d
+    rms = np.sqrt(total(own * own) / m + TINY)
+    power = total(d2)
+    peak = np.maximum.reduceat(np.where(ok, np.abs(v), -np.inf), starts)
+    turn = total(np.where(i % 2 == 0, d, -d)) if length % 2 == 0 else 0.0
+    empty = np.where(present > 0, 0.0, np.nan)
+    return {
+        "rms": rms,
+        "kurt": (total(d2 * d2) / m) / ((power / m) ** 2 + TINY),
+        "crest": peak / (rms + TINY) + empty,
+        "energy": (length * power + turn * turn) / 2 + empty,
+    }
+
+
+def window_table(samples: DataFrame, keys, channels, length: int, hop: int, rows: int, variants=("",), whole: bool = False) -> DataFrame:
+    """(keys, win, n, <feature>_<channel>): every full window's time features and envelope energy, as :func:`cut_windows`,
+    :func:`window_features` and the envelope of its arrays give them, from one exchange of the samples.
+
+    A sample goes to the tile of ``TILE_WINDOWS`` windows it lies in and, near an edge, to the one before. An Arrow group holds
+    the tiles of about ``GROUP_SAMPLES`` of the ``rows`` samples; windows are cut and summed inside NumPy. With ``whole`` a
+    group holds whole series, whose length ``n`` is then counted there (recordings, which are bounded); else rows carry ``n``.
+    ``variants`` names versions of the channels that rows carry side by side, as ``<channel><variant>``; with more than the
+    plain one, the windows of each come as rows of their own, numbered in ``variant``. A feature without samples is NULL.
+    """
+    keys, channels, names = list(keys), list(channels), ("rms", "kurt", "crest", "energy", "envelope")
+    cols = [f"{c}{v}" for v in variants for c in channels]
+    many = len(variants) > 1
+    out = samples.select(*keys, F.col("pos").cast("bigint").alias("pos"), *([] if whole else [F.col("n").cast("bigint").alias("n")]), *[F.col(c).cast("double").alias(c) for c in cols])
+    place = []
+    if not whole:
+        width, reach = TILE_WINDOWS * hop, max(length - hop, 0)
+        home = F.floor(F.col("pos") / F.lit(width)).cast("bigint")
+        back = -(-reach // width)
+        tiles = F.array_compact(F.array(home, *[F.when((home >= k) & (F.col("pos") - (home - k + 1) * width < reach), home - k) for k in range(1, back + 1)]))
+        out, place = out.withColumn("_tile", F.explode(tiles)), ["_tile"]
+    blocks = max(1, -(-max(rows, 1) // GROUP_SAMPLES))
+    out = out.withColumn("_block", F.pmod(F.xxhash64(*keys, *place), F.lit(blocks)))
+    fields = [*[samples.schema[k] for k in keys], *([T.StructField("variant", T.IntegerType())] if many else []), T.StructField("win", T.LongType()), T.StructField("n", T.LongType())]
+    schema = T.StructType([*fields, *[T.StructField(f"{f}_{c}", T.DoubleType()) for f in names for c in channels]])
+    arrow = to_arrow_schema(schema)
+
+    def cut(own: pa.Table) -> pa.Table:
+        code = np.zeros(own.num_rows, np.int64)
+        for k in [*keys, *place]:
+            part = own[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            code = np.unique(code * (int(part.max()) + 1) + part, return_inverse=True)[1]
+        pos = own["pos"].to_numpy()
+        n = np.bincount(code)[code] if whole else own["n"].to_numpy()
+        first = np.maximum(0, -(-(pos - length + 1) // hop))
+        last = np.minimum(pos // hop, np.where(n >= length, (n - length) // hop + 1, 0) - 1)
+        if place:
+            tile = own["_tile"].to_numpy()
+            first, last = np.maximum(first, tile * TILE_WINDOWS), np.minimum(last, tile * TILE_WINDOWS + TILE_WINDOWS - 1)
+        count = np.maximum(last - first + 1, 0)
+        if not count.sum():
+            return arrow.empty_table()
+        row = np.repeat(np.arange(len(pos)), count)
+        win = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        order = np.lexsort((pos[row], win, code[row]))
+        row, win = row[order], win[order]
+        i, starts = pos[row] - win * hop, np.flatnonzero(np.r_[True, (np.diff(win) != 0) | (np.diff(code[row]) != 0)])
+        heads = pa.array(row[starts])
+        parts = []
+        for k, variant in enumerate(variants):
+            got = {}
+            for c in channels:
+                column = own[f"{c}{variant}"].combine_chunks()
+                ok = column.is_valid().to_numpy(zero_copy_only=False)[row]
+                v = column.to_numpy(zero_copy_only=False)[row]
+                for name, x in (_features(v, ok, i, starts, length) | {"envelope": envelope_energies(v, starts)}).items():
+                    # what is computed from nothing is NULL; NaN among the samples stays NaN, but not in the envelope
+                    here = np.logical_or.reduceat(ok, starts) if name != "envelope" else ~np.isnan(x)
+                    got[f"{name}_{c}"] = pa.array(x, mask=~here)
+            ahead = [*[own[c].combine_chunks().take(heads) for c in keys], *([pa.array(np.full(len(starts), k, np.int32))] if many else []), pa.array(win[starts]), pa.array(n[row[starts]].astype(np.int64))]
+            parts.append(pa.table([*ahead, *[got[f.name] for f in schema.fields[len(fields) :]]], schema=arrow))
+        return pa.concat_tables(parts)
+
+    return spread(out, "_block").groupBy("_block").applyInArrow(cut, schema)
+
+
 def snapshot_medians(windows: DataFrame, keys, features, per_snapshot: int) -> DataFrame:
     """Median of each feature over the windows of a snapshot (at most ``per_snapshot`` of them)."""
     out = quantiles(windows, keys, {f"_med_{f}": (f, 0.5) for f in features}, Extent(0, per_snapshot))

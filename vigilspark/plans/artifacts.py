@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import composite, health, joins, labels, spectra, windowing
-from ..operators.ordered import Extent, extent, keep, position
+from ..operators import composite, health, joins, labels, windowing
+from ..operators.ordered import Extent, extent, keep, position, quantiles
 from ..sources.runs import Run, read_runs
 
 CHANNELS = ["x", "y"]
@@ -19,18 +19,12 @@ def snapshot_features(samples: DataFrame, length: int, overlap: float, most: int
     A snapshot is one recording; its own sample index is the position, so no asset is ever sorted.
     """
     keys = ["dataset", "asset_id", "snapshot_id"]
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = samples.withColumnRenamed("sample_idx", "pos").join(sizes, keys)
     hop = windowing.hop_length(length, overlap)
-    cut = windowing.cut_windows(rows, length, hop)
+    # a recording is bounded, so its samples meet in one Arrow group and its windows in one median
+    feats = windowing.window_table(samples.withColumnRenamed("sample_idx", "pos"), keys, CHANNELS, length, hop, samples.count(), whole=True)
     if most:
-        cut = cut.where(windowing.is_kept(F.col("win"), windowing.window_count(F.col("n"), length, hop), most))
-    feats = windowing.window_features(cut.drop("n"), [*keys, "win"], CHANNELS, length, arrays=True)
-    feats = feats.withColumns({f"envelope_{c}": spectra.envelope_energy()(c) for c in CHANNELS}).drop(*CHANNELS)
-    counts = feats.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_windows"))
-    # windows of one snapshot: bounded by the recording length over the hop
-    bound = Extent(0, most) if most else extent(feats, keys)
-    return windowing.snapshot_medians(feats, keys, FEATURES, bound.longest).join(counts, keys)
+        feats = feats.where(windowing.is_kept(F.col("win"), windowing.window_count(F.col("n"), length, hop), most))
+    return quantiles(feats, keys, {f: (f, 0.5) for f in FEATURES}, Extent(0, most or 0), also=[F.count(F.lit(1)).alias("n_windows")])
 
 
 def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float, most: int | None = None, temperature: DataFrame | None = None, cadence_s: float = 10.0, done: DataFrame | None = None, least: int = 10) -> dict[str, DataFrame]:
@@ -50,6 +44,7 @@ def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float
         feats = feats.join(temperature.select(*keys, "snapshot_id", "temperature"), [*keys, "snapshot_id"], "left")
     else:
         feats = feats.withColumn("temperature", F.lit(None).cast("double"))
+    feats = keep(feats)
     manifest = feats.groupBy(*keys).agg(
         F.countDistinct("snapshot_id").alias("n_snapshots"), F.sum("n_windows").alias("n_windows"), F.max(F.col("temperature").isNotNull()).alias("has_temp")
     )
@@ -58,6 +53,7 @@ def build_artifacts(samples: DataFrame, folder: str, length: int, overlap: float
     prefix = F.col("pos") < F.greatest(F.col("n_base"), F.floor(F.col("n") * F.lit(0.6)))
     index = composite.prefix_minmax(comp, keys, ["E", "C", "G"], prefix)
     index = index.withColumn("index", composite.combine(composite.FIXED_WITH_TEMPERATURE))
+    index = keep(index.select(*keys, "snapshot_id", "pos", "n", "E", "C", "G", "E_norm", "C_norm", "G_norm", "index"))
     labelled = labels.label_table(index, keys, "index", ext, F.lit(float(cadence_s)))
     tables = {
         "snapshot_features": feats.select(*keys, "snapshot_id", *FEATURES, "temperature"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
 from ..operators import windowing
-from ..operators.ordered import shared_folder
+from ..operators.ordered import keep, shared_folder
 from ..sources.files import SERIES_SCHEMA, read_csv, read_parquet, read_windows, write_table
 from ..sources.tables import event_series, waveform_samples
 from .artifacts import build_artifacts, read_artifact
@@ -66,9 +66,9 @@ def _artifacts(spark, folder):
     """The stored tables, built in two runs: a third of the assets comes in the second, which resumes from the manifest."""
     samples, _ = waveform_samples(spark, folder)
     pos = F.col("pos")
-    samples = samples.select(_dataset().alias("dataset"), "asset_id", F.floor(pos / RECORDING).cast("bigint").alias("snapshot_id"), (pos % RECORDING).cast("bigint").alias("sample_idx"), "x", "y")
+    samples = keep(samples.select(_dataset().alias("dataset"), "asset_id", F.floor(pos / RECORDING).cast("bigint").alias("snapshot_id"), (pos % RECORDING).cast("bigint").alias("sample_idx"), "x", "y"))
     series, _ = event_series(spark, folder)
-    side = series.select("dataset", "asset_id", F.col("pos").cast("bigint").alias("snapshot_id"), F.col("y").alias("temperature"))
+    side = keep(series.select("dataset", "asset_id", F.col("pos").cast("bigint").alias("snapshot_id"), F.col("y").alias("temperature")))
     path = _folder(spark, "artifacts")
     later = samples.where("asset_id % 3 = 0").select("dataset", "asset_id").distinct()
     build_artifacts(samples, path, LENGTH, 0.5, temperature=side, done=later)
