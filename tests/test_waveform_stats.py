@@ -268,3 +268,16 @@ def test_window_table_exchanges_samples_once(spark):
     df = spark.createDataFrame(samples())
     plan = windowing.window_table(df, ["asset_id"], ["x", "y"], 16, 8, 100)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("Repartition") == 1
+
+
+def test_scenarios_as_columns_and_as_rows(spark):
+    from vigilspark.operators import perturb
+
+    df, kinds = spark.createDataFrame(samples()), ("clean", "gain", "drift", "snr10")
+    healthy = F.col("pos") < 5
+    rows = perturb.all_scenarios(df, ["asset_id"], ["x", "y"], kinds, healthy).toPandas()
+    assert len(rows) == 4 * len(samples())
+    for kind in kinds:
+        alone = perturb.scenario(df, ["asset_id"], ["x", "y"], kind, healthy).toPandas().sort_values(["asset_id", "pos"])
+        own = rows[rows.kind == kind].sort_values(["asset_id", "pos"])
+        assert np.allclose(own[["x", "y"]].to_numpy(), alone[["x", "y"]].to_numpy(), rtol=1e-12)
