@@ -281,3 +281,14 @@ def test_scenarios_as_columns_and_as_rows(spark):
         alone = perturb.scenario(df, ["asset_id"], ["x", "y"], kind, healthy).toPandas().sort_values(["asset_id", "pos"])
         own = rows[rows.kind == kind].sort_values(["asset_id", "pos"])
         assert np.allclose(own[["x", "y"]].to_numpy(), alone[["x", "y"]].to_numpy(), rtol=1e-12)
+
+
+def test_leading_direction_takes_each_covariance_once(spark):
+    from vigilspark.operators import directions
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))
+    out = directions.leading_direction(spark.createDataFrame([(1, *map(float, r)) for r in x], "k int, a double, b double, c double"), ["k"], ["a", "b", "c"])
+    v = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, -1]
+    assert np.allclose(np.abs(out.first()["pc"]), np.abs(v))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("covar_pop(") == 6

@@ -18,11 +18,12 @@ from .weights import score_weights
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _leading_vector(cov: pd.Series) -> pd.Series:
-    """First eigenvector of a flattened symmetric matrix, its largest entry positive."""
+    """First eigenvector of a symmetric matrix from its lower triangle by rows, its largest entry positive."""
     out = []
     for flat in cov:
-        d = int(round(math.sqrt(len(flat))))
-        m = np.array(flat, float).reshape(d, d)
+        d = int(round((math.sqrt(8 * len(flat) + 1) - 1) / 2))
+        m = np.zeros((d, d))
+        m[np.tril_indices(d)] = np.array(flat, float)  # eigh reads the lower triangle alone
         v = np.linalg.eigh(m)[1][:, -1]
         out.append((v if v[np.argmax(np.abs(v))] >= 0 else -v).tolist())
     return pd.Series(out)
@@ -30,7 +31,7 @@ def _leading_vector(cov: pd.Series) -> pd.Series:
 
 def leading_direction(rows: DataFrame, keys, columns) -> DataFrame:
     """First principal direction per group from pre-aggregated covariances."""
-    cov = F.array(*[F.covar_pop(a, b) for a in columns for b in columns])
+    cov = F.array(*[F.covar_pop(columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1)])
     return rows.groupBy(*keys).agg(cov.alias("_cov")).select(*keys, _leading_vector("_cov").alias("pc"))
 
 
