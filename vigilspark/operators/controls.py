@@ -57,8 +57,11 @@ def conditioning_table(components: DataFrame, features, folds: int, ext: Extent,
     return out.join(saturation(out, keys), keys)
 
 
-def fold_record(components: DataFrame, folds: int, ext: Extent, dataset: Column | None = None) -> DataFrame:
-    """One record per fold: frozen parameters of both objectives, training size, held-out saturation."""
+def fold_record(components: DataFrame, folds: int, ext: Extent, dataset: Column | None = None, held_out: str = "inner") -> DataFrame:
+    """One record per fold: frozen parameters of both objectives, training size, held-out saturation.
+
+    A fold whose bucket holds no asset has no record; with ``held_out="left"`` it has one without saturation.
+    """
     key = bucket_of(components)
     rows = assign_roles(components.select(*dict.fromkeys(["asset_id", key, "pos", "n", "n_base", "E", "C"])), folds, key, dataset)
     train = rows.where("role = 'train'")
@@ -67,4 +70,4 @@ def fold_record(components: DataFrame, folds: int, ext: Extent, dataset: Column
     held = apply_index(rows.where("role = 'test'"), params)
     out_of_range = ((F.col("E_lin") > 1.0) | (F.col("E_lin") < 0.0)).cast("double")
     sat = held.groupBy("fold_id").agg(F.avg(out_of_range).alias("holdout_sat_frac"), F.max("n_base").alias("holdout_n_baseline"))
-    return params.join(longest, "fold_id").join(sat, "fold_id")
+    return params.join(longest, "fold_id").join(sat, "fold_id", held_out)

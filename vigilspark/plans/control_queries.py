@@ -316,7 +316,7 @@ SELECT count(*) AS n_folds, round(median(a), 6) AS a_median, round(quantile_cont
        round(median(b), 6) AS b_median, round(median(p.fitness), 6) AS fitness_median, round(median(am), 6) AS a_mono_median FROM picked p JOIN picked_mono USING (fold_id)"""))
 def weight_distribution(spark, folder):
     comp, ext = event_components(spark, folder)
-    r = controls.fold_record(comp, FOLDS, ext, dataset=dataset_number()).withColumn("_all", F.lit(0))
+    r = controls.fold_record(comp, FOLDS, ext, dataset=dataset_number(), held_out="left").withColumn("_all", F.lit(0))
     out = ordered.quantiles(
         r, ["_all"],
         {"a_median": ("a", 0.5), "a_q25": ("a", 0.25), "a_q75": ("a", 0.75), "b_median": ("b", 0.5), "fitness_median": ("fitness", 0.5), "a_mono_median": ("a_mono", 0.5)},
