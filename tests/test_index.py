@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vigilspark.operators import composite, controls, directions, health, quality, weights
+from vigilspark.operators import composite, controls, directions, health, ordered, quality, weights
 from vigilspark.operators.ordered import Extent
 
 EXT = Extent(1000, 100)
@@ -189,3 +189,25 @@ def test_settings_share_the_components_of_their_baseline_fraction(spark, monkeyp
     with pytest.raises(StopIteration):
         plans.index_sensitivity(spark, "/root/testdata/sf0.001")
     assert [f for f, _ in asked] == [0.1, 0.2, 0.3] and len({s for _, s in asked}) == 1
+
+
+@pytest.mark.parametrize("kind", ["plain", "ties", "gaps", "missing"])
+def test_series_are_judged_in_blocks_as_one_by_one(spark, monkeypatch, kind):
+    """Many short series share an Arrow group and no window sorts them; values equal those of the distributed form."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for a, n in enumerate([1, 2, 3, *rng.integers(4, 30, 30).tolist()]):
+        for p in range(n):
+            v = float(rng.integers(0, 4)) if kind == "ties" else float(rng.random())
+            v = None if kind == "missing" and rng.random() < 0.3 else 700.3 if a == 7 else v + 1e-10 * p if a == 9 else v
+            rows.append((["x", "y", None][a % 3], a if a != 12 else None, 2 * p if kind == "gaps" else p, v))
+    df = spark.createDataFrame(rows, "indicator string, asset_id long, pos long, v double")
+    keys = ["indicator", "asset_id"]
+    short = quality.asset_criteria(df, keys, "v", Extent(len(rows), 60, 33))
+    plan = short._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Window" not in plan
+    short = short.toPandas().sort_values(keys).reset_index(drop=True)
+    monkeypatch.setattr(ordered, "SAFE_GROUP", 4)
+    monkeypatch.setattr(ordered, "CHUNK", 8)
+    long = quality.asset_criteria(df, keys, "v", Extent(10_000, 10_000)).toPandas().sort_values(keys).reset_index(drop=True)
+    pd.testing.assert_frame_equal(short, long[short.columns], rtol=1e-7, atol=1e-9)

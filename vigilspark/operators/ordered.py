@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 SAFE_GROUP = 1 << 20
 CHUNK = 1 << 18
+TASK_ROWS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -57,9 +58,30 @@ def extent(df: DataFrame, keys) -> Extent:
     return Extent(int(top[0]), int(top[1]), int(top[2]))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition for a Python stage at the session's full width (small inputs are not coalesced)."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Hash-partition for a Python stage at the session's full width (small inputs are not coalesced).
+
+    ``rows`` sizes the input: a larger one gets more partitions, so what a task sorts does not grow with it.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(width, -(-rows // TASK_ROWS)), *keys)
+
+
+def blocks_of(ext: Extent) -> int:
+    """How many Arrow groups the series of ``ext`` are dealt to, by a hash: about ``CHUNK / 4`` rows in each."""
+    return -(-max(ext.rows, 1) // max(1, CHUNK // 4))
+
+
+def series_codes(own, keys):
+    """Number of the series of every row of an Arrow table; a NULL key is a value of its own."""
+    import numpy as np
+
+    code = np.zeros(own.num_rows, np.int64)
+    for k in keys:
+        named = own[k].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = code * len(named.dictionary) + named.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code, return_inverse=True)[1]
+    return code
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -355,8 +377,7 @@ def rolling_median(df: DataFrame, keys, value: str, name: str, ext: Extent, frac
     reach = F.floor(width / 2).cast("bigint") + 1
     tile = F.greatest(F.lit(CHUNK // 4), width)
     tiled = _with_halo(df.withColumns({"_w": width, "_tw": tile}), pos, F.col("_tw"), reach, reach)
-    blocks = -(-max(ext.rows, 1) // max(1, CHUNK // 4))
-    tiled = tiled.withColumn("_block", F.pmod(F.xxhash64(*keys, "_tile"), F.lit(blocks)))
+    tiled = tiled.withColumn("_block", F.pmod(F.xxhash64(*keys, "_tile"), F.lit(blocks_of(ext))))
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         series = pdf.groupby([*keys, "_tile"], sort=False, dropna=False).ngroup().to_numpy()
@@ -376,4 +397,4 @@ def rolling_median(df: DataFrame, keys, value: str, name: str, ext: Extent, frac
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    return spread(tiled, "_block").groupBy("_block").applyInPandas(smooth, schema)
+    return spread(tiled, "_block", rows=ext.rows).groupBy("_block").applyInPandas(smooth, schema)

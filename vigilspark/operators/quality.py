@@ -5,11 +5,18 @@ A NULL value keeps its place: it has no rank and makes no step, and rank correla
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import correlation, guarded
-from .ordered import Extent, average_rank, neighbours, position, quantiles
+from . import ordered
+from .ordered import Extent, average_rank, neighbours, position, quantiles, series_codes, spread
+
+CRITERIA = ["monotonicity", "signed_monotonicity", "trendability", "rho", "smoothness", "n_pos", "n_neg", "n_tie", "first_value", "last_value"]
 
 
 def _complete(rows: DataFrame, columns) -> DataFrame:
@@ -65,14 +72,82 @@ def partial_spearman(rows: DataFrame, keys, x: str, y: str, z: str, ext: Extent,
     return out.select(*keys, ((F.col("_xy") - F.col("_xz") * F.col("_yz")) / bottom).alias(name), F.col("_xy").alias("raw"))
 
 
+def series_criteria(starts: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
+    """Criteria of every series of ``v``, which lie one after another in order of position and begin at ``starts``.
+
+    NaN is the largest value and a step from or to it a rise, as in the distributed form.
+    """
+    n = np.diff(starts, append=len(v))
+    place = np.arange(len(v)) - np.repeat(starts, n)
+    total = lambda x: np.add.reduceat(x, starts)
+    with np.errstate(all="ignore"):
+        # a step counts when it does not round to zero at nine places
+        step = np.diff(v, prepend=v[:1])
+        known, lost = place >= 1, np.isnan(step)
+        rises, falls = known & ((step >= 5e-10) | lost), known & (step <= -5e-10)
+        up, down = total(rises.astype(np.int64)), total(falls.astype(np.int64))
+        net = np.where(total((known & lost).astype(np.int64)) > 0, np.nan, (up - down).astype(float))
+        bend = np.zeros(len(v))
+        bend[2:] = np.where(place[2:] >= 2, v[2:] - 2 * v[1:-1] + v[:-2], 0.0)
+        t, of_t = place - np.repeat((n - 1) / 2.0, n), n * (n * n - 1.0) / 12
+        off = v - np.repeat(v[starts], n)
+        off = off - np.repeat(total(off) / n, n)
+        of_v = total(off * off)
+        order = np.lexsort((v, np.repeat(np.arange(len(n)), n)))
+        s = v[order]
+        run = np.r_[True, (s[1:] != s[:-1]) & ~(np.isnan(s[1:]) & np.isnan(s[:-1]))]
+        run[starts] = True
+        first = np.flatnonzero(run)
+        size = np.diff(first, append=len(v))
+        rank = np.empty(len(v))
+        rank[order] = np.repeat(first + (size - 1) / 2.0, size)
+        rank -= np.repeat(starts + (n - 1) / 2.0, n)
+        deviation = np.sqrt(of_v / n)
+        moving = (n >= 3) & ((deviation >= 1e-12) | np.isnan(deviation))
+        return {
+            "n": n,
+            "monotonicity": np.where(n > 1, np.abs(net) / np.maximum(n - 1, 1), 0.0),
+            "signed_monotonicity": np.where(n > 1, net / np.maximum(n - 1, 1), 0.0),
+            "trendability": np.where(moving, np.abs(total(off * t) / np.sqrt(of_v * of_t)), 0.0),
+            "rho": np.where(moving, total(rank * t) / np.sqrt(total(rank * rank) * of_t), 0.0),
+            "smoothness": np.where(n >= 3, 1.0 / (total(bend * bend) / np.maximum(n - 2, 1) + 1e-12), 0.0),
+            "n_pos": up,
+            "n_neg": down,
+            "n_tie": n - 1 - up - down,
+            "first_value": v[starts],
+            "last_value": v[starts + n - 1],
+        }
+
+
+def _criteria_in_blocks(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
+    cols = rows.where(F.col(value).isNotNull()).select(*keys, "pos", F.col(value).cast("double").alias("_v"))
+    kinds = {name: T.LongType() if name.startswith("n") else T.DoubleType() for name in ["n", *CRITERIA]}
+    schema = T.StructType([*[cols.schema[k] for k in keys], *[T.StructField(name, kind) for name, kind in kinds.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def score(own: pa.Table) -> pa.Table:
+        code = series_codes(own, keys)
+        order = np.lexsort((own["pos"].to_numpy(), code))
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        got = series_criteria(starts, own["_v"].to_numpy()[order])
+        heads = own.select(keys).take(pa.array(order[starts]))
+        return pa.table([*heads.columns, *[pa.array(got[name]) for name in kinds]], schema=arrow)
+
+    dealt = cols.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(ordered.blocks_of(ext))))
+    return spread(dealt, "_block", rows=ext.rows).groupBy("_block").applyInArrow(score, schema)
+
+
 def asset_criteria(rows: DataFrame, keys, value: str, ext: Extent) -> DataFrame:
     """Every per-series criterion in one pass.
 
     Monotonicity (absolute and signed), trendability, rank correlation with life, smoothness, first
     and last value, and counts of rising, falling and flat steps. As where weights are scored, rows without a
-    value are left out and the others move up; a series without any value has no row.
+    value are left out and the others move up; a series without any value has no row. Series short enough for one
+    task go in Arrow groups of many series; only longer ones take distributed positions, ranks and neighbours.
     """
     keys = list(keys)
+    if ext.longest <= ordered.SAFE_GROUP:
+        return _criteria_in_blocks(rows, keys, value, ext)
     rows = position(rows.where(F.col(value).isNotNull()), keys, ["pos"], ext, "pos", None)
     out = average_rank(rows, keys, value, "_rank", ext)
     out = neighbours(out, keys, {"_b1": (value, 1), "_b2": (value, 2)}, ext)

@@ -89,14 +89,14 @@ def indicator_table(spark, folder):
     """Every indicator by dataset, raw and after the centred rolling median: index, label-free index, abnormality, PC1, features."""
     comp, ext = event_components(spark, folder)
     params = keep(health.fit_both_index(comp, FOLDS, ext, dataset_number()))
-    rows = keep(event_roles(comp.select("dataset", "asset_id", "bucket", "pos", "n", "x", "y", "E", "C")))
-    held = health.apply_index(rows.where("role = 'test'"), params)
-    held = held.withColumns({"free": F.round(F.col("a_mono") * F.col("E_norm") + F.col("b_mono") * F.col("C_norm"), 9), "e9": F.round("E_norm", 9)})
-    pc = directions.pca_index_by_fold(rows, FEATURES, ext).select("asset_id", "pos", F.round("pca_index", 9).alias("pc"))
+    rows = event_roles(comp.select("dataset", "asset_id", "bucket", "pos", "n", "x", "y", "E", "C"))
+    # the held-out rows keep their columns through the principal component, so they meet themselves in no join
+    held = health.apply_index(directions.pca_index_by_fold(rows, FEATURES, ext), params)
+    free = F.round(F.col("a_mono") * F.col("E_norm") + F.col("b_mono") * F.col("C_norm"), 9)
+    held = held.withColumns({"free": free, "e9": F.round("E_norm", 9), "pc": F.round("pca_index", 9)})
     ids = ["dataset", "asset_id", "pos", "n"]
     columns = {"index": "index", "index_label_free": "free", "abnormality": "e9", "principal_component": "pc", "value_x": "x", "value_y": "y"}
-    keys = ["dataset", "indicator", "asset_id"]
-    return _raw_and_smooth(long_indicators(held.join(pc, ["asset_id", "pos"]), ids, columns), keys, ext)
+    return _raw_and_smooth(long_indicators(held, ids, columns), ["dataset", "indicator", "asset_id"], ext)
 
 
 def _raw_and_smooth(longs, keys, ext):
