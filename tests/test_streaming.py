@@ -44,6 +44,23 @@ def test_flags_of_a_stream_are_those_of_the_series(spark, tmp_path, cut):
     assert sum(r.flag for r in got if r.asset_id is None) == 3
 
 
+def test_assets_of_a_block_are_advanced_in_one_call(spark, tmp_path):
+    """As many state groups as blocks, whatever the number of assets, and the flags of every asset whole."""
+    rng = random.Random(6)
+    rows = [(a, p, rng.random()) for a in range(400) for p in range(6)]
+    rng.shuffle(rows)
+    for part in (rows[:900], rows[900:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stream_flags(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "asset_id", "v", 0.4, blocks=3)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]][-1] == 3
+    got = {(r.asset_id, r.pos): r.flag for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = alarms.persistent_flags(frame, ["asset_id"], "v", F.lit(0.4), Extent(2400, 6), back_fill=False).collect()
+    assert got == {(r.asset_id, r.pos): r.flag for r in want} and len(got) == 2400
+
+
 def test_a_gap_holds_back_what_follows(spark, tmp_path):
     rows = [(1, p, 0.9) for p in (0, 1, 3, 4)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "in"))

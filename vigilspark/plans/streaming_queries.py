@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
-from ..operators.ordered import keep, shared_folder
+from ..operators.ordered import SAFE_GROUP, blocks_of, keep, shared_folder
 from ..operators import health
 from ..sources.tables import dataset_number, table
-from ..streaming.alarms import stream_index_flags
+from ..streaming.alarms import BLOCKS, stream_index_flags
 from ..streaming.windows import run_available, window_features
 from .pipelines import event_components, event_roles
 from .registry import query
@@ -21,11 +21,12 @@ def _folder(spark) -> str:
     return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
-def _as_stream(spark, rows, path: str, batch, batches: int):
-    """The rows as files of ``batches`` arrivals, one arrival per micro-batch."""
+def _as_stream(spark, rows, path: str, batch, batches: int, files: int = 1):
+    """The rows as files of ``batches`` arrivals, one arrival of ``files`` files per micro-batch."""
     for k in range(batches):
-        rows.where(batch == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        arrival = rows.where(batch == k)
+        (arrival.coalesce(1) if files == 1 else arrival.repartition(files)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query(
@@ -38,10 +39,11 @@ def streamed_alarm_flags(spark, folder):
     """Alarms of the held-out index from a stream whose snapshots arrive in hashed order, in four batches."""
     comp, ext = event_components(spark, folder)
     params = keep(health.fit_index(comp, FOLDS, ext, dataset=dataset_number()))
-    rows = keep(event_roles(comp.select("asset_id", "bucket", "pos", "n", "E", "C")).where("role = 'test'").drop("role"))
+    rows = event_roles(comp.select("asset_id", "bucket", "pos", "n", "E", "C")).where("role = 'test'").drop("role")
     path = _folder(spark)
-    stream = _as_stream(spark, rows, f"{path}/in", F.pmod(F.xxhash64("asset_id", "pos"), F.lit(4)), 4)
-    run_available(stream_index_flags(stream, params, 0.5), f"{path}/out", f"{path}/state")
+    batch = F.pmod(F.xxhash64("asset_id", "pos"), F.lit(4))
+    stream = _as_stream(spark, rows, f"{path}/in", batch, 4, -(-max(ext.rows, 1) // SAFE_GROUP))
+    run_available(stream_index_flags(stream, params, 0.5, blocks=max(BLOCKS, 4 * blocks_of(ext))), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").select("asset_id", "pos", F.round("index", 9).alias("index"), "flag")
 
 
