@@ -131,3 +131,49 @@ def test_prediction_and_growth_equal_a_plain_walk():
     root = grower.node()
     kids = grower.split_all(np.array([root]), np.array([2]), np.array([7]))
     assert kids.tolist() == [1, 2] and (grower.left[0], grower.feature[0], grower.cut[0], len(grower.value)) == (1, 2, 7, 3)
+
+
+def test_queries_learn_from_every_row(spark, planted, monkeypatch):
+    def both():
+        out = [regress.tree_predictions(planted, FEATURES, "y", 5, kind, 10).orderBy("asset_id", "pos").collect() for kind in ("forest", "boosted")]
+        rows = planted.withColumns({"role": F.when(F.col("pos") < 100, "train").otherwise("test"), "stage": (F.col("y") > 0.5).cast("int")})
+        return [*out, regress.chronological_models(rows, FEATURES, "stage", "y", "forest", 10).orderBy("asset_id", "pos").collect()]
+
+    want = both()
+    monkeypatch.setattr(trees, "FIT_ROWS", 500)
+    assert both() == want and len(want[0]) == 3000 and len(want[2]) == 1000
+    whole = trees.learn_from(planted.withColumn("fold", F.col("asset_id") % 5), FEATURES, "y", "fold", whole=True)
+    assert len(whole.target) == 3000 and whole.rows.count() == 3000
+
+
+def test_a_forest_tree_draws_as_many_rows_as_there_are():
+    rng = np.random.default_rng(13)
+    codes = np.stack([np.arange(30_000) // 300, np.arange(30_000) % 300 // 3, np.arange(30_000) % 3], axis=1).astype(np.uint8)
+    own = trees.forest(codes, rng.random(30_000), 1, [1])
+    # 1 - 1/e of the rows are drawn, each a leaf of its own
+    assert abs((own.feature < 0).sum() - 30_000 * (1 - np.exp(-1))) < 300
+
+
+def test_large_nodes_are_cut_like_small_ones(monkeypatch):
+    rng = np.random.default_rng(17)
+    codes = rng.integers(0, 100, (4000, 3)).astype(np.uint8)
+    y = np.round(rng.random(4000), 3)
+    assert trees.NODE_ROWS > len(codes)
+    want = trees.forest(codes, y, 3, [5]).predict(codes)
+    monkeypatch.setattr(trees, "NODE_ROWS", 100)
+    got = trees.forest(codes, y, 3, [5]).predict(codes)
+    # equally good cuts of two or three rows may be told apart by the last digit
+    assert (np.abs(got - want) > 1e-6).mean() < 0.03
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_cuts_of_scattered_rows_are_exact(spark, monkeypatch, parts):
+    rng = np.random.default_rng(19)
+    x = np.column_stack([rng.normal(size=4000), np.round(rng.normal(size=4000), 1), rng.integers(0, 5, 4000), np.full(4000, np.nan), np.where(rng.random(4000) < 0.9, 1.5, rng.random(4000))])
+    x[::9, 0] = np.nan
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double, e double").repartition(parts)
+    monkeypatch.setattr(trees, "EDGES", 32)
+    monkeypatch.setattr(trees, "TASK_VALUES", 500)
+    for got, v in zip(trees.exact_cuts(frame, "abcde"), x.T):
+        assert np.array_equal(got, trees.cuts_of(v[~np.isnan(v)]))
+    assert [len(c) for c in trees.exact_cuts(frame.limit(0), "ab")] == [0, 0]
