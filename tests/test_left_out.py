@@ -177,3 +177,34 @@ def test_weights_of_many_series_are_scored_in_blocks(spark):
     for r in got.itertuples():
         x = [float((p * 7 + r.asset_id) % 5) for p in range(4)]
         assert (r.first_value, r.last_value) == (x[0], x[-1]) and np.isclose(r.mono, abs(np.sign(np.diff(x)).sum()) / 3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 17, 66, 150])
+def test_fitness_of_many_folds_equals_ranks_of_every_fold(monkeypatch, n):
+    """Clipped rows, equal rows, rounding to ties and whole numbers, against the sort of every fold and weight."""
+    rng = np.random.default_rng(n)
+    table = np.array([(round(k / 100, 6), 1.0 - round(k / 100, 6)) for k in range(101)])
+    ranked = [0]
+    plain = weights.criteria
+    for case in range(12):
+        x = rng.random((2, n))
+        x[1, :2] = x[1, 0]
+        if case % 4 == 1:
+            x = np.round(x, 1)
+        if case % 4 == 2:
+            x = 0.5 + np.round(x, 1) * 1e-8 + (rng.random((2, n)) > 0.7)
+        lo = np.column_stack([0.05 + 0.01 * rng.random(6), 0.04 + 0.01 * rng.random(6)])
+        hi = np.column_stack([0.9 + 0.05 * rng.random(6), 0.9 + 0.05 * rng.random(6)])
+        if case % 4 == 3:
+            hi -= 0.6
+        for mono_only in (False, True):
+            want = []
+            for f in range(6):
+                got = weights.score_series(np.clip((x - lo[f][:, None]) / (hi[f] - lo[f] + weights.EPS)[:, None], 0, 1), table, trend=False)
+                want.append(got["mono"] if mono_only else got["mono"] + got["rho"])
+            monkeypatch.setattr(weights, "criteria", lambda v, trend=True: ranked.append(len(v)) or plain(v, trend))
+            assert np.allclose(weights.fitness_of_folds(x, lo, hi, table, mono_only), want, rtol=0, atol=1e-12)
+            if case % 4 == 0 and n > 2:
+                assert sum(ranked) < 6 * 30
+            monkeypatch.setattr(weights, "criteria", plain)
+            ranked.clear()
