@@ -208,3 +208,24 @@ def test_fitness_of_many_folds_equals_ranks_of_every_fold(monkeypatch, n):
                 assert sum(ranked) < 6 * 30
             monkeypatch.setattr(weights, "criteria", plain)
             ranked.clear()
+
+
+def test_conditioning_rows_are_exchanged_before_there_is_one_per_fold(spark, components):
+    from vigilspark.operators import controls
+
+    rows = components.withColumns({"x": F.col("E"), "y": F.col("C")})
+    out = controls.conditioning_table(rows, ["x", "y"], 3, EXT, dataset=F.pmod("asset_id", F.lit(2)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(asset_id" in plan and "hashpartitioning(fold_id" in plan
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(fold_id" in line and "asset_id" in line]
+    assert out.count() == 3 * 36 * 40
+
+
+def test_both_forms_of_the_shuffle_agree(spark, components):
+    from vigilspark.operators import controls
+
+    got = []
+    for ext in (EXT, Extent(10_000, 1 << 21)):
+        out = controls.shuffled(components.select("dataset", "asset_id", "pos", "E"), ["dataset", "asset_id"], "E", "s", ext)
+        got.append(sorted(map(tuple, out.select("dataset", "asset_id", "pos", "E", "s").collect())))
+    assert got[0] == got[1] and len(got[0]) == 36 * 40

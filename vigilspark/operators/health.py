@@ -378,10 +378,14 @@ def apply_index(rows: DataFrame, params: DataFrame) -> DataFrame:
     return out.withColumn("index", F.round(F.col("a") * F.col("E_norm") + F.col("b") * F.col("C_norm"), 9))
 
 
+def outside() -> Column:
+    """1 where the unclipped E falls outside the training range."""
+    return ((F.col("E_lin") > 1.0) | (F.col("E_lin") < 0.0)).cast("double")
+
+
 def saturation(applied: DataFrame, keys) -> DataFrame:
     """Share of snapshots whose unclipped E falls outside the training range."""
-    out_of_range = (F.col("E_lin") > 1.0) | (F.col("E_lin") < 0.0)
-    return applied.groupBy(*keys).agg(F.avg(out_of_range.cast("double")).alias("sat_frac"))
+    return applied.groupBy(*keys).agg(F.avg(outside()).alias("sat_frac"))
 
 
 def velocity_acceleration(rows: DataFrame, keys, column: str, ext: Extent) -> DataFrame:
