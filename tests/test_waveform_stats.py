@@ -292,3 +292,17 @@ def test_leading_direction_takes_each_covariance_once(spark):
     v = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, -1]
     assert np.allclose(np.abs(out.first()["pc"]), np.abs(v))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("covar_pop(") == 6
+
+
+def test_ranks_of_short_series_need_no_ladder_however_many_rows_there_are(spark, monkeypatch):
+    """The longest asset decides the form of its ranks, not the rows of the table."""
+    import __spark_entry__ as entry
+    from vigilspark.operators import ordered
+
+    def ladder(*_):
+        raise AssertionError("ranked as one long series")
+
+    monkeypatch.setattr(ordered, "SAFE_GROUP", 200)
+    monkeypatch.setattr(ordered, "_ladder", ladder)
+    out = entry.queries()["healthy_fraction_ten_features"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 6 and sum(r.n_assets + r.n_short for r in out) == 30

@@ -540,8 +540,12 @@ def correlation_distribution(spark, folder):
 
 # ------------------------------------------------------------------ Spark ML predictors
 def _tabular(spark, folder):
+    return _tabular_sized(spark, folder)[0]
+
+
+def _tabular_sized(spark, folder):
     comp, ext = waveform_components(spark, folder)
-    return keep(comp.select("asset_id", "pos", "n", *FEATURES, labels.capped_rul(F.col("pos"), F.col("n")).alias("y_true")))
+    return keep(comp.select("asset_id", "pos", "n", *FEATURES, labels.capped_rul(F.col("pos"), F.col("n")).alias("y_true"))), ext
 
 
 def _tree_errors(pred):
@@ -640,13 +644,14 @@ def healthy_fraction_ten_features(spark, folder):
     """
     from ..operators import health, quality
 
-    data = _tabular(spark, folder).withColumn("dataset", F.concat(F.lit("d"), F.pmod("asset_id", F.lit(2))))
+    data, ext = _tabular_sized(spark, folder)
+    data = data.withColumn("dataset", F.concat(F.lit("d"), F.pmod("asset_id", F.lit(2))))
     short = data.where("n < 12").groupBy("dataset").agg(F.countDistinct("asset_id").alias("n_short"))
     rows = data.where("n >= 12").withColumn("h0", F.explode(F.array(*[F.lit(h) for h in (0.1, 0.2, 0.3)])))
     rows = rows.withColumns({"n_base": F.greatest(F.lit(5), F.floor(F.col("n") * F.col("h0"))), **{f"z_{c}": F.col(c) for c in FEATURES}})
     keys = ["h0", "asset_id"]
     e = health.mahalanobis(rows, keys, FEATURES, "empirical", ridge=1e-6)
-    n = data.count()
-    rho = quality.spearman(e, ["dataset", *keys], "E", "y_true", ordered.Extent(3 * n, n, n)).withColumn("rho", F.abs("rho"))
-    out = ordered.quantiles(rho, ["h0", "dataset"], {"m": ("rho", 0.5)}, ordered.Extent(3 * n, n, 6), also=[F.count(F.lit(1)).alias("n_assets")])
+    # ranks are within an asset, the median is over assets
+    rho = quality.spearman(e, ["dataset", *keys], "E", "y_true", ordered.Extent(3 * ext.rows, ext.longest, 3 * ext.groups)).withColumn("rho", F.abs("rho"))
+    out = ordered.quantiles(rho, ["h0", "dataset"], {"m": ("rho", 0.5)}, ext.assets, also=[F.count(F.lit(1)).alias("n_assets")])
     return out.join(short, "dataset", "left").select("h0", "dataset", F.round("m", 6).alias("median_abs_rho"), "n_assets", F.coalesce("n_short", F.lit(0)).alias("n_short"))
