@@ -306,3 +306,19 @@ def test_ranks_of_short_series_need_no_ladder_however_many_rows_there_are(spark,
     monkeypatch.setattr(ordered, "_ladder", ladder)
     out = entry.queries()["healthy_fraction_ten_features"](spark, "/root/testdata/sf0.001").collect()
     assert len(out) == 6 and sum(r.n_assets + r.n_short for r in out) == 30
+
+
+def test_scenario_summaries_are_sized_by_the_assets_of_one_scenario(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from vigilspark.operators import quality
+
+    class Seen(Exception):
+        pass
+
+    def sized(criteria, keys, assets):
+        raise Seen(assets.longest, assets.rows)
+
+    monkeypatch.setattr(quality, "quality_table", sized)
+    with pytest.raises(Seen) as seen:
+        entry.queries()["robustness_table"](spark, "/root/testdata/sf0.001")
+    assert seen.value.args == (10, 60)
