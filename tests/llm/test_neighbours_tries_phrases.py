@@ -225,3 +225,14 @@ def test_the_memory_of_a_walk_does_not_follow_the_block():
         tracemalloc.stop()
         assert found == np.count_nonzero((ids[:-1] > 0) & (ids[:-1] < 30) & (ids[1:] > 0) & (ids[1:] < 30))
     assert peaks[1] < 1.2 * peaks[0] < 20e6
+
+
+def test_a_table_of_ranks_equals_the_search_of_every_number():
+    rng = np.random.default_rng(23)
+    held = np.unique(rng.integers(1, 400, (300, phrases.LONGEST)) * 7, axis=0).astype(np.int32)
+    trie = phrases.Trie.of(held)
+    ids = np.concatenate([held[rng.integers(0, len(held), 500)].ravel(), rng.integers(0, 5000, 2000)]).astype(np.int32)
+    at = np.minimum(np.searchsorted(trie.symbols, ids), len(trie.symbols) - 1)
+    assert np.array_equal(trie.ranks().take(ids, mode="clip"), np.where(trie.symbols[at] == ids, trie.rank[at], 0))
+    one, two = ([(k, a.tolist(), s.tolist()) for k, a, s in trie.walk(ids, 2500, ranks)] for ranks in (None, trie.ranks()))
+    assert one == two and one[-1][0] == phrases.LONGEST

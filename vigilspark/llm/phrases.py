@@ -259,14 +259,18 @@ class Trie:
             at += int(n) * out[-1].itemsize
         return cls(*out)
 
-    def walk(self, ids: np.ndarray, starts: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def ranks(self) -> np.ndarray:
+        """Rank of every number up to the trie's last one, 0 for what it does not hold and for all beyond; made for one trie at a time."""
+        out = np.zeros(int(self.symbols[-1]) + 2, np.int32)
+        out[self.symbols] = self.rank
+        return out
+
+    def walk(self, ids: np.ndarray, starts: int | None = None, ranks: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(level, positions, states) for level 1, 2, ...: the positions whose next ``level`` words are a path of the trie.
 
-        Only the first ``starts`` positions are set out from; what follows them may be read.
+        Only the first ``starts`` positions are set out from; what follows them may be read. ``ranks`` is the trie's own.
         """
-        k = np.minimum(np.searchsorted(self.symbols, ids), len(self.symbols) - 1)
-        symbol = np.where(self.symbols[k] == ids, self.rank[k], 0)
-        del k
+        symbol = (self.ranks() if ranks is None else ranks).take(ids, mode="clip")
         at = np.flatnonzero(symbol[:starts])
         state = np.zeros(len(at), np.int32)
         for level in range(1, LONGEST + 1):
@@ -363,9 +367,10 @@ def longer(numbers: DataFrame, tries: DataFrame, size: int) -> DataFrame:
             offset = np.cumsum([0, *[len(t.check) for t in held]])
             for ids in blocks(batches):
                 state = np.full(len(ids) + 1, -1, np.int32)
-                for first, some, starts in strides(ids):
-                    for k, t in enumerate(held):
-                        for level, at, to in t.walk(some, starts):
+                for k, t in enumerate(held):
+                    ranks = t.ranks()
+                    for first, some, starts in strides(ids):
+                        for level, at, to in t.walk(some, starts, ranks):
                             if level == size - 1:
                                 whole = t.accepts[to] == level
                                 state[first + at[whole]] = to[whole] + offset[k]
@@ -394,9 +399,10 @@ def counted(numbers: DataFrame, tries: DataFrame) -> DataFrame:
             # a count for each phrase, not for each state of the tries
             total = [np.zeros(len(t.phrases), np.int64) for t in held]
             for ids in blocks(batches):
-                for _, some, starts in strides(ids):
-                    for k, t in enumerate(held):
-                        ends = [t.of[to[t.accepts[to] > 0]] for _, _, to in t.walk(some, starts)]
+                for k, t in enumerate(held):
+                    ranks = t.ranks()
+                    for _, some, starts in strides(ids):
+                        ends = [t.of[to[t.accepts[to] > 0]] for _, _, to in t.walk(some, starts, ranks)]
                         if ends:
                             total[k] += np.bincount(np.concatenate(ends), minlength=len(t.phrases))
             for k, t in enumerate(held):
